@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import frame_queries, interval_queries, run_queries
+from . import break_queries, frame_queries, interval_queries, run_queries, segment_queries
 
-_FAMILIES = (frame_queries, interval_queries, run_queries)
+_FAMILIES = (frame_queries, interval_queries, run_queries, segment_queries, break_queries)
 FLAGSHIP = "break_runs"
 
 
