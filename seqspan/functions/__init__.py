@@ -1,0 +1 @@
+"""Column functions: time codes, names, texts."""
