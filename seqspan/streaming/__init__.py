@@ -1,0 +1 @@
+"""Watching folders as streams."""
