@@ -25,14 +25,16 @@ def first_seen(files: DataFrame, delay: str = "1 day") -> DataFrame:
 def settled(files: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
     """path, root, mtime, size of each file once it hasn't changed for ``seconds``: state by path, timers in event time.
 
-    A change starts the wait again; a file is given once for each time it settles.
+    A change starts the wait again; a file is given once for each time it settles, and a row of state for each path
+    remembers that it was.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known = state.get if state.exists else None
         if state.hasTimedOut:
-            state.remove()
+            # the state stays, so that the same file isn't given again
             if known and not known[3]:
+                state.update((*known[:3], True))
                 yield pd.DataFrame({"path": [key[0]], "root": [known[0]], "mtime": [known[1]], "size": [known[2]]})
             return
         newest = known
