@@ -2,8 +2,9 @@
 
 Documents are branched recursively by selected minwise tokens: a node of a tree picks a few of the minwise functions, and a
 document goes to one child for each, named by the function and the document's minimum under it.  Small nodes are compared
-exhaustively.  In a large node every document is compared with a pivot first, and what the triangle inequality settles
-leaves the node before it branches on.  Independent trees, as many as the wanted recall takes, repeat this.
+exhaustively.  In a large node that is tight, every document is compared with some pivots first; those that this connects
+carry a common label from there on, and documents of one label need not be compared again.  Independent trees, as many as
+the wanted recall takes, repeat this.
 """
 
 from __future__ import annotations
@@ -21,13 +22,25 @@ from .components import components
 from .store import small_enough, without_ids, written
 from .textbits import chunks, seeds, shingle_sets, shingles, strings, word_hashes, words
 
-#: Minwise functions; two a tree at the root, and any two for a node below it.
-FUNCTIONS = 24
+#: Children of a document at each node.
 BRANCHES = 2
-#: Documents of a node that are compared exhaustively.
-SMALL = 192
-#: Levels of branching; what is still large then is compared in blocks.
+#: Levels of branching below the root; what is still large then is compared in blocks.
 DEPTH = 10
+#: Independent trees at most.
+TREES = 4
+#: Minwise functions: each tree's root has its own, and so has each level below.
+FUNCTIONS = BRANCHES * (TREES + DEPTH)
+#: Documents of a node that are compared at once.
+SMALL = 512
+#: Documents of a node that are compared exhaustively, as pairs of blocks; larger nodes branch on.
+MEDIUM = 4096
+#: Share of a large node's documents that seem close to its centre, from which on all are compared with pivots.
+TIGHT = 0.2
+#: Pivots of a tight node.
+PIVOTS = 16
+#: Pairs of a tight node's documents outside its main cluster with its others that are compared at once, in parts.
+OUTSIDE_PAIRS = 3_000_000
+PART = 128
 #: Minima of two documents that agree if their similarity is just the threshold: fewer than this many standard deviations
 #: below the expected number, and the pair isn't compared on full sets.
 SURE = 4.75
@@ -97,23 +110,85 @@ def _least_agreeing(percent: int) -> int:
     return max(1, math.floor(FUNCTIONS * s - SURE * math.sqrt(FUNCTIONS * s * (1 - s))))
 
 
-def _compare(percent: int, across_only: bool = False):
-    """Spanning links of each node's documents; the rows of a node come together.
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    shared = _shared(a, b)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
-    Two documents are compared on their full sets unless they are linked through others already, their sizes rule a link
-    out, or hardly any of their minima agree.
-    """
+
+def _by_node(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]] | None]:
+    """(node, its rows' columns) of rows that come sorted by node; None after each batch."""
+    node, held = None, [[] for _ in columns]
+    for b in batches:
+        for key, *row in zip(b.column("node").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+            if key != node:
+                if len(held[0]) > 1:
+                    yield node, held
+                node, held = key, [[] for _ in columns]
+            for column, value in zip(held, row, strict=True):
+                column.append(value)
+        yield None
+    if len(held[0]) > 1:
+        yield node, held
+    yield None
+
+
+def _sift(percent: int):
+    """Documents of small nodes that seem linked with another one of another label there, by size and agreeing minima."""
     least = _least_agreeing(percent)
 
-    def links(ids: list[int], blobs: list[bytes], minima: list[bytes], block: list[int]) -> list[tuple[int, int]]:
-        n = len(ids)
-        order = sorted(range(n), key=lambda x: (len(blobs[x]), ids[x]))
-        ids, sets, block = [ids[x] for x in order], [np.frombuffer(blobs[x], np.uint64) for x in order], [block[x] for x in order]
-        size = [len(s) for s in sets]
-        if n == 2:
-            return [(ids[0], ids[1])] if _linked(sets[0], sets[1], percent) and (not across_only or block[0] != block[1]) else []
-        sign = np.frombuffer(b"".join(minima[x] for x in order), np.uint32).reshape(n, FUNCTIONS)
-        root = list(range(n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, reps, labels = [], [], []
+        for group in _by_node(batches, ("rep", "n_shingles", "minima", "label")):
+            if group is None:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, reps, labels)], ["node", "rep", "block"])
+                nodes, reps, labels = [], [], []
+                continue
+            node, (ids, sizes, blobs, label) = group
+            sign, size, tag = np.frombuffer(b"".join(blobs), np.uint32).reshape(len(ids), FUNCTIONS), np.array(sizes), np.array(label)
+            alive = np.zeros(len(ids), bool)
+            for i in range(len(ids) - 1):
+                fits = (tag[i] != tag[i + 1 :]) & (np.minimum(size[i], size[i + 1 :]) * 100 >= np.maximum(size[i], size[i + 1 :]) * percent)
+                near = np.flatnonzero(fits)
+                near = near[(sign[i + 1 + near] == sign[i]).sum(axis=1) >= least]
+                if len(near):
+                    alive[i] = True
+                    alive[i + 1 + near] = True
+            for i in np.flatnonzero(alive):
+                nodes.append(node)
+                reps.append(ids[i])
+                labels.append(label[i])
+
+    return run
+
+
+def _shared_by_all(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections: products of indicator matrices, a stretch of the shingles at a time."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    often = times[place] > 1
+    row, place = row[often], rank[place[often]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((n, n), np.float32)
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(place, (begin, begin + columns))
+        held = np.zeros((n, min(columns, int(place[-1]) + 1 - begin)), np.float32)
+        held[row[a:b], place[a:b] - begin] = 1
+        out += held @ held.T
+    return out
+
+
+def _compare(percent: int):
+    """Spanning links between each node's documents of different labels, from their full sets."""
+
+    def links(ids: list[int], blobs: list[bytes], block: list[int]) -> list[tuple[int, int]]:
+        n, sets = len(ids), [np.frombuffer(x, np.uint64) for x in blobs]
+        first: dict[int, int] = {}
+        root = [first.setdefault(x, i) for i, x in enumerate(block)]
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -121,161 +196,205 @@ def _compare(percent: int, across_only: bool = False):
                 x = root[x]
             return x
 
+        if n <= 4:
+            pairs = [(i, j) for i in range(n) for j in range(i) if _linked(sets[i], sets[j], percent)]
+        else:
+            shared, size = _shared_by_all(sets).astype(np.int64), np.array([len(x) for x in sets])
+            fits = np.tril((100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (shared > 0), -1)
+            tag = np.array(block)
+            pairs = zip(*(x.tolist() for x in np.nonzero(fits & (tag[:, None] != tag[None, :]))), strict=True)
         out = []
-        for i in range(n):
-            last = i + 1
-            while last < n and 100 * size[i] >= percent * size[last]:
-                last += 1
-            if last == i + 1:
-                continue
-            agree = (sign[i + 1 : last] == sign[i]).sum(axis=1)
-            near = np.flatnonzero(agree >= least)
-            for j in (near[np.argsort(-agree[near], kind="stable")] + i + 1).tolist():
-                a, b = find(i), find(j)
-                if a != b and (not across_only or block[i] != block[j]) and _linked(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+        for i, j in pairs:
+            a, b = find(i), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, ([], [], [], [])
+        found: list[tuple[int, int]] = []
+        for group in _by_node(batches, ("rep", "shingles", "block")):
+            if group is None:
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found = []
+            else:
+                found += links(*group[1])
+
+    return run
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many minima each document agrees with its node's centre."""
+    for b in batches:
+        own, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), FUNCTIONS) for c in ("minima", "centre"))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("rep"), pa.array((own == other).sum(axis=1), pa.int64())], ["node", "rep", "agree"])
+
+
+def _to_pivots(percent: int):
+    """The pivots that each document is linked with, itself if it is one; a part's pivots (kind 0) come before its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots = None, []
         for b in batches:
-            found: list[tuple[int, int]] = []
-            nodes = b.column("node").to_pylist()
-            for key, *row in zip(nodes, *(b.column(c).to_pylist() for c in ("rep", "shingles", "minima", "block")), strict=True):
-                if key != node:
-                    if len(held[0]) > 1:
-                        found += links(*held)
-                    node, held = key, ([], [], [], [])
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-            yield _pairs(found)
-        if len(held[0]) > 1:
-            yield _pairs(links(*held))
+            node, rep, linked = [], [], []
+            for key, part, kind, id_, blob in zip(*(b.column(c).to_pylist() for c in ("node", "part", "kind", "rep", "shingles")), strict=True):
+                if (key, part) != at:
+                    at, pivots = (key, part), []
+                own = np.frombuffer(blob, np.uint64)
+                if kind == 0:
+                    pivots.append((id_, own))
+                else:
+                    node.append(key)
+                    rep.append(id_)
+                    linked.append([p for p, other in pivots if p == id_ or _linked(own, other, percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64()), pa.array(linked, pa.list_(pa.int64()))], ["node", "rep", "linked"])
 
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    shared = _shared(a, b)
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
+def _minimum(f: int):
+    """Minimum ``f`` of a row's signature."""
+    return F.expr(f"substring(minima, {f * 4 + 1}, 4)")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+_ROW = ("node", "rep", "n_shingles", "minima", "label")
 
 
-def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = zip(b.column("shingles").to_pylist(), b.column("pivot_shingles").to_pylist(), strict=True)
-        shared, total = [], []
-        for own, other in rows:
-            x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-            shared.append(_shared(x, y))
-            total.append(len(x) + len(y) - shared[-1])
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("rep"), b.column("pivot"), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["node", "rep", "pivot", "shared", "total"])
+def _children(rows: DataFrame, functions: list[int], by: str | None) -> DataFrame:
+    """Each document of ``rows`` (rep, n_shingles, minima, label, and ``by`` for the node it comes from) at its children."""
+    parts = [F.xxhash64(*([by] if by else []), F.lit(f), _minimum(f)) for f in functions]
+    return rows.select(F.explode(F.array(*parts)).alias("child"), *_ROW[1:]).withColumnRenamed("child", "node")
+
+
+def _grown(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Nodes of two documents or more that aren't of one label, each set of documents once: node, members."""
+    seen = rows.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep", label)).alias("x"), F.bit_xor(F.xxhash64("rep", label, F.lit(9))).alias("y"), F.min(label).alias("l"), F.max(label).alias("m"))
+    return seen.where("members > 1 AND l <> m").groupBy("members", "x", "y").agg(F.min("node").alias("node")).select("node", "members")
 
 
-def _minimum(index):
-    """Minimum number ``index`` (a column) of a row's signature."""
-    return F.expr("substring(minima, CAST(pick * 4 + 1 AS INT), 4)") if index is None else F.expr(f"substring(minima, {index * 4 + 1}, 4)")
+class _Sets:
+    """Full sets of documents, made from their texts again for those that are asked for."""
 
+    def __init__(self, docs: DataFrame, k: int):
+        self.texts, self.k = docs.select(F.col("doc_id").alias("rep"), "text"), k
 
-def _grown(rows: DataFrame) -> DataFrame:
-    """Nodes of two documents or more, each set of documents once: node, members."""
-    seen = rows.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(9))).alias("y")).where("members > 1")
-    return seen.groupBy("members", "x", "y").agg(F.min("node").alias("node")).select("node", "members")
+    def of(self, ids: DataFrame) -> DataFrame:
+        """rep, shingles for the ids (one column, rep), which are broadcast if they are few enough."""
+        wanted = written(ids.distinct(), "wanted")
+        return written(self.texts.join(small_enough(wanted), "rep").mapInArrow(_sets(self.k), "rep long, shingles binary"), "sets")
 
 
-def _exhaust(rows: DataFrame, sets: DataFrame, percent: int, across_only: bool = False) -> DataFrame:
-    """Links within the small nodes of ``rows`` (node, rep, and block if ``across_only``)."""
-    full = rows.join(sets.hint("shuffle_merge"), "rep")
-    if "block" not in rows.columns:
-        full = full.withColumn("block", F.lit(0))
-    parts = full.select("node", "rep", "shingles", "minima", "block").repartition("node").sortWithinPartitions("node", "rep")
-    return parts.mapInArrow(_compare(percent, across_only), "a long, b long")
+def _exhaust(rows: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links within the nodes of ``rows`` (node, rep, block), all of them small, between different blocks."""
+    full = sets.of(rows.select("rep")).join(small_enough(rows), "rep")
+    parts = full.select("node", "rep", "shingles", "block").repartition("node").sortWithinPartitions("node", "rep")
+    return written(parts.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
-def similar_links(docs: DataFrame, percent: int, k: int, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """(a row for each document, links): the join itself.
+def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(a row for each document, links): the join itself; ids are not repeated.
 
     The first has doc_id, n_shingles and rep, the smallest doc_id with the same set (itself where the set is empty).
     The second has pairs a, b of such representatives with ``100 * shared >= percent * union`` on their full sets; enough of
     them to connect whatever the trees brought together.
     """
+    trees = trees_for(recall, percent / 100)
+    if trees > TREES:
+        raise ValueError("more trees than there are minwise functions for")
     table = written(docs.select("doc_id", "text").mapInArrow(_features(k), "doc_id long, n_shingles long, print binary, minima binary"), "features")
     alike = table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "print").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima"))
-    reps = written(alike, "representatives")
-    trees = trees_for(recall, percent / 100)
-    if trees * BRANCHES > FUNCTIONS:
-        raise ValueError("more trees than minwise functions")
-    roots = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.lit(f), _minimum(t * BRANCHES + f)).alias("node")) for t in range(trees) for f in range(BRANCHES)]))
-    level = reps.select("rep", roots.alias("to")).select("to.node", "rep")
-    nodes = written(_grown(level), "nodes")
-    rows = written(level.join(nodes, "node"), "rows")
-    wanted = written(rows.select("rep").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small_enough(wanted), "rep")
-    if _repeats(table):
-        texts = texts.groupBy("rep").agg(F.max("text").alias("text"))
-    sets = written(texts.mapInArrow(_sets(k), "rep long, shingles binary").join(reps.select("rep", "minima"), "rep"), "sets")
-    links = written(_exhaust(rows.where(F.col("members") <= SMALL).select("node", "rep"), sets, percent), "links")
-    found, large = [links], rows.where(F.col("members") > SMALL).select("node", "rep", "members")
-    for depth in range(DEPTH):
-        if large.isEmpty():
+    reps = written(alike.withColumn("label", F.xxhash64("rep", F.lit(5))), "representatives")
+    sets = _Sets(docs, k)
+    links, sifted, large = [], [], None
+    for depth in range(DEPTH + 1):
+        if depth == 0:
+            level = _children(reps, list(range(trees * BRANCHES)), None)
+        else:
+            first = BRANCHES * (TREES + depth - 1)
+            level = _children(large, list(range(first, first + BRANCHES)), "node")
+        rows = written(level.join(_grown(level), "node"), "rows")
+        pool = rows.where(F.col("members") <= SMALL).select(*_ROW)
+        pool = pool.unionByName(_in_blocks(rows.where((F.col("members") > SMALL) & (F.col("members") <= MEDIUM))))
+        large = rows.where(F.col("members") > MEDIUM)
+        last = large.isEmpty()
+        if not last and depth < DEPTH:
+            large, found, more = _settle(large, sets, percent, depth)
+            links += found
+            pool = pool.unionByName(more) if more is not None else pool
+        elif not last:
+            pool = pool.unionByName(_in_blocks(large))
+        small = pool.repartition("node").sortWithinPartitions("node", "rep")
+        sifted.append(written(small.mapInArrow(_sift(percent), "node long, rep long, block long"), "sifted"))
+        if last:
             break
-        level, linked = _split(large, sets, reps, percent, depth)
-        nodes = written(_grown(level), "nodes")
-        rows = written(level.join(nodes, "node"), "rows")
-        found += [linked, written(_exhaust(rows.where(F.col("members") <= SMALL).select("node", "rep"), sets, percent), "links")]
-        large = rows.where(F.col("members") > SMALL).select("node", "rep", "members")
-    else:
-        if not large.isEmpty():
-            found.append(written(_in_blocks(large, sets, percent), "links"))
-    every = found[0]
-    for x in found[1:]:
+    small = sifted[0]
+    for x in sifted[1:]:
+        small = small.unionByName(x)
+    small = written(small.join(_grown(small, "block"), "node").select("node", "rep", "block"), "small")
+    links.append(_exhaust(small, sets, percent))
+    every = links[0]
+    for x in links[1:]:
         every = every.unionByName(x)
     who = table.join(reps.select("n_shingles", "print", "rep").hint("shuffle_merge"), ["n_shingles", "print"], "left")
     return who.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), every
 
 
-def _repeats(table: DataFrame) -> bool:
-    """Whether a doc_id stands for two rows."""
-    return not table.groupBy("doc_id").count().where("count > 1").isEmpty()
-
+def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """(documents of large nodes that branch on, links with pivots, small nodes that stand for what is left of tight ones).
 
-def _split(large: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of the next level, links with the pivots) of large nodes.
-
-    A document m that is linked with the pivot p, at distance d(m, p), can only be linked with a document x that isn't
-    within reach if d(x, p) <= d(m, p) + t, where t is the threshold's distance.  If no such x is in the node, m leaves it.
+    A node's centre has the commonest minimum under each function.  Where many documents seem close to it, all are compared
+    with each of some pivots, those nearest to it.  The main cluster is what the pivot with most links, or a pivot linked
+    with that one, is linked with; its documents are connected and share a label.  The others are compared with the whole
+    node in parts, or branch on along with it if they are most of it or that were too many pairs.
     """
-    key = F.struct(F.xxhash64("rep", "node", F.lit(depth)).alias("h"), F.col("rep"))
-    pivots = large.groupBy("node").agg(F.min(key).alias("p")).select("node", F.col("p.rep").alias("pivot"))
-    pivots = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    pairs = large.select("node", "rep").join(sets.select("rep", "shingles").hint("shuffle_merge"), "rep").join(pivots.hint("shuffle_merge"), "node")
-    measured = written(pairs.select("node", "rep", "pivot", "shingles", "pivot_shingles").mapInArrow(_to_pivot, "node long, rep long, pivot long, shared long, total long"), "measured")
-    near = F.col("shared") * 100 >= F.col("total") * percent
-    far = 1 - F.col("shared") / F.col("total")
-    linked = measured.where(near & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    outside = measured.where(~near).groupBy("node").agg(F.min(far).alias("nearest"))
-    reach = measured.join(outside.hint("shuffle_merge"), "node").where(~near | (far + (1 - percent / 100) + 1e-9 >= F.col("nearest"))).select("node", "rep")
-    picks = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.pmod(F.xxhash64("node", F.lit(f), F.lit(depth)), F.lit(FUNCTIONS)).alias("pick")) for f in range(BRANCHES)]))
-    below = reach.join(reps.select("rep", "minima").hint("shuffle_merge"), "rep").select("node", "rep", "minima", picks.alias("to")).select("node", "rep", "minima", "to.f", "to.pick")
-    child = F.xxhash64("node", "pick", _minimum(None))
-    return below.select(child.alias("node"), "rep"), linked
-
-
-def _in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    minima = F.posexplode(F.array(*[_minimum(f) for f in range(FUNCTIONS)])).alias("f", "m")
+    common = large.select("node", minima).groupBy("node", "f", "m").agg(F.count("*").alias("n")).groupBy("node", "f").agg(F.max(F.struct("n", "m"))["m"].alias("m"))
+    centres = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("c")).select("node", F.concat(*[F.col("c")[f]["m"] for f in range(FUNCTIONS)]).alias("centre"))
+    few = small_enough(written(centres, "centres"), 50_000)
+    seen = large.join(few, "node").select("node", "rep", "minima", "centre").mapInArrow(_agreeing, "node long, rep long, agree long")
+    seen = written(seen, "seen")
+    share = F.avg((F.col("agree") >= _least_agreeing(percent)).cast("double"))
+    tight = written(seen.groupBy("node").agg(share.alias("share")).where(F.col("share") >= TIGHT).select("node"), "tight")
+    if tight.isEmpty():
+        return large.select(*_ROW), [], None
+    few = small_enough(tight, 50_000)
+    loose, close = large.join(few, "node", "left_anti").select(*_ROW), written(large.join(few, "node", "left_semi"), "close")
+    nearest = [F.max(F.when(F.pmod(F.xxhash64("rep", F.lit(8)), F.lit(PIVOTS)) == j, F.struct("agree", "rep"))).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = seen.join(few, "node", "left_semi").groupBy("node").agg(F.count("*").alias("members"), *nearest)
+    asked = written(pivots.select("node", "members", F.explode(F.array(*[F.col(f"p{j}.rep") for j in range(PIVOTS)])).alias("rep")).where("rep IS NOT NULL"), "asked")
+    parts = F.ceil(F.col("members") / 512).cast("int")
+    members = close.select("node", "rep", F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int").alias("part"), F.lit(1).alias("kind"))
+    rows = members.unionByName(asked.select("node", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind")))
+    full = sets.of(close.select("rep")).join(small_enough(written(rows, "asked")), "rep")
+    dealt = full.repartition("node", "part").sortWithinPartitions("node", "part", "kind", "rep").select("node", "part", "kind", "rep", "shingles")
+    measured = written(dealt.mapInArrow(_to_pivots(percent), "node long, rep long, linked array<bigint>"), "measured")
+    by_pivot = measured.select("node", F.explode("linked").alias("pivot")).groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = by_pivot.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "pivot"))["pivot"].alias("rep"))
+    anchors = small_enough(written(measured.join(best, ["node", "rep"]).select("node", F.col("linked").alias("anchors"), F.col("rep").alias("anchor")), "anchors"), 50_000)
+    held = measured.join(anchors, "node").withColumn("main", F.arrays_overlap("linked", "anchors"))
+    held = written(held.join(asked.select("node", "rep", F.lit(True).alias("pivot")).hint("shuffle_merge"), ["node", "rep"], "left"), "held")
+    one = F.when(F.col("main") & F.col("pivot").isNull(), F.slice(F.array_intersect("linked", "anchors"), 1, 1)).otherwise(F.col("linked"))
+    linked = held.select(F.col("rep").alias("a"), F.explode(one).alias("b")).where("a <> b")
+    outside = held.groupBy("node").agg(F.count(F.when(~F.col("main"), 1)).alias("outside"), F.max("anchor").alias("anchor")).where("outside > 0")
+    outside = small_enough(written(outside, "outside"), 50_000)
+    left = close.join(held.select("node", "rep", "main").hint("shuffle_merge"), ["node", "rep"]).join(outside, "node")
+    left = written(left.withColumn("label", F.when(F.col("main"), F.xxhash64("anchor", F.lit(6))).otherwise(F.col("label"))), "left")
+    many = (F.col("outside") * F.col("members") > OUTSIDE_PAIRS) | (F.col("outside") * 2 > F.col("members"))
+    on, few = left.where(many).select(*_ROW), left.where(~many)
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    mine = F.array(F.pmod(F.xxhash64("rep", F.lit(4)), parts).cast("int"))
+    spread = few.withColumn("part", F.explode(F.when(F.col("main"), mine).otherwise(F.sequence(F.lit(0), parts - 1))))
+    spread = spread.withColumn("node", F.xxhash64("node", "part", F.lit(7))).select(*_ROW)
+    return loose.unionByName(on), [linked], spread
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
     """Every pair of documents of nodes that stayed large, as pairs of blocks of ``SMALL / 2`` documents or so."""
     blocks = F.ceil(F.col("members") / (SMALL // 2)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("block", own)
-    meets = dealt.select("node", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep", "block")
-    return _exhaust(meets, sets, percent)
+    dealt = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meets.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).select(*_ROW)
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, k: int = 5, recall: float = 0.999) -> DataFrame:
@@ -284,13 +403,24 @@ def near_dedup(docs: DataFrame, percent: int = 80, k: int = 5, recall: float = 0
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set holds its distinct ``k``-word shingles, or
     its whole sequence where it has fewer words.  A document without words (null and empty texts) has the empty set and
     is linked with nothing.  Rows with a null doc_id are counted, linked with nothing, and kept with a null component.
-    Rows that repeat a doc_id are one document where their texts are equal.  An empty table gives an empty result.
+    Rows that repeat a doc_id count as one document, with the greatest of their texts, whose result each of them gets.
+    An empty table gives an empty result.
     """
-    who, links = similar_links(docs, percent, k, recall)
+    rows = docs.select("doc_id", "text")
+    repeated = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        known = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
+        one = written(known.unionByName(rows.where("doc_id IS NULL")), "distinct")
+    else:
+        one = rows
+    who, links = similar_links(one, percent, k, recall)
     reach = components(links)
     out = who.join(reach.select(F.col("id").alias("rep"), "component").hint("shuffle_merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if repeated:
+        out = rows.where("doc_id IS NOT NULL").select("doc_id").join(out.hint("shuffle_merge"), "doc_id").unionByName(out.where("doc_id IS NULL"))
+    return out
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:

@@ -46,11 +46,12 @@ def corpus(seed, groups, size, words=60):
 EDGES = [(100_001, None), (100_002, ""), (100_003, " \n "), (100_004, "One two"), (100_005, "one\ttwo"), (100_006, "one"), (None, "one two"), (100_007, "x " * 3000), (100_008, "X " * 2999)]
 
 
-@pytest.mark.parametrize("percent,k,small,pairs", [(85, 3, 192, 2_000_000), (80, 5, 192, 2_000_000), (85, 3, 6, 2_000_000), (85, 3, 6, 20)])
-def test_against_brute_force(docs_of, monkeypatch, percent, k, small, pairs):
+@pytest.mark.parametrize("percent,k,small,medium,pairs", [(80, 5, 512, 4096, 2_000_000), (85, 3, 6, 4096, 2_000_000), (85, 3, 6, 6, 2_000_000), (85, 3, 6, 6, 20)])
+def test_against_brute_force(docs_of, monkeypatch, percent, k, small, medium, pairs):
     monkeypatch.setattr(chosenpath, "SMALL", small)
+    monkeypatch.setattr(chosenpath, "MEDIUM", medium)
     monkeypatch.setattr(chosenpath, "OUTSIDE_PAIRS", pairs)
-    monkeypatch.setattr(chosenpath, "PART", 4 if small < 192 else 128)
+    monkeypatch.setattr(chosenpath, "PART", 4 if small < 512 else 128)
     rows = corpus(small + k, 12, 30) + EDGES
     got = chosenpath.near_dedup(docs_of(rows), percent, k, recall=0.9999).collect()
     assert len(got) == len(rows)
