@@ -50,9 +50,10 @@ EDGES = [(100_001, None), (100_002, ""), (100_003, " \n "), (100_004, "One two")
 def test_against_brute_force(docs_of, monkeypatch, percent, k, small, medium, pairs):
     monkeypatch.setattr(chosenpath, "SMALL", small)
     monkeypatch.setattr(chosenpath, "MEDIUM", medium)
+    monkeypatch.setattr(chosenpath, "DEPTH", 2 if medium == 6 else chosenpath.DEPTH)
     monkeypatch.setattr(chosenpath, "OUTSIDE_PAIRS", pairs)
     monkeypatch.setattr(chosenpath, "PART", 4 if small < 512 else 128)
-    rows = corpus(small + k, 12, 30) + EDGES
+    rows = corpus(small + k, 8, 24) + EDGES
     got = chosenpath.near_dedup(docs_of(rows), percent, k, recall=0.9999).collect()
     assert len(got) == len(rows)
     want = brute(rows, percent, k)
