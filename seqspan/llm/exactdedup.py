@@ -95,7 +95,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     table gives an empty result.
     """
     members = docs.select("doc_id", "text").mapInArrow(_members, "doc_id long, sha string, check long, points long")
-    joined = members.join(winners(docs, salts), ["sha", "check"])
+    best = written(winners(docs, salts), "winners")  # a table of its own: Spark then splits the hot digests of the join
+    joined = members.join(best.hint("merge"), ["sha", "check"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
