@@ -1,7 +1,7 @@
 """Near-dedup by a chosen-path set similarity join over word shingles.
 
-Documents are branched recursively by selected minwise tokens: a node of a tree picks a few of the minwise functions, and a
-document goes to one child for each, named by the function and the document's minimum under it.  Small nodes are compared
+Documents are branched recursively by selected minwise tokens: a node of a tree picks a few of the minwise functions by a
+hash of its name, and a document goes to one child for each, named by the function and the document's minimum under it.  Small nodes are compared
 exhaustively.  In a large node that is tight, every document is compared with some pivots first; those that this connects
 carry a common label from there on, and documents of one label need not be compared again.  Independent trees, as many as
 the wanted recall takes, repeat this.
@@ -26,10 +26,10 @@ from .textbits import chunks, seeds, shingle_sets, shingles, strings, word_hashe
 BRANCHES = 2
 #: Levels of branching below the root; what is still large then is compared in blocks.
 DEPTH = 10
-#: Independent trees at most.
-TREES = 4
-#: Minwise functions: each tree's root has its own, and so has each level below.
-FUNCTIONS = BRANCHES * (TREES + DEPTH)
+#: Minwise functions, a power of two.  Each tree's root has its own; each node below picks some by a hash of its name.
+FUNCTIONS = 64
+#: Trees at most.
+TREES = FUNCTIONS // BRANCHES
 #: Documents of a node that are compared at once.
 SMALL = 512
 #: Documents of a node that are compared exhaustively, as pairs of blocks; larger nodes branch on.
@@ -46,16 +46,23 @@ PART = 128
 SURE = 4.75
 
 
+def _missed(s: float) -> float:
+    """Probability that a branching process dies out which has ``BRANCHES`` children, each alive with probability ``s``."""
+    q = 0.0
+    for _ in range(1000):
+        q = (1 - s + s * q) ** BRANCHES
+    return q
+
+
 def trees_for(recall: float, threshold: float) -> int:
-    """Trees until a pair just at the threshold is missed with probability 1 - recall at most.
+    """Trees until a pair just at the threshold is missed with probability 1 - recall at most, at any depth.
 
-    In one tree such a pair is separated for good with the probability q that a branching process dies out which has
-    ``BRANCHES`` children, each alive with probability ``threshold``.
+    Nodes pick their functions from a pool, in which the pair agrees on a binomial number; given that number, the nodes'
+    picks are independent, and in one tree the pair is separated for good as a branching process dies out.
     """
-    q = 0.0
-    for _ in range(200):
-        q = (1 - threshold + threshold * q) ** BRANCHES
-    return max(1, math.ceil(math.log(1 - recall) / math.log(q))) if q > 0 else 1
+    n = FUNCTIONS
+    odds = [(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k), _missed(k / n)) for k in range(n + 1)]
+    return next((t for t in range(1, TREES + 1) if sum(p * q**t for p, q in odds) <= 1 - recall), TREES + 1)
 
 
 def _features(k: int):
@@ -261,16 +268,32 @@ def _minimum(f: int):
 _ROW = ("node", "rep", "n_shingles", "minima", "label")
 
 
-def _children(rows: DataFrame, functions: list[int], by: str | None) -> DataFrame:
-    """Each document of ``rows`` (rep, n_shingles, minima, label, and ``by`` for the node it comes from) at its children."""
-    parts = [F.xxhash64(*([by] if by else []), F.lit(f), _minimum(f)) for f in functions]
-    return rows.select(F.explode(F.array(*parts)).alias("child"), *_ROW[1:]).withColumnRenamed("child", "node")
+def _roots(reps: DataFrame, trees: int) -> DataFrame:
+    """Each document of ``reps`` (rep, n_shingles, minima, label) at the children of each tree's root."""
+    parts = [F.xxhash64(F.lit(f), _minimum(f)) for f in range(trees * BRANCHES)]
+    return reps.select(F.explode(F.array(*parts)).alias("node"), *_ROW[1:])
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """Each document of ``rows`` at the children of its node, whose functions a hash of the node picks.
+
+    A node that stands for several equal ones has the children of all; beyond the pool's size they would repeat.
+    """
+    start, step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(FUNCTIONS)), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(FUNCTIONS // 2)) * 2 + 1
+    some = F.least(F.col("copies") * BRANCHES, F.lit(FUNCTIONS)) - 1
+    picks = F.transform(F.sequence(F.lit(0).cast("long"), some), lambda j: (start + j * step) % FUNCTIONS)
+    below = rows.select("*", F.explode(picks).alias("pick"))
+    child = F.xxhash64("node", "pick", F.expr("substring(minima, cast(pick * 4 + 1 AS int), 4)"))
+    return below.select(child.alias("node"), *_ROW[1:])
 
 
 def _grown(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Nodes of two documents or more that aren't of one label, each set of documents once: node, members."""
+    """Nodes of two documents or more that aren't of one label, each set of documents once: node, members, copies.
+
+    ``copies`` is the number of nodes with this set, which branch on independently.
+    """
     seen = rows.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep", label)).alias("x"), F.bit_xor(F.xxhash64("rep", label, F.lit(9))).alias("y"), F.min(label).alias("l"), F.max(label).alias("m"))
-    return seen.where("members > 1 AND l <> m").groupBy("members", "x", "y").agg(F.min("node").alias("node")).select("node", "members")
+    return seen.where("members > 1 AND l <> m").groupBy("members", "x", "y").agg(F.min("node").alias("node"), F.count("*").alias("copies")).select("node", "members", "copies")
 
 
 class _Sets:
@@ -308,11 +331,7 @@ def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple
     sets = _Sets(docs, k)
     links, sifted, large = [], [], None
     for depth in range(DEPTH + 1):
-        if depth == 0:
-            level = _children(reps, list(range(trees * BRANCHES)), None)
-        else:
-            first = BRANCHES * (TREES + depth - 1)
-            level = _children(large, list(range(first, first + BRANCHES)), "node")
+        level = _children(large) if depth else _roots(reps, trees)
         rows = written(level.join(_grown(level), "node"), "rows")
         pool = rows.where(F.col("members") <= SMALL).select(*_ROW)
         pool = pool.unionByName(_in_blocks(rows.where((F.col("members") > SMALL) & (F.col("members") <= MEDIUM))))
@@ -357,9 +376,9 @@ def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[Da
     share = F.avg((F.col("agree") >= _least_agreeing(percent)).cast("double"))
     tight = written(seen.groupBy("node").agg(share.alias("share")).where(F.col("share") >= TIGHT).select("node"), "tight")
     if tight.isEmpty():
-        return large.select(*_ROW), [], None
+        return large.select(*_ROW, "copies"), [], None
     few = small_enough(tight, 50_000)
-    loose, close = large.join(few, "node", "left_anti").select(*_ROW), written(large.join(few, "node", "left_semi"), "close")
+    loose, close = large.join(few, "node", "left_anti").select(*_ROW, "copies"), written(large.join(few, "node", "left_semi"), "close")
     nearest = [F.max(F.when(F.pmod(F.xxhash64("rep", F.lit(8)), F.lit(PIVOTS)) == j, F.struct("agree", "rep"))).alias(f"p{j}") for j in range(PIVOTS)]
     pivots = seen.join(few, "node", "left_semi").groupBy("node").agg(F.count("*").alias("members"), *nearest)
     asked = written(pivots.select("node", "members", F.explode(F.array(*[F.col(f"p{j}.rep") for j in range(PIVOTS)])).alias("rep")).where("rep IS NOT NULL"), "asked")
@@ -381,7 +400,7 @@ def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[Da
     left = close.join(held.select("node", "rep", "main").hint("shuffle_merge"), ["node", "rep"]).join(outside, "node")
     left = written(left.withColumn("label", F.when(F.col("main"), F.xxhash64("anchor", F.lit(6))).otherwise(F.col("label"))), "left")
     many = (F.col("outside") * F.col("members") > OUTSIDE_PAIRS) | (F.col("outside") * 2 > F.col("members"))
-    on, few = left.where(many).select(*_ROW), left.where(~many)
+    on, few = left.where(many).select(*_ROW, "copies"), left.where(~many)
     parts = F.ceil(F.col("members") / PART).cast("int")
     mine = F.array(F.pmod(F.xxhash64("rep", F.lit(4)), parts).cast("int"))
     spread = few.withColumn("part", F.explode(F.when(F.col("main"), mine).otherwise(F.sequence(F.lit(0), parts - 1))))

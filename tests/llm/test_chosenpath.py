@@ -87,3 +87,22 @@ def test_components_of_paths_stars_and_repeats(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 60)} | {201: 200}
     assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_threshold_pairs_in_deep_loose_nodes(docs_of, monkeypatch):
+    """Documents of eight blocks in four variants each: nodes stay large over several levels without being tight."""
+    monkeypatch.setattr(chosenpath, "SMALL", 8)
+    monkeypatch.setattr(chosenpath, "MEDIUM", 8)
+    random.seed(12)
+    rows, pairs = [], []
+    for g in range(600):
+        base = [f"b{b}v{random.randrange(4)}w{w}" for b in range(8) for w in range(12)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*base, *(f"d{len(rows)}w{w}" for w in range(8))])))
+        a, b = (shingle_set(t, 1) for _, t in rows[-2:])
+        assert 85 <= 100 * len(a & b) / len(a | b) < 86
+        pairs.append((2 * g, 2 * g + 1))
+    got = {r.doc_id: r.component_id for r in chosenpath.near_dedup(docs_of(rows), 85, 1).collect()}
+    assert sum(got[a] != got[b] for a, b in pairs) <= 3
+    want = brute(rows, 85, 1)
+    assert all(want[i][1] == want[c][1] for i, c in got.items())
