@@ -113,15 +113,17 @@ class Model:
         """(index of the name with most of the pairwise decisions and then the widest margins, its probability)."""
         if len(names) == 1:
             return np.zeros(len(margins), int), np.ones(len(margins))
-        votes = np.zeros((len(margins), len(names)))
+        wins, sums = np.zeros((len(margins), len(names))), np.zeros((len(margins), len(names)))
         for j, (where, plus, minus) in enumerate(self.pairs):
             if where == level:
                 p = 1 / (1 + np.exp(-np.clip(2 * margins[:, j], -40, 40)))
                 a, b = names.index(plus), names.index(minus)
-                votes[:, a] += p + 10 * (p >= 0.5)
-                votes[:, b] += 1 - p + 10 * (p < 0.5)
-        best = votes.argmax(axis=1)
-        return best, np.clip((votes[np.arange(len(votes)), best] % 10) / (len(names) - 1), 0, 1)
+                wins[:, a] += p >= 0.5
+                wins[:, b] += p < 0.5
+                sums[:, a] += p
+                sums[:, b] += 1 - p
+        best = (wins + sums / len(names)).argmax(axis=1)  # the sums are less than the number of names
+        return best, np.clip(sums[np.arange(len(sums)), best] / (len(names) - 1), 0, 1)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         lowered = _lowered(column)

@@ -63,3 +63,12 @@ def test_machine_separates_two_clouds():
     y = np.array([1] * 200 + [-1] * 40)
     w = langid.fit_svm(x, y)
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.93
+
+
+def test_score_of_sure_texts_with_many_families():
+    names = [f"l{k:02d}" for k in range(15)]
+    model = langid.Model(names, {}, {("family", a, b): np.zeros(langid.DIMENSIONS + 1, np.float32) for i, a in enumerate(names) for b in names[i + 1 :]})
+    margin = np.log(0.95 / 0.05) / 2
+    margins = np.array([[margin if plus == "l03" else -margin if minus == "l03" else 0.1 for _, plus, minus in model.pairs]])
+    best, sure = model._pick("family", names, margins)
+    assert names[best[0]] == "l03" and abs(sure[0] - 0.95) < 1e-9
