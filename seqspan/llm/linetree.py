@@ -24,7 +24,7 @@ LEADING = 3
 AGREE = 0.7
 #: Lines with fewer tokens are left alone: they recur in running text.
 LEAST_TOKENS = 5
-#: Distinct lines of a leaf that are held together; a fuller leaf branches by more of the leading tokens.
+#: Distinct lines of a leaf that are held together; a fuller leaf is split into parts, whose templates are then joined.
 LEAF = 4000
 VARIABLE = "<*>"
 
@@ -91,7 +91,7 @@ def _leaf_lines(leading: int, least: int):
 
 
 def _grow(agree: float):
-    """line, template, pattern for the distinct lines of each leaf, which come together and in order."""
+    """leaf, line, template, pattern for the distinct lines of each part of a leaf, which come together and in order."""
 
     def leaf_templates(lines: list[int], bodies: list[str]) -> tuple[list[int], list[str]]:
         words = [body.split(" ") for body in bodies]
@@ -120,18 +120,18 @@ def _grow(agree: float):
         return [first[k] for k in of], [patterns[k] for k in of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, lines, bodies = None, [], []
+        leaf, lines, bodies = (None, None), [], []
 
         def flush() -> pa.RecordBatch:
             template, pattern = leaf_templates(lines, bodies) if lines else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(template, pa.int64()), pa.array(pattern, pa.string())], ["line", "template", "pattern"])
+            return pa.RecordBatch.from_arrays([pa.array([leaf[0]] * len(lines), pa.int64()), pa.array(lines, pa.int64()), pa.array(template, pa.int64()), pa.array(pattern, pa.string())], ["leaf", "line", "template", "pattern"])
 
         for b in batches:
-            for key, line, body in zip(b.column("leaf").to_pylist(), b.column("line").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if key != leaf:
+            for key, part, line, body in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line", "body")), strict=True):
+                if (key, part) != leaf:
                     if lines:
                         yield flush()
-                    leaf, lines, bodies = key, [], []
+                    leaf, lines, bodies = (key, part), [], []
                 lines.append(line)
                 bodies.append(body)
         yield flush()
@@ -139,16 +139,27 @@ def _grow(agree: float):
     return run
 
 
-def _fuller(leaves: DataFrame) -> DataFrame:
-    """Leaves with more than ``LEAF`` distinct lines branch on: by two more tokens, and by all but the last if need be."""
-    for more in (LEADING + 2, LEADING + 6, 1 << 30):
-        count = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF)
-        if count.isEmpty():
-            break
-        tokens = F.split("body", " ")
-        further = F.xxhash64("leaf", F.array_join(F.slice(tokens, 1, F.least(F.lit(more), F.size(tokens) - 1)), " "))
-        leaves = written(leaves.join(count.hint("shuffle_merge"), "leaf", "left").select(F.when(F.col("n").isNotNull(), further).otherwise(F.col("leaf")).alias("leaf"), "line", "body"), "leaves")
-    return leaves
+def _grown(leaves: DataFrame, agree: float) -> DataFrame:
+    """leaf, line, template, pattern for the distinct lines of ``leaves`` (leaf, line, body).
+
+    Leaves with more than ``LEAF`` lines are split by a hash of the line; the templates of a leaf's parts, those of most lines
+    first, then join each other by the same rule as lines do, so that a template is one over the whole leaf.
+    """
+    schema = "leaf long, line long, template long, pattern string"
+    full = written(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF), "full")
+    part = F.coalesce(F.pmod(F.xxhash64("line", F.lit(2)), F.ceil(F.col("n") / LEAF)), F.lit(0)).alias("part")
+    dealt = leaves.join(small_enough(full), "leaf", "left").select("leaf", part, "line", "body")
+    dealt = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "body")
+    grown = written(dealt.mapInArrow(_grow(agree), schema), "grown")
+    if full.isEmpty():
+        return grown
+    name = F.xxhash64("leaf", "pattern")
+    parts = grown.join(small_enough(full.select("leaf")), "leaf", "left_semi").groupBy("leaf", "pattern").agg(F.count("*").alias("n"))
+    parts = parts.select("leaf", F.lit(0).alias("part"), name.alias("line"), F.col("pattern").alias("body"), "n")
+    parts = parts.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "body").drop("n")
+    joined = parts.mapInArrow(_grow(agree), schema).select(F.col("line").alias("name"), F.col("template").alias("t"), F.col("pattern").alias("p"))
+    out = grown.withColumn("name", name).join(small_enough(written(joined, "joined")), "name", "left")
+    return written(out.select("leaf", "line", F.coalesce("t", "template").alias("template"), F.coalesce("p", "pattern").alias("pattern")), "grown")
 
 
 def templates(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADING, agree: float = AGREE, least: int = LEAST_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -158,9 +169,7 @@ def templates(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADIN
     often = lines.select("leaf", "print").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurrent).select("leaf")
     often = written(often, "often")
     bodies = docs.select("text").mapInArrow(_leaf_lines(leading, least), "leaf long, line long, body string").join(small_enough(often), "leaf")
-    leaves = _fuller(written(bodies.groupBy("leaf", "line").agg(F.min("body").alias("body")), "leaves"))
-    grown = leaves.repartition("leaf").sortWithinPartitions("leaf", "body").mapInArrow(_grow(agree), "line long, template long, pattern string")
-    grown = written(grown, "grown")
+    grown = _grown(written(bodies.groupBy("leaf", "line").agg(F.min("body").alias("body")), "leaves"), agree)
     seen = lines.select("line", "print").distinct().join(grown.select("line", "template").hint("shuffle_merge"), "line")
     documents = seen.select("template", "print").distinct().groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= recurrent)
     return lines, written(grown.join(documents.hint("shuffle_merge"), "template").select("line", "template", "pattern", "documents"), "recurring")

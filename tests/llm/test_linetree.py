@@ -53,3 +53,14 @@ def test_full_leaves_branch_on(docs_of, monkeypatch):
     docs = [(i, f"same first three {'abcdefghij'[i % 10]} then number {i} goes on and on") for i in range(60)]
     out = linetree.line_dedup(docs_of(docs), recurrent=6).collect()
     assert {r.n_dropped for r in out} == {1}
+
+
+def test_full_leaves_keep_their_templates(docs_of, monkeypatch):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    forum = [f"Posted in our forum by n{i}x yesterday evening".translate(letters) for i in range(60)]
+    other = [f"Posted in our q{i}a q{i}b q{i}c q{i}d q{i}e".translate(letters) for i in range(40)]
+    docs = docs_of(list(enumerate(forum + other)))
+    for leaf in (4000, 5):
+        monkeypatch.setattr(linetree, "LEAF", leaf)
+        got = {r.doc_id: r.n_dropped for r in linetree.line_dedup(docs, recurrent=10).collect()}
+        assert got == {i: int(i < 60) for i in range(100)}
