@@ -22,13 +22,18 @@ RECURRENT = 10
 LEADING = 3
 #: Share of places in which a line agrees with its template.
 AGREE = 0.7
-#: Lines with fewer tokens are left alone: they recur in running text.
+#: Lines with fewer tokens join no templates; those with a letter are dropped as they are, from this many documents on.
 LEAST_TOKENS = 5
+SHORT_RECURRENT = 50
+#: Lines with more tokens than this are also dropped as they are, from fewer documents on.
+LONG_TOKENS = 50
+LONG_RECURRENT = 3
 #: Distinct lines of a leaf that are held together; a fuller leaf is split into parts, whose templates are then joined.
 LEAF = 4000
 VARIABLE = "<*>"
 
 _DIGIT = re.compile(r"\d")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _tokens(line: str) -> list[str]:
@@ -47,23 +52,30 @@ def _paths(tokens: list[str], leading: int) -> int:
     return _hash(f"{len(tokens)}\x1f" + "\x1f".join(tokens[:leading]))
 
 
-def _lines(leading: int, least: int):
-    """doc_id, the text's own hash, place, leaf and identity of each line."""
+def _lines(leading: int, least: int, recurrent: int):
+    """doc_id, the text's own hash, place, leaf and identity of each line.
+
+    Short and long lines also have the hash of their words as they are, and the documents that it takes to drop them;
+    short ones have no leaf.
+    """
+    short, long = max(SHORT_RECURRENT, recurrent), min(LONG_RECURRENT, recurrent)
+    names = ["doc_id", "print", "place", "leaf", "line", "exact", "needed"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, own, place, leaf, line = [], [], [], [], []
+            out: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 print_ = _hash(text or "")
                 for i, raw in enumerate((text or "").split("\n")):
                     tokens = _tokens(raw)
                     if len(tokens) >= least:
-                        doc.append(doc_id)
-                        own.append(print_)
-                        place.append(i)
-                        leaf.append(_paths(tokens, leading))
-                        line.append(_hash(" ".join(tokens)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(own, pa.int64()), pa.array(place, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64())], ["doc_id", "print", "place", "leaf", "line"])
+                        exact = (_hash(" ".join(raw.split())), long) if len(tokens) > LONG_TOKENS else (None, None)
+                        out.append((doc_id, print_, i, _paths(tokens, leading), _hash(" ".join(tokens)), *exact))
+                    elif _LETTER.search(raw):
+                        out.append((doc_id, print_, i, None, None, _hash(" ".join(raw.split())), short))
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -163,14 +175,15 @@ def _grown(leaves: DataFrame, agree: float) -> DataFrame:
 
 
 def templates(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADING, agree: float = AGREE, least: int = LEAST_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(all lines: doc_id, print, place, leaf, line; recurring ones: line, template, pattern, documents)."""
-    lines = written(docs.select("doc_id", "text").mapInArrow(_lines(leading, least), "doc_id long, print long, place int, leaf long, line long"), "lines")
+    """(all lines: doc_id, print, place, leaf, line, exact, needed; recurring ones: line, template, pattern, documents)."""
+    schema = "doc_id long, print long, place int, leaf long, line long, exact long, needed int"
+    lines = written(docs.select("doc_id", "text").mapInArrow(_lines(leading, least, recurrent), schema), "lines")
     # a template is in no more documents than its leaf
-    often = lines.select("leaf", "print").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurrent).select("leaf")
+    often = lines.where("leaf IS NOT NULL").select("leaf", "print").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurrent).select("leaf")
     often = written(often, "often")
     bodies = docs.select("text").mapInArrow(_leaf_lines(leading, least), "leaf long, line long, body string").join(small_enough(often), "leaf")
     grown = _grown(written(bodies.groupBy("leaf", "line").agg(F.min("body").alias("body")), "leaves"), agree)
-    seen = lines.select("line", "print").distinct().join(grown.select("line", "template").hint("shuffle_merge"), "line")
+    seen = lines.where("leaf IS NOT NULL").select("line", "print").distinct().join(grown.select("line", "template").hint("shuffle_merge"), "line")
     documents = seen.select("template", "print").distinct().groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= recurrent)
     return lines, written(grown.join(documents.hint("shuffle_merge"), "template").select("line", "template", "pattern", "documents"), "recurring")
 
@@ -179,12 +192,16 @@ def line_dedup(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADI
     """doc_id, n_lines, n_dropped, kept_text for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``kept_text`` is the text without the lines whose template is seen in ``recurrent`` documents or more; documents with
-    equal texts count once.  Lines end at ``\\n``; lines of fewer than ``least`` tokens always stay.  Null text counts as
-    empty and has one empty line.  Rows that repeat a doc_id are judged each by its own text.  An empty table gives an
-    empty result.
+    equal texts count once.  Lines end at ``\\n``.  Lines that repeat word for word go too: those of more than ``LONG_TOKENS``
+    tokens in ``LONG_RECURRENT`` documents, those of fewer than ``least`` tokens with a letter in ``SHORT_RECURRENT`` (or in
+    ``recurrent``, if that is less for long or more for short ones).  Null text counts as empty and has one empty line.  Rows
+    that repeat a doc_id are judged each by its own text.  An empty table gives an empty result.
     """
     lines, recurring = templates(docs, recurrent, leading, agree, least)
-    hit = lines.join(small_enough(recurring.select("line")), "line", "left_semi")
+    exact = lines.where("exact IS NOT NULL").select("exact", "needed", "print").distinct().groupBy("exact", "needed").agg(F.count("*").alias("n"))
+    exact = written(exact.where("n >= needed").select("exact", "needed"), "exact")
+    hit = lines.join(small_enough(recurring.select("line")), "line", "left_semi").select("doc_id", "print", "place")
+    hit = hit.unionByName(lines.join(small_enough(exact), ["exact", "needed"], "left_semi").select("doc_id", "print", "place"))
     places = hit.groupBy("doc_id", "print").agg(F.collect_set("place").alias("places"))
     places = written(places.select(F.col("doc_id").alias("d"), "print", "places"), "places")
     text = F.coalesce(F.col("text"), F.lit(""))

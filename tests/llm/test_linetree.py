@@ -64,3 +64,13 @@ def test_full_leaves_keep_their_templates(docs_of, monkeypatch):
         monkeypatch.setattr(linetree, "LEAF", leaf)
         got = {r.doc_id: r.n_dropped for r in linetree.line_dedup(docs, recurrent=10).collect()}
         assert got == {i: int(i < 60) for i in range(100)}
+
+
+def test_exact_repeats_of_long_and_short_lines(docs_of):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda k, n: " ".join(f"u{k}x{i}w".translate(letters) for i in range(n))
+    passage, twice, brief = own("p", 51), own("q", 51), own("r", 50)
+    docs = [(i, "\n".join([own(i, 60), *[passage] * (i < 3), *[twice] * (i < 2), *[brief] * (i < 9), *["All rights reserved."] * (i < 50), *["Page one"] * (i < 49), "", "}"])) for i in range(60)]
+    got = {r.doc_id: r.kept_text for r in linetree.line_dedup(docs_of(docs)).collect()}
+    for i, text in docs:
+        assert got[i] == "\n".join(x for x in text.split("\n") if x not in (passage, "All rights reserved."))
