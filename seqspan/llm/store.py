@@ -1,23 +1,30 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and the choice of rows by what they hold."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ids up to this many are sent to every executor (16 bytes each or so); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (one process, as in tests) gets a temporary folder; on a cluster that is an error,
+    as executors share no local folder.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/seqspan-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='seqspan-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -35,13 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Removes a table that :func:`written` made and nothing reads any more."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that :func:`written` made and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -52,3 +60,44 @@ def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not in ``ids`` (one column of that name); null keys stay."""
     return docs.join(small_enough(ids), key, "left_anti")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _hashable(field: T.StructField) -> Column:
+    name = F.col("`" + field.name.replace("`", "``") + "`")
+    return F.to_json(F.struct(name)) if "map<" in field.dataType.simpleString() else name
+
+
+def row_prints(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row: equal for equal rows only (128 bits)."""
+    cells = [x for f in df.schema.fields for x in (_hashable(f), _hashable(f).isNull())]
+    return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *cells)
+
+
+def without_rows(docs: DataFrame, lost: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose prints are in ``lost`` (columns a and b), in its own columns.
+
+    Rows whose prints are in ``repeated`` are equal in all columns, and one of each stays.  Both tables are written ones;
+    they are broadcast if they are small.
+    """
+    a, b = unused(docs, "print_a", "print_b")
+    first, second = row_prints(docs)
+    marked = docs.withColumns({a: first, b: second})
+    lost = lost.select(F.col("a").alias(a), F.col("b").alias(b))
+    if repeated is None or repeated.isEmpty():
+        return marked.join(small_enough(lost), [a, b], "left_anti").drop(a, b)
+    again = repeated.select(F.col("a").alias(a), F.col("b").alias(b))
+    left = marked.join(small_enough(lost), [a, b], "left_anti")
+    # equal rows are combined in the tasks that read them before they are shuffled
+    one = left.join(small_enough(again), [a, b], "left_semi").groupBy(a, b).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return left.join(small_enough(again), [a, b], "left_anti").drop(a, b).unionByName(one.select("row.*"))
