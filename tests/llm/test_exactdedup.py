@@ -46,3 +46,18 @@ def test_small_windows_give_the_same(docs_of, monkeypatch):
     rows = [(i, f"text {i % 5}" * (i % 3 + 1)) for i in range(60)]
     monkeypatch.setattr(exactdedup, "WINDOW_BYTES", 16)
     assert got(exactdedup.exact_dedup(docs_of(rows))) == brute(rows)
+
+
+def test_stage_keeps_one_row_of_each_text(docs_of):
+    rows = [(1, "same text here"), (5, "same text here"), (5, "a wholly different text"), (7, "dup"), (7, "dup"), (None, "dup"), (None, "alone"), (None, "alone"), (8, None), (9, "  "), (-(1 << 63), "low"), (2, "low")]
+    kept = exactdedup.drop_exact_copies(docs_of(rows).repartition(5))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "same text here"), (5, "a wholly different text"), (7, "dup"), (None, "alone"), (9, "  "), (-(1 << 63), "low")], key=str)
+    assert exactdedup.drop_exact_copies(docs_of(rows).limit(0)).collect() == []
+
+
+def test_stage_tells_rows_with_one_id_apart(docs_of, spark):
+    rows = docs_of([(3, "a b"), (3, "a\tb"), (3, "a b")], lang="en").unionByName(docs_of([(3, "a b")], lang="de"))
+    assert exactdedup.drop_exact_copies(rows).count() == 1
+    maps = rows.selectExpr("doc_id", "text", "map('k', lang) AS print_a", "1 AS print_b")
+    kept = exactdedup.drop_exact_copies(maps)
+    assert kept.columns == maps.columns and kept.count() == 1
