@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import small_enough, without_ids, written
+from .store import discard, row_prints, small_enough, without_ids, without_rows, written
 from .textbits import chunks, seeds, shingle_sets, shingles, strings, word_hashes, words
 
 #: Children of a document at each node.
@@ -329,10 +329,12 @@ def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple
     alike = table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "print").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima"))
     reps = written(alike.withColumn("label", F.xxhash64("rep", F.lit(5))), "representatives")
     sets = _Sets(docs, k)
-    links, sifted, large = [], [], None
+    links, sifted, large, before = [], [], None, None
     for depth in range(DEPTH + 1):
         level = _children(large) if depth else _roots(reps, trees)
         rows = written(level.join(_grown(level), "node"), "rows")
+        discard(before)
+        before = rows
         pool = rows.where(F.col("members") <= SMALL).select(*_ROW)
         pool = pool.unionByName(_in_blocks(rows.where((F.col("members") > SMALL) & (F.col("members") <= MEDIUM))))
         large = rows.where(F.col("members") > MEDIUM)
@@ -347,10 +349,12 @@ def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple
         sifted.append(written(small.mapInArrow(_sift(percent), "node long, rep long, block long"), "sifted"))
         if last:
             break
+    discard(before)
     small = sifted[0]
     for x in sifted[1:]:
         small = small.unionByName(x)
     small = written(small.join(_grown(small, "block"), "node").select("node", "rep", "block"), "small")
+    discard(*sifted)
     links.append(_exhaust(small, sets, percent))
     every = links[0]
     for x in links[1:]:
@@ -416,33 +420,69 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     return meets.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).select(*_ROW)
 
 
+def _unique_ids(rows: DataFrame) -> bool:
+    return rows.where("doc_id IS NULL").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """key, doc_id, a, b: the distinct rows of ``docs`` by their prints, numbered in the order of doc_id, nulls last."""
+    a, b = row_prints(docs)
+    rows = docs.select("doc_id", a.alias("a"), b.alias("b")).distinct()
+    return written(rows.orderBy(F.asc_nulls_last("doc_id"), "a", "b").withColumn("key", F.monotonically_increasing_id()), "numbered")
+
+
+def _judged(rows: DataFrame, percent: int, k: int, recall: float) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of rows whose ids aren't repeated or null."""
+    who, links = similar_links(rows, percent, k, recall)
+    reach = components(links)
+    out = who.join(reach.select(F.col("id").alias("rep"), "component").hint("shuffle_merge"), "rep", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _by_row(docs: DataFrame, percent: int, k: int, recall: float) -> DataFrame:
+    """a, b, doc_id, n_shingles, component_id, kept for each distinct row of ``docs``, by its prints."""
+    known = _numbered(docs)
+    a, b = row_prints(docs)
+    texts = docs.select(a.alias("a"), b.alias("b"), "text").groupBy("a", "b").agg(F.first("text").alias("text"))
+    keyed = written(texts.join(known.hint("shuffle_merge"), ["a", "b"]).select(F.col("key").alias("doc_id"), "text"), "keyed")
+    told = _judged(keyed, percent, k, recall).withColumnsRenamed({"doc_id": "key", "component_id": "lowest"})
+    ids = known.select(F.col("key").alias("lowest"), F.col("doc_id").alias("component_id"))
+    # a component's smallest row may be the smallest of very many: Spark splits such a key of the merge join
+    out = written(known.join(told.hint("shuffle_merge"), "key"), "told").join(ids.hint("merge"), "lowest")
+    return out.select("a", "b", "doc_id", "n_shingles", "component_id", "kept")
+
+
 def near_dedup(docs: DataFrame, percent: int = 80, k: int = 5, recall: float = 0.999) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set holds its distinct ``k``-word shingles, or
     its whole sequence where it has fewer words.  A document without words (null and empty texts) has the empty set and
-    is linked with nothing.  Rows with a null doc_id are counted, linked with nothing, and kept with a null component.
-    Rows that repeat a doc_id count as one document, with the greatest of their texts, whose result each of them gets.
-    An empty table gives an empty result.
+    is linked with nothing.  Very long texts are taken whole.  Where ids are repeated or null, every row counts by its own
+    text: rows equal in id and text are one document, whose result each of them gets; of a group's rows with the smallest id
+    the one with the least hash stays, and null ids come last (a group of such has a null component).  An empty table gives
+    an empty result.
     """
     rows = docs.select("doc_id", "text")
-    repeated = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        known = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
-        one = written(known.unionByName(rows.where("doc_id IS NULL")), "distinct")
-    else:
-        one = rows
-    who, links = similar_links(one, percent, k, recall)
-    reach = components(links)
-    out = who.join(reach.select(F.col("id").alias("rep"), "component").hint("shuffle_merge"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if repeated:
-        out = rows.where("doc_id IS NOT NULL").select("doc_id").join(out.hint("shuffle_merge"), "doc_id").unionByName(out.where("doc_id IS NULL"))
-    return out
+    if _unique_ids(rows):
+        return _judged(rows, percent, k, recall)
+    told = written(_by_row(rows, percent, k, recall), "told")
+    a, b = row_prints(rows)
+    return rows.select(a.alias("a"), b.alias("b")).join(told.hint("merge"), ["a", "b"]).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; the columns stay as they are."""
-    lost = written(near_dedup(docs, percent, k).where("NOT kept").select("doc_id").distinct(), "copies")
-    return without_ids(docs, lost, "doc_id")
+    """One row of each group of near copies, that with the smallest id; the columns stay as they are.
+
+    The defaults, five-word shingles and a similarity of 0.8, are those of all stages on word shingles; the query ``op3``
+    has its own by its contract.  Rows are judged by their own texts: with repeated or null ids every distinct row is a
+    document, null ids come last, and of rows equal in all columns one stays.  Documents without words are linked with
+    nothing and stay, except for such equal rows.  An empty table stays empty.
+    """
+    if _unique_ids(docs.select("doc_id")):
+        lost = written(near_dedup(docs, percent, k).where("NOT kept").select("doc_id"), "copies")
+        return without_ids(docs, lost, "doc_id")
+    told = written(_by_row(docs, percent, k, 0.999).select("a", "b", "kept"), "told")
+    a, b = row_prints(docs)
+    repeated = docs.select(a.alias("a"), b.alias("b")).groupBy("a", "b").count().where("count > 1").select("a", "b")
+    return without_rows(docs, told.where("NOT kept").select("a", "b"), written(repeated, "repeated"))

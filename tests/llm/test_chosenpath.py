@@ -106,3 +106,14 @@ def test_threshold_pairs_in_deep_loose_nodes(docs_of, monkeypatch):
     assert sum(got[a] != got[b] for a, b in pairs) <= 3
     want = brute(rows, 85, 1)
     assert all(want[i][1] == want[c][1] for i, c in got.items())
+
+
+def test_stage_keeps_one_row_of_each_group(docs_of):
+    base = " ".join(f"w{i}" for i in range(200))
+    near, other = base.replace("w7 ", "v7 "), " ".join(f"z{i}" for i in range(90))
+    rows = [(4, base), (5, near), (5, other), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, base + " end"), (None, "lone words of a null id here"), (None, None), (9, "")]
+    kept = chosenpath.drop_near_copies(docs_of(rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, base), (5, other), (7, rows[3][1]), (None, rows[6][1]), (None, None), (9, "")], key=str)
+    out = chosenpath.near_dedup(docs_of(rows)).collect()
+    assert len(out) == len(rows) and sum(r.kept for r in out) == 7
+    assert chosenpath.drop_near_copies(docs_of(rows).limit(0)).collect() == []
