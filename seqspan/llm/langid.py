@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from .store import unused, written
 from .textbits import chunks, strings
 
 #: Families of the languages that are hard to tell apart; a language without an entry is a family of its own.
@@ -22,8 +24,10 @@ FAMILIES: Mapping[str, str] = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic", "sr": "slavic",
 }
 UNDETERMINED = "und"
-#: Labelled rows that are learned from, per language, on average (a hash of the text picks them).
+#: Different labelled texts that are learned from, per language (a hash of the text picks about so many, and no more stay).
 SAMPLE_PER_LANGUAGE = 600
+#: Languages that are learned: the commonest labels.  Pairs of languages, and so machines, grow with the square of this.
+MOST_LANGUAGES = 100
 DIMENSIONS = 1 << 13
 _SCALE = 100.0
 
@@ -34,7 +38,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def _grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed byte 1- to 4-grams, grams before each row); what isn't a letter counts as one space."""
+    """(hashed byte 2- to 4-grams, grams before each row); what isn't a letter counts as one space."""
     folded = _FOLD[raw]
     keep = np.ones(len(folded), dtype=bool)
     keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
@@ -146,13 +150,15 @@ class Model:
 
 
 def train(rows: DataFrame, families: Mapping[str, str] = FAMILIES, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from ``rows`` (text, lang), of which a hash of the text picks about ``per_language`` of each language.
+    """Learns from ``rows`` (text, lang): ``per_language`` different texts of each language at most, picked by a hash.
 
-    Null texts and null languages are left out.  The machines are trained in parallel, one a task; each sees the sampled
-    rows of its two sides only.
+    Null texts and null languages are left out, and of more than ``MOST_LANGUAGES`` labels the rarest.  A text counts once a
+    language, however often it is repeated.  The sample is written once; the machines are trained in parallel, one a task,
+    each on the sampled rows of its two sides.
     """
     known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang")
+    count = {r["lang"]: max(1, r["n"]) for r in texts.limit(MOST_LANGUAGES).collect()}
     languages = sorted(count)
     family = {x: families.get(x, x) for x in languages}
     jobs = [("family", a, b) for a, b in combinations(sorted(set(family.values())), 2)]
@@ -162,7 +168,11 @@ def train(rows: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
     share: Column = F.lit(0.0)
     for x in languages:
         share = F.when(F.col("lang") == x, F.lit(min(1.0, per_language / count[x]))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000))
+    # repeats of a text are combined where they are read; what is ranked is about per_language texts a language
+    picked = known.where(draw < share * 1_000_000).distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(draw, "text"))
+    picked = written(picked.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang"), "sample")
     side = F.lit(0)
     parts = F.explode(F.array(*[F.lit(k) for k in range(len(jobs))])).alias("job")
     for k, (level, plus, minus) in enumerate(jobs):
@@ -180,20 +190,25 @@ def train(rows: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
     return Model(languages, families, {jobs[r["job"]]: np.frombuffer(r["weights"], np.float32) for r in learned})
 
 
+def _teller(model: Model):
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def tell(column: pa.Array) -> pa.Array:
+        name, score = model.predict(column)
+        return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return tell
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (text, and any other columns, which stay) with lang_pred and score, from the whole text alone.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text where nothing was learned.
     Columns of ``docs`` that are named lang_pred or score are replaced.  Repeated rows get equal predictions.
     """
-
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def tell(column: pa.Array) -> pa.Array:
-        name, score = model.predict(column)
-        return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
-
     clean = docs.drop("lang_pred", "score")
-    return clean.withColumn("told__", tell("text")).select(*clean.columns, F.col("told__.lang_pred").alias("lang_pred"), F.col("told__.score").alias("score"))
+    (told,) = unused(clean, "told")
+    out = clean.withColumn(told, _teller(model)("text"))
+    return out.select(*clean.columns, F.col(told)["lang_pred"].alias("lang_pred"), F.col(told)["score"].alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -204,7 +219,9 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang), learned from the rows not held out.
 
-    A null doc_id is never held out.
+    A null doc_id is never held out.  Texts that are null, empty or without a letter are ``und`` with score 0; very long ones
+    are read whole.  Of languages that tie in won pairs the one with the greater sum of probabilities is told, then the one
+    first in the alphabet.  Repeated rows get equal results; an empty table gives an empty result.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))), families, per_language)
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
@@ -215,11 +232,15 @@ LEAST_SCORE = 0.3
 
 
 def drop_undetermined(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of ``docs`` whose language can be told; the columns stay as they are."""
+    """Rows of ``docs`` whose language can be told with a score of ``least`` or more; the columns stay as they are.
+
+    Each row is judged by its own text: null and empty texts and those without a letter go, repeated rows stay or go alike,
+    whatever their ids, and an empty table stays empty.  Columns named lang_pred or score have no bearing.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    told = predict(docs.withColumnsRenamed({"lang_pred": "lang_pred__", "score": "score__"}), model)
-    kept = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"lang_pred__": "lang_pred", "score__": "score"})
+    (told,) = unused(docs, "told")
+    sure = (F.col(told)["lang_pred"] != UNDETERMINED) & (F.col(told)["score"] >= least)
+    return docs.withColumn(told, _teller(model)("text")).where(sure).drop(told)
 
 
 def held_out_accuracy(predicted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -227,9 +248,3 @@ def held_out_accuracy(predicted: DataFrame, docs: DataFrame) -> DataFrame:
     told = predicted.where("held_out").join(docs.select("doc_id", "lang").where("lang IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id")
     return told.agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("accuracy"))
 
-
-def batches_of(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Predictions for Arrow batches with a text column, for use in ``mapInArrow``."""
-    for b in batches:
-        name, score = model.predict(b.column("text"))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name), pa.array(score)], [*b.schema.names, "lang_pred", "score"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqspan.llm import langid
+from seqspan.llm import langid, store
 
 SOUNDS = {"en": ["the", "ing", "th", "ou", "ea"], "de": ["der", "ung", "sch", "ü", "ei"], "fr": ["les", "eau", "é", "oi", "ç"], "es": ["los", "ción", "ñ", "ar", "ado"], "xx": ["qq", "zz", "kx", "vw", "qx"]}
 
@@ -72,3 +72,33 @@ def test_score_of_sure_texts_with_many_families():
     margins = np.array([[margin if plus == "l03" else -margin if minus == "l03" else 0.1 for _, plus, minus in model.pairs]])
     best, sure = model._pick("family", names, margins)
     assert names[best[0]] == "l03" and abs(sure[0] - 0.95) < 1e-9
+
+
+def test_repeated_texts_count_once(spark, monkeypatch):
+    docs = labelled(spark)
+    many = spark.range(100_000).selectExpr("cast(id + 10000 AS long) AS doc_id", "'der ung sch ei derung' AS text", "'de' AS lang")
+    out = langid.identify(docs.unionByName(many), per_language=40)
+    assert langid.held_out_accuracy(out, docs).first().accuracy > 0.9
+    tables = []
+    monkeypatch.setattr(langid, "written", lambda df, name: tables.append(store.written(df, name)) or tables[-1])
+    langid.train(docs.unionByName(many), per_language=40)
+    assert max(r["count"] for r in tables[0].groupBy("lang").count().collect()) <= 40
+
+
+def test_thirteen_languages(spark):
+    random.seed(8)
+    names = [f"l{c}" for c in "abcdefghijklm"]
+    syllables = {x: ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for x in names}
+    rows = [(i, " ".join(random.choice(syllables[x]) for _ in range(25)), x) for i, x in enumerate(names * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs)
+    assert langid.held_out_accuracy(out, docs).first().accuracy > 0.97
+    assert out.where("score < 0.8").count() < 10
+    assert langid.drop_undetermined(docs).count() == len(rows)
+
+
+def test_stage_takes_clashing_columns(spark):
+    docs = labelled(spark).selectExpr("*", "'x' AS lang_pred", "1 AS score", "2 AS score__", "3 AS told")
+    kept = langid.drop_undetermined(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert langid.drop_undetermined(docs.limit(0)).collect() == []
