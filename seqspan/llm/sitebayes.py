@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_IDS, without_ids, written
+from .store import row_prints, small_enough, without_rows, written
 from .textbits import chunks, strings, word_hashes, words
 
 #: Labelled rows that the document classifier learns from, on average (a hash of the id picks them).
@@ -18,6 +18,8 @@ SAMPLE = 20_000
 LEAST = 0.5
 #: Bounds of the prior's weight, in documents, where the moments give none.
 PRIOR_WEIGHT = (2.0, 1000.0)
+#: Bytes of host and path names that are sent to every executor; with more, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 symbol, 5 white space, 0 other (beyond ASCII)
 for _c in range(128):
@@ -115,13 +117,17 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) ->
     return Classifier(mean, scale, w)
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Learns from about ``sample`` labelled documents, picked by a hash of the id.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; nulls and other values are left out); of several labels of a document
-    the worst counts.
+    the worst counts, and of several texts of a document the least.
     """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = _known(labels)
     share = min(1.0, sample / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -130,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
             x = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column("quality"), b.column("doc_id")], ["x", "quality", "doc_id"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(measure, "x binary, quality int, doc_id long").orderBy("doc_id", "x").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "text", "quality").mapInArrow(measure, "x binary, quality int, doc_id long").orderBy("doc_id", "x").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["quality"] for r in rows], float))
 
@@ -162,67 +169,102 @@ def _weight(groups: DataFrame, mean: float) -> float:
     return float(min(high, max(low, within / spread - 1 if spread > 0 else high)))
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_posterior, path_posterior, n; the global mean) from ``evidence`` (host, path, own).
+@dataclass(frozen=True)
+class Priors:
+    """The global mean, and how many documents it weighs against a host's, and a host's mean against a path's."""
+
+    mean: float
+    of_hosts: float
+    of_paths: float
+
+
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, Priors]:
+    """(host, path, host_n, host_s, path_n, path_s; the priors) from ``evidence`` (host, path, told).
 
-    A host's posterior is its documents' mean evidence shrunk towards the global mean, and a path's that of its own
-    documents shrunk towards its host's: the fewer documents, the more.  Sums of sums: a hot host is combined before it is
-    shuffled.
+    ``told`` is what is known of a document: its label or else its classifier's probability.  Sums of sums: a hot host is
+    combined before it is shuffled.
     """
-    paths = written(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("own", 9).cast("decimal(20,9)")).cast("double").alias("s")), "paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    told = F.sum(F.round("told", 9).cast("decimal(20,9)")).cast("double")
+    paths = written(evidence.groupBy("host", "path").agg(F.count("*").alias("path_n"), told.alias("path_s")), "paths")
+    total = paths.agg(F.sum("path_n").alias("n"), F.sum("path_s").alias("s")).first()
     mean = min(1 - 1e-6, max(1e-6, total["s"] / total["n"])) if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    of_hosts, of_paths = _weight(hosts, mean), _weight(paths, mean)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_posterior"))
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    return out.select("host", "path", "host_posterior", ((F.col("s") + of_paths * F.col("host_posterior")) / (F.col("n") + of_paths)).alias("path_posterior"), "n"), mean
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("path_n").alias("host_n"), F.sum("path_s").alias("host_s"))
+    weights = [_weight(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), mean), _weight(paths.select(F.col("path_n").alias("n"), F.col("path_s").alias("s")), mean)]
+    out = paths.join(hosts.hint("merge"), F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "host_n", "host_s", "path_n", "path_s")
+    return out, Priors(mean, *weights)
+
+
+def site_posteriors(priors: Priors) -> tuple[Column, Column]:
+    """(host's posterior, path's posterior) for a document, from its site's sums without what the document itself told.
+
+    A host's is the mean of its other documents, shrunk towards the global mean, and a path's that of its own others, shrunk
+    towards its host's: the fewer they are, the more.  A document alone on its path has its host's, one alone on its host the
+    global mean.
+    """
+    less = lambda c: F.greatest(F.lit(0.0), F.col(c) - F.col("told"))
+    host = (less("host_s") + priors.of_hosts * priors.mean) / (F.col("host_n") - 1 + priors.of_hosts)
+    return host, (less("path_s") + priors.of_paths * host) / (F.col("path_n") - 1 + priors.of_paths)
 
 
-def _posterior(mean: float) -> Column:
+def _posterior(own: Column, path: Column, mean: float) -> Column:
     """The document's odds times the odds by which its path departs from the global mean."""
-    odds = _logit(F.col("own")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
-    return 1 / (1 + F.exp(-odds))
+    return 1 / (1 + F.exp(-(_logit(own) + _logit(path) - _logit(F.lit(mean)))))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, least: float, sample: int) -> DataFrame:
+    """doc_id, a, b (prints of the row), own, host_posterior, path_posterior, quality, kept."""
+    model = train(docs, labels, sample)
+    evidence = written(_evidence(docs, labels, model, host, path), "evidence")
+    sums, priors = site_sums(evidence)
+    rows = _with_sites(evidence, sums)
+    of_host, of_path = site_posteriors(priors)
+    rows = rows.withColumns({"host_posterior": of_host, "path_posterior": of_path})
+    quality = F.when(F.col("own") > 0, _posterior(F.col("own"), F.col("path_posterior"), priors.mean)).otherwise(0.0)
+    return rows.withColumn("quality", quality).withColumn("kept", F.col("quality") >= least)
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     """doc_id, own, host_posterior, path_posterior, quality, kept for each row of ``docs``.
 
     ``host`` and ``path`` are columns of ``docs`` (by default its source and its lang); null is a host, or a path, like any
-    other.  ``own`` is the classifier's probability for the whole text that the document is good, ``quality`` the posterior
-    with its site's, and ``kept`` whether that is ``least`` or more.  A text without words (null and empty ones too) has
-    features of zero and is rejected: its ``own`` and ``quality`` are 0.  Without labels ``own`` is 0.5.  Repeated rows are
-    judged alike; an empty table gives an empty result.
+    other.  ``own`` is the classifier's probability for the whole text that the document is good, the posteriors are its
+    site's by the labels and probabilities of all its other documents, ``quality`` the posterior with both, and ``kept``
+    whether that is ``least`` or more.  A text without words (null and empty ones too) has features of zero and is rejected:
+    its ``own`` and ``quality`` are 0.  Without labels ``own`` is 0.5.  Repeated rows of one site are judged alike; very long
+    texts are read whole; an empty table gives an empty result.
     """
-    model = train(docs, labels, sample)
-    own = written(_evidence(docs, model, host, path), "evidence")
-    sites, mean = site_posteriors(own)
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
-    out = _with_sites(own, sites)
-    quality = F.when(F.col("own") > 0, _posterior(mean)).otherwise(0.0)
-    return out.select("doc_id", F.round("own", 6).alias("own"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"), F.round(quality, 6).alias("quality"), (quality >= least).alias("kept"))
+    out = _judged(docs, labels, host, path, least, sample)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("own", "host_posterior", "path_posterior", "quality")], "kept")
 
 
-def _evidence(docs: DataFrame, model: Classifier, host: Column | None, path: Column | None) -> DataFrame:
+def _evidence(docs: DataFrame, labels: DataFrame, model: Classifier, host: Column | None, path: Column | None) -> DataFrame:
     wordless = F.coalesce(F.regexp_extract("text", r"[^\x20\x09-\x0D]", 0), F.lit("")) == ""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     own = F.when(wordless, 0.0).otherwise(_own_evidence(model))
-    return docs.select("doc_id", host.alias("host"), path.alias("path"), own.alias("own"))
+    a, b = row_prints(docs)
+    rows = docs.select("doc_id", a.alias("a"), b.alias("b"), host.alias("host"), path.alias("path"), own.alias("own"))
+    known = small_enough(written(_known(labels), "labels"))
+    return rows.join(known, "doc_id", "left").withColumn("told", F.coalesce(F.col("quality").cast("double"), F.col("own"))).drop("quality")
 
 
 def _with_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """Adds a row's site; sites are broadcast if they are few, else hot hosts are salted on both sides."""
-    sites = written(sites, "sites")
+    """Adds a row's site; sites are broadcast if their names are few bytes, else hot hosts are salted on both sides."""
+    sites = written(sites.withColumnsRenamed({"host": "h", "path": "p"}), "sites")
     match = rows["host"].eqNullSafe(F.col("h")) & rows["path"].eqNullSafe(F.col("p"))
-    if sites.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(sites), match)
+    size = sites.agg(F.sum(F.coalesce(F.octet_length(F.col("h").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("p").cast("string")), F.lit(0)) + 64)).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(sites), match).drop("h", "p")
     salts = 32
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     spread = sites.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, match & (F.col("salt") == F.col("s"))).drop("salt", "s")
+    return salted.join(spread, match & (F.col("salt") == F.col("s"))).drop("h", "p", "salt", "s")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """Rows of ``docs`` that :func:`judge` keeps; the columns stay as they are."""
-    rejected = judge(docs, labels, least=least).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return without_ids(docs, written(rejected, "rejected"), "doc_id")
+    """Rows of ``docs`` that :func:`judge` keeps; the columns stay as they are.
+
+    Each row goes or stays by its own verdict, whatever its id: null and empty texts go, rows equal in all columns are
+    judged alike, and an empty table stays empty.
+    """
+    rejected = _judged(docs, labels, None, None, least, SAMPLE).where("NOT kept").select("a", "b").distinct()
+    return without_rows(docs, written(rejected, "rejected"))

@@ -1,7 +1,10 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqspan.llm import sitebayes
 
@@ -31,16 +34,67 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.kept}
 
 
-def test_sparse_sites_shrink_to_their_parents(spark):
-    rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.1)] + [("small", "a", 0.1)] + [(None, None, 0.5)] * 3
-    sites, mean = sitebayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, own double"))
-    got = {(r.host, r.path): r for r in sites.collect()}
-    total = sum(r[2] for r in rows) / len(rows)
-    assert mean == pytest.approx(total)
-    assert len(got) == 4
-    assert 0.1 < got["small", "a"].host_posterior < total
-    assert 0.1 < got["big", "b"].path_posterior < got["big", "b"].host_posterior
-    assert abs(got["big", "a"].path_posterior - 0.9) < abs(got["small", "a"].path_posterior - 0.1)
+def brute(rows, priors):
+    """host's and path's posterior of each row (host, path, told), from all other rows."""
+    out = []
+    for i, (host, path, _) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != i]
+        near = [r[2] for r in others if r[0] == host]
+        on = [r[2] for r in others if r[:2] == (host, path)]
+        of_host = (sum(near) + priors.of_hosts * priors.mean) / (len(near) + priors.of_hosts)
+        out.append((of_host, (sum(on) + priors.of_paths * of_host) / (len(on) + priors.of_paths)))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    random.seed(4)
+    rows = [(random.choice(["a", "b", "c", None]), random.choice(["x", "y", None]), random.random()) for _ in range(150)] + [("alone", "z", 0.2)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "a long, host string, path string, told double")
+    sums, priors = sitebayes.site_sums(frame)
+    assert priors.mean == pytest.approx(sum(r[2] for r in rows) / len(rows))
+    of_host, of_path = sitebayes.site_posteriors(priors)
+    for bound in (64 << 20, 0):
+        sitebayes.BROADCAST_BYTES, before = bound, sitebayes.BROADCAST_BYTES
+        got = sitebayes._with_sites(frame, sums).select("a", of_host.alias("h"), of_path.alias("p")).orderBy("a").collect()
+        sitebayes.BROADCAST_BYTES = before
+        for r, (h, p) in zip(got, brute(rows, priors), strict=True):
+            assert r.h == pytest.approx(h, abs=1e-7) and r.p == pytest.approx(p, abs=1e-7)
+    assert got[150].p == pytest.approx(priors.mean)
+
+
+def test_labels_feed_the_sites(spark):
+    docs, labels = corpus(spark)
+    same = docs.withColumn("source", F.lit("s"))
+    for quality in (0, 1):
+        told = labels.where(F.col("quality") == quality)
+        out = sitebayes.judge(same, told).first()
+        assert (out.path_posterior > 0.5) == (quality == 1)
+
+
+def test_query_against_brute_force(spark):
+    docs, labels = corpus(spark)
+    got = {r.doc_id: r for r in sitebayes.judge(docs, labels).collect()}
+    label = {r.doc_id: float(r.quality) for r in labels.collect()}
+    model = sitebayes.train(docs, labels)
+    rows = docs.orderBy("doc_id").collect()
+    own = model.probability(sitebayes.text_features(pa.array([r.text for r in rows])))
+    told = [(r.source, r.lang, label.get(r.doc_id, float(own[i]))) for i, r in enumerate(rows)]
+    _, priors = sitebayes.site_sums(spark.createDataFrame(told, "host string, path string, told double"))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for i, (h, p) in enumerate(brute(told, priors)):
+        r = got[rows[i].doc_id]
+        quality = 1 / (1 + math.exp(-(odds(own[i]) + odds(p) - odds(priors.mean))))
+        assert r.host_posterior == pytest.approx(h, abs=2e-6) and r.quality == pytest.approx(quality, abs=1e-5) and r.kept == (r.quality >= 0.5)
+
+
+def test_stage_judges_rows_not_ids(spark):
+    docs, labels = corpus(spark)
+    good, bad = "abc def abd. " * 20, "a### b$$$ c### d$$$ " * 20
+    odd = spark.createDataFrame([(7, bad, "h1", "en", 1.0, "p"), (None, good, "h1", "en", 1.0, "p"), (None, bad, "h1", "en", 1.0, "p"), (900, good, "h1", "en", 1.0, "p"), (900, bad, "h1", "en", 1.0, "p")], docs.schema)
+    kept = sitebayes.drop_low_quality(docs.unionByName(odd), labels)
+    told = {(r.doc_id, r.text) for r in kept.where("doc_id IS NULL OR doc_id IN (7, 900)").collect()}
+    own = docs.where("doc_id = 7").first().text
+    assert told == {(7, own), (None, good), (900, good)}
 
 
 def test_odd_rows(spark):
@@ -57,8 +111,6 @@ def test_odd_rows(spark):
 
 
 def test_features_and_fit():
-    import pyarrow as pa
-
     x = sitebayes.text_features(pa.array(["a a a b", "A1 $$ x", None, "", "é ö"]))
     names = list(sitebayes.FEATURES)
     assert x.shape == (5, len(names)) and not x[2].any() and not x[3].any()
