@@ -1,8 +1,9 @@
-"""Best-fit packing into sequences of several permitted lengths."""
+"""Variable-capacity best fit: sequences of several permitted lengths, whose choice looks at what is still to be packed."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -11,8 +12,16 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: (length, cost): a longer sequence costs a little less a token, as it is fewer sequences.
-CAPACITIES = ((512, 512 * 1.04), (1024, 1024 * 1.02), (2048, 2048 * 1.01), (4096, 4096 * 1.0))
+#: Cost of a sequence of a length: a fixed part for each sequence, one for each place, and one for each pair of places.
+FIXED, PAIRS = 64.0, 1 / 16384
+
+
+def cost_of(length: int) -> float:
+    return FIXED + length + PAIRS * length * length
+
+
+#: (length, cost): with these costs 1,024 is the cheapest a token when full, but wider ones waste less on long pieces.
+CAPACITIES = tuple((c, cost_of(c)) for c in (512, 1024, 2048, 4096))
 #: Pieces that are packed together, on average; the number of such shards grows with the input.
 SHARD_PIECES = 20_000
 
@@ -45,36 +54,78 @@ class _Open:
         return room, bin_
 
 
-def pack(sizes: Sequence[int], capacities: Sequence[tuple[int, float]] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
-    """(bin, offset) of each piece and the length of each bin.
+class _Waiting:
+    """How many pieces of each size are still to be packed; bit ``s`` of ``present`` says whether there are any of size s."""
 
-    Pieces go in order of falling size, each into the open bin it fits most tightly.  Where none has room, a bin opens of
-    the permitted length that costs least for what it may come to hold: its cost times the share that the piece itself, or
-    the piece with whatever of the remaining pieces fills the rest, takes of it.  In the end each bin shrinks to the least
-    permitted length that holds its contents.
-    """
-    lengths = sorted(capacities)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    remaining = sum(sizes)
-    room_of, used = _Open(), []
+    def __init__(self, sizes: Sequence[int]) -> None:
+        self.count = Counter(sizes)
+        self.present = sum(1 << s for s in self.count)
+
+    def drop(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.present ^= 1 << size
+
+    def fill(self, room: int) -> int:
+        """Tokens that would fill ``room``: the largest piece that fits, again and again."""
+        full, limit = 0, room
+        while room > 0:
+            size = (self.present & ((2 << min(room, limit)) - 1)).bit_length() - 1
+            if size <= 0:
+                break
+            times = min(self.count[size], room // size)
+            full += times * size
+            room -= times * size
+            limit = size - 1
+        return full
+
+
+def _fitted(lengths: Sequence[tuple[int, float]], used: int) -> tuple[int, float]:
+    return next(x for x in lengths if x[0] >= used)
+
+
+def _packed(sizes: Sequence[int], order: Sequence[int], lengths: Sequence[tuple[int, float]]) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each piece, its offset, tokens of each bin) of one pass over the pieces in order."""
+    room_of, waiting, used = _Open(), _Waiting(sizes), []
     bins, offsets = [0] * len(sizes), [0] * len(sizes)
-    room_at: list[int] = []
     for i in order:
         size = sizes[i]
         found = room_of.take(size)
+        waiting.drop(size)
         if found is None:
-            # what is left, this piece among it, may fill a bin: the cost of a token in it decides
-            best = min((c for c in lengths if c[0] >= size), key=lambda c: (c[1] / min(c[0], remaining), c[0]))
-            found = best[0], len(used)
+            best = None
+            for length, _ in lengths:
+                if length >= size:
+                    filled = size + waiting.fill(length - size)
+                    rate = _fitted(lengths, filled)[1] / filled, length
+                    best = rate if best is None else min(best, rate)
+            found = best[1], len(used)
             used.append(0)
-            room_at.append(best[0])
         room, bin_ = found
         bins[i], offsets[i] = bin_, used[bin_]
         used[bin_] += size
-        remaining -= size
         room_of.put(room - size, bin_)
-    fitted = [next(c for c, _ in lengths if c >= u) for u in used]
-    return bins, offsets, fitted
+    return bins, offsets, used
+
+
+def pack(sizes: Sequence[int], capacities: Sequence[tuple[int, float]] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
+    """(bin, offset) of each piece and the length of each bin; sizes are above 0 and no more than the longest length.
+
+    Pieces go in order of falling size, each into the open bin it fits most tightly.  Where none has room, a bin opens of
+    the permitted length that costs least a token: for each length the pieces still to come are tried as its filling, the
+    largest that fits first, and the cost is that of the least length that would hold the result.  In the end each bin
+    shrinks to the least permitted length that holds its contents.  The plan that opens all lengths side by side competes
+    with those that open one length alone, and the cheapest is taken, so that the choice is never worse than a single one.
+    """
+    lengths = sorted(capacities)
+    if not sizes:
+        return [], [], []
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    largest = sizes[order[0]]
+    choices = [lengths, *([x] for x in lengths if x[0] >= largest and len(lengths) > 1)]
+    plans = [_packed(sizes, order, some) for some in choices]
+    bins, offsets, used = min(plans, key=lambda p: sum(_fitted(lengths, u)[1] for u in p[2]))
+    return bins, offsets, [_fitted(lengths, u)[0] for u in used]
 
 
 def words_of(text: Column) -> Column:
@@ -88,56 +139,55 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: Sequence
     Returns a row for each piece of a document: doc_id, piece, piece_start, piece_length, bin, bin_offset, bin_capacity,
     bin_used.  ``length`` is a document's length in tokens (words by default); one that is longer than the longest permitted
     sequence is cut into pieces of that length and a rest.  A document without tokens (null and empty texts) has one piece
-    of length 0, in no bin (null).  Rows that repeat a doc_id are packed each; null ids are packed like others.  An empty
-    table gives an empty result.
+    of length 0, in no bin (null).  Rows that repeat a doc_id are packed each; null ids are packed like others.  Pieces of
+    equal size are packed in the order of their rows.  An empty table gives an empty result.
 
-    Pieces are dealt by a hash of doc_id and piece over as many shards as the input asks for, and every shard is packed on
-    its own, with its sizes alone in memory: only its last bins stay partly empty.
+    Every piece has a number of its own, made once and written; shards take turns by its hash, as many as the input asks
+    for, so that no value gathers in one.  Every shard is packed on its own, with its sizes alone in memory: only its last
+    bins stay partly empty.
     """
     capacities = sorted((int(c), float(cost)) for c, cost in capacities)
     longest = capacities[-1][0]
     sized = docs.select("doc_id", (words_of(F.col("text")) if length is None else F.coalesce(length, F.lit(0))).cast("long").alias("tokens"))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / longest).cast("int") - 1))))
     start = F.col("piece").cast("long") * longest
-    pieces = written(pieces.select("doc_id", "piece", start.alias("piece_start"), F.least(F.lit(longest), F.col("tokens") - start).alias("piece_length")), "pieces")
+    pieces = pieces.select("doc_id", "piece", start.alias("piece_start"), F.least(F.lit(longest), F.col("tokens") - start).alias("piece_length"), F.monotonically_increasing_id().alias("row"))
+    pieces = written(pieces, "pieces")
     shards = max(1, round(pieces.where("piece_length > 0").count() / shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "piece_length"), F.lit(shards)).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            whole = pa.Table.from_batches(held)
-            shard = whole["shard"].to_pylist()
-            at = next((i for i in range(len(shard) - 1, -1, -1) if shard[i] != shard[-1]), -1) + 1
-            if at:
-                yield from _packed(whole.slice(0, at), capacities)
-                held = whole.slice(at).to_batches()
-        if held:
-            yield from _packed(pa.Table.from_batches(held), capacities)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    schema = "doc_id long, piece int, piece_start long, piece_length long, bin string, bin_offset long, bin_capacity int, bin_used long"
+    return dealt.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(_pack_shards(capacities), schema)
 
-    sorted_ = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "piece", "piece_length")
-    return sorted_.mapInArrow(run, "doc_id long, piece int, piece_start long, piece_length long, bin string, bin_offset long, bin_capacity int, bin_used long")
 
+def _pack_shards(capacities: Sequence[tuple[int, float]]):
+    """Packs rows that come sorted by shard, one shard in memory at a time."""
 
-def _packed(rows: pa.Table, capacities: Sequence[tuple[int, float]]) -> Iterator[pa.RecordBatch]:
-    shard, size = rows["shard"].to_pylist(), rows["piece_length"].to_pylist()
-    begin = 0
-    while begin < len(shard):
-        end = begin
-        while end < len(shard) and shard[end] == shard[begin]:
-            end += 1
-        full = [i for i in range(begin, end) if size[i] > 0]
+    def packed(shard: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        size = rows["piece_length"].to_pylist()
+        full = [i for i, n in enumerate(size) if n > 0]
         bins, offsets, fitted = pack([size[i] for i in full], capacities)
         used = [0] * len(fitted)
         for i, b in zip(full, bins, strict=True):
             used[b] += size[i]
-        names, at, capacity, held = ([None] * (end - begin) for _ in range(4))
+        names, at, capacity, held = ([None] * len(size) for _ in range(4))
         for i, b, o in zip(full, bins, offsets, strict=True):
-            names[i - begin], at[i - begin], capacity[i - begin], held[i - begin] = f"{shard[begin]}-{b}", o, fitted[b], used[b]
-        part = rows.slice(begin, end - begin)
-        yield from pa.table(
-            {c: part[c] for c in ("doc_id", "piece", "piece_start", "piece_length")}
-            | {"bin": pa.array(names, pa.string()), "bin_offset": pa.array(at, pa.int64()), "bin_capacity": pa.array(capacity, pa.int32()), "bin_used": pa.array(held, pa.int64())}
-        ).to_batches()
-        begin = end
+            names[i], at[i], capacity[i], held[i] = f"{shard}-{b}", o, fitted[b], used[b]
+        told = {"bin": pa.array(names, pa.string()), "bin_offset": pa.array(at, pa.int64()), "bin_capacity": pa.array(capacity, pa.int32()), "bin_used": pa.array(held, pa.int64())}
+        yield from pa.table({c: rows[c] for c in ("doc_id", "piece", "piece_start", "piece_length")} | told).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            shard = b.column("shard").to_numpy()
+            begins = [0, *(i for i in range(1, len(shard)) if shard[i] != shard[i - 1])] if len(shard) else []
+            for begin, end in zip(begins, [*begins[1:], len(shard)], strict=True):
+                if held and shard[begin] != at:
+                    yield from packed(at, held)
+                    held = []
+                at = int(shard[begin])
+                held.append(b.slice(begin, end - begin))
+        if held:
+            yield from packed(at, held)
+
+    return run
