@@ -1,7 +1,9 @@
 """Line dedup by a log-template tree: lines that instances of a recurring template make are dropped.
 
-A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens.  In the leaf it joins
-the template that agrees with it in most places, whose differing places become variable; else it starts one of its own.
+A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens.  In the leaf its places
+are told apart by how often their tokens come there: the seldom ones become variable one after another, which gives the
+line's chain of ever more general templates.  A template counts the documents of all lines that have it in their chain.
+Nothing of this depends on the order of the lines, or on how many a leaf has.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_enough, written
+from .store import BROADCAST_IDS, discard, small_enough, written
 
 #: Documents (of different texts) that a template is seen in before its lines are dropped.
 RECURRENT = 10
 #: Leading tokens that the tree branches by.
 LEADING = 3
-#: Share of places in which a line agrees with its template.
+#: Share of places in which a line agrees with its template; those with a digit are variable from the start and agree.
 AGREE = 0.7
 #: Lines with fewer tokens join no templates; those with a letter are dropped as they are, from this many documents on.
 LEAST_TOKENS = 5
@@ -28,9 +30,9 @@ SHORT_RECURRENT = 50
 #: Lines with more tokens than this are also dropped as they are, from fewer documents on.
 LONG_TOKENS = 50
 LONG_RECURRENT = 3
-#: Distinct lines of a leaf that are held together; a fuller leaf is split into parts, whose templates are then joined.
-LEAF = 4000
 VARIABLE = "<*>"
+#: Parts that the lines of one leaf are dealt over where its token weights aren't broadcast.
+SALTS = 64
 
 _DIGIT = re.compile(r"\d")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,6 +50,13 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
 
 
+def _print(text: str) -> bytes:
+    """128 bits that stand for a text."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(text)
+
+
 def _paths(tokens: list[str], leading: int) -> int:
     return _hash(f"{len(tokens)}\x1f" + "\x1f".join(tokens[:leading]))
 
@@ -60,7 +69,7 @@ def _lines(leading: int, least: int, recurrent: int):
     """
     short, long = max(SHORT_RECURRENT, recurrent), min(LONG_RECURRENT, recurrent)
     names = ["doc_id", "print", "place", "leaf", "line", "exact", "needed"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,10 +79,10 @@ def _lines(leading: int, least: int, recurrent: int):
                 for i, raw in enumerate((text or "").split("\n")):
                     tokens = _tokens(raw)
                     if len(tokens) >= least:
-                        exact = (_hash(" ".join(raw.split())), long) if len(tokens) > LONG_TOKENS else (None, None)
-                        out.append((doc_id, print_, i, _paths(tokens, leading), _hash(" ".join(tokens)), *exact))
+                        exact = (_print(" ".join(raw.split())), long) if len(tokens) > LONG_TOKENS else (None, None)
+                        out.append((doc_id, print_, i, _paths(tokens, leading), _print(" ".join(tokens)), *exact))
                     elif _LETTER.search(raw):
-                        out.append((doc_id, print_, i, None, None, _hash(" ".join(raw.split())), short))
+                        out.append((doc_id, print_, i, None, None, _print(" ".join(raw.split())), short))
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -84,118 +93,119 @@ def _leaf_lines(leading: int, least: int):
     """Leaf, identity and tokens of each line; a task gives a line once as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             leaf, line, body = [], [], []
             for text in b.column("text").to_pylist():
                 for raw in (text or "").split("\n"):
                     tokens = _tokens(raw)
-                    if len(tokens) >= least and (h := _hash(joined := " ".join(tokens))) not in seen:
+                    if len(tokens) >= least and (h := _print(joined := " ".join(tokens))) not in seen:
                         if len(seen) >= 200_000:
                             seen.clear()
                         seen.add(h)
                         leaf.append(_paths(tokens, leading))
                         line.append(h)
                         body.append(joined)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(body, pa.string())], ["leaf", "line", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.binary()), pa.array(body, pa.string())], ["leaf", "line", "body"])
 
     return run
 
 
-def _grow(agree: float):
-    """leaf, line, template, pattern for the distinct lines of each part of a leaf, which come together and in order."""
-
-    def leaf_templates(lines: list[int], bodies: list[str]) -> tuple[list[int], list[str]]:
-        words = [body.split(" ") for body in bodies]
-        width = len(words[0])
-        code: dict[str, int] = {VARIABLE: 0}
-        coded = np.array([[code.setdefault(t, len(code)) for t in w] for w in words], np.int32)
-        table = np.empty((len(lines), width), np.int32)
-        of, n = [], 0
-        for row in coded:
-            if n:
-                same = ((table[:n] == row) | (table[:n] == 0)).sum(axis=1)
-                solid = ((table[:n] == row) & (table[:n] != 0)).sum(axis=1)
-                best = int(np.lexsort((-solid, -same))[0])
-                if same[best] >= agree * width and solid[best] * 2 >= agree * width:
-                    table[best][table[best] != row] = 0
-                    of.append(best)
-                    continue
-            table[n] = row
-            of.append(n)
-            n += 1
-        name = list(code)
-        patterns = [" ".join(name[c] for c in table[k]) for k in range(n)]
-        first: dict[int, int] = {}
-        for line, k in zip(lines, of, strict=True):
-            first.setdefault(k, line)
-        return [first[k] for k in of], [patterns[k] for k in of]
+def _chains(agree: float):
+    """line, n, level, template, pattern: each line's templates, from the most special to the most general that agrees.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, lines, bodies = (None, None), [], []
+    ``places`` holds the weight of each token that is frequent in its place of the leaf; the leading ones always are.
+    Tokens of equal weight become variable together.
+    """
 
-        def flush() -> pa.RecordBatch:
-            template, pattern = leaf_templates(lines, bodies) if lines else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array([leaf[0]] * len(lines), pa.int64()), pa.array(lines, pa.int64()), pa.array(template, pa.int64()), pa.array(pattern, pa.string())], ["leaf", "line", "template", "pattern"])
+    def chain(tokens: list[str], weight: dict[int, int], leading: int) -> Iterator[list[str]]:
+        digits = sum(t == VARIABLE for t in tokens)
+        free = [i for i, t in enumerate(tokens) if i >= leading and t != VARIABLE]
+        out = list(tokens)
+        variable = 0
+        levels = sorted({weight.get(i, 0) for i in free})
+        for bound in [0, *(x for x in levels if x)]:
+            # the places at this weight become variable; seldom tokens (without a weight) come first
+            for i in free:
+                if weight.get(i, 0) == bound:
+                    out[i] = VARIABLE
+                    variable += 1
+            solid = len(tokens) - digits - variable
+            if len(tokens) - variable < agree * len(tokens) or solid * 2 < agree * len(tokens):
+                return
+            yield out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, part, line, body in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line", "body")), strict=True):
-                if (key, part) != leaf:
-                    if lines:
-                        yield flush()
-                    leaf, lines, bodies = (key, part), [], []
-                lines.append(line)
-                bodies.append(body)
-        yield flush()
+            rows = []
+            for line, n, body, leading, places in zip(*(b.column(c).to_pylist() for c in ("line", "n", "body", "leading", "places")), strict=True):
+                weight = {p["pos"]: p["weight"] for p in places or ()}
+                for level, pattern in enumerate(chain(body.split(" "), weight, leading)):
+                    text = " ".join(pattern)
+                    rows.append((line, n, level, _print(text), text))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["line", "n", "level", "template", "pattern"])
 
     return run
 
 
-def _grown(leaves: DataFrame, agree: float) -> DataFrame:
-    """leaf, line, template, pattern for the distinct lines of ``leaves`` (leaf, line, body).
+def _frequent(places: DataFrame, recurrent: int) -> DataFrame:
+    """line, places (pos, weight) of the tokens of ``places`` (line, pos, key, n) that weigh ``recurrent`` or more in their leaf.
 
-    Leaves with more than ``LEAF`` lines are split by a hash of the line; the templates of a leaf's parts, those of most lines
-    first, then join each other by the same rule as lines do, so that a template is one over the whole leaf.
+    The weights go to the lines by broadcast if they are few.  Else the lines of a token are dealt over parts, and its weight
+    goes to those that have any, noted as bits by the aggregation: a token of very many lines meets no single task.
     """
-    schema = "leaf long, line long, template long, pattern string"
-    full = written(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF), "full")
-    part = F.coalesce(F.pmod(F.xxhash64("line", F.lit(2)), F.ceil(F.col("n") / LEAF)), F.lit(0)).alias("part")
-    dealt = leaves.join(small_enough(full), "leaf", "left").select("leaf", part, "line", "body")
-    dealt = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "body")
-    grown = written(dealt.mapInArrow(_grow(agree), schema), "grown")
-    if full.isEmpty():
-        return grown
-    name = F.xxhash64("leaf", "pattern")
-    parts = grown.join(small_enough(full.select("leaf")), "leaf", "left_semi").groupBy("leaf", "pattern").agg(F.count("*").alias("n"))
-    parts = parts.select("leaf", F.lit(0).alias("part"), name.alias("line"), F.col("pattern").alias("body"), "n")
-    parts = parts.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "body").drop("n")
-    joined = parts.mapInArrow(_grow(agree), schema).select(F.col("line").alias("name"), F.col("template").alias("t"), F.col("pattern").alias("p"))
-    out = grown.withColumn("name", name).join(small_enough(written(joined, "joined")), "name", "left")
-    return written(out.select("leaf", "line", F.coalesce("t", "template").alias("template"), F.coalesce("p", "pattern").alias("pattern")), "grown")
+    part = F.pmod(F.xxhash64("line", F.lit(4)), F.lit(SALTS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), part)
+    weights = places.groupBy("key").agg(F.sum("n").alias("weight"), F.bit_or(bit).alias("bits")).where(F.col("weight") >= recurrent)
+    weights = written(weights, "weights")
+    if weights.count() <= BROADCAST_IDS:
+        met = places.join(F.broadcast(weights.select("key", "weight")), "key")
+    else:
+        parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+        sent = weights.select("key", "weight", F.explode(parts).alias("part"))
+        met = places.withColumn("part", part).join(sent.hint("merge"), ["key", "part"])
+    return met.groupBy("line").agg(F.collect_list(F.struct("pos", "weight")).alias("places"))
 
 
 def templates(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADING, agree: float = AGREE, least: int = LEAST_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(all lines: doc_id, print, place, leaf, line, exact, needed; recurring ones: line, template, pattern, documents)."""
-    schema = "doc_id long, print long, place int, leaf long, line long, exact long, needed int"
+    schema = "doc_id long, print long, place int, leaf long, line binary, exact binary, needed int"
     lines = written(docs.select("doc_id", "text").mapInArrow(_lines(leading, least, recurrent), schema), "lines")
     # a template is in no more documents than its leaf
     often = lines.where("leaf IS NOT NULL").select("leaf", "print").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= recurrent).select("leaf")
     often = written(often, "often")
-    bodies = docs.select("text").mapInArrow(_leaf_lines(leading, least), "leaf long, line long, body string").join(small_enough(often), "leaf")
-    grown = _grown(written(bodies.groupBy("leaf", "line").agg(F.min("body").alias("body")), "leaves"), agree)
-    seen = lines.where("leaf IS NOT NULL").select("line", "print").distinct().join(grown.select("line", "template").hint("shuffle_merge"), "line")
-    documents = seen.select("template", "print").distinct().groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= recurrent)
-    return lines, written(grown.join(documents.hint("shuffle_merge"), "template").select("line", "template", "pattern", "documents"), "recurring")
+    met = small_enough(often)
+    seen = written(lines.where("leaf IS NOT NULL").join(met, "leaf").select("line", "print").distinct(), "seen")
+    documents = seen.groupBy("line").agg(F.count("*").alias("n"))
+    bodies = docs.select("text").mapInArrow(_leaf_lines(leading, least), "leaf long, line binary, body string").join(met, "leaf")
+    bodies = bodies.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("body").alias("body")).join(documents.hint("shuffle_merge"), "line")
+    bodies = written(bodies, "bodies")
+    tokens = bodies.select("leaf", "line", "n", F.posexplode(F.split("body", " ")).alias("pos", "token")).where((F.col("pos") >= leading) & (F.col("token") != VARIABLE))
+    places = tokens.select("line", "pos", F.xxhash64("leaf", "pos", "token").alias("key"), "n")
+    held = bodies.join(_frequent(places, recurrent).hint("shuffle_merge"), "line", "left").select("line", "n", "body", F.lit(leading).alias("leading"), "places")
+    chains = written(held.mapInArrow(_chains(agree), "line binary, n long, level int, template binary, pattern string"), "chains")
+    # the summed documents of its lines bound a template's documents, which are then counted once each
+    hopeful = chains.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= recurrent).select("template")
+    of_line = written(chains.join(small_enough(written(hopeful, "hopeful")), "template").select("line", "level", "template", "pattern"), "of_line")
+    counted = seen.join(small_enough(of_line.select("line", "template")), "line").select("template", "print").distinct()
+    counted = written(counted.groupBy("template").agg(F.count("*").alias("documents")).where(F.col("documents") >= recurrent), "counted")
+    best = of_line.join(small_enough(counted), "template").groupBy("line").agg(F.min(F.struct("level", "template", "pattern", "documents")).alias("x"))
+    recurring = written(best.select("line", "x.template", "x.pattern", "x.documents"), "recurring")
+    discard(often, seen, bodies, chains, of_line, counted)
+    return lines, recurring
 
 
 def line_dedup(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADING, agree: float = AGREE, least: int = LEAST_TOKENS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    ``kept_text`` is the text without the lines whose template is seen in ``recurrent`` documents or more; documents with
-    equal texts count once.  Lines end at ``\\n``.  Lines that repeat word for word go too: those of more than ``LONG_TOKENS``
-    tokens in ``LONG_RECURRENT`` documents, those of fewer than ``least`` tokens with a letter in ``SHORT_RECURRENT`` (or in
-    ``recurrent``, if that is less for long or more for short ones).  Null text counts as empty and has one empty line.  Rows
-    that repeat a doc_id are judged each by its own text.  An empty table gives an empty result.
+    ``kept_text`` is the text without the lines that have a template seen in ``recurrent`` documents or more; documents with
+    equal texts count once.  Lines end at ``\\n``.  Lines that repeat word for word go too: those of more than
+    ``LONG_TOKENS`` tokens in ``LONG_RECURRENT`` documents, those of fewer than ``least`` tokens with a letter in
+    ``SHORT_RECURRENT`` (or in ``recurrent``, if that is less for long or more for short ones).  Null text counts as empty and
+    has one empty line.  Very long texts and lines are taken whole.  Rows that repeat a doc_id are judged each by its own text.
+    An empty table gives an empty result.
     """
     lines, recurring = templates(docs, recurrent, leading, agree, least)
     exact = lines.where("exact IS NOT NULL").select("exact", "needed", "print").distinct().groupBy("exact", "needed").agg(F.count("*").alias("n"))
@@ -210,8 +220,16 @@ def line_dedup(docs: DataFrame, recurrent: int = RECURRENT, leading: int = LEADI
     def print_of(column: pa.Array) -> pa.Array:
         return pa.array([_hash(t or "") for t in column.to_pylist()], pa.int64())
 
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+        out = []
+        for t, gone in zip(texts.to_pylist(), dropped.to_pylist(), strict=True):
+            gone = set(gone or ())
+            out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+        return pa.array(out, pa.string())
+
     own = docs.select("doc_id", text.alias("text")).withColumn("own", print_of("text"))
     out = own.join(places, own["doc_id"].eqNullSafe(F.col("d")) & (F.col("own") == F.col("print")), "left")
-    all_lines = F.split("text", "\n")
-    kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("places", i)), "\n"))
-    return out.select("doc_id", F.size(all_lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    cut = without(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places"))
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return out.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(cut, F.col("text")).alias("kept_text"))

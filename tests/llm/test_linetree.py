@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from seqspan.llm import linetree
 
@@ -48,22 +51,76 @@ def test_odd_rows(docs_of):
     assert linetree.line_dedup(docs_of(docs).limit(0)).collect() == []
 
 
-def test_full_leaves_branch_on(docs_of, monkeypatch):
-    monkeypatch.setattr(linetree, "LEAF", 5)
-    docs = [(i, f"same first three {'abcdefghij'[i % 10]} then number {i} goes on and on") for i in range(60)]
-    out = linetree.line_dedup(docs_of(docs), recurrent=6).collect()
-    assert {r.n_dropped for r in out} == {1}
-
-
-def test_full_leaves_keep_their_templates(docs_of, monkeypatch):
+def brute(docs, recurrent, leading=3, agree=0.7):
+    """Lines dropped of each document by the template rule alone, over plain dictionaries."""
+    lines = {}
+    for _, text in docs:
+        for raw in (text or "").split("\n"):
+            words = tuple("<*>" if re.search(r"\d", t) else t for t in raw.split())
+            if len(words) >= 5:
+                lines.setdefault(words, set()).add(text)
+    leaf = lambda w: (len(w), w[:leading])
+    in_leaf, weight = {}, {}
+    for w, texts in lines.items():
+        in_leaf.setdefault(leaf(w), set()).update(texts)
+    lines = {w: texts for w, texts in lines.items() if len(in_leaf[leaf(w)]) >= recurrent}
+    for w, texts in lines.items():
+        for i, t in enumerate(w[leading:]):
+            if t != "<*>":
+                weight[leaf(w), i, t] = weight.get((leaf(w), i, t), 0) + len(texts)
+    holders, chain_of = {}, {}
+    for w, texts in lines.items():
+        own = [weight.get((leaf(w), i, t), 0) if t != "<*>" else None for i, t in enumerate(w[leading:])]
+        for bound in sorted({recurrent - 1} | {x for x in own if x is not None and x >= recurrent}):
+            form = w[:leading] + tuple("<*>" if x is not None and x <= bound else t for x, t in zip(own, w[leading:]))
+            made = sum(a != b for a, b in zip(form, w))
+            solid = sum(t != "<*>" for t in form)
+            if len(w) - made >= agree * len(w) and solid * 2 >= agree * len(w):
+                holders.setdefault(form, set()).update(texts)
+                chain_of.setdefault(w, []).append(form)
+    gone = {w for w, forms in chain_of.items() if any(len(holders[f]) >= recurrent for f in forms)}
+    word = lambda raw: tuple("<*>" if re.search(r"\d", t) else t for t in raw.split())
+    return {i: [raw for raw in text.split("\n") if word(raw) not in gone] for i, text in docs}
+
+
+def made_docs(seed):
+    random.seed(seed)
+    word = lambda n: "".join(random.choice("abcdefg") for _ in range(n))
+    shapes = [["posted", "in", "our", None, "by", 0, "on", "a", 1, "day"], ["posted", "in", "our", "own", "by", 0, "at", "the", 1, "hour"], ["see", "all", "of", 0, "here", "and", "now"]]
+    names = [word(3) for _ in range(12)]
+    docs = []
+    for i in range(90):
+        lines = []
+        for _ in range(random.randint(0, 4)):
+            shape = random.choice(shapes)
+            lines.append(" ".join(random.choice(names) if x == 0 else word(5) if x == 1 else str(random.randint(1, 99)) if x is None else x for x in shape))
+        lines.append(" ".join(word(6) for _ in range(random.randint(5, 9))))
+        docs.append((i, "\n".join(lines)))
+    return docs
+
+
+@pytest.mark.parametrize("recurrent", [4, 10, 25])
+def test_against_brute_force(docs_of, recurrent):
+    docs = made_docs(recurrent)
+    got = {r.doc_id: r.kept_text for r in linetree.line_dedup(docs_of(docs), recurrent=recurrent).collect()}
+    want = {i: "\n".join(x) for i, x in brute(docs, recurrent).items()}
+    assert got == want and any(got[i] != text for i, text in docs)
+
+
+def test_bounds_change_nothing(docs_of, monkeypatch):
+    docs = made_docs(5)
+    want = sorted(tuple(r) for r in linetree.line_dedup(docs_of(docs), recurrent=8).collect())
+    monkeypatch.setattr(linetree, "BROADCAST_IDS", 0)
+    assert sorted(tuple(r) for r in linetree.line_dedup(docs_of(docs).repartition(9), recurrent=8).collect()) == want
+
+
+def test_many_names_in_a_crowded_leaf(docs_of):
     letters = str.maketrans("0123456789", "abcdefghij")
-    forum = [f"Posted in our forum by n{i}x yesterday evening".translate(letters) for i in range(60)]
-    other = [f"Posted in our q{i}a q{i}b q{i}c q{i}d q{i}e".translate(letters) for i in range(40)]
+    forum = [f"Posted in our forum by n{i}x yesterday evening".translate(letters) for i in range(3000)]
+    other = [f"Posted in our q{i}a q{i}b q{i}c q{i}d q{i}e".translate(letters) for i in range(3000)]
     docs = docs_of(list(enumerate(forum + other)))
-    for leaf in (4000, 5):
-        monkeypatch.setattr(linetree, "LEAF", leaf)
-        got = {r.doc_id: r.n_dropped for r in linetree.line_dedup(docs, recurrent=10).collect()}
-        assert got == {i: int(i < 60) for i in range(100)}
+    got = {r.doc_id: r.n_dropped for r in linetree.line_dedup(docs, recurrent=10).collect()}
+    assert got == {i: int(i < 3000) for i in range(6000)}
 
 
 def test_exact_repeats_of_long_and_short_lines(docs_of):
