@@ -1,4 +1,4 @@
-"""Byte-level BPE by longest matches: an Aho-Corasick automaton over Latin-1 and backtracking on token compatibility."""
+"""Byte-level BPE by longest matches: a trie over Latin-1 (pyahocorasick) and backtracking on token compatibility."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ class BytePairEncoder:
                 self.halves[rank] = halves
         self.joined = {halves: rank for rank, halves in self.halves.items()}
         self.made = {token: rank for token, rank in self.id_of.items() if len(token) == 1 or rank in self.halves}
-        self.trie = ahocorasick.Automaton()
+        self.trie, self.longest = ahocorasick.Automaton(), max(map(len, self.made), default=0)
         for token, rank in self.made.items():
             self.trie.add_word(token, rank)
         self.apart = lru_cache(maxsize=1 << 20)(self._apart)
@@ -89,7 +89,7 @@ class BytePairEncoder:
         return None
 
     def _longest(self, text: str, at: int) -> int:
-        n = self.trie.longest_prefix(text[at : at + 256])
+        n = self.trie.longest_prefix(text[at : at + self.longest])
         while True:
             found = self.made.get(text[at : at + n])
             if found is not None:
@@ -210,7 +210,8 @@ def detokenize(rows: DataFrame, ranks_path: str) -> DataFrame:
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null text counts as empty: no tokens, and the digests of nothing.  Repeated rows give equal rows.  Memory holds one
+    Null text counts as empty: no tokens, and the digests of nothing.  Repeated rows give equal rows, an empty table an
+    empty result; very long texts are taken whole.  Memory holds one
     Arrow batch, the ids of one text and the remembered pre-tokens.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

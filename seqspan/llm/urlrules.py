@@ -18,7 +18,7 @@ SITE_RULES = (
     ("block", "org", "/es/"),
 )
 #: (verdict, glob over ``.host/path``) for URLs that no site rule fits: ``*`` stays within the host or a path's
-#: segment, ``**`` crosses ``/``, ``?`` is one character.  The first that fits decides.
+#: segment, ``**`` crosses ``/``, ``?`` is one byte (a letter beyond ASCII has several).  The first that fits decides.
 GLOB_RULES = (
     ("block", "*.ads-track.*/**"),
     ("block", "*.ads-track.*"),
