@@ -1,3 +1,4 @@
+import random
 import re
 from pathlib import Path
 
@@ -29,3 +30,45 @@ def test_stages_one_by_one(spark):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "exact_dedup", "minhash_near_dedup", "best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+SOUNDS = {"en": ["the", "ing", "th", "ou", "ea"], "de": ["der", "ung", "sch", "ei", "ach"]}
+
+
+def small_corpus(spark, folder):
+    """Clean texts in two languages, junk, copies and near copies; ids repeated with other texts, equal rows, null ids."""
+    random.seed(3)
+    text = lambda lang: " ".join("".join(random.choice(SOUNDS[lang]) for _ in range(random.randint(1, 3))) for _ in range(random.randint(40, 90))) + "."
+    rows = [(i, text("en" if i % 2 else "de"), "en" if i % 2 else "de", f"s{i % 3}", 1) for i in range(120)]
+    junk = [(200 + i, "$$$ ### @@@ %%% " * 20 + "x", "en", "s1", 1) for i in range(30)]
+    long = text("en")
+    near = "then " + long
+    odd = [(300, long, "en", "s0", 1), (301, long + " ", "en", "s0", 1), (302, near, "en", "s0", 1), (5, text("en"), "en", "s0", 1), (400, rows[9][1], "en", "s9", 1)]
+    twin = (500, text("en"), "en", "s0", 1)
+    nulls = [(None, text("en"), "en", "s0", 1), (None, text("en"), None, None, None), (None, None, None, None, None), (600, "", "en", "s0", 1), (601, " 12 !!", "en", "s0", 1)]
+    docs = spark.createDataFrame(rows + junk + odd + [twin, twin] + nulls, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], 0 if r[0] >= 200 else 1, 0) for r in rows[:80] + junk[:20]], "doc_id long, quality int, toxic int")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    # what stays: all clean texts once (the longest of exact copies, the smallest id of near ones); of the pair 5 both texts
+    clean = {(r[0], r[1]) for r in rows} | {(5, odd[3][1]), (500, twin[1]), (None, nulls[0][1]), (None, nulls[1][1])} | {(301, long + " ")}
+    return clean
+
+
+def test_run_loses_no_unique_text(spark, tmp_path):
+    clean = small_corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/after")
+        docs = spark.createDataFrame(spark.read.parquet(f"{tmp_path}/after").collect(), docs.schema)
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert set(left) - clean == set() and clean - set(left) == set() and len(left) == len(clean)
+    words = sum(len(t.split()) for _, t in clean)
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("piece_length")).first()[0] == words
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
