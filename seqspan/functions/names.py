@@ -120,9 +120,18 @@ def show_key(name: Column) -> Column:
 
 
 def version(text: Column) -> Column:
-    """The numbers of a version, array<int>; trailing zeros don't count."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), lambda x: x.cast("int"))
-    return F.reverse(F.aggregate(F.reverse(numbers), F.array().cast("array<int>"), lambda acc, x: F.when((x == 0) & (F.size(acc) == 0), acc).otherwise(F.concat(acc, F.array(x)))))
+    """The first two or three numbers joined by dots, array<int>, a third of 0 if there are two; null where there are none.
+
+    What comes behind them doesn't count, so a candidate for a release isn't newer than the release.
+    """
+    found = lambda i: F.regexp_extract(text, r"(\d+)\.(\d+)(?:\.(\d+))?", i)
+    numbers = F.array(found(1).try_cast("int"), found(2).try_cast("int"), F.coalesce(found(3).try_cast("int"), F.lit(0)))
+    return F.when(found(1) != "", numbers)
+
+
+def is_newer(latest: Column, current: Column) -> Column:
+    """Whether a version is higher than another; not so where either is none."""
+    return F.coalesce(version(latest) > version(current), F.lit(False))
 
 
 def with_modifier(base: Column, modifier: Column) -> Column:

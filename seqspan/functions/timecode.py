@@ -17,9 +17,12 @@ def frame_timecode(frame: Column, fps: int) -> Column:
 
 
 def seconds_timecode(seconds: Column, fps: int) -> Column:
-    """``HH:MM:SS.FF`` of seconds; a part of a second that rounds to a whole one is carried over."""
-    total = F.bround(seconds * fps).cast("long")
-    return frame_timecode(total, fps)
+    """``HH:MM:SS.FF`` of seconds, 0 at least; the part of a second is rounded (half to even) and may carry over."""
+    total = F.greatest(F.lit(0.0), seconds.cast("double"))
+    whole = F.floor(total)
+    part = F.bround((total - whole) * fps)
+    frame = (F.when(part >= fps, (whole + 1) * fps).otherwise(whole * fps + part)).cast("long")
+    return F.when(seconds.isNull(), "--:--:--.--").otherwise(frame_timecode(frame, fps))
 
 
 def parse_timecode(text: Column, fps: int) -> Column:
@@ -61,9 +64,16 @@ def time_expression(text: Column, duration: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as ``n B``, ``n.n KB``, ``n.n MB`` or ``n.nn GB``."""
-    k = 1024.0
-    return (
-        F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1024**2, F.format_string("%.1f KB", size / k))
-        .when(size < 1024**3, F.format_string("%.1f MB", size / k**2)).otherwise(F.format_string("%.2f GB", size / k**3))
-    )
+    """``n bytes``, or ``n.n`` KB, MB, GB or TB, the least that keeps the number under 1024."""
+    n = size.cast("double")
+    text = F.format_string("%.0f bytes", n)
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        text = F.when(n >= 1024.0**power, F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(text)
+    return text
+
+
+def media_size(size: Column) -> Column:
+    """``n.nnn GB`` or ``n.nnn MB`` from one on, else ``n.n KB``; ``N/A`` for what isn't a number."""
+    n = size.try_cast("double")
+    text = F.when(n >= 1024.0**3, F.format_string("%.3f GB", n / 1024.0**3)).when(n >= 1024.0**2, F.format_string("%.3f MB", n / 1024.0**2)).otherwise(F.format_string("%.1f KB", n / 1024.0))
+    return F.when(n.isNull(), "N/A").otherwise(text)

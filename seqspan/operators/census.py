@@ -33,15 +33,15 @@ def commonest_box(rows: DataFrame) -> DataFrame:
 
 
 def track_census(expected: DataFrame, got: DataFrame, least: float = 0.9) -> DataFrame:
-    """track, expected, got, passed: frames of each track in the source and the result, matched by their order.
+    """rec_id, track, expected, got, passed: frames of each track in the source and the result, matched by their order.
 
     Tracks without frames in the source are left out so that the rest line up.
     """
-    counted = lambda rows, name: rows.groupBy("track").agg(F.count("*").alias(name))
-    placed = lambda rows: rows.withColumn("place", F.row_number().over(W.orderBy("track")))  # noqa: E731  a row a track
+    counted = lambda rows, name: rows.groupBy("rec_id", "track").agg(F.count("*").alias(name))
+    placed = lambda rows: rows.withColumn("place", F.row_number().over(W.partitionBy("rec_id").orderBy("track")))
     left, right = placed(counted(expected, "expected")), placed(counted(got, "got")).drop("track")
-    joined = left.join(F.broadcast(right), "place", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    return joined.select("track", "expected", "got", (F.col("got") >= F.col("expected") * least).alias("passed"))
+    joined = left.join(right, ["rec_id", "place"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    return joined.select("rec_id", "track", "expected", "got", (F.col("got") >= F.col("expected") * least).alias("passed"))
 
 
 def silent_tracks(packets: DataFrame, spans: DataFrame, width: int) -> DataFrame:
@@ -81,11 +81,19 @@ def laid_end_to_end(entries: DataFrame) -> DataFrame:
 
 
 def export_drift(jobs: DataFrame) -> DataFrame:
-    """rec_id, produced, expected, tolerance, verdict: frames produced against expected; one frame, or two seconds a scene in frames, may differ."""
-    tolerance = F.greatest(F.lit(1.0), F.col("scenes") * 2 / F.col("fps"))
-    off = F.abs(F.col("produced") - F.col("expected"))
-    verdict = F.when(F.col("collapsed"), "collapsed").when(off <= tolerance, "fine").otherwise("drift")
-    return jobs.select("rec_id", F.when(F.col("collapsed"), F.col("expected")).otherwise(F.col("produced")).alias("produced"), "expected", F.round(tolerance, 6).alias("tolerance"), verdict.alias("verdict"))
+    """rec_id, reported, drift, tolerance, fine: how long a result is (``actual``, seconds) against what its frames should last.
+
+    ``jobs`` has rec_id, produced, expected (frames), actual, fps, scenes, collapsed.  Of recordings whose half pictures were
+    joined the expected number is reported.  Two frames a scene may differ, and a second always; without a rate there is no
+    drift, and 25 counts for the tolerance.
+    """
+    rate = F.when(F.col("fps") > 0, F.col("fps"))
+    wanted = F.coalesce(F.col("expected") / rate, F.lit(0.0))
+    known = (F.coalesce("actual", F.lit(0.0)) != 0) & (wanted != 0)
+    drift = F.when(known, F.col("actual") - wanted).otherwise(0.0)
+    tolerance = F.greatest(F.lit(1.0), F.greatest(F.lit(1), F.col("scenes")) * 2.0 / F.coalesce(rate, F.lit(25.0)))
+    reported = F.when(F.col("collapsed"), F.col("expected")).otherwise(F.col("produced"))
+    return jobs.select("rec_id", reported.alias("reported"), F.round(drift, 6).alias("drift"), F.round(tolerance, 6).alias("tolerance"), (F.abs(F.round(drift, 6)) <= F.round(tolerance, 6)).alias("fine"))
 
 
 def bitrate_budget(files: DataFrame, audio: DataFrame, least: int = 500) -> DataFrame:

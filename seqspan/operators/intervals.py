@@ -46,12 +46,12 @@ def _pieces(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_f") / width).cast("long"), F.floor(F.col("end_f") / width).cast("long"))))
 
 
-def overlapping(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
-    """Pairs of overlapping ranges: rec_id, start_f, end_f of ``left`` and s, e of ``right``, each once.
+def overlapping(left: DataFrame, right: DataFrame, width: int = 64, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of overlapping ranges: the columns of ``left`` and s, e (and ``more``) of ``right``, each once.
 
     An equality join on recording and bucket stands in for the range join; a pair counts in the bucket where it begins.
     """
-    r = _pieces(right.select("rec_id", "start_f", "end_f"), width).select("rec_id", "bucket", F.col("start_f").alias("s"), F.col("end_f").alias("e"))
+    r = _pieces(right.select("rec_id", "start_f", "end_f", *more), width).select("rec_id", "bucket", F.col("start_f").alias("s"), F.col("end_f").alias("e"), *more)
     pairs = _pieces(left, width).join(r, ["rec_id", "bucket"]).where((F.col("s") <= F.col("end_f")) & (F.col("e") >= F.col("start_f")))
     return pairs.where(F.floor(F.greatest("start_f", "s") / width) == F.col("bucket")).drop("bucket")
 

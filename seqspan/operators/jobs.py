@@ -19,10 +19,20 @@ def merge_queues(mine: DataFrame, disk: DataFrame, known: DataFrame) -> DataFram
 
 
 def outcomes(jobs: DataFrame) -> DataFrame:
-    """id, outcome: the first rule that holds: failed, needs review (warnings, too short a result), done."""
-    short = F.col("produced") < F.col("expected") * 0.98
-    rule = F.when(F.col("error") | F.col("produced").isNull(), "failed").when(F.col("warnings") > 0, "review").when(short, "review").otherwise("done")
-    return jobs.select("id", rule.alias("outcome"))
+    """id, outcome, reason of jobs (id, source, found, error, sound_broken, recode_failed): the first rule that holds.
+
+    Failed without a recorded source or where it isn't found, and on any error of the export but that it has no readable
+    video: that is held for review, as is a result whose sound couldn't be rebuilt or that couldn't be coded anew.
+    """
+    error = F.coalesce("error", F.lit(""))
+    rules = [
+        (F.coalesce("source", F.lit("")) == "", "failed", "no source recorded"), (~F.col("found"), "failed", "source not found"), (F.lower(error).contains("no readable video"), "review", "no readable video"),
+        (error != "", "failed", "export"), (F.col("sound_broken"), "review", "sound"), (F.col("recode_failed"), "review", "recode"),
+    ]
+    told = F.struct(F.lit("done").alias("outcome"), F.lit("").alias("reason"))
+    for holds, outcome, reason in reversed(rules):
+        told = F.when(holds, F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).alias("reason"))).otherwise(told)
+    return jobs.select("id", told.alias("x")).select("id", "x.outcome", "x.reason")
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -76,19 +86,29 @@ def stale(seen: DataFrame, today: Column, months: int) -> DataFrame:
     return seen.where(F.col("seen") < F.add_months(today, -months)).select("pattern", "seen", age.cast("long").alias("age"))
 
 
+#: Phases that are timed from their own start.
+OWN_CLOCK = ("recode_audio", "recode_full", "rebuild_audio", "crop", "repair_audio")
+
+
 def time_left(progress: DataFrame) -> DataFrame:
-    """job, seq, left: time left by the progress so far; a phase that starts over has its own clock; -1 where nothing can be told.
+    """job, seq, left: time left by the progress so far; -1 where nothing can be told.
 
-    ``progress`` has job, seq, at, phase, percent.
+    ``progress`` has job, seq, at, phase, percent.  The clock starts at the first percent above 0; phases in ``OWN_CLOCK``
+    have one of their own, which starts anew after any other phase.  A percent below 0 counts nothing and stops no clock;
+    nothing can be told at it, at 0, from 100 on, or while no time has passed.  Without a percent the last estimate stands.
     """
-    w = W.partitionBy("job").orderBy("seq")
-    new = F.when(F.lag("phase").over(w).eqNullSafe(F.col("phase")), 0).otherwise(1)
-    rows = progress.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    begin = F.first(F.when(F.col("percent") > 0, F.col("at")), ignorenulls=True).over(W.partitionBy("job", "run").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.withColumn("begin", begin)
-    elapsed = F.col("at") - F.col("begin")
-    left = F.round(elapsed / (F.col("percent") / 100) - elapsed, 3)
-    return rows.select("job", "seq", F.when((F.col("percent") > 0) & (F.col("percent") < 100) & F.col("begin").isNotNull(), left).otherwise(-1.0).alias("left"))
+    own = F.col("phase").isin(*OWN_CLOCK)
+    w = W.partitionBy("job").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = F.col("percent") >= 0
+    moved = F.when(F.col("percent") > 0, F.col("at"))
+    rows = progress.withColumn("run", F.count(F.when(counted & ~own, 1)).over(w)).withColumn("start", F.first(moved, ignorenulls=True).over(w))
+    of_run = W.partitionBy("job", "run").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    base = F.when(own, F.first(F.when(own, moved), ignorenulls=True).over(of_run)).otherwise(F.col("start"))
+    rows = rows.withColumn("elapsed", F.col("at") - base)
+    told = (F.col("percent") > 0) & (F.col("percent") < 100) & (F.col("elapsed") > 0)
+    left = F.when(told, F.greatest(F.lit(0.0), F.round(F.col("elapsed") / (F.col("percent") / 100) - F.col("elapsed"), 3))).otherwise(-1.0)
+    rows = rows.withColumn("own_left", F.when(F.col("percent").isNotNull(), left))
+    return rows.select("job", "seq", F.coalesce(F.last("own_left", ignorenulls=True).over(w), F.lit(-1.0)).alias("left"))
 
 
 def cache_keys(files: DataFrame, schema: int) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,13 +17,44 @@ def mean_l1(a: Column, b: Column) -> Column:
     return total / F.size(a)
 
 
+#: Cards that are compared at once, and fingerprints that meet them in one task, about.
+CARDS, PRINTS = 1024, 50_000
+
+
 def sightings(fingerprints: DataFrame, cards: DataFrame, below: float) -> DataFrame:
-    """id, card, distance of fingerprints (id, fp) close to a card (card, card_fp).
+    """id, card, distance of fingerprints (id, fp) whose mean absolute difference from a card (card, card_fp) is below a bound.
 
-    Cards are few (a handful for each channel) and are sent to every task: one pass over the fingerprints.
+    Cards are the stated query set; they are dealt into blocks, and each block meets the fingerprints in parts: a task
+    holds one block and streams its part.  A null fingerprint has no distance, nor have two of different lengths.
     """
-    pairs = fingerprints.crossJoin(F.broadcast(cards))
-    return pairs.withColumn("d", mean_l1(F.col("fp"), F.col("card_fp"))).where(F.col("d") < below).select("id", "card", F.round("d", 6).alias("distance"))
+    blocks, parts = max(1, -(-cards.count() // CARDS)), max(1, -(-fingerprints.count() // PRINTS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = cards.select(dealt("card", blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), F.col("card").alias("id"), F.col("card_fp").cast("array<double>").alias("fp"))
+    asked = fingerprints.select(every(blocks).alias("block"), dealt("id", parts).alias("part"), F.lit(1).alias("kind"), "id", F.col("fp").cast("array<double>").alias("fp"))
+    rows = held.unionByName(asked).where("fp IS NOT NULL").repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, table = None, [], {}
+        for b in batches:
+            found: list[tuple] = []
+            for block, part, kind, id_, fp in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "id", "fp")), strict=True):
+                if (block, part) != at:
+                    at, names, table = (block, part), [], {}
+                if kind == 0:
+                    names.append((id_, fp))
+                    table = {}
+                    continue
+                if not table:
+                    table = {n: ([i for i, x in names if len(x) == n], np.array([x for _, x in names if len(x) == n], float)) for n in {len(x) for _, x in names}}
+                ids, matrix = table.get(len(fp), ((), None))
+                if ids and len(fp):
+                    mean = np.abs(matrix - np.array(fp, float)).sum(axis=1) / len(fp)
+                    found += [(id_, ids[k], float(mean[k])) for k in np.flatnonzero(mean < below)]
+            a, c, d = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["id", "card", "distance"])
+
+    return rows.mapInArrow(run, "id long, card long, distance double").withColumn("distance", F.round("distance", 6))
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -41,22 +74,57 @@ def contrast_mask(pixels: DataFrame, threshold: float) -> DataFrame:
     return out.where(F.col("contrast") >= threshold).select("key", "pixel", "contrast")
 
 
-def compact(mask: DataFrame, width: int, height: int, border: int, most_span: float, least_fill: float) -> DataFrame:
-    """key, pixels, compact: whether a mask (key, x, y) without the picture's border is small and well filled."""
-    inner = mask.where((F.col("x") >= border) & (F.col("x") < width - border) & (F.col("y") >= border) & (F.col("y") < height - border))
-    box = inner.groupBy("key").agg(F.count("*").alias("pixels"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    good = (F.col("w") * F.col("h") <= width * height * most_span) & (F.col("pixels") >= F.col("w") * F.col("h") * least_fill)
-    return box.select("key", "pixels", good.alias("compact"))
+def compact(mask: DataFrame, boxes: DataFrame, border: int = 2, least: int = 4, most_span: float = 0.25, least_fill: float = 0.25) -> DataFrame:
+    """key, pixels, verdict of masks (key, x, y) in pictures (``boxes``: key, left, top, w, h).
+
+    Columns and rows within ``border`` of the picture's edges are taken off first.  ``few`` where less than ``least`` pixels
+    are left, ``wide`` where they span more than ``most_span`` of the picture's width or height, ``sparse`` where they fill
+    less than ``least_fill`` of their own box, else ``compact``.
+    """
+    near = lambda c, a, n: (F.abs(F.col(c) - F.col(a)) <= border) | (F.abs(F.col(c) - (F.col(a) + F.col(n) - 1)) <= border)
+    inner = mask.select("key", "x", "y").distinct().join(boxes, "key").withColumn("inside", ~near("x", "left", "w") & ~near("y", "top", "h"))
+    only = lambda c: F.when(F.col("inside"), F.col(c))
+    box = inner.groupBy("key", "w", "h").agg(F.count(only("x")).alias("pixels"), (F.max(only("x")) - F.min(only("x")) + 1).alias("bw"), (F.max(only("y")) - F.min(only("y")) + 1).alias("bh"))
+    wide = (F.col("bw") > F.col("w") * most_span) | (F.col("bh") > F.col("h") * most_span)
+    verdict = F.when(F.col("pixels") < least, "few").when(wide, "wide").when(F.col("pixels") < F.col("bw") * F.col("bh") * least_fill, "sparse").otherwise("compact")
+    return box.select("key", "pixels", verdict.alias("verdict"))
 
 
 def correlated(series: DataFrame, least: float) -> DataFrame:
     """key, pixel, seed, r: pixels that correlate at ``least`` with the seed, the pixel with most such partners.
 
-    ``series`` has key, pixel, t, v.  Sums of products over equal t, one row a pair of pixels of a key; pixels are a bounded
-    number (a corner of a small picture).
+    ``series`` has key, t and v, an array with a value for each pixel.  Each task adds up its rows' products as one matrix a
+    key; pixels are a bounded number (a corner of a small picture).
     """
-    other = series.select("key", "t", F.col("pixel").alias("p2"), F.col("v").alias("v2"))
-    products = series.join(other, ["key", "t"]).groupBy("key", "pixel", "p2").agg(F.sum(F.col("v") * F.col("v2")).alias("xy"), F.count("*").alias("m"), F.sum("v").alias("sx"), F.sum("v2").alias("sy"), F.sum(F.col("v") * F.col("v")).alias("xx"), F.sum(F.col("v2") * F.col("v2")).alias("yy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            out: list[tuple] = []
+            for (key, n), (m, total, cross) in sums.items():
+                square = np.diag(cross)
+                out += [(key, i, j, cross[i, j], m, total[i], total[j], square[i], square[j]) for i in range(n) for j in range(n)]
+            columns = zip(*out, strict=True) if out else ((),) * 9
+            kinds = [pa.int64()] * 3 + [pa.float64(), pa.int64()] + [pa.float64()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "pixel", "p2", "xy", "m", "sx", "sy", "xx", "yy"])
+
+        for b in batches:
+            rows: dict[tuple, list] = {}
+            for key, v in zip(b.column("key").to_pylist(), b.column("v").to_pylist(), strict=True):
+                if v and None not in v:
+                    rows.setdefault((key, len(v)), []).append(v)
+            for k, own in rows.items():
+                x = np.array(own, float)
+                m, total, cross = sums.get(k, (0, 0.0, 0.0))
+                sums[k] = [m + len(x), total + x.sum(axis=0), cross + x.T @ x]
+            if len(sums) > 64:
+                yield flush()
+                sums = {}
+        yield flush()
+
+    parts = series.select("key", "v").mapInArrow(run, "key long, pixel long, p2 long, xy double, m long, sx double, sy double, xx double, yy double")
+    products = parts.groupBy("key", "pixel", "p2").agg(*[F.sum(c).alias(c) for c in ("xy", "m", "sx", "sy", "xx", "yy")])
     top, bottom = F.col("m") * F.col("xy") - F.col("sx") * F.col("sy"), (F.col("m") * F.col("xx") - F.col("sx") ** 2) * (F.col("m") * F.col("yy") - F.col("sy") ** 2)
     pairs = products.where(bottom > 0).select("key", "pixel", "p2", F.round(top / F.sqrt(bottom), 6).alias("r")).where(F.col("r") >= least)
     degree = pairs.groupBy("key", "pixel").agg(F.count("*").alias("degree"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,23 +15,44 @@ def titled(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return files.join(known, ["show", "season", "episode"], "left").withColumn("note", F.when(F.col("title").isNull(), "no title").otherwise(""))
 
 
-def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """id, pattern: names that begin with a pattern, or hold it where the pattern begins with ``*``; case doesn't count.
+def _held(name: Column, lengths: list[int], anywhere: Column | bool) -> Column:
+    """Pieces of a name, of the given lengths: at its start, or anywhere."""
+    each = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    last = lambda n: F.when(F.lit(anywhere) if isinstance(anywhere, bool) else anywhere, F.length(name) - n + 1).otherwise(1)
+    fits = F.filter(each, lambda n: n <= F.length(name))
+    return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), last(n)), lambda i: name.substr(i, n)))))
 
-    Patterns are a short list that people keep by hand; they are sent to every task.
+
+def _lengths(patterns: DataFrame, column: str) -> list[int]:
+    """The different lengths of patterns: as many as a file name is long at most."""
+    return sorted(r[0] for r in patterns.select(F.length(column)).distinct().collect() if r[0])
+
+
+def ignored(files: DataFrame, patterns: DataFrame, anywhere: bool = False) -> DataFrame:
+    """id, pattern: the last part of a path (id, name) that begins with a pattern, or holds it.
+
+    A pattern holds anywhere where it begins with ``*`` (behind which blanks don't count, and nothing matches nothing), or if
+    ``anywhere`` is set.  Case and blanks round a pattern don't count; empty ones and notes (``#``) are left out.  Pieces of
+    the names are joined with the patterns on equality, so neither side need be small.
     """
-    wanted = patterns.where("trim(pattern) <> '' AND NOT startswith(trim(pattern), '#')").select("pattern", F.lower(F.trim("pattern")).alias("p"))
-    name = F.lower(F.col("name"))
-    held = F.expr("substring(p, 2)")
-    hit = F.when(F.col("p").startswith("*"), name.contains(held)).otherwise(name.startswith(F.col("p")))
-    return files.join(F.broadcast(wanted), hit).select("id", "pattern")
+    text = F.trim("pattern")
+    listed = patterns.where((text != "") & ~text.startswith("#")).select("pattern", text.startswith("*").alias("star"), F.lower(F.trim(F.regexp_replace(text, r"^\*", ""))).alias("piece"))
+    listed = listed.where("piece <> ''").select("pattern", "piece", (F.col("star") | F.lit(anywhere)).alias("free")).distinct()
+    name = F.lower(F.substring_index(F.col("name"), "/", -1))
+    out = []
+    for free in (False, True):
+        own = listed.where(F.col("free") == free)
+        pieces = files.select("id", F.explode(_held(name, _lengths(own, "piece"), free)).alias("piece"))
+        out.append(pieces.join(own, "piece").select("id", "pattern"))
+    return out[0].unionByName(out[1])
 
 
 def longest_name_held(files: DataFrame, settings: DataFrame, default: str) -> DataFrame:
     """id, setting: the longest setting whose name the file's name holds (the first listed of equals), else the default."""
-    hit = files.join(F.broadcast(settings), F.lower(F.col("name")).contains(F.lower(F.col("setting"))), "left")
-    best = F.min(F.when(F.col("setting").isNotNull(), F.struct((-F.length("setting")).alias("l"), "order", "setting")))
-    return hit.groupBy("id").agg(F.coalesce(best["setting"], F.lit(default)).alias("setting"))
+    listed = settings.select("setting", "order", F.lower("setting").alias("piece"))
+    pieces = files.select("id", F.explode(_held(F.lower(F.col("name")), _lengths(listed, "piece"), True)).alias("piece"))
+    best = pieces.join(listed, "piece").groupBy("id").agg(F.min(F.struct((-F.length("setting")).alias("l"), "order", "setting"))["setting"].alias("setting"))
+    return files.select("id").join(best, "id", "left").select("id", F.coalesce("setting", F.lit(default)).alias("setting"))
 
 
 def shows(files: DataFrame) -> DataFrame:

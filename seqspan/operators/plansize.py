@@ -8,21 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .sized import small
+
 PACKET = 188
 MB = 1 << 20
 
 
 def byte_plan(jobs: DataFrame) -> DataFrame:
-    """id, first, last: bytes to copy of a file (id, size, mode, n_mb, start_mb), whole packets inside the file.
+    """id, first, last: bytes to copy of a file (id, size, mode, n_mb, start_mb).
 
-    Mode is beginning, end or at.
+    Mode is beginning, end or at.  A start that isn't the file's goes up to a whole packet, and the length down to whole
+    packets, so what is copied may be a little less than was asked for.
     """
-    down = lambda c: c - c % PACKET
-    want, start = F.col("n_mb") * MB, F.col("start_mb") * MB
-    whole = down(F.col("size"))
-    first = F.when(F.col("mode") == "beginning", 0).when(F.col("mode") == "end", down(F.greatest(F.lit(0), F.col("size") - want))).otherwise(down(F.least(start, whole)))
-    last = F.when(F.col("mode") == "end", whole).otherwise(F.least(whole, down(first + want + PACKET - 1)))
-    return jobs.select("id", first.cast("long").alias("first"), last.cast("long").alias("last"))
+    down = lambda c: c - F.pmod(c, F.lit(PACKET))
+    up = lambda c: down(c + PACKET - 1)
+    size = F.col("size")
+    want = F.greatest(F.lit(0), F.bround(F.col("n_mb").cast("double") * MB)).cast("long")
+    begin = F.floor(F.greatest(F.lit(0.0), F.col("start_mb").cast("double")) * MB).cast("long")
+    first = F.when(F.col("mode") == "beginning", 0).when(F.col("mode") == "end", F.least(up(F.greatest(F.lit(0), size - want)), size)).otherwise(F.least(up(begin), size))
+    length = down(F.when(F.col("mode") == "end", size - first).otherwise(F.least(want, size - first)))
+    return jobs.select("id", first.cast("long").alias("first"), (first + length).cast("long").alias("last"))
 
 
 def keyframe_bytes(index: DataFrame, marks: DataFrame) -> DataFrame:
@@ -57,23 +62,32 @@ def resolved(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.coalesce(best["path"], F.lit("")).alias("path"))
 
 
-def fingerprint(content: Column, window: int) -> Column:
-    """sha256 over the size and the first and last ``window`` characters, which don't overlap."""
-    n = F.length(content)
+def fingerprint(content: Column, window: int = 4 << 20) -> Column:
+    """sha256 over the size in digits and the first and last ``window`` bytes of binary content, which don't overlap."""
+    n = F.octet_length(content)
     tail = F.greatest(F.lit(0), F.least(F.lit(window), n - window))
-    return F.sha2(F.concat(n.cast("string"), F.lit("|"), F.substring(content, 1, window), F.when(tail > 0, content.substr(n - tail + 1, tail)).otherwise("")), 256)
+    digits = F.encode(n.cast("string"), "UTF-8")
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(digits, F.substring(content, 1, window), F.when(tail > 0, content.substr(n - tail + 1, tail)).otherwise(F.lit(b""))), 256))
 
 
 def incompatible(streams: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Streams (id, codec, container) that the table of allowed pairs (container, codec) doesn't hold; the table is a constant."""
-    return streams.join(F.broadcast(allowed), ["container", "codec"], "left_anti").select("id", "codec", "container")
+    """Streams (id, codec, container) that the table of allowed pairs (container, codec) doesn't hold."""
+    return streams.join(small(allowed), ["container", "codec"], "left_anti").select("id", "codec", "container")
+
 
+def even_box(width: Column, height: Column, top: Column, bottom: Column, left: Column, right: Column, interlaced: Column) -> Column:
+    """What margins leave of a picture: struct of w, h, x, y, all even.
 
-def even_box(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column, Column, Column]:
-    """A crop rectangle on even numbers, inside the asked one."""
-    up, down = lambda c: c + c % 2, lambda c: c - c % 2
-    left, top = up(x), up(y)
-    return left, top, down(x + w) - left, down(y + h) - top
+    Margins are cut down to even numbers, 0 at least.  Of interlaced pictures the height is a multiple of 4.  Where nothing
+    would be left it is the whole picture.
+    """
+    even = lambda c: c - F.pmod(c, F.lit(2))
+    held = lambda c: F.greatest(F.lit(0), even(c))
+    rows = lambda c: F.when(interlaced, c - F.pmod(c, F.lit(4))).otherwise(even(c))
+    w, h = even(width - held(left) - held(right)), rows(height - held(top) - held(bottom))
+    none = (w <= 0) | (h <= 0)
+    box = (F.when(none, even(width)).otherwise(w), F.when(none, rows(height)).otherwise(h), F.when(none, 0).otherwise(held(left)), F.when(none, 0).otherwise(held(top)))
+    return F.struct(*[c.cast("long").alias(name) for c, name in zip(box, ("w", "h", "x", "y"), strict=True)])
 
 
 def key_kinds(unit: Column, safe: Sequence[int], leading: Sequence[int]) -> Column:
@@ -81,13 +95,28 @@ def key_kinds(unit: Column, safe: Sequence[int], leading: Sequence[int]) -> Colu
     return F.when(unit.isin(*safe), "safe").when(unit.isin(*leading), "leading").otherwise("other")
 
 
-def default_subtitle(tracks: DataFrame) -> DataFrame:
-    """rec_id, decision, track: which subtitle is shown unasked: a forced one; else none where a track is marked default
-    though the sound is in the viewer's language; else the one marked default; else nothing to change."""
-    of = lambda cond: F.min(F.when(cond, F.col("track")))
-    each = tracks.groupBy("rec_id").agg(of(F.col("forced")).alias("forced"), of(F.col("marked")).alias("marked"), F.max("own_sound").alias("own_sound"))
-    decision = F.when(F.col("forced").isNotNull(), "forced").when(F.col("marked").isNull(), "leave").when(F.col("own_sound"), "clear").otherwise("keep")
-    return each.select("rec_id", decision.alias("decision"), F.coalesce(F.when(F.col("forced").isNotNull(), F.col("forced")).otherwise(F.col("marked")), F.lit(-1)).alias("track"))
+#: Language codes that name no language.
+NO_LANGUAGE = ("", "und", "mis", "mul", "zxx")
+
+
+def default_subtitles(tracks: DataFrame) -> DataFrame:
+    """rec_id, number, change, reason for each subtitle track that is shown by default; ``change`` where it should not be.
+
+    ``tracks`` has rec_id, seq, kind (audio or subtitles), language, marked (default), forced.  Subtitles are numbered from
+    1.  The sound to compare with is the first default one, else the first.  A forced track stays, as does one where either
+    language isn't known or the two differ; the same language as the sound's is to be switched off.
+    """
+    low = F.lower(F.trim(F.coalesce("language", F.lit(""))))
+    told = tracks.withColumn("lang", F.when(low.isin(*NO_LANGUAGE), "").otherwise(low))
+    first = F.min(F.struct((~F.col("marked")).alias("later"), "seq", "lang"))
+    sound = told.where("kind = 'audio'").groupBy("rec_id").agg(first["lang"].alias("sound"))
+    number = F.row_number().over(W.partitionBy("rec_id").orderBy("seq")).cast("long")
+    shown = told.where("kind = 'subtitles'").withColumn("number", number).where("marked").join(sound, "rec_id", "left")
+    reason = (
+        F.when(F.col("forced"), "forced").when(F.col("sound").isNull(), "no sound").when(F.col("sound") == "", "sound not labelled")
+        .when(F.col("lang") == "", "subtitles not labelled").when(F.col("lang") != F.col("sound"), "other language").otherwise("same language")
+    )
+    return shown.select("rec_id", "number", (reason == "same language").alias("change"), reason.alias("reason"))
 
 
 def first_hit(wanted: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .intervals import overlapping
+
 
 def rolling_min(rows: DataFrame, value: str, width: int = 21, keys: Sequence[str] = ("rec_id",)) -> DataFrame:
     """Adds ``low``: the least value among the ``width`` samples round each; at the ends the frame shrinks."""
@@ -46,19 +48,20 @@ def consecutive_runs(rows: DataFrame, tail: int = 0) -> DataFrame:
     return runs.agg(F.min("t").alias("t0"), (F.max("t") + tail).alias("t1"), F.count("*").alias("n")).drop("island")
 
 
-def levels_agreeing(rows: DataFrame, levels: Sequence[int], merge_gap: int, min_len: int, least: int) -> DataFrame:
+def levels_agreeing(rows: DataFrame, levels: Sequence[int], merge_gap: int, min_len: int, least: int, width: int = 1 << 28) -> DataFrame:
     """rec_id, t0, t1, support: spans where the flag is away, found at several levels of persistence.
 
     At each level the flag must last that long to count.  A span's support is the number of levels with a span that covers
     more than half of it, and ``least`` of them are wanted.
     """
-    each = rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in levels], "level long")))
+    each = rows.withColumn("level", F.explode(F.array(*[F.lit(x).cast("long") for x in levels])))
     keys = ("rec_id", "level")
     spans = runs_of(sustained(each, F.col("level"), keys), ~F.col("held"), merge_gap, min_len, keys)
-    candidates = spans.select("rec_id", "t0", "t1").distinct()
-    other = spans.select("rec_id", "level", F.col("t0").alias("c"), F.col("t1").alias("d"))
+    candidates = spans.select("rec_id", F.col("t0").alias("start_f"), F.col("t1").alias("end_f")).distinct()
+    other = spans.select("rec_id", "level", F.col("t0").alias("start_f"), F.col("t1").alias("end_f"))
+    pairs = overlapping(candidates, other, width, ("level",)).withColumnsRenamed({"start_f": "t0", "end_f": "t1", "s": "c", "e": "d"})
     covered = F.least("t1", "d") - F.greatest("t0", "c") > (F.col("t1") - F.col("t0")) * 0.5
-    return candidates.join(other, "rec_id").where(covered).groupBy("rec_id", "t0", "t1").agg(F.count_distinct("level").alias("support")).where(F.col("support") >= least)
+    return pairs.where(covered).groupBy("rec_id", "t0", "t1").agg(F.count_distinct("level").alias("support")).where(F.col("support") >= least)
 
 
 def merge_absence(rows: DataFrame, merge_gap: int) -> DataFrame:
@@ -67,12 +70,12 @@ def merge_absence(rows: DataFrame, merge_gap: int) -> DataFrame:
     Samples outside these stretches are present.
     """
     w = W.partitionBy("rec_id").orderBy("t", "i")
-    away = rows.where("NOT on")
-    gap = F.col("t") - F.lag("t").over(w)
-    run = away.withColumn("run", F.sum(F.when(gap.isNull() | (gap > merge_gap), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = run.groupBy("rec_id", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    inside = rows.join(spans, "rec_id").where((F.col("i") >= F.col("first")) & (F.col("i") <= F.col("last"))).select("rec_id", "i", F.lit(True).alias("inside"))
-    return rows.join(inside, ["rec_id", "i"], "left").withColumn("present", F.col("inside").isNull()).drop("inside")
+    away = F.when(~F.col("on"), F.col("t"))
+    before = F.last(away, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.first(away, ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # a sample lies in a stretch if the absences next to it on both sides belong together
+    within = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("after") - F.col("before") <= merge_gap)
+    return rows.withColumns({"before": before, "after": after}).withColumn("present", ~within).drop("before", "after")
 
 
 def gaps_between(spans: DataFrame) -> DataFrame:
@@ -82,9 +85,9 @@ def gaps_between(spans: DataFrame) -> DataFrame:
 
 
 def junction_mask(rows: DataFrame, reach: int) -> DataFrame:
-    """rec_id, i, junction: flagless samples within ``reach`` of any change of the flag."""
+    """rec_id, i, junction: flagless samples within ``reach`` of any change of the flag, which is at the last sample before it."""
     w = W.partitionBy("rec_id").orderBy("t", "i")
-    change = F.when(F.lag("on").over(w) != F.col("on"), F.col("t"))
+    change = F.when(F.lead("on").over(w) != F.col("on"), F.col("t"))
     marked = rows.withColumn("change", change)
     wide = W.partitionBy("rec_id").orderBy("t").rangeBetween(-reach, reach)
     return marked.select("rec_id", "i", (~F.col("on") & F.max("change").over(wide).isNotNull()).alias("junction"))

@@ -22,13 +22,13 @@ def commonest_box(spark, sf_dir):
 
 
 def track_census(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("track"), "l_tax")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("rec_id"), F.concat("l_returnflag", "l_linestatus").alias("track"), "l_tax")
     return op.track_census(li, li.where("l_tax < 0.075"))
 
 
 def silent_tracks(spark, sf_dir):
     p = src.packets(spark, sf_dir).where("pts IS NOT NULL").select("rec_id", F.col("config").alias("track"), "pts")
-    return op.silent_tracks(p, src.keep_spans(spark, sf_dir).where("k < 3"), DAY)
+    return op.silent_tracks(p, src.keep_spans(spark, sf_dir), DAY)
 
 
 def usable_tracks(spark, sf_dir):
@@ -61,7 +61,8 @@ def joiner_offsets(spark, sf_dir):
 def export_drift(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    return op.export_drift(o.select(key.alias("rec_id"), (key * 7 + key % 5 - 2).alias("produced"), (key * 7).alias("expected"), (key % 9 * 6).alias("scenes"), (key % 3 * 25 + 25).cast("double").alias("fps"), (key % 13 == 0).alias("collapsed")))
+    fps = F.when(key % 11 > 0, (key % 3 * 25 + 25).cast("double"))
+    return op.export_drift(o.select(key.alias("rec_id"), (key * 7 + key % 5 - 2).alias("produced"), (key * 7).alias("expected"), F.when(key % 17 > 0, F.bround(key * 7 / (key % 3 * 25 + 25) + (key % 41 - 20) / 8, 3)).alias("actual"), fps.alias("fps"), (key % 90).alias("scenes"), (key % 13 == 0).alias("collapsed")))
 
 
 def bitrate_budget(spark, sf_dir):
@@ -104,13 +105,13 @@ _ENTRIES = "en AS (SELECT conv_id AS list_id, turn AS seq, CAST(length(text) AS
 ORACLES = {
     "dominant_config": with_tables("packets", "WITH c AS (SELECT rec_id, config, count(*) AS n, sum(size) AS bytes, min(seq) AS first FROM packets WHERE config <> 3 AND size >= 7 GROUP BY rec_id, config), t AS (SELECT *, sum(n) OVER (PARTITION BY rec_id) AS total FROM c) SELECT rec_id, config, n, CAST(total - n AS BIGINT) AS minority, CAST(floor(bytes * 8 * 48000 / (n * 1024)) AS BIGINT) AS bitrate FROM t QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, first) = 1"),
     "commonest_box": "WITH c AS (SELECT l_suppkey AS rec_id, CAST(l_linenumber AS BIGINT) AS w, CAST(floor(l_quantity / 10) AS BIGINT) AS h, count(*) AS n FROM lineitem GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, w * h DESC, w DESC) = 1",
-    "track_census": "WITH e AS (SELECT l_returnflag || l_linestatus AS track, count(*) AS expected FROM lineitem GROUP BY ALL), g AS (SELECT l_returnflag || l_linestatus AS track, count(*) AS got FROM lineitem WHERE l_tax < 0.075 GROUP BY ALL), e2 AS (SELECT *, row_number() OVER (ORDER BY track) AS p FROM e), g2 AS (SELECT got, row_number() OVER (ORDER BY track) AS p FROM g) SELECT track, expected, coalesce(got, 0) AS got, coalesce(got, 0) >= expected * 0.9 AS passed FROM e2 LEFT JOIN g2 USING (p)",
-    "silent_tracks": with_tables("packets keep_spans", "SELECT DISTINCT rec_id, config AS track FROM packets p WHERE pts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM packets q JOIN keep_spans k ON k.rec_id = q.rec_id AND q.pts BETWEEN k.s AND k.e AND k.k < 3 WHERE q.rec_id = p.rec_id AND q.config = p.config)"),
+    "track_census": "WITH e AS (SELECT l_suppkey AS rec_id, l_returnflag || l_linestatus AS track, count(*) AS expected FROM lineitem GROUP BY ALL), g AS (SELECT l_suppkey AS rec_id, l_returnflag || l_linestatus AS track, count(*) AS got FROM lineitem WHERE l_tax < 0.075 GROUP BY ALL), e2 AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY track) AS p FROM e), g2 AS (SELECT rec_id, got, row_number() OVER (PARTITION BY rec_id ORDER BY track) AS p FROM g) SELECT rec_id, track, expected, coalesce(got, 0) AS got, coalesce(got, 0) >= expected * 0.9 AS passed FROM e2 LEFT JOIN g2 USING (rec_id, p)",
+    "silent_tracks": with_tables("packets keep_spans", "SELECT DISTINCT rec_id, config AS track FROM packets p WHERE pts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM packets q JOIN keep_spans k ON k.rec_id = q.rec_id AND q.pts BETWEEN k.s AND k.e WHERE q.rec_id = p.rec_id AND q.config = p.config)"),
     "usable_tracks": "WITH t AS (SELECT l_orderkey AS rec_id, CAST(l_linenumber AS BIGINT) AS track, (CAST(l_quantity AS BIGINT) % 3 > 0 AND floor(l_discount * 100) > 0) OR l_quantity > 48 AS good FROM lineitem) SELECT rec_id, track FROM t QUALIFY good OR (NOT bool_or(good) OVER (PARTITION BY rec_id) AND track = min(track) OVER (PARTITION BY rec_id))",
     "join_target": f"WITH {_ENTRIES} SELECT list_id, arg_min(w, -(w * h) * 1000 + seq) AS w, arg_min(h, -(w * h) * 1000 + seq) AS h, max(fps) AS fps, CAST(sum(duration) AS BIGINT) AS duration FROM en GROUP BY list_id",
     "join_signatures": f"WITH {_ENTRIES} SELECT list_id, count(DISTINCT (codec, w, h, audio)) AS signatures, min(seq) AS first_example, count(DISTINCT (codec, w, h, audio)) <= 1 AS ok FROM en GROUP BY list_id",
     "joiner_offsets": f"WITH {_ENTRIES} SELECT list_id, seq, duration, CAST(coalesce(sum(duration) OVER (PARTITION BY list_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, least(fade_in, duration) AS fade_in, least(fade_out, duration - least(fade_in, duration)) AS fade_out FROM en",
-    "export_drift": "SELECT o_orderkey AS rec_id, CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey * 7 ELSE o_orderkey * 7 + o_orderkey % 5 - 2 END AS produced, o_orderkey * 7 AS expected, round(greatest(1.0, (o_orderkey % 9 * 6) * 2 / (o_orderkey % 3 * 25 + 25)::DOUBLE), 6) AS tolerance, CASE WHEN o_orderkey % 13 = 0 THEN 'collapsed' WHEN abs(o_orderkey % 5 - 2) <= greatest(1.0, (o_orderkey % 9 * 6) * 2 / (o_orderkey % 3 * 25 + 25)::DOUBLE) THEN 'fine' ELSE 'drift' END AS verdict FROM orders",
+    "export_drift": "WITH j AS (SELECT o_orderkey AS k, o_orderkey % 3 * 25 + 25 AS rate, CASE WHEN o_orderkey % 17 > 0 THEN round_even(o_orderkey * 7 / (o_orderkey % 3 * 25 + 25)::DOUBLE + (o_orderkey % 41 - 20) / 8.0::DOUBLE, 3) END AS actual FROM orders), d AS (SELECT *, k % 11 > 0 AS rated, round(CASE WHEN k % 11 > 0 AND coalesce(actual, 0) <> 0 THEN actual - k * 7 / rate::DOUBLE ELSE 0 END, 6) AS drift, round(greatest(1.0, greatest(1, k % 90) * 2.0 / CASE WHEN k % 11 > 0 THEN rate ELSE 25 END::DOUBLE), 6) AS tolerance FROM j) SELECT k AS rec_id, CASE WHEN k % 13 = 0 THEN k * 7 ELSE k * 7 + k % 5 - 2 END AS reported, drift, tolerance, abs(drift) <= tolerance AS fine FROM d",
     "bitrate_budget": "SELECT o_orderkey AS rec_id, CAST(greatest(500, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 6000 ELSE floor(floor(o_totalprice) * 8 / (o_orderkey % 7 + 1) / 1000) END - coalesce((SELECT sum(floor(l_quantity * 8)) FROM lineitem WHERE l_orderkey = o_orderkey), 0)) AS BIGINT) AS kbps FROM orders",
     "retention": "WITH f AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS root, url AS path, page_id * 3600 AS mtime, CAST(length(html) AS BIGINT) AS size FROM pages) SELECT * FROM f WHERE mtime >= 360000 QUALIFY row_number() OVER (PARTITION BY root ORDER BY mtime DESC, path) <= 5",
     "shared_bindings": "WITH k AS (SELECT p_partkey AS action, concat_ws('+', CASE WHEN p_size % 2 = 0 THEN 'Ctrl' END, CASE WHEN p_size % 3 = 0 THEN 'Shift' END, substr(p_brand, -2)) AS keys FROM part) SELECT array_to_string(list_sort(list_transform(string_split(keys, '+'), lambda x: lower(trim(x)))), '+') AS combo, count(DISTINCT action) AS actions FROM k GROUP BY combo HAVING count(DISTINCT action) > 1",

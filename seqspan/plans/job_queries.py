@@ -35,7 +35,8 @@ def queue_cleared(spark, sf_dir):
 def job_outcomes(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    return op.outcomes(o.select(k.alias("id"), (k % 11 == 0).alias("error"), F.when(k % 13 > 0, k % 1000).alias("produced"), (k % 1000 + k % 31 - 5).alias("expected"), F.when(k % 9 == 0, 2).otherwise(0).alias("warnings")))
+    error = F.when(k % 7 == 0, "The export has No Readable Video in it").when(k % 9 == 0, "disk full")
+    return op.outcomes(o.select(k.alias("id"), F.when(k % 11 > 0, F.lit("a.ts")).alias("source"), (k % 13 > 0).alias("found"), error.alias("error"), (k % 5 == 0).alias("sound_broken"), (k % 4 == 0).alias("recode_failed")))
 
 
 def _files(spark, sf_dir):
@@ -74,7 +75,7 @@ def stale_patterns(spark, sf_dir):
 
 def eta(spark, sf_dir):
     p = src.packets(spark, sf_dir)
-    return op.time_left(p.select(F.col("rec_id").alias("job"), "seq", (F.col("seq") * 10).alias("at"), F.when(F.col("seq") % 25 < 12, "copy").otherwise("make").alias("phase"), (F.col("seq") * 7 % 130 - 10).cast("double").alias("percent")))
+    return op.time_left(p.select(F.col("rec_id").alias("job"), "seq", (F.col("seq") * 10).alias("at"), F.when(F.col("seq") % 25 < 12, "copy").when(F.col("seq") % 2 == 0, "crop").otherwise("recode_full").alias("phase"), F.when(F.col("seq") % 19 > 0, (F.col("seq") * 7 % 130 - 10).cast("double")).alias("percent")))
 
 
 def cache_keys(spark, sf_dir):
@@ -125,12 +126,12 @@ ORACLES = {
     "queue_merge": f"WITH {_JOBS} SELECT id, 'disk-' || status AS status, ord, 'disk' AS origin FROM j WHERE id % 3 <> 0 AND id % 5 >= 3 AND id % 7 <> 0 UNION ALL SELECT id, status, ord, 'mine' FROM j WHERE id % 5 < 3",
     "queue_counts": f"WITH {_JOBS} SELECT status, count(*) AS n, min(ord) AS first_ord FROM j GROUP BY status",
     "queue_cleared": f"WITH {_JOBS} SELECT owner, id, CASE status WHEN 'held' THEN 'queued' ELSE status END AS status, row_number() OVER (PARTITION BY owner ORDER BY ord) - 1 AS ord FROM j WHERE status <> 'done'",
-    "job_outcomes": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'failed' WHEN o_orderkey % 9 = 0 THEN 'review' WHEN o_orderkey % 1000 < (o_orderkey % 1000 + o_orderkey % 31 - 5) * 0.98 THEN 'review' ELSE 'done' END AS outcome FROM orders",
+    "job_outcomes": "WITH j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN ['failed', 'no source recorded'] WHEN o_orderkey % 13 = 0 THEN ['failed', 'source not found'] WHEN o_orderkey % 7 = 0 THEN ['review', 'no readable video'] WHEN o_orderkey % 9 = 0 THEN ['failed', 'export'] WHEN o_orderkey % 5 = 0 THEN ['review', 'sound'] WHEN o_orderkey % 4 = 0 THEN ['review', 'recode'] ELSE ['done', ''] END AS x FROM orders) SELECT id, x[1] AS outcome, x[2] AS reason FROM j",
     "settled_files": f"WITH {_FILES} SELECT path FROM f WHERE {NOW} - mtime >= 1200",
     "watch_states": f"WITH {_FILES} SELECT path, CASE WHEN page_id % 4 = 0 THEN 'ignored' WHEN page_id % 6 = 0 THEN 'processed' WHEN mtime IS NULL OR {NOW} - mtime < 1800 THEN 'unsettled' ELSE 'ready' END AS state FROM f",
     "processed_prune": f"WITH {_FILES}, l AS (SELECT path, root, page_id, CASE WHEN page_id % 5 < 2 THEN {NOW} - page_id * 1000 END AS since, min(page_id) OVER (PARTITION BY root) % 3 > 0 AS reach FROM f), a AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'keep' WHEN NOT reach THEN 'unreachable' WHEN {NOW} - coalesce(since, {NOW}) >= 86400 THEN 'forget' ELSE 'wait' END AS action FROM l) SELECT path, CAST(coalesce(CASE action WHEN 'wait' THEN coalesce(since, {NOW}) WHEN 'unreachable' THEN since END, -1) AS BIGINT) AS missing_since, action FROM a",
     "stale_patterns": f"WITH {_SEEN} SELECT pattern, CAST(seen AS VARCHAR) AS seen, CAST(greatest(0, (1997 * 12 + 3) - (year(seen) * 12 + month(seen)) - CASE WHEN 31 < day(seen) THEN 1 ELSE 0 END) AS BIGINT) AS age FROM s WHERE seen < DATE '1996-02-29'",
-    "eta": with_tables("packets", "WITH p AS (SELECT rec_id AS job, seq, seq * 10 AS clock, CASE WHEN seq % 25 < 12 THEN 'copy' ELSE 'make' END AS phase, (seq * 7 % 130 - 10)::DOUBLE AS percent FROM packets), n AS (SELECT *, CASE WHEN phase = lag(phase) OVER (PARTITION BY job ORDER BY seq) THEN 0 ELSE 1 END AS new FROM p), r AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM n), b AS (SELECT *, min(CASE WHEN percent > 0 THEN clock END) OVER (PARTITION BY job, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS begin FROM r) SELECT job, seq, CASE WHEN percent > 0 AND percent < 100 AND begin IS NOT NULL THEN round((clock - begin) / (percent / 100) - (clock - begin), 3) ELSE -1.0 END AS \"left\" FROM b"),
+    "eta": with_tables("packets", "WITH p AS (SELECT rec_id AS job, seq, seq * 10 AS clock, seq % 25 >= 12 AS own, CASE WHEN seq % 19 > 0 THEN (seq * 7 % 130 - 10)::DOUBLE END AS percent FROM packets), r AS (SELECT *, count(*) FILTER (percent >= 0 AND NOT own) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run, min(CASE WHEN percent > 0 THEN clock END) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS start FROM p), b AS (SELECT *, clock - CASE WHEN own THEN min(CASE WHEN own AND percent > 0 THEN clock END) OVER (PARTITION BY job, run ORDER BY seq ROWS UNBOUNDED PRECEDING) ELSE start END AS el FROM r), l AS (SELECT job, seq, CASE WHEN percent IS NULL THEN NULL WHEN percent > 0 AND percent < 100 AND el > 0 THEN greatest(0, round(el / (percent / 100) - el, 3)) ELSE -1.0 END AS own_left FROM b) SELECT job, seq, coalesce(last_value(own_left IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING), -1.0)::DOUBLE AS \"left\" FROM l"),
     "cache_keys": f"WITH {_FILES} SELECT path, md5(concat_ws('|', path, coalesce(mtime, 0), size, '5')) AS key FROM f",
     "cut_list_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, id AS place, a::DOUBLE AS a, b::DOUBLE AS b FROM cuts UNION ALL SELECT 'r' || rec_id, id + 10000000, a::DOUBLE, b::DOUBLE FROM cuts WHERE id % 7 = 0"),
     "project_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, CASE WHEN rec_id % 2 = 0 THEN a ELSE greatest(0, least(1999, CAST(round_even(round(a / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS start_frame, CASE WHEN rec_id % 2 = 0 THEN b ELSE greatest(0, least(1999, CAST(round_even(round(b / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS end_frame FROM cuts"),

@@ -15,16 +15,20 @@ def _prints(spark, sf_dir):
     return e.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("channel"), F.col("embedding").alias("fp"))
 
 
+def _cards(prints):
+    """The stated query set: every fingerprint whose id is divisible by 50."""
+    return prints.where("id % 50 = 0").select(F.col("id").alias("card"), F.col("fp").alias("card_fp"))
+
+
 def card_distance(spark, sf_dir):
     e = _prints(spark, sf_dir)
-    cards = e.where("id < 10").select(F.col("id").alias("card"), F.col("fp").alias("card_fp"))
-    return op.sightings(e, cards, 0.12)
+    return op.sightings(e, _cards(e), 0.12)
 
 
 def card_sightings(spark, sf_dir):
-    e = _prints(spark, sf_dir).where("id >= 0")
-    cards = e.where("id < 1").select(F.col("fp").alias("card_fp"))
-    seen = e.crossJoin(F.broadcast(cards)).select(F.col("channel").alias("rec_id"), F.col("id").alias("i"), (F.col("id") * 500).alias("t"), (op.mean_l1(F.col("fp"), F.col("card_fp")) < 0.145).alias("on"))
+    e = _prints(spark, sf_dir)
+    met = op.sightings(e, _cards(e), 0.12).where("id <> card").select("id").distinct().withColumn("met", F.lit(True))
+    seen = e.join(met, "id", "left").select(F.col("channel").alias("rec_id"), F.col("id").alias("i"), (F.col("id") * 500).alias("t"), F.coalesce("met", F.lit(False)).alias("on"))
     return runs.consecutive_runs(seen, 500)
 
 
@@ -43,14 +47,17 @@ def pixel_contrast(spark, sf_dir):
 
 
 def compact_masks(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_tax > 0.07")
-    return op.compact(li.select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 11).alias("x"), F.col("l_linenumber").cast("long").alias("y")).distinct(), 11, 9, 1, 0.7, 0.25)
+    li = table(spark, sf_dir, "lineitem")
+    key = F.col("l_suppkey")
+    mask = li.select(key.alias("key"), (F.col("l_partkey") % (key % 7 * 4 + 6) + key % 40).alias("x"), (F.col("l_orderkey") % (key % 5 * 3 + 4) + key % 30).alias("y"))
+    boxes = li.select(key.alias("key")).distinct().selectExpr("key", "key % 5 AS left", "key % 3 AS top", "90 + key % 9 AS w", "60 + key % 11 AS h")
+    return op.compact(mask, boxes)
 
 
 def pixel_cluster(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    s = e.select((F.col("label") % 4).cast("long").alias("key"), F.posexplode(F.slice("embedding", 1, 12)).alias("pixel", "v"), F.col("vec_id").alias("t"))
-    return op.correlated(s.select("key", F.col("pixel").cast("long").alias("pixel"), "t", F.round(F.col("v").cast("double") * 1000).cast("long").cast("double").alias("v")), 0.02)
+    v = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
+    return op.correlated(e.select((F.col("label") % 4).cast("long").alias("key"), F.col("vec_id").alias("t"), v.alias("v")), 0.02)
 
 
 def _records(spark, sf_dir):
@@ -103,12 +110,12 @@ QUERIES = {f.__name__: f for f in (card_distance, card_sightings, card_offsets,
 _DIST = "list_sum(list_transform(list_zip({0}, {1}), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / 64"
 _STORE = "st AS (SELECT p_partkey AS entry, unnest([p_brand, 't:' || p_type, 'k:' || (p_partkey % 400)]) AS alias FROM part WHERE p_partkey % 3 = 0), wa AS (SELECT p_partkey AS id, unnest(['k:' || (p_partkey % 500), 'z:' || p_size]) AS alias FROM part WHERE p_partkey % 3 = 1)"
 ORACLES = {
-    "card_distance": f"SELECT e.vec_id AS id, c.vec_id AS card, round({_DIST.format('e.embedding', 'c.embedding')}, 6) AS distance FROM embeddings e, embeddings c WHERE c.vec_id < 10 AND {_DIST.format('e.embedding', 'c.embedding')} < 0.12",
-    "card_sightings": f"WITH s AS (SELECT e.label::BIGINT AS rec_id, e.vec_id AS i, e.vec_id * 500 AS t, {_DIST.format('e.embedding', 'c.embedding')} < 0.145 AS hit FROM embeddings e, embeddings c WHERE c.vec_id < 1), g AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN hit = lag(hit) OVER (PARTITION BY rec_id ORDER BY i) THEN 0 ELSE 1 END AS ch FROM s)) SELECT rec_id, min(t) AS t0, max(t) + 500 AS t1, count(*) AS n FROM g WHERE hit GROUP BY rec_id, island",
+    "card_distance": f"SELECT e.vec_id AS id, c.vec_id AS card, round({_DIST.format('e.embedding', 'c.embedding')}, 6) AS distance FROM embeddings e, embeddings c WHERE c.vec_id % 50 = 0 AND {_DIST.format('e.embedding', 'c.embedding')} < 0.12",
+    "card_sightings": f"WITH m AS (SELECT DISTINCT e.vec_id FROM embeddings e, embeddings c WHERE c.vec_id % 50 = 0 AND c.vec_id <> e.vec_id AND {_DIST.format('e.embedding', 'c.embedding')} < 0.12), s AS (SELECT label::BIGINT AS rec_id, vec_id AS i, vec_id * 500 AS t, vec_id IN (SELECT vec_id FROM m) AS hit FROM embeddings), g AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN hit = lag(hit) OVER (PARTITION BY rec_id ORDER BY i) THEN 0 ELSE 1 END AS ch FROM s)) SELECT rec_id, min(t) AS t0, max(t) + 500 AS t1, count(*) AS n FROM g WHERE hit GROUP BY rec_id, island",
     "card_offsets": "SELECT user_id AS key, round_even(median(value), 3) AS offset, round_even(max(value) - min(value), 3) AS spread, count(*) AS n FROM events GROUP BY user_id",
     "pixel_contrast": "WITH e AS (SELECT l_returnflag AS key, l_partkey % 160 AS pixel, avg((l_quantity > 25)::INT::DOUBLE) FILTER (l_linestatus = 'O') - avg((l_quantity > 25)::INT::DOUBLE) FILTER (l_linestatus <> 'O') AS raw FROM lineitem GROUP BY ALL), u AS (SELECT key, greatest(0, median(raw)) AS usual FROM e WHERE raw IS NOT NULL GROUP BY key) SELECT key, pixel, round(raw - usual, 6) AS contrast FROM e JOIN u USING (key) WHERE round(raw - usual, 6) >= 0.05",
-    "compact_masks": "WITH m AS (SELECT DISTINCT l_suppkey AS key, l_partkey % 11 AS x, l_linenumber AS y FROM lineitem WHERE l_tax > 0.07), b AS (SELECT key, count(*) AS pixels, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM m WHERE x >= 1 AND x < 10 AND y >= 1 AND y < 8 GROUP BY key) SELECT key, pixels, w * h <= 99 * 0.7 AND pixels >= w * h * 0.25 AS compact FROM b",
-    "pixel_cluster": "WITH s AS (SELECT label::BIGINT % 4 AS key, vec_id AS t, unnest(range(12)) AS pixel, unnest(list_transform(embedding[1:12], lambda x: round(x::DOUBLE * 1000))) AS v FROM embeddings), c AS (SELECT a.key, a.pixel, b.pixel AS p2, round((count(*) * sum(a.v * b.v) - sum(a.v) * sum(b.v)) / sqrt((count(*) * sum(a.v * a.v) - sum(a.v) ** 2) * (count(*) * sum(b.v * b.v) - sum(b.v) ** 2)), 6) AS r FROM s a JOIN s b USING (key, t) GROUP BY a.key, a.pixel, b.pixel), k AS (SELECT * FROM c WHERE r >= 0.02), sd AS (SELECT key, pixel AS seed FROM k GROUP BY key, pixel QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, pixel) = 1) SELECT k.key, p2 AS pixel, seed, r FROM k JOIN sd ON k.key = sd.key AND k.pixel = seed",
+    "compact_masks": "WITH m AS (SELECT DISTINCT l_suppkey AS key, l_partkey % (l_suppkey % 7 * 4 + 6) + l_suppkey % 40 AS x, l_orderkey % (l_suppkey % 5 * 3 + 4) + l_suppkey % 30 AS y FROM lineitem), b AS (SELECT DISTINCT l_suppkey AS key, l_suppkey % 5 AS bl, l_suppkey % 3 AS bt, 90 + l_suppkey % 9 AS w, 60 + l_suppkey % 11 AS h FROM lineitem), i AS (SELECT key, x, y FROM m JOIN b USING (key) WHERE abs(x - bl) > 2 AND abs(x - bl - w + 1) > 2 AND abs(y - bt) > 2 AND abs(y - bt - h + 1) > 2), z AS (SELECT key, count(x) AS pixels, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM b LEFT JOIN i USING (key) GROUP BY key) SELECT key, pixels, CASE WHEN pixels < 4 THEN 'few' WHEN bw > w * 0.25 OR bh > h * 0.25 THEN 'wide' WHEN pixels < bw * bh * 0.25 THEN 'sparse' ELSE 'compact' END AS verdict FROM z JOIN b USING (key)",
+    "pixel_cluster": "WITH s AS (SELECT label::BIGINT % 4 AS key, vec_id AS t, unnest(range(64)) AS pixel, unnest(list_transform(embedding, lambda x: round(x::DOUBLE * 1000))) AS v FROM embeddings), c AS (SELECT a.key, a.pixel, b.pixel AS p2, round((count(*) * sum(a.v * b.v) - sum(a.v) * sum(b.v)) / sqrt((count(*) * sum(a.v * a.v) - sum(a.v) ** 2) * (count(*) * sum(b.v * b.v) - sum(b.v) ** 2)), 6) AS r FROM s a JOIN s b USING (key, t) GROUP BY a.key, a.pixel, b.pixel), k AS (SELECT * FROM c WHERE r >= 0.02), sd AS (SELECT key, pixel AS seed FROM k GROUP BY key, pixel QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, pixel) = 1) SELECT k.key, p2 AS pixel, seed, r FROM k JOIN sd ON k.key = sd.key AND k.pixel = seed",
     "mask_beats": "WITH r AS (SELECT l_suppkey % 20 AS key, l_linenumber::BIGINT AS model, l_partkey % 30 AS project, round(max(l_discount), 4) AS good, CAST(count(*) FILTER (l_tax > 0.07) AS BIGINT) AS bad FROM lineitem GROUP BY ALL), t AS (SELECT a.key, a.model, b.model AS other, sum(a.bad) AS f1, sum(b.bad) AS f2, sum(a.good) AS g1, sum(b.good) AS g2, count(*) AS n FROM r a JOIN r b ON a.key = b.key AND a.project = b.project AND a.model <> b.model GROUP BY ALL) SELECT key, model AS better, other AS worse, n FROM t WHERE f1 < f2 OR (f1 = f2 AND round(g1 - g2, 9) > round(n * 0.01::DOUBLE, 9))",
     "newest_cards": "SELECT label::BIGINT AS channel, vec_id AS \"order\" FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 4",
     "store_by_alias": f"WITH {_STORE} SELECT id, min(entry) AS entry FROM wa JOIN st USING (alias) GROUP BY id",

@@ -108,7 +108,7 @@ ORACLES = {
     "multi_level_support": with_tables("samples", f"WITH {_RARE}, {_ALL_LEVELS}, {_sustained('lv', 'level', 'rec_id, level')}, {_runs('r', 'sus', 'NOT held', GAP, 12 * HOUR, 'rec_id, level')}, c AS (SELECT DISTINCT rec_id, t0, t1 FROM r) SELECT c.rec_id, c.t0, c.t1, count(DISTINCT level) AS support FROM c JOIN r ON c.rec_id = r.rec_id AND least(c.t1, r.t1) - greatest(c.t0, r.t0) > (c.t1 - c.t0) * 0.5 GROUP BY ALL HAVING count(DISTINCT level) >= 3"),
     "merge_absence": with_tables("samples", f"WITH {_RARE}, g AS (SELECT rec_id, min(i) AS a, max(i) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY t, i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY rec_id ORDER BY t, i) <= {8 * HOUR} THEN 0 ELSE 1 END AS new FROM rare WHERE NOT \"on\")) GROUP BY rec_id, run) SELECT rec_id, i, NOT EXISTS (SELECT 1 FROM g WHERE g.rec_id = r.rec_id AND r.i BETWEEN a AND b) AS present FROM rare r"),
     "anchor_gaps": with_tables("samples", f"WITH {_RARE}, {_runs('r', 'rare', 'NOT \"on\"', 12 * HOUR, 6 * HOUR)} SELECT * FROM (SELECT rec_id, t1 AS a, lead(t0) OVER (PARTITION BY rec_id ORDER BY t0, t1) AS b FROM r) WHERE b > a"),
-    "junction_mask": with_tables("samples", f"WITH {_RARE}, f AS (SELECT rec_id, t FROM (SELECT *, lag(\"on\") OVER (PARTITION BY rec_id ORDER BY t, i) AS was FROM rare) WHERE was <> \"on\") SELECT rec_id, i, NOT \"on\" AND EXISTS (SELECT 1 FROM f WHERE f.rec_id = r.rec_id AND abs(f.t - r.t) <= {2 * HOUR}) AS junction FROM rare r"),
+    "junction_mask": with_tables("samples", f"WITH {_RARE}, f AS (SELECT rec_id, t FROM (SELECT *, lead(\"on\") OVER (PARTITION BY rec_id ORDER BY t, i) AS next FROM rare) WHERE next <> \"on\") SELECT rec_id, i, NOT \"on\" AND EXISTS (SELECT 1 FROM f WHERE f.rec_id = r.rec_id AND abs(f.t - r.t) <= {2 * HOUR}) AS junction FROM rare r"),
     "bucket_mode": with_tables("samples", _mode(40)),
     "plain_mode": with_tables("samples", _mode(1)),
     "weighted_mode": with_tables("samples", "WITH g AS (SELECT *, lead(t) OVER (PARTITION BY rec_id ORDER BY t, i) - t AS gap FROM samples), w AS (SELECT *, coalesce(gap, lag(gap) OVER (PARTITION BY rec_id ORDER BY t, i), 1) AS weight FROM g) SELECT rec_id, aspect AS mode, CAST(sum(weight) AS BIGINT) AS weight FROM w GROUP BY rec_id, aspect QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY sum(weight) DESC, min(t), min(i)) = 1"),

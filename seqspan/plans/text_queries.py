@@ -55,7 +55,7 @@ def timecodes(spark, sf_dir):
     k = F.col("o_orderkey")
     frame, text = k * 37, F.format_string("%02d:%02d:%02d.%02d", k % 30, k % 60, k % 59, k % 25)
     return o.select(
-        k.alias("id"), timecode.frame_timecode(frame, 25).alias("code"), timecode.seconds_timecode(k * 0.97, 25).alias("from_seconds"), timecode.parse_timecode(text, 25).alias("parsed"),
+        k.alias("id"), timecode.frame_timecode(frame, 25).alias("code"), timecode.seconds_timecode(k * 0.97 - 2, 25).alias("from_seconds"), timecode.parse_timecode(text, 25).alias("parsed"),
         timecode.parse_timecode(k.cast("string"), 25).alias("short"), F.coalesce(timecode.parse_timecode(F.concat(F.lit("x"), text), 25), F.lit(-1).cast("long")).alias("bad"), timecode.ticks(k / 7.0 - 3).alias("ticks"), timecode.clock_text(k).alias("clock"),
     )
 
@@ -69,14 +69,15 @@ def time_exprs(spark, sf_dir):
 
 def human_sizes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("id"), timecode.human_size(F.col("c_custkey") * F.col("c_custkey") * 2018 + 1).alias("size"))
+    z = F.pow("c_custkey", F.lit(4)).cast("long") * 3 + 1
+    return c.select(F.col("c_custkey").alias("id"), timecode.human_size(z).alias("size"), timecode.media_size(z).alias("media"))
 
 
 def version_compare(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    v = F.format_string("v%d.%d.%d", k % 4, k % 3, k % 5)
-    return c.select(k.alias("id"), F.array_join(names.version(v), ".").alias("version"), (names.version(v) > names.version(F.lit("2.1"))).alias("newer"))
+    v = F.when(k % 7 == 0, F.concat(F.lit("release "), k % 9)).when(k % 2 == 0, F.format_string("v%d.%d", k % 4, k % 3)).otherwise(F.format_string("v%d.%d.%d-beta%d.5", k % 4, k % 3, k % 5, k % 6))
+    return c.select(k.alias("id"), F.coalesce(F.array_join(names.version(v), "."), F.lit("")).alias("version"), names.is_newer(v, F.lit("2.1.0")).alias("newer"))
 
 
 def show_groups(spark, sf_dir):
@@ -92,17 +93,26 @@ def episode_join(spark, sf_dir):
     return out.select("id", F.coalesce("title", F.lit("")).alias("title"), "note")
 
 
+def _patterns(spark, sf_dir):
+    p, k, name = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_name")
+    piece = (
+        F.when(k % 5 == 0, F.concat(F.lit("*"), F.substring(name, -2, 2))).when(k % 5 == 1, "# note").when(k % 25 == 2, "*").when(k % 25 == 7, F.concat(F.lit(" *  "), F.substring(name, 2, 3)))
+        .when(k % 25 == 12, "  ").otherwise(F.upper(F.substring(name, 1, 4)))
+    )
+    return p.select(piece.alias("pattern")).distinct()
+
+
 def ignore_match(spark, sf_dir):
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    few = table(spark, sf_dir, "part").where("p_partkey < 10")
-    listed = few.select(F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("*"), F.substring("p_name", -2, 2))).when(F.col("p_partkey") % 5 == 1, "# note").otherwise(F.upper(F.substring("p_name", 1, 4))).alias("pattern")).distinct()
-    return op.ignored(files, listed)
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/watched/a b/"), "p_name").alias("name"))
+    listed = _patterns(spark, sf_dir)
+    mode = lambda anywhere: op.ignored(files, listed, anywhere).withColumn("anywhere", F.lit(anywhere))
+    return mode(False).unionByName(mode(True))
 
 
 def settings_pick(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
-    settings = table(spark, sf_dir, "part").where("p_partkey <= 40").groupBy(F.substring_index("p_type", " ", -1).alias("setting")).agg(F.min("p_partkey").alias("order"))
-    return op.longest_name_held(files, settings.where("length(setting) > 2"), "default")
+    settings = table(spark, sf_dir, "part").groupBy(F.substring_index("p_type", " ", -1).alias("setting")).agg(F.min("p_partkey").alias("order"))
+    return op.longest_name_held(files, settings.where("length(setting) > 4"), "default")
 
 
 def dest_paths(spark, sf_dir):
@@ -114,14 +124,14 @@ def dest_paths(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (parse_filename, render_path, combine_titles, timecodes, time_exprs, human_sizes, version_compare, show_groups, episode_join, ignore_match, settings_pick, dest_paths)}
 
 ORACLES = {
-    "timecodes": "SELECT o_orderkey AS id, printf('%02d:%02d:%02d.%02d', (o_orderkey * 37) // 90000, (o_orderkey * 37) // 1500 % 60, (o_orderkey * 37) // 25 % 60, (o_orderkey * 37) % 25) AS code, printf('%02d:%02d:%02d.%02d', s // 90000, s // 1500 % 60, s // 25 % 60, s % 25) AS from_seconds, ((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59) * 25 + o_orderkey % 25 AS parsed, (o_orderkey // 1000000 * 3600 + o_orderkey // 10000 % 100 * 60 + o_orderkey // 100 % 100) * 25 + o_orderkey % 100 AS short, -1::BIGINT AS bad, greatest(0, CAST(round_even((o_orderkey / 7.0::DOUBLE - 3) * 10000000, 0) AS BIGINT)) AS ticks, CASE WHEN o_orderkey >= 3600 THEN printf('%d:%02d:%02d', o_orderkey // 3600, o_orderkey // 60 % 60, o_orderkey % 60) ELSE printf('%d:%02d', o_orderkey // 60, o_orderkey % 60) END AS clock FROM (SELECT o_orderkey, CAST(round_even(o_orderkey * 0.97::DOUBLE * 25, 0) AS BIGINT) AS s FROM orders)",
+    "timecodes": "SELECT o_orderkey AS id, printf('%02d:%02d:%02d.%02d', (o_orderkey * 37) // 90000, (o_orderkey * 37) // 1500 % 60, (o_orderkey * 37) // 25 % 60, (o_orderkey * 37) % 25) AS code, printf('%02d:%02d:%02d.%02d', (w + c) // 3600, (w + c) // 60 % 60, (w + c) % 60, CASE WHEN c = 1 THEN 0 ELSE f END) AS from_seconds, ((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59) * 25 + o_orderkey % 25 AS parsed, (o_orderkey // 1000000 * 3600 + o_orderkey // 10000 % 100 * 60 + o_orderkey // 100 % 100) * 25 + o_orderkey % 100 AS short, -1::BIGINT AS bad, greatest(0, CAST(round_even((o_orderkey / 7.0::DOUBLE - 3) * 10000000, 0) AS BIGINT)) AS ticks, CASE WHEN o_orderkey >= 3600 THEN printf('%d:%02d:%02d', o_orderkey // 3600, o_orderkey // 60 % 60, o_orderkey % 60) ELSE printf('%d:%02d', o_orderkey // 60, o_orderkey % 60) END AS clock FROM (SELECT *, CASE WHEN f >= 25 THEN 1 ELSE 0 END AS c FROM (SELECT o_orderkey, CAST(floor(s) AS BIGINT) AS w, CAST(round_even((s - floor(s)) * 25, 0) AS BIGINT) AS f FROM (SELECT o_orderkey, greatest(0, o_orderkey * 0.97::DOUBLE - 2) AS s FROM orders)))",
     "time_exprs": "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 40000 WHEN 2 THEN CASE WHEN o_orderkey % 100 = 0 THEN 40000 ELSE 40000 - o_orderkey % 100 END WHEN 3 THEN o_orderkey % 9 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 60 + 0.5 WHEN 4 THEN o_orderkey % 90 * 60 + o_orderkey % 60 ELSE o_orderkey % 1000 END * 1000 AS BIGINT) AS ms FROM orders",
-    "human_sizes": "SELECT c_custkey AS id, CASE WHEN z < 1024 THEN printf('%d B', z) WHEN z < 1048576 THEN printf('%.1f KB', z / 1024.0::DOUBLE) WHEN z < 1073741824 THEN printf('%.1f MB', z / 1048576.0::DOUBLE) ELSE printf('%.2f GB', z / 1073741824.0::DOUBLE) END AS size FROM (SELECT c_custkey, c_custkey * c_custkey * 2018 + 1 AS z FROM customer)",
-    "version_compare": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN concat_ws('.', c_custkey % 4, c_custkey % 3, c_custkey % 5) WHEN c_custkey % 3 > 0 THEN concat_ws('.', c_custkey % 4, c_custkey % 3) WHEN c_custkey % 4 > 0 THEN (c_custkey % 4)::VARCHAR ELSE '' END AS version, (c_custkey % 4, c_custkey % 3, c_custkey % 5) > (2, 1, 0) AS newer FROM customer",
+    "human_sizes": "SELECT c_custkey AS id, CASE WHEN z < 1024 THEN printf('%d bytes', z) WHEN z < 1048576 THEN printf('%.1f KB', z / 1024.0::DOUBLE) WHEN z < 1073741824 THEN printf('%.1f MB', z / 1048576.0::DOUBLE) WHEN z < 1099511627776 THEN printf('%.1f GB', z / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', z / 1099511627776.0::DOUBLE) END AS size, CASE WHEN z >= 1073741824 THEN printf('%.3f GB', z / 1073741824.0::DOUBLE) WHEN z >= 1048576 THEN printf('%.3f MB', z / 1048576.0::DOUBLE) ELSE printf('%.1f KB', z / 1024.0::DOUBLE) END AS media FROM (SELECT c_custkey, c_custkey * c_custkey * c_custkey * c_custkey * 3 + 1 AS z FROM customer)",
+    "version_compare": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN concat_ws('.', c_custkey % 4, c_custkey % 3, 0) ELSE concat_ws('.', c_custkey % 4, c_custkey % 3, c_custkey % 5) END AS version, c_custkey % 7 > 0 AND (c_custkey % 4, c_custkey % 3, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE c_custkey % 5 END) > (2, 1, 0) AS newer FROM customer",
     "show_groups": "SELECT regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key, count(*) AS n, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE replace(p_type, ' ', '-') END, p_partkey) AS first_name FROM part GROUP BY key",
     "episode_join": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE '' END AS title, CASE WHEN p_partkey % 3 > 0 THEN '' ELSE 'no title' END AS note FROM part",
-    "ignore_match": "WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN '*' || right(p_name, 2) WHEN p_partkey % 5 = 1 THEN '# note' ELSE upper(left(p_name, 4)) END AS pattern FROM part WHERE p_partkey < 10) SELECT p_partkey AS id, pattern FROM part, l WHERE pattern <> '# note' AND CASE WHEN starts_with(pattern, '*') THEN contains(lower(p_name), lower(substr(pattern, 2))) ELSE starts_with(lower(p_name), lower(pattern)) END",
-    "settings_pick": "WITH s AS (SELECT string_split(p_type, ' ')[-1] AS setting, min(p_partkey) AS o FROM part WHERE p_partkey <= 40 GROUP BY ALL HAVING length(setting) > 2) SELECT p_partkey AS id, coalesce((SELECT setting FROM s WHERE contains(lower(p_type), lower(setting)) ORDER BY length(setting) DESC, o LIMIT 1), 'default') AS setting FROM part",
+    "ignore_match": "WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN '*' || right(p_name, 2) WHEN p_partkey % 5 = 1 THEN '# note' WHEN p_partkey % 25 = 2 THEN '*' WHEN p_partkey % 25 = 7 THEN ' *  ' || substr(p_name, 2, 3) WHEN p_partkey % 25 = 12 THEN '  ' ELSE upper(left(p_name, 4)) END AS pattern FROM part), w AS (SELECT pattern, starts_with(trim(pattern), '*') AS star, lower(CASE WHEN starts_with(trim(pattern), '*') THEN trim(substr(trim(pattern), 2)) ELSE trim(pattern) END) AS needle FROM l WHERE NOT starts_with(trim(pattern), '#')), m AS (SELECT unnest([true, false]) AS anywhere) SELECT p_partkey AS id, pattern, anywhere FROM part, w, m WHERE needle <> '' AND CASE WHEN star OR anywhere THEN contains(lower(p_name), needle) ELSE starts_with(lower(p_name), needle) END",
+    "settings_pick": "WITH s AS (SELECT string_split(p_type, ' ')[-1] AS setting, min(p_partkey) AS o FROM part GROUP BY ALL HAVING length(setting) > 4) SELECT p_partkey AS id, coalesce((SELECT setting FROM s WHERE contains(lower(p_type), lower(setting)) ORDER BY length(setting) DESC, o LIMIT 1), 'default') AS setting FROM part",
     "dest_paths": "WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_type || '-cut' ELSE 'New ' || p_type END AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b) SELECT id, '/out/' || base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.mkv' AS path FROM n",
     "combine_titles": "WITH t AS (SELECT p_partkey AS id, p_name AS a, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE p_name || ' Again' END AS b FROM part) SELECT id, CASE WHEN a = b THEN a ELSE a || ' & ' || b END || ' & Part 1' AS title FROM t",
     "render_path": "WITH m AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN 1990 + p_partkey % 30 END AS year, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 4 END AS season, CASE WHEN p_partkey % 2 = 0 THEN printf('%02d-%02d', p_partkey % 20, p_partkey % 20 + 1) ELSE printf('%02d', p_partkey % 9) END AS ez, CASE WHEN p_partkey % 6 > 0 THEN 'What ' || p_type || ' end.' ELSE '' END AS title, CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END AS mid FROM part) SELECT k AS id, name || CASE WHEN year IS NOT NULL THEN ' (' || year || ')' ELSE '' END || '/' || CASE WHEN season IS NULL THEN 'Season' WHEN season = 0 THEN 'Specials' ELSE 'Season ' || season END || '/' || regexp_replace(name || ' - S' || coalesce(printf('%02d', season), '') || 'E' || ez || ' - ' || title || ' [' || mid || ']', '\\s+', ' ', 'g') AS path FROM m",
