@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .intervals import overlapping
+from .walks import by_group, islands
+
 
 def _near(left: DataFrame, right: DataFrame, lo: str, hi: str, window: int, width: int) -> DataFrame:
     """Keys of ``left`` (rec_id, id, lo, hi) that come within ``window`` of a row of ``right`` (rec_id, t0, t1): bucketed semi join."""
@@ -36,29 +40,34 @@ def coincidences(signals: DataFrame, window: int) -> DataFrame:
     """rec_id, t2, score: all instants of evidence (t2 is twice the time).
 
     A silence stands by itself (0.6, with a scene change 1.0) if its middle is not within ``window`` of any event, silences
-    taken before it among them.  That depends on the order of the silences, so they are walked one recording at a time.
+    taken before it among them.  That depends on the order of the silences, but only within a stretch in which neighbours are
+    that near; each stretch is walked by itself.
     """
-    black = black_events(signals, window).select("rec_id", F.col("mid2").alias("t2"), "score", F.lit(-1).cast("long").alias("order"))
+    black = black_events(signals, window).select("rec_id", F.col("mid2").alias("t2"), "score", F.lit(-1).cast("long").alias("t0"), F.lit(-1).cast("long").alias("id"))
     silence = signals.where("kind = 'silence'").select("rec_id", "id", (F.col("t0") + F.col("t1")).alias("mid2"), "t0")
     flagged = silence.withColumns({"lo": F.floor(F.col("mid2") / 2).cast("long"), "hi": F.ceil(F.col("mid2") / 2).cast("long")})
     scene = _near(flagged, signals.where("kind = 'scene'").withColumn("t1", F.col("t0")), "lo", "hi", window, 1 << 20).withColumn("cut", F.lit(True))
-    order = F.row_number().over(W.partitionBy("rec_id").orderBy("t0", "id")).cast("long")
-    alone = silence.join(scene, ["rec_id", "id"], "left").select("rec_id", F.col("mid2").alias("t2"), F.when(F.col("cut"), 1.0).otherwise(0.6).alias("score"), order.alias("order"))
+    alone = silence.join(scene, ["rec_id", "id"], "left").select("rec_id", F.col("mid2").alias("t2"), F.when(F.col("cut"), 1.0).otherwise(0.6).alias("score"), "t0", "id")
+    rows = black.withColumn("kind", F.lit(0)).unionByName(alone.withColumn("kind", F.lit(1)))
+    rows = islands(rows, ["rec_id"], ["t2", "kind"], lambda far: F.col("t2") - far > 2 * window, "t2").select("rec_id", "island", "kind", "t0", "id", "t2", "score")
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        taken: list[int] = []
+        for kind, _, _, t2, score in part:
+            at = bisect_left(taken, t2 - 2 * window)
+            if kind and at < len(taken) and taken[at] <= t2 + 2 * window:
+                continue
+            insort(taken, t2)
+            yield key[0], t2, score
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+    return by_group(rows, ["rec_id", "island"], ["kind", "t0", "id"], walk, "rec_id long, t2 long, score double")
 
-        taken = sorted(part.loc[part["order"] < 0, "t2"])
-        keep = list(part.index[part["order"] < 0])
-        for row in part[part["order"] >= 0].sort_values("order").itertuples():
-            at = bisect.bisect_left(taken, row.t2 - 2 * window)
-            if at < len(taken) and taken[at] <= row.t2 + 2 * window:
-                continue
-            bisect.insort(taken, row.t2)
-            keep.append(row.Index)
-        return part.loc[keep, ["rec_id", "t2", "score"]]
 
-    return black.unionByName(alone).groupBy("rec_id").applyInPandas(walk, "rec_id long, t2 long, score double")
+def _in_reach(brackets: DataFrame, points: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
+    """Brackets with the points (rec_id, t, score) in [lo, hi]: an equality join on recording and bucket."""
+    spread = brackets.withColumns({"from": lo, "to": hi}).where("to >= from")
+    spread = spread.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from") / width).cast("long"), F.floor(F.col("to") / width).cast("long"))))
+    return spread.join(points.withColumn("bucket", F.floor(F.col("t") / width).cast("long")), ["rec_id", "bucket"]).where("t BETWEEN from AND to")
 
 
 def refine_edges(brackets: DataFrame, events: DataFrame, search: int, slack: int, cost: float) -> DataFrame:
@@ -69,8 +78,8 @@ def refine_edges(brackets: DataFrame, events: DataFrame, search: int, slack: int
     """
 
     def edge(at: str, back: int, ahead: int, time: str, score: str) -> DataFrame:
-        inside = (F.col("t") >= F.col(at) - back) & (F.col("t") <= F.col(at) + ahead) & (F.col("t") >= F.col("lo") - slack) & (F.col("t") <= F.col("hi") + slack)
-        seen = brackets.select("rec_id", "id", "lo", "hi").join(events, "rec_id").where(inside)
+        lo, hi = F.greatest(F.col(at) - back, F.col("lo") - slack), F.least(F.col(at) + ahead, F.col("hi") + slack)
+        seen = _in_reach(brackets.select("rec_id", "id", "lo", "hi"), events, lo, hi, max(1, back + ahead))
         worth = F.round(F.col("score") - F.abs(F.col("t") - F.col(at)) * cost, 9)
         best = F.min(F.struct((-worth).alias("w"), "t", "score"))
         return seen.groupBy("rec_id", "id").agg(best.alias("x")).select("rec_id", "id", F.col("x.t").alias(time), F.col("x.score").alias(score))
@@ -115,18 +124,28 @@ def judged(refined: DataFrame, ends: DataFrame, rules: BreakRules) -> DataFrame:
 def choose(candidates: DataFrame) -> DataFrame:
     """rec_id, a, b: greedy choice without overlap by support, evidence, and then the later start and end.
 
-    ``candidates`` has rec_id, support, evidence, a, b.  What is taken depends on what was taken before, so a recording's
-    candidates are walked together.
+    ``candidates`` has rec_id, support, evidence, a, b.  What is taken depends on what was taken before, but only among
+    candidates that overlapping ones connect: each such stretch of a recording is walked by itself, and what is taken of it is
+    kept in order.
     """
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple] = []
-        for row in part.sort_values(["support", "evidence", "a", "b"], ascending=False).itertuples():
-            if all(min(row.b, d) - max(row.a, c) <= 0 for c, d in taken):
-                taken.append((row.a, row.b))
-        return pd.DataFrame([(part["rec_id"].iloc[0], a, b) for a, b in sorted(taken)], columns=["rec_id", "a", "b"])
-
-    return candidates.select("rec_id", "support", "evidence", "a", "b").groupBy("rec_id").applyInPandas(walk, "rec_id long, a long, b long")
+    rows = candidates.select("rec_id", "support", "evidence", "a", "b")
+    rows = islands(rows, ["rec_id"], ["a", "b"], lambda far: F.col("a") >= far, "b")
+    ranked = rows.select("rec_id", "island", (-F.col("support")).alias("s"), (-F.col("evidence")).alias("e"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        starts: list[int] = []
+        ends: list[int] = []
+        for _, _, x, y in part:
+            a, b = -x, -y
+            if b > a:
+                at = bisect_left(starts, b)  # those before it start early enough to meet this one
+                if at and ends[at - 1] > a:
+                    continue
+                starts.insert(at, a)
+                ends.insert(at, b)
+            yield key[0], a, b
+
+    return by_group(ranked, ["rec_id", "island"], ["s", "e", "x", "y"], walk, "rec_id long, a long, b long")
 
 
 def snap_to_ends(breaks: DataFrame, ends: DataFrame, slack: int) -> DataFrame:
@@ -159,19 +178,22 @@ def density_brackets(events: DataFrame, strong: float, shortest: int, longest: i
     return pairs.where(inside / length >= density).select("rec_id", "lo", "hi", inside.alias("inside"))
 
 
-def disagreements(brackets: DataFrame, marks: DataFrame, ends: DataFrame, threshold: float, edge: int) -> DataFrame:
+def disagreements(brackets: DataFrame, marks: DataFrame, ends: DataFrame, threshold: float, edge: int, width: int = 64) -> DataFrame:
     """Adds ``covered`` and ``dropped``: whether marks (rec_id, t0, t1) cover more than ``threshold`` of a bracket away from the ends."""
-    on = F.greatest(F.lit(0), F.least("t1", "hi") - F.greatest("t0", "lo"))
-    summed = brackets.join(marks, "rec_id").groupBy("rec_id", "id").agg(F.sum(on).alias("covered"))
+    named = brackets.select("rec_id", "id", F.col("lo").alias("start_f"), F.col("hi").alias("end_f")).where("end_f > start_f")
+    pairs = overlapping(named, marks.select("rec_id", F.col("t0").alias("start_f"), F.col("t1").alias("end_f")).where("end_f > start_f"), width)
+    summed = pairs.groupBy("rec_id", "id").agg(F.sum(F.least("e", "end_f") - F.greatest("s", "start_f")).alias("covered"))
     rows = brackets.join(summed, ["rec_id", "id"], "left").join(ends, "rec_id").withColumn("covered", F.coalesce("covered", F.lit(0)))
     free = (F.col("hi") <= F.col("lo")) | (F.col("lo") <= edge) | (F.col("hi") >= F.col("finish") - edge)
     return rows.withColumn("dropped", ~free & (F.col("covered") > (F.col("hi") - F.col("lo")) * threshold))
 
 
-def without_overlap(brackets: DataFrame, others: DataFrame, share: float = 0.0) -> DataFrame:
+def without_overlap(brackets: DataFrame, others: DataFrame, share: float = 0.0, width: int = 64) -> DataFrame:
     """Brackets that no row of ``others`` (rec_id, c, d) overlaps by more than ``share`` of the bracket."""
-    common = F.least(F.col("hi"), F.col("d")) - F.greatest(F.col("lo"), F.col("c"))
-    hit = brackets.join(others, "rec_id").where((common > 0) & (common > (F.col("hi") - F.col("lo")) * share)).select("rec_id", "id").distinct()
+    named = brackets.select("rec_id", "id", F.col("lo").alias("start_f"), F.col("hi").alias("end_f")).where("end_f > start_f")
+    pairs = overlapping(named, others.select("rec_id", F.col("c").alias("start_f"), F.col("d").alias("end_f")).where("end_f > start_f"), width)
+    common = F.least("e", "end_f") - F.greatest("s", "start_f")
+    hit = pairs.where((common > 0) & (common > (F.col("end_f") - F.col("start_f")) * share)).select("rec_id", "id").distinct()
     return brackets.join(hit, ["rec_id", "id"], "left_anti")
 
 
@@ -193,26 +215,32 @@ def sweep_tail(breaks: DataFrame, brackets: DataFrame, ends: DataFrame, tail: in
 def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
     """rec_id, a, b, c, d: each true break, in order, with the found one that overlaps it most (over half of it) and is still free.
 
-    Of equals the first.  Without one, c and d are -1.  What is free depends on the matches before.
+    Of equals the first.  Without one, c and d are -1.  What is free depends on the matches before, but only among breaks that
+    overlaps connect: each such stretch of a recording is walked by itself.
     """
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        true, offered = part[part["kind"] == 0].sort_values(["a", "b"]), part[part["kind"] == 1].sort_values(["a", "b"])
-        free = list(offered[["a", "b"]].itertuples(index=False, name=None))
-        out = []
-        for row in true.itertuples():
-            best, most = None, 0.5 * (row.b - row.a)
-            for c, d in free:
-                common = min(row.b, d) - max(row.a, c)
+    rows = truth.select("rec_id", "a", "b", F.lit(1).alias("kind")).unionByName(found.select("rec_id", "a", "b", F.lit(0).alias("kind")))
+    rows = islands(rows, ["rec_id"], ["a", "b", "kind"], lambda far: F.col("a") >= far, "b").select("rec_id", "island", "kind", "a", "b")
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        free: list[tuple[int, int]] = []
+        longest = 0
+        for kind, a, b in part:
+            if not kind:
+                free.append((a, b))
+                longest = max(longest, b - a)
+                continue
+            best, most = None, 0.5 * (b - a)
+            # the found ones come in order: those that can meet this one begin between a - longest and b
+            for at in range(bisect_left(free, (a - longest,)), len(free)):
+                c, d = free[at]
+                if c >= b:
+                    break
+                common = min(b, d) - max(a, c)
                 if common > most:
-                    best, most = (c, d), common
-            if best:
-                free.remove(best)
-            out.append((row.rec_id, row.a, row.b, *(best or (-1, -1))))
-        return pd.DataFrame(out, columns=["rec_id", "a", "b", "c", "d"])
-
-    rows = truth.select("rec_id", "a", "b", F.lit(0).alias("kind")).unionByName(found.select("rec_id", "a", "b", F.lit(1).alias("kind")))
-    return rows.groupBy("rec_id").applyInPandas(walk, "rec_id long, a long, b long, c long, d long")
+                    best, most = at, common
+            yield (key[0], a, b, *(free.pop(best) if best is not None else (-1, -1)))
+
+    return by_group(rows, ["rec_id", "island"], ["kind", "a", "b"], walk, "rec_id long, a long, b long, c long, d long")
 
 
 def score_summary(pairs: DataFrame, found: DataFrame, near: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .walks import by_group
+
 
 def carry_null_bytes(packets: DataFrame) -> DataFrame:
     """rec_id, pts, bytes, is_key: a packet without pts adds its bytes to the next one with pts; trailing ones are dropped."""
@@ -120,8 +124,9 @@ def clock_jumps(index: DataFrame, threshold: int) -> DataFrame:
 
 def jumped_lengths(spans: DataFrame, jumps: DataFrame) -> DataFrame:
     """rec_id, k, s, e, jumped, out_length, out_start: spans (rec_id, k, s, e) shortened by the jumps strictly inside, laid end to end."""
-    inside = spans.join(jumps, "rec_id").where((F.col("split2") > F.col("s") * 2) & (F.col("split2") < F.col("e") * 2))
-    total = inside.groupBy("rec_id", "k").agg(F.sum("amount").alias("jumped"))
+    from .segments import jumps_inside
+
+    total = jumps_inside(spans, jumps).groupBy("rec_id", "k").agg(F.sum("amount").alias("jumped"))
     out = spans.join(total, ["rec_id", "k"], "left").withColumn("jumped", F.coalesce("jumped", F.lit(0)))
     out = out.withColumn("out_length", F.col("e") - F.col("s") - F.col("jumped"))
     before = F.sum("out_length").over(W.partitionBy("rec_id").orderBy("s", "k").rowsBetween(W.unboundedPreceding, -1))
@@ -141,22 +146,29 @@ def collapse_field_pairs(index: DataFrame, nominal: int) -> DataFrame:
 
     A recording in which any step is over 0 and under three quarters of ``nominal`` is walked in order: a frame nearer than
     that to the last one kept is merged into it.  What is compared with the last frame kept can't be told from neighbours,
-    so the walk is a fold over each recording's frames.
+    but a step of the limit or more always begins a new frame: only the stretches between such steps are walked, as streams,
+    and recordings without a short step aren't at all.
     """
-    import pandas as pd
-
     limit = nominal * 0.75
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pts", "frame_no"], kind="stable")
-        pts, size, key = part["pts"].to_list(), part["bytes"].to_list(), part["is_key"].to_list()
-        out: list[list] = []
-        gate = any(0 < b - a < limit for a, b in zip(pts, pts[1:], strict=False))
-        for p, s, k in zip(pts, size, key, strict=True):
-            if gate and out and p - out[-1][0] < limit:
-                out[-1][1] += s
-            else:
-                out.append([p, s, k])
-        return pd.DataFrame(out, columns=["pts", "bytes", "is_key"]).assign(rec_id=part["rec_id"].iloc[0])[["rec_id", "pts", "bytes", "is_key"]]
-
-    return index.select("rec_id", "frame_no", "pts", "bytes", "is_key").groupBy("rec_id").applyInPandas(walk, "rec_id long, pts long, bytes long, is_key boolean")
+    w = W.partitionBy("rec_id").orderBy("pts", "frame_no")
+    step = F.col("pts") - F.lag("pts").over(w)
+    rows = index.select("rec_id", "frame_no", "pts", "bytes", "is_key").withColumn("step", step)
+    short = F.max(((F.col("step") > 0) & (F.col("step") < limit)).cast("int")).over(W.partitionBy("rec_id"))
+    new = F.when(F.col("step").isNull() | (F.col("step") >= limit), 1).otherwise(0)
+    rows = rows.withColumn("gate", F.coalesce(short, F.lit(0))).withColumn("stretch", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        kept = None
+        for pts, _, size, is_key in part:
+            if kept is not None and pts - kept[1] < limit:
+                kept[2] += size
+                continue
+            if kept is not None:
+                yield tuple(kept)
+            kept = [key[0], pts, size, is_key]
+        if kept is not None:
+            yield tuple(kept)
+
+    gated = rows.where("gate = 1").select("rec_id", "stretch", "pts", "frame_no", "bytes", "is_key")
+    joined = by_group(gated, ["rec_id", "stretch"], ["pts", "frame_no"], walk, "rec_id long, pts long, bytes long, is_key boolean")
+    return rows.where("gate = 0").select("rec_id", "pts", "bytes", "is_key").unionByName(joined)

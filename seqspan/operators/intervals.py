@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .walks import by_group
+
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Reversed ranges turned round."""
@@ -162,45 +167,50 @@ def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 def edit_log(edits: DataFrame) -> DataFrame:
     """rec_id, ranges, undos, redos after an ordered log of edits: rec_id, seq, action (add, remove, undo, redo), start_f, end_f.
 
-    A fold over each recording's log; a new edit forgets what could be redone.  The state is a stack of snapshots.
+    A fold over each recording's log, read as a stream; a new edit forgets what could be redone, and one that changes nothing
+    isn't noted.  What is held is the ranges as they are, and for each edit the ranges that it took away and put in.
     """
-    import pandas as pd
 
-    def add(ranges: list, s: int, e: int) -> list:
-        out = []
-        for a, b in ranges:
-            if b < s - 1 or a > e + 1:
-                out.append((a, b))
-            else:
-                s, e = min(a, s), max(b, e)
-        return sorted([*out, (s, e)])
-
-    def take(ranges: list, s: int, e: int) -> list:
-        out = []
-        for a, b in ranges:
-            if b < s or a > e:
-                out.append((a, b))
-                continue
-            out += [(a, s - 1)] * (a < s) + [(e + 1, b)] * (b > e)
-        return out
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def apply(ranges: list[tuple[int, int]], gone: list[tuple[int, int]], come: list[tuple[int, int]]) -> None:
+        for r in gone:
+            del ranges[bisect_left(ranges, r)]
+        for r in come:
+            insort(ranges, r)
+
+    def change(ranges: list[tuple[int, int]], action: str, s: int, e: int) -> tuple[list, list]:
+        near = 1 if action == "add" else 0
+        at = bisect_left(ranges, (s - near,))
+        if at and ranges[at - 1][1] >= s - near:
+            at -= 1
+        gone = []
+        while at < len(ranges) and ranges[at][0] <= e + near:
+            gone.append(ranges[at])
+            at += 1
+        if action == "add":
+            come = [(min([s, *(a for a, _ in gone)]), max([e, *(b for _, b in gone)]))]
+        else:
+            come = [(a, s - 1) for a, _ in gone if a < s] + [(e + 1, b) for _, b in gone if b > e]
+        return ([], []) if gone == come else (gone, come)
+
+    def fold(key: tuple, log: Iterator[tuple]) -> Iterator[tuple]:
         now, undo, redo = [], [], []
-        for r in part.sort_values("seq").itertuples():
-            if r.action == "undo":
+        for _, action, start, end in log:
+            if action == "undo":
                 if undo:
-                    redo.append(now)
-                    now = undo.pop()
-            elif r.action == "redo":
+                    gone, come = undo.pop()
+                    apply(now, come, gone)
+                    redo.append((gone, come))
+            elif action == "redo":
                 if redo:
-                    undo.append(now)
-                    now = redo.pop()
+                    step = redo.pop()
+                    apply(now, *step)
+                    undo.append(step)
             else:
-                new = (add if r.action == "add" else take)(now, min(r.start_f, r.end_f), max(r.start_f, r.end_f))
-                if new != now:
-                    undo.append(now)
+                step = change(now, action, min(start, end), max(start, end))
+                if step != ([], []):
+                    apply(now, *step)
+                    undo.append(step)
                     redo = []
-                    now = new
-        return pd.DataFrame({"rec_id": [part["rec_id"].iloc[0]], "ranges": [",".join(f"{a}-{b}" for a, b in now)], "undos": [len(undo)], "redos": [len(redo)]})
+        yield key[0], ",".join(f"{a}-{b}" for a, b in now), len(undo), len(redo)
 
-    return edits.groupBy("rec_id").applyInPandas(fold, "rec_id long, ranges string, undos long, redos long")
+    return by_group(edits.select("rec_id", "seq", "action", "start_f", "end_f"), ["rec_id"], ["seq"], fold, "rec_id long, ranges string, undos long, redos long")

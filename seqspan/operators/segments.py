@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .intervals import overlapping
 
-def in_spans(points: DataFrame, spans: DataFrame, at: str, width: int, closed: bool = False) -> DataFrame:
+
+#: Width of the buckets of times in milliseconds.
+DAY = 86_400_000
+
+
+def in_spans(points: DataFrame, spans: DataFrame, at: str, width: int, closed: bool = False, names: tuple[str, ...] = ("k",)) -> DataFrame:
     """Rows of ``points`` within ``spans`` (rec_id, k, s, e; half open, or closed), once for each span.
 
-    Every span is put at each bucket of ``width`` that it touches, and bucket and recording are joined on equality.
+    Every span is put at each bucket of ``width`` that it touches, and bucket and recording are joined on equality.  ``names``
+    renames the span's k.
     """
     lo, hi = F.floor(F.col("s") / width).cast("long"), F.floor(F.col("e") / width).cast("long")
-    spread = spans.select("rec_id", "k", "s", "e", F.explode(F.sequence(lo, hi)).alias("bucket"))
+    spread = spans.select("rec_id", F.col("k").alias(names[0]), "s", "e", F.explode(F.sequence(lo, hi)).alias("bucket"))
     held = points.withColumn("bucket", F.floor(F.col(at) / width).cast("long")).join(spread, ["rec_id", "bucket"])
     upper = F.col(at) <= F.col("e") if closed else F.col(at) < F.col("e")
     return held.where((F.col(at) >= F.col("s")) & upper).drop("bucket")
@@ -24,7 +32,9 @@ def cut_segments(groups: DataFrame, spans: DataFrame) -> DataFrame:
 
     A group wholly in a span is copied; of one that a span cuts, the part inside is made anew.
     """
-    pairs = groups.join(spans, "rec_id").where((F.col("s") < F.col("e0")) & (F.col("e") > F.col("s0")))
+    left = groups.select("rec_id", "gop", F.col("s0").alias("start_f"), F.col("e0").alias("end_f"))
+    right = spans.select("rec_id", "k", F.col("s").alias("start_f"), F.col("e").alias("end_f"))
+    pairs = overlapping(left, right, DAY, ("k",)).withColumnsRenamed({"start_f": "s0", "end_f": "e0"}).where("s < e0 AND e > s0")
     whole = (F.col("s0") >= F.col("s")) & (F.col("e0") <= F.col("e"))
     return pairs.select("rec_id", "gop", "k", F.greatest("s", "s0").alias("s"), F.least("e", "e0").alias("e"), (~whole).alias("recode"))
 
@@ -63,10 +73,15 @@ def restamp(packets: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return first.join(laid.select("rec_id", "k", "begin"), ["rec_id", "k"]).select("rec_id", "seq", "k", (F.col("pts") - F.col("s") + F.col("begin")).alias("out"))
 
 
+def jumps_inside(spans: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Spans with each of their jumps (rec_id, split2, amount; split2 is twice a time) strictly inside."""
+    doubled = spans.select("rec_id", "k", (F.col("s") * 2).alias("s"), (F.col("e") * 2).alias("e"))
+    return in_spans(jumps, doubled, "split2", 2 * DAY).where(F.col("split2") > F.col("s")).drop("s", "e")
+
+
 def jumps_in(spans: DataFrame, jumps: DataFrame) -> DataFrame:
     """rec_id, k, jumps: each span's clock jumps (split2, amount) strictly inside, in order; none where there are none."""
-    pairs = spans.join(jumps, "rec_id").where((F.col("split2") > F.col("s") * 2) & (F.col("split2") < F.col("e") * 2))
-    return pairs.groupBy("rec_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split2", "amount"))), lambda x: F.concat_ws(":", x["split2"], x["amount"])), ",").alias("jumps"))
+    return jumps_inside(spans, jumps).groupBy("rec_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split2", "amount"))), lambda x: F.concat_ws(":", x["split2"], x["amount"])), ",").alias("jumps"))
 
 
 def change_points(packets: DataFrame) -> DataFrame:
@@ -79,17 +94,28 @@ def change_points(packets: DataFrame) -> DataFrame:
 def configs_in(changes: DataFrame, windows: DataFrame) -> DataFrame:
     """rec_id, config, first_seq: the configurations in force in any of the windows (rec_id, lo, hi of seq), each once."""
     until = F.coalesce(F.lead("seq").over(W.partitionBy("rec_id").orderBy("seq")), F.lit(1 << 62))
-    held = changes.withColumn("until", until).join(windows, "rec_id").where((F.col("seq") <= F.col("hi")) & (F.col("until") > F.col("lo")))
-    return held.groupBy("rec_id", "config").agg(F.min("seq").alias("first_seq"))
+    spans = changes.withColumn("until", until)
+    # what is in force as a window begins is the last change before it; the others begin inside it: buckets hold points only
+    inside = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / 64).cast("long"), F.floor(F.col("hi") / 64).cast("long"))))
+    began = spans.withColumn("bucket", F.floor(F.col("seq") / 64).cast("long")).join(inside, ["rec_id", "bucket"]).where("seq BETWEEN lo AND hi").select("rec_id", "config", "seq")
+    marks = spans.select("rec_id", F.col("seq").alias("at"), F.struct("seq", "config").alias("x")).unionByName(windows.select("rec_id", F.col("lo").alias("at"), F.lit(None).cast(T.StructType([T.StructField("seq", changes.schema["seq"].dataType), T.StructField("config", changes.schema["config"].dataType)])).alias("x")))
+    last = F.last("x", ignorenulls=True).over(W.partitionBy("rec_id").orderBy("at", F.col("x").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    standing = marks.withColumn("y", last).where("x IS NULL AND y IS NOT NULL").select("rec_id", "y.config", "y.seq")
+    return began.unionByName(standing).groupBy("rec_id", "config").agg(F.min("seq").alias("first_seq"))
 
 
 def scene_of(segments: DataFrame, scenes: DataFrame) -> DataFrame:
     """rec_id, gop, k, scene: the scene that holds a segment's middle, else the last that began before it, else -1."""
     middle = segments.select("rec_id", "gop", "k", (F.col("s") + F.col("e")).alias("mid2"))
-    seen = middle.join(scenes.select("rec_id", F.col("k").alias("scene"), F.col("s").alias("s0"), F.col("e").alias("e0")), "rec_id", "left")
-    inside = F.min(F.when((F.col("s0") * 2 <= F.col("mid2")) & (F.col("mid2") < F.col("e0") * 2), F.col("scene")))
-    before = F.max(F.when(F.col("s0") * 2 <= F.col("mid2"), F.struct("s0", "scene")))["scene"]
-    return seen.groupBy("rec_id", "gop", "k", "mid2").agg(F.coalesce(inside, before, F.lit(-1)).alias("scene")).drop("mid2")
+    doubled = scenes.select("rec_id", F.col("k").alias("scene"), (F.col("s") * 2).alias("s"), (F.col("e") * 2).alias("e"))
+    held = in_spans(middle, doubled.withColumnRenamed("scene", "k"), "mid2", 2 * DAY, names=("scene",))
+    inside = held.groupBy("rec_id", "gop", "k").agg(F.min("scene").alias("inside"))
+    # the last scene that began before: one sorted pass over both
+    begun = doubled.select("rec_id", F.col("s").alias("at"), F.lit(None).cast("long").alias("gop"), F.lit(None).cast("long").alias("k"), F.struct("s", "scene").alias("x"))
+    marks = begun.unionByName(middle.select("rec_id", F.col("mid2").alias("at"), "gop", "k", F.lit(None).cast(begun.schema["x"].dataType).alias("x")))
+    last = F.max("x").over(W.partitionBy("rec_id").orderBy("at", F.col("x").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = marks.withColumn("y", last).where("x IS NULL").select("rec_id", "gop", "k", F.col("y.scene").alias("before"))
+    return before.join(inside, ["rec_id", "gop", "k"], "left").select("rec_id", "gop", "k", F.coalesce("inside", "before", F.lit(-1)).alias("scene"))
 
 
 def monotone(rows: DataFrame, value: str, order: str) -> DataFrame:

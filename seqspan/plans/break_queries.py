@@ -52,7 +52,7 @@ def judge_brackets(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     kept = op.judged(_refined(spark, sf_dir), _ends(spark, sf_dir).select("rec_id", "finish"), RULES).where("reason = 'kept'")
-    wide = src.cuts(spark, sf_dir).select((F.col("rec_id") % 40).alias("rec_id"), (F.col("id") % 3).alias("support"), (F.col("id") % 5 / 2.0).alias("evidence"), "a", "b")
+    wide = src.cuts(spark, sf_dir).select("rec_id", (F.col("id") % 3).alias("support"), (F.col("id") % 5 / 2.0).alias("evidence"), "a", (F.col("b") + 200).alias("b"))
     return kept.select("rec_id", "support", (F.col("sa") + F.col("sb")).alias("evidence"), "a", "b"), wide
 
 
@@ -138,11 +138,30 @@ def _greedy(source: str) -> str:
     )
 
 
+#: Matching as a recursion: each true break has its candidates in the order of preference, and takes the first still free.
+_MATCHED = (
+    "tr AS (SELECT rec_id, a, b, row_number() OVER (PARTITION BY rec_id ORDER BY a, b) AS r FROM cuts WHERE b > a AND id % 4 < 2), "
+    "fo AS (SELECT rec_id, a + id % 9 - 4 AS c, b + id % 5 AS d FROM cuts WHERE (id % 4 = 1 AND b > a) OR id % 7 = 0), fn AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY c, d) AS n FROM fo), "
+    "pr AS (SELECT tr.rec_id, tr.r, list(n ORDER BY least(b, d) - greatest(a, c) DESC, n) AS ns FROM tr JOIN fn ON fn.rec_id = tr.rec_id AND least(b, d) - greatest(a, c) > 0.5 * (b - a) GROUP BY tr.rec_id, tr.r), "
+    "tc AS (SELECT tr.*, coalesce(ns, []) AS ns FROM tr LEFT JOIN pr USING (rec_id, r)), "
+    "mw AS (SELECT rec_id, 0::BIGINT AS r, []::BIGINT[] AS taken, NULL::BIGINT AS n FROM (SELECT DISTINCT rec_id FROM tr) UNION ALL "
+    "SELECT w.rec_id, k.r, CASE WHEN len(list_filter(k.ns, lambda x: NOT list_contains(w.taken, x))) > 0 THEN list_append(w.taken, list_filter(k.ns, lambda x: NOT list_contains(w.taken, x))[1]) ELSE w.taken END, list_filter(k.ns, lambda x: NOT list_contains(w.taken, x))[1] FROM mw w JOIN tc k ON k.rec_id = w.rec_id AND k.r = w.r + 1), "
+    "ma AS (SELECT tr.rec_id, tr.a, tr.b, coalesce(fn.c, -1) AS c, coalesce(fn.d, -1) AS d FROM mw JOIN tr ON tr.rec_id = mw.rec_id AND tr.r = mw.r LEFT JOIN fn ON fn.rec_id = mw.rec_id AND fn.n = mw.n)"
+)
+_ALONE = (
+    f"si AS (SELECT rec_id, id, t0 + t1 AS t2, (t0 + t1) // 2 AS lo, (t0 + t1 + 1) // 2 AS hi, row_number() OVER (PARTITION BY rec_id ORDER BY t0, id) AS r FROM signals WHERE kind = 'silence'), "
+    f"sc AS (SELECT si.*, CASE WHEN EXISTS (SELECT 1 FROM signals x WHERE x.kind = 'scene' AND x.rec_id = si.rec_id AND x.t0 <= si.hi + {WINDOW} AND x.t0 >= si.lo - {WINDOW}) THEN 1.0 ELSE 0.6 END AS score FROM si), "
+    "cw AS (SELECT rec_id, 0::BIGINT AS r, coalesce(list(mid2) FILTER (mid2 IS NOT NULL), []) AS taken, NULL::BIGINT AS t2, NULL::DOUBLE AS score FROM (SELECT DISTINCT rec_id FROM signals) LEFT JOIN events USING (rec_id) GROUP BY rec_id UNION ALL "
+    f"SELECT w.rec_id, k.r, CASE WHEN len(list_filter(w.taken, lambda x: abs(x - k.t2) <= {2 * WINDOW})) = 0 THEN list_append(w.taken, k.t2) ELSE w.taken END, CASE WHEN len(list_filter(w.taken, lambda x: abs(x - k.t2) <= {2 * WINDOW})) = 0 THEN k.t2 END, k.score FROM cw w JOIN sc k ON k.rec_id = w.rec_id AND k.r = w.r + 1)"
+)
 ORACLES = {
+    "coincidence_events": with_tables("signals", f"WITH {_BLACK}, {_ALONE} SELECT rec_id, mid2 AS t2, score FROM events UNION ALL SELECT rec_id, t2, score FROM cw WHERE t2 IS NOT NULL").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
+    "score_matches": with_tables("cuts", f"WITH {_MATCHED} SELECT * FROM ma").replace("WITH cuts", "WITH RECURSIVE cuts"),
+    "score_summary": with_tables("cuts", f"WITH {_MATCHED}, p AS (SELECT rec_id, count(*) AS true_breaks, count(*) FILTER (c >= 0) AS found, CAST(coalesce(sum((abs(a - c) <= 2)::INT + (abs(b - d) <= 2)::INT) FILTER (c >= 0), 0) AS BIGINT) AS near_edges, CAST(coalesce(sum(abs(a - c) + abs(b - d)) FILTER (c >= 0), 0) AS BIGINT) AS error FROM ma GROUP BY rec_id) SELECT rec_id, true_breaks, found, coalesce((SELECT count(*) FROM fo WHERE fo.rec_id = p.rec_id), 0) - found AS false_breaks, near_edges, error FROM p").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "black_events": with_tables("signals", f"WITH {_BLACK} SELECT * FROM events"),
     "refine_edges": with_tables("signals samples", f"WITH {_REFINED} SELECT rec_id, id, a, sa, b, sb FROM refined"),
     "judge_brackets": with_tables("signals samples", f"WITH {_REFINED}, {_JUDGED} SELECT rec_id, id, a, b, reason FROM judged"),
-    "choose_breaks": with_tables("cuts", f"WITH cand AS (SELECT rec_id % 40 AS rec_id, id % 3 AS support, id % 5 / 2.0 AS evidence, a, b FROM cuts), {_greedy('cand')} SELECT * FROM chosen").replace("WITH cuts", "WITH RECURSIVE cuts"),
+    "choose_breaks": with_tables("cuts", f"WITH cand AS (SELECT rec_id, id % 3 AS support, id % 5 / 2.0 AS evidence, a, b + 200 AS b FROM cuts), {_greedy('cand')} SELECT * FROM chosen").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "detect_breaks": with_tables("signals samples", f"WITH {_REFINED}, {_JUDGED}, cand AS (SELECT rec_id, support, sa + sb AS evidence, a, b FROM judged WHERE reason = 'kept'), {_greedy('cand')} SELECT rec_id, CASE WHEN row_number() OVER (PARTITION BY rec_id ORDER BY a, b) = 1 AND a <= {2 * HOUR} THEN 0 ELSE a END AS a, CASE WHEN row_number() OVER (PARTITION BY rec_id ORDER BY a DESC, b DESC) = 1 AND finish > 0 AND b >= finish - {2 * HOUR} THEN greatest(duration, finish) ELSE b END AS b FROM chosen JOIN fin USING (rec_id)").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
     "snap_edges": with_tables("cuts", f"WITH {_CUTS} SELECT rec_id, CASE WHEN row_number() OVER (PARTITION BY rec_id ORDER BY a, b) = 1 AND a <= 20 THEN 0 ELSE a END AS a, CASE WHEN row_number() OVER (PARTITION BY rec_id ORDER BY a DESC, b DESC) = 1 AND finish > 0 AND b >= finish - 20 THEN greatest(duration, finish) ELSE b END AS b FROM cc JOIN ce USING (rec_id)"),
     "density_brackets": with_tables("signals", f"WITH {_BLACK}, st AS (SELECT DISTINCT rec_id, t FROM ev2 WHERE score >= 1.5), p AS (SELECT x.rec_id, x.t AS lo, y.t AS hi FROM st x JOIN st y ON x.rec_id = y.rec_id AND y.t - x.t BETWEEN {8 * HOUR} AND {60 * HOUR}), q AS (SELECT p.*, round(coalesce((SELECT sum(score) FROM ev2 e WHERE e.rec_id = p.rec_id AND e.t > lo AND e.t < hi), 0), 6) AS inside FROM p) SELECT * FROM q WHERE inside / (hi - lo) >= {0.02 / HOUR!r}::DOUBLE"),

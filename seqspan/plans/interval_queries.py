@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import intervals as op
 from . import adapters as src
@@ -88,7 +89,7 @@ def learnable_gate(spark, sf_dir):
 def edit_log(spark, sf_dir):
     r = src.ranges(spark, sf_dir)
     action = F.when(F.col("id") % 11 == 3, "undo").when(F.col("id") % 11 == 5, "redo").when(F.col("line") % 2 == 0, "remove").otherwise("add")
-    seq = F.col("id") * 10 + F.col("line")
+    seq = F.row_number().over(W.partitionBy("rec_id").orderBy("id", "line", "start_f", "end_f")).cast("long")
     return op.edit_log(r.select("rec_id", seq.alias("seq"), action.alias("action"), "start_f", (F.col("end_f") + 20).alias("end_f")))
 
 
@@ -119,7 +120,19 @@ _DUR = "dur AS (SELECT rec_id, m * (rec_id % 3 + 1) - rec_id % 7 AS duration FRO
 _SPLIT = "split AS (SELECT c.rec_id, c.id, c.a, c.b, CASE WHEN c.a <= 5 OR c.b >= greatest(l.last, d.duration) - 5 THEN 'padding' ELSE 'advert' END AS kind FROM cuts c JOIN (SELECT rec_id, max(b) AS last FROM cuts GROUP BY rec_id) l USING (rec_id) JOIN dur d USING (rec_id))"
 _POINTS = "points AS (SELECT DISTINCT rec_id, id, end_f AS pos FROM ranges WHERE line = 6)"
 _FIRST = _islands("firsts", _lines(1))
+#: The log as a recursion over lists: the ranges, and the states before and after that undo and redo go back to.
+_EDITS = (
+    "lg AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY id, line, start_f, end_f) AS r, CASE WHEN id % 11 = 3 THEN 'undo' WHEN id % 11 = 5 THEN 'redo' WHEN line % 2 = 0 THEN 'remove' ELSE 'add' END AS act, start_f AS s, end_f + 20 AS e FROM ranges), "
+    "wk AS (SELECT rec_id, 0::BIGINT AS r, []::STRUCT(a BIGINT, b BIGINT)[] AS now, []::STRUCT(a BIGINT, b BIGINT)[][] AS un, []::STRUCT(a BIGINT, b BIGINT)[][] AS re FROM (SELECT DISTINCT rec_id FROM lg) UNION ALL "
+    "SELECT rec_id, r, CASE act WHEN 'undo' THEN coalesce(un[-1], now) WHEN 'redo' THEN coalesce(re[-1], now) ELSE new END, "
+    "CASE act WHEN 'undo' THEN un[:-2] WHEN 'redo' THEN CASE WHEN len(re) > 0 THEN list_append(un, now) ELSE un END ELSE CASE WHEN new = now THEN un ELSE list_append(un, now) END END, "
+    "CASE act WHEN 'undo' THEN CASE WHEN len(un) > 0 THEN list_append(re, now) ELSE re END WHEN 'redo' THEN re[:-2] ELSE CASE WHEN new = now THEN re ELSE [] END END FROM ("
+    "SELECT w.rec_id, l.r, l.act, w.now, w.un, w.re, list_sort(CASE WHEN l.act = 'add' THEN list_append(list_filter(w.now, lambda x: x.b < l.s - 1 OR x.a > l.e + 1), {'a': least(l.s, list_min(list_transform(list_filter(w.now, lambda x: NOT (x.b < l.s - 1 OR x.a > l.e + 1)), lambda x: x.a))), 'b': greatest(l.e, list_max(list_transform(list_filter(w.now, lambda x: NOT (x.b < l.s - 1 OR x.a > l.e + 1)), lambda x: x.b)))}) "
+    "ELSE list_concat(list_filter(w.now, lambda x: x.b < l.s OR x.a > l.e), list_concat(list_transform(list_filter(w.now, lambda x: NOT (x.b < l.s OR x.a > l.e) AND x.a < l.s), lambda x: {'a': x.a, 'b': l.s - 1}), list_transform(list_filter(w.now, lambda x: NOT (x.b < l.s OR x.a > l.e) AND x.b > l.e), lambda x: {'a': l.e + 1, 'b': x.b}))) END) AS new "
+    "FROM wk w JOIN lg l ON l.rec_id = w.rec_id AND l.r = w.r + 1))"
+)
 ORACLES = {
+    "edit_log": with_tables("ranges", f"WITH {_EDITS} SELECT rec_id, array_to_string(list_transform(now, lambda x: x.a || '-' || x.b), ',') AS ranges, len(un) AS undos, len(re) AS redos FROM wk QUALIFY r = max(r) OVER (PARTITION BY rec_id)").replace("WITH ranges", "WITH RECURSIVE ranges"),
     "range_union": with_tables("ranges", f"WITH {_islands('u', 'ranges')} SELECT * FROM u"),
     "range_intersect": with_tables("ranges", f"WITH {_FIRST}, {_islands('other', _lines(2, 3))} SELECT a.rec_id, greatest(a.start_f, b.start_f) AS start_f, least(a.end_f, b.end_f) AS end_f FROM firsts a JOIN other b ON a.rec_id = b.rec_id AND a.start_f <= b.end_f AND b.start_f <= a.end_f"),
     "range_subtract": with_tables("ranges", f"WITH {_days('x', _lines(1))}, {_days('y', _lines(2, 3))}, z AS (SELECT * FROM x EXCEPT SELECT * FROM y) {_runs('z')}"),
