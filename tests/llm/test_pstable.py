@@ -55,3 +55,37 @@ def test_odd_vectors(spark):
 
 def test_plan_grows_with_the_input():
     assert pstable.plan(10**3, 0.9)[0] < pstable.plan(10**7, 0.9)[0]
+
+
+def test_recall_of_the_registered_setting(spark):
+    made = np.random.default_rng(7)
+    base = made.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = made.standard_normal((3000, 64))
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.9005 * base + np.sqrt(1 - 0.9005**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    got = {r.vec_id: r for r in pstable.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    all_ = np.concatenate([base, near])
+    dots = np.triu(all_ @ all_.T, 1)
+    want = np.bincount(np.concatenate(np.nonzero(dots >= 0.9)), minlength=len(all_))
+    links = np.array([got[i].n_links for i in range(len(all_))])
+    assert (links <= want).all() and links.sum() >= 0.93 * want.sum()
+
+
+def test_large_and_small_doubles(spark):
+    rows = [(i, v) for i, v in enumerate([[1e60, 0.0], [1e-60, 0.0], [2e-60, 0.0], [1.0, 0.0], [1e200, 1e200], [1e-300, 1e-300], [0.0, 1.0]])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pstable.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_blocks_and_counts_of_a_tight_cluster(spark, monkeypatch):
+    made = np.random.default_rng(3)
+    centre = made.standard_normal(16)
+    rows = [(i, (centre + 0.02 * made.standard_normal(16)).tolist()) for i in range(900)] + [(1000 + i, made.standard_normal(16).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pstable, "BLOCK", 100)
+    monkeypatch.setattr(pstable, "SAMPLED", 4)
+    got = {r.vec_id: r for r in pstable.near_vectors(frame, recall=0.9999).collect()}
+    assert {got[i].n_links for i in range(900)} == {899} and {got[i].component_id for i in range(900)} == {0}
