@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +97,113 @@ def marks_in_output(marks: DataFrame, spans: DataFrame) -> DataFrame:
     laid = spans.select("rec_id", "k", F.coalesce(F.sum(F.col("e") - F.col("s")).over(w), F.lit(0)).alias("begin"))
     hit = in_spans(marks, spans, "at", 86_400_000)
     return hit.join(laid, ["rec_id", "k"]).select("rec_id", "id", (F.col("at") - F.col("s") + F.col("begin")).alias("out"))
+
+
+#: A list of scenes to join.
+SCENES = T.StructType([
+    T.StructField("version", T.LongType()),
+    T.StructField("entries", T.ArrayType(T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("source", T.StringType()), T.StructField("path", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()),
+        T.StructField("fps", T.DoubleType()), T.StructField("fade_in", T.DoubleType()), T.StructField("fade_out", T.DoubleType()), T.StructField("cuts", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    ]))),
+    T.StructField("batch", T.StructType([T.StructField("reencode_target", T.ArrayType(T.DoubleType()))])),
+])
+
+
+def write_scene_list(scenes: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """name, document: a JSON document for each list of scenes (name, seq, kind, source, start, end, cuts), in order.
+
+    ``target`` (name, w, h, fps) is what a queued join is coded anew for.
+    """
+    entry = F.struct("seq", F.struct("kind", "source", "start", "end", F.lit(25.0).alias("fps"), F.lit(0.0).alias("fade_in"), F.lit(0.0).alias("fade_out"), "cuts").alias("e"))
+    grouped = scenes.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("entries"))
+    version = F.lit(1).cast("long").alias("version")
+    if target is None:
+        return grouped.select("name", F.to_json(F.struct(version, "entries")).alias("document"))
+    size = F.when(F.col("w").isNotNull(), F.array(F.col("w").cast("double"), F.col("h").cast("double"), F.col("fps").cast("double")))
+    return grouped.join(target, "name", "left").select("name", F.to_json(F.struct(version, "entries", F.struct(size.alias("reencode_target")).alias("batch"))).alias("document"))
+
+
+def read_scene_list(documents: DataFrame) -> DataFrame:
+    """name, seq, kind, source, start, end, duration, cuts, target of lists of scenes (name, document), in order from 0.
+
+    Missing fields have their defaults: a scene from 0 to 0, its source the path.  A target that isn't three numbers is none.
+    """
+    parsed = documents.select("name", F.from_json("document", SCENES).alias("p"))
+    rows = parsed.select("name", F.when(F.size("p.batch.reencode_target") == 3, F.col("p.batch.reencode_target")).alias("target"), F.posexplode("p.entries").alias("seq", "e"))
+    start, end = F.coalesce("e.start", F.lit(0.0)), F.coalesce("e.end", F.lit(0.0))
+    source = F.coalesce(F.when(F.col("e.source") != "", F.col("e.source")), "e.path", F.lit(""))
+    return rows.select(
+        "name", "seq", F.coalesce("e.kind", F.lit("scene")).alias("kind"), source.alias("source"), start.alias("start"), end.alias("end"), F.greatest(F.lit(0.0), end - start).alias("duration"),
+        F.coalesce("e.cuts", F.array().cast("array<array<double>>")).alias("cuts"), "target",
+    )
+
+
+def joined_paths(scenes: DataFrame, lists: DataFrame) -> DataFrame:
+    """name, path: what a join is called: after its first recording, in its folder and with its extension.
+
+    A list (name, folder) of title cards alone is ``Joined Video.ts`` in its own folder.
+    """
+    first = scenes.where("kind <> 'title' AND source <> ''").groupBy("name").agg(F.min(F.struct("seq", "source"))["source"].alias("first"))
+    file = F.substring_index("first", "/", -1)
+    folder = F.when(F.col("first").contains("/"), F.regexp_extract("first", r"^(.*)/[^/]*$", 1)).otherwise("")
+    stem, ext = F.regexp_extract(file, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(file, r"^.+?(\.[^.]*)$", 1)
+    made = F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), stem, F.lit(" - Joined"), F.when(ext != "", ext).otherwise(".ts"))
+    return lists.join(first, "name", "left").select("name", F.when(F.col("first").isNotNull(), made).otherwise(F.concat("folder", F.lit("/Joined Video.ts"))).alias("path"))
+
+
+def read_chapters(chapters: DataFrame) -> DataFrame:
+    """rec_id, place, at: chapter starts in seconds from (rec_id, start, num, den), in order; those below 0 or without a time are left out."""
+    from pyspark.sql import Window as W
+
+    at = (F.col("start") * F.col("num")).cast("double") / F.col("den")
+    rows = chapters.where("start IS NOT NULL AND num <> 0 AND den <> 0").select("rec_id", at.alias("at")).where("at >= 0")
+    return rows.select("rec_id", (F.row_number().over(W.partitionBy("rec_id").orderBy("at")) - 1).cast("long").alias("place"), "at")
+
+
+def cut_list_keeps(lines: DataFrame, index: DataFrame, rate: float) -> DataFrame:
+    """rec_id, start_f, end_f: the frames that cut lists (name, place, line; the name is the recording's id) leave.
+
+    Cuts are mapped to the frames nearest in time, one that begins at or before 0 to the first.
+    """
+    from ..operators import frames, intervals
+
+    cuts = read_cut_list(lines).select(F.col("name").cast("long").alias("rec_id"), F.monotonically_increasing_id().alias("id"), "a", "b")
+    ends = index.groupBy("rec_id").agg(F.min("pts").alias("start"), F.count("*").alias("n"))
+    ask = cuts.join(ends, "rec_id")
+    tick = lambda c: F.col("start") + F.bround(F.greatest(F.lit(0.0), F.col(c)) * rate).cast("long")
+    # the cut's two ends are looked up under one number: twice the cut's, and that and one
+    asked = ask.select("rec_id", "id", F.explode(F.array(F.struct(F.lit(0).alias("side"), tick("a").alias("q")), F.struct(F.lit(1).alias("side"), tick("b").alias("q")))).alias("x"))
+    found = frames.nearest(index, asked.select("rec_id", (F.col("id") * 2 + F.col("x.side")).alias("id"), F.col("x.q").alias("q")))
+    both = found.groupBy("rec_id", F.floor(F.col("id") / 2).alias("id")).agg(F.min("frame_no").alias("start_f"), F.max("frame_no").alias("end_f"))
+    return intervals.complement(both.select("rec_id", "start_f", "end_f"), ends.select("rec_id", "n"), overflow=True)
+
+
+def document_format(name: Column) -> Column:
+    """Which reader a project file takes, by its extension in any case: ``project`` (JSON), ``ticks`` (XML), ``cuts`` (text), ``scenes``."""
+    ext = F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
+    return F.when(ext == "swproj", "project").when(ext == "edl", "cuts").when(ext == "vjr", "scenes").otherwise("ticks")
+
+
+def read_any(documents: DataFrame, recordings: DataFrame) -> DataFrame:
+    """name, a, b (seconds) of project files (name, document) in any format that holds cuts.
+
+    JSON documents are read against recordings (name, frames, fps).
+    """
+    told = documents.withColumn("format", document_format(F.col("name")))
+    of = lambda f: told.where(F.col("format") == f).select("name", "document")
+    lines = of("cuts").select("name", F.posexplode(F.split("document", "\n")).alias("place", "line"))
+    texts = read_cut_list(lines).select("name", "a", "b")
+    frames = read_project(of("project"), recordings).join(recordings.select("name", "fps"), "name").select("name", (F.col("start_frame") / F.col("fps")).alias("a"), (F.col("end_frame") / F.col("fps")).alias("b"))
+    return texts.unionByName(frames).unionByName(read_ticks(of("ticks")))
+
+
+def write_any(cuts: DataFrame, fps: float) -> DataFrame:
+    """name, document for cuts (name, a, b in seconds) in the format of each name's extension."""
+    told = cuts.withColumn("format", document_format(F.col("name")))
+    of = lambda f: told.where(F.col("format") == f)
+    line = F.struct("a", "b", F.format_string("%.2f\t%.2f\t0", F.greatest(F.lit(0.0), F.col("a")), F.greatest(F.lit(0.0), F.col("b"))).alias("x"))
+    texts = of("cuts").groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda c: c["x"]), "\n").alias("document"))
+    frame = lambda c: F.bround(F.col(c) * fps).cast("long")
+    projects = write_project(of("project").select("name", frame("a").alias("start_frame"), frame("b").alias("end_frame"), F.lit(None).cast("long").alias("frames")), fps)
+    return texts.unionByName(projects).unionByName(write_ticks(of("ticks").select("name", "a", "b")))
