@@ -1,55 +1,17 @@
-"""Intermediate tables in the folder that the cluster shares, and the choice of rows by what they hold."""
+"""Broadcasts behind a count, and the choice of rows by what they hold."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ids up to this many are sent to every executor (16 bytes each or so); beyond it the join shuffles.
-BROADCAST_IDS = 500_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session (one process, as in tests) gets a temporary folder; on a cluster that is an error,
-    as executors share no local folder.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='seqspan-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
+from ..tables import discard, shared_folder, written
 
-    Every executor can read it, so losing one loses nothing.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+__all__ = ["discard", "row_prints", "shared_folder", "small_enough", "unused", "without_ids", "without_rows", "written"]
 
-
-def discard(*tables: DataFrame | None) -> None:
-    """Removes tables that :func:`written` made and nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_written_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+#: Ids up to this many are sent to every executor (16 bytes each or so); beyond it the join shuffles.
+BROADCAST_IDS = 500_000
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
