@@ -254,3 +254,24 @@ def score_summary(pairs: DataFrame, found: DataFrame, near: int) -> DataFrame:
     )
     total = found.groupBy("rec_id").agg(F.count("*").alias("n"))
     return per.join(total, "rec_id", "left").select("rec_id", "true_breaks", "found", (F.coalesce("n", F.lit(0)) - F.col("found")).alias("false_breaks"), "near_edges", "error")
+
+
+def padding_edges(padding: DataFrame, found: DataFrame, ends: DataFrame, slack: int, width: int = 64) -> DataFrame:
+    """rec_id, a, b, side, missed, error, unswept: how well the padding at a recording's ends (rec_id, a, b) was found.
+
+    Only its inner edge counts: the latest end of the found breaks that overlap a head, the earliest start of those at a tail,
+    less the true one.  ``missed`` where none overlaps; ``unswept`` is what of the found stretch no break covers, if that is
+    more than ``slack``.  Padding that is all of the recording (``ends``: rec_id, duration) is left out.
+    """
+    head, tail = F.col("a") <= slack, F.col("b") >= F.col("duration") - slack
+    rows = padding.join(ends.select("rec_id", "duration"), "rec_id").where(~(head & tail) & (head | tail)).withColumn("side", F.when(head, "head").otherwise("tail"))
+    named = rows.select("rec_id", "a", "b", "side", F.col("a").alias("start_f"), F.col("b").alias("end_f"))
+    over = overlapping(named, found.select("rec_id", F.col("a").alias("start_f"), F.col("b").alias("end_f")).where("end_f > start_f"), width).where(F.least("e", "b") > F.greatest("s", "a"))
+    edge = over.groupBy("rec_id", "a", "b", "side").agg(F.max("e").alias("furthest"), F.min("s").alias("nearest"), F.collect_list(F.struct("s", "e")).alias("over"))
+    edge = edge.withColumns({"lo": F.when(F.col("side") == "head", F.col("a")).otherwise(F.greatest("a", "nearest")), "hi": F.when(F.col("side") == "head", F.least("b", "furthest")).otherwise(F.col("b"))})
+    covered = F.aggregate("over", F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(F.lit(0), F.least(x["e"], F.col("hi")) - F.greatest(x["s"], F.col("lo"))))
+    left = F.greatest(F.lit(0), F.col("hi") - F.col("lo")) - covered
+    error = F.when(F.col("side") == "head", F.col("furthest") - F.col("b")).otherwise(F.col("nearest") - F.col("a"))
+    told = edge.select("rec_id", "a", "b", "side", error.alias("error"), F.when(left > slack, left).otherwise(0).alias("unswept"))
+    out = rows.select("rec_id", "a", "b", "side").join(told, ["rec_id", "a", "b", "side"], "left")
+    return out.select("rec_id", "a", "b", "side", F.col("error").isNull().alias("missed"), F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("unswept", F.lit(0)).alias("unswept"))

@@ -109,11 +109,30 @@ def retained(files: DataFrame, cutoff: Column, newest: int) -> DataFrame:
     return files.where(F.col("mtime") >= cutoff).withColumn("rank", rank).where(F.col("rank") <= newest).drop("rank")
 
 
-def shared_bindings(bindings: DataFrame) -> DataFrame:
-    """combo, actions: key combinations that more than one action is bound to; keys in any order and case are the same."""
-    keys = F.array_sort(F.transform(F.split("keys", r"\+"), lambda x: F.lower(F.trim(x))))
-    named = bindings.withColumn("combo", F.array_join(keys, "+"))
-    return named.groupBy("combo").agg(F.count_distinct("action").alias("actions")).where("actions > 1")
+#: Modifiers of key combinations.
+MODIFIERS = ("ctrl", "shift", "alt")
+
+
+def _bindings(bindings: DataFrame, keys: DataFrame) -> DataFrame:
+    parts = F.transform(F.split("keys", r"\+"), lambda x: F.trim(x))
+    mods = F.array_sort(F.array_distinct(F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.lower(x)), lambda x: x.isin(*MODIFIERS))))
+    named = bindings.where("trim(keys) <> ''").withColumns({"mods": mods, "key": F.lower(F.element_at(parts, -1))})
+    return named.join(keys.select(F.lower("key").alias("key")).distinct().withColumn("known", F.lit(True)), "key", "left")
+
+
+def shared_bindings(bindings: DataFrame, keys: DataFrame) -> DataFrame:
+    """combo, actions: key combinations that more than one action (action, keys) is bound to.
+
+    Modifiers count in any order and case and once, what isn't one doesn't; the key is the last part.  Keys that aren't in
+    the table of keys (key) are left to :func:`unknown_bindings`.
+    """
+    known = _bindings(bindings, keys).where("known").withColumn("combo", F.concat_ws("+", "mods", "key"))
+    return known.groupBy("combo").agg(F.count("action").alias("actions")).where("actions > 1")
+
+
+def unknown_bindings(bindings: DataFrame, keys: DataFrame) -> DataFrame:
+    """action, keys of combinations whose key isn't known, which would never be met."""
+    return _bindings(bindings, keys).where("known IS NULL").select("action", "keys")
 
 
 def first_per_index(streams: DataFrame) -> DataFrame:
@@ -121,9 +140,13 @@ def first_per_index(streams: DataFrame) -> DataFrame:
     return top_by(streams, ["rec_id", "index"], F.col("seq"))
 
 
-def channel_keys(programmes: DataFrame, generic: Sequence[str]) -> DataFrame:
+#: A service name that a remuxer makes up.
+GENERIC_SERVICE = r"(?i)^service\s*0*\d+$"
+
+
+def channel_keys(programmes: DataFrame) -> DataFrame:
     """rec_id, channel: the first service name that isn't generic, else the first programme number over 1 as ``sid:n``, else empty."""
     name = F.trim(F.coalesce("service", F.lit("")))
-    named = F.min(F.when((name != "") & ~F.lower(name).isin([g.lower() for g in generic]), F.struct("seq", name.alias("v"))))
+    named = F.min(F.when((name != "") & ~name.rlike(GENERIC_SERVICE), F.struct("seq", name.alias("v"))))
     numbered = F.min(F.when(F.col("number").isNotNull() & ~F.col("number").isin(0, 1), F.struct("seq", F.concat(F.lit("sid:"), F.col("number").cast("string")).alias("v"))))
     return programmes.groupBy("rec_id").agg(F.coalesce(named["v"], numbered["v"], F.lit("")).alias("channel"))

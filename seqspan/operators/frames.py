@@ -61,16 +61,24 @@ def nearest(points: DataFrame, probes: DataFrame) -> DataFrame:
     return found.join(first, ["rec_id", "pts"]).select("rec_id", "id", F.col("first_no").alias("frame_no"))
 
 
-def snap(points: DataFrame, probes: DataFrame) -> DataFrame:
-    """rec_id, id, down, up: the last pts at or before each probe (the first one if none is), the first at or after (or null)."""
+def snap(points: DataFrame, probes: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """rec_id, id, down, up, near: the last pts at or before each probe (the first one if none is), the first at or after, the nearer.
+
+    Where none follows, ``up`` is the recording's end (``ends``: rec_id, finish), or null, and ``near`` the last one.  Of two as
+    near the earlier.
+    """
     frames = points.select("rec_id", F.col("pts").alias("at"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("kind"))
     asked = probes.select("rec_id", F.col("q").alias("at"), "id", F.lit(1).alias("kind"))
     pts = F.when(F.col("kind") == 0, F.col("at"))
-    down = F.max(pts).over(W.partitionBy("rec_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    up = F.min(pts).over(W.partitionBy("rec_id").orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = F.max(pts).over(W.partitionBy("rec_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min(pts).over(W.partitionBy("rec_id").orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
     lowest = F.min(pts).over(W.partitionBy("rec_id"))
-    both = frames.unionByName(asked).withColumn("down", F.coalesce(down, lowest)).withColumn("up", up)
-    return both.where("kind = 1 AND down IS NOT NULL").select("rec_id", "id", "down", "up")
+    both = frames.unionByName(asked).withColumns({"before": before, "up": after, "down": F.coalesce(before, lowest)})
+    near = F.when(F.col("before").isNull(), F.col("up")).when(F.col("up").isNull() | (F.col("at") - F.col("before") <= F.col("up") - F.col("at")), F.col("before")).otherwise(F.col("up"))
+    out = both.where("kind = 1 AND down IS NOT NULL").select("rec_id", "id", "down", "up", near.alias("near"))
+    if ends is None:
+        return out
+    return out.join(ends, "rec_id", "left").select("rec_id", "id", "down", F.coalesce("up", "finish").alias("up"), "near")
 
 
 def seconds_to_ticks(seconds: Column, start: Column, num: int, den: int) -> Column:
@@ -90,15 +98,19 @@ def range_bytes(index: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def size_estimate(index: DataFrame, spans: DataFrame, file_size: DataFrame) -> DataFrame:
-    """rec_id, kept_frames, estimate: the kept frames' bytes plus their share of what isn't video (``file_size``: rec_id, size)."""
+    """rec_id, kept_frames, estimate: the kept frames' bytes plus their share of what isn't video (``file_size``: rec_id, size).
+
+    Without any byte counts it is the kept frames' share of the file, and 0 without a size.
+    """
     kept = spans.where("b >= a")
     counted = kept.groupBy("rec_id").agg(F.sum(F.col("b") - F.col("a") + 1).alias("kept_frames"))
     video = range_bytes(index, kept).groupBy("rec_id").agg(F.sum("bytes").alias("kept_bytes"))
-    whole = index.groupBy("rec_id").agg(F.sum("bytes").alias("video_bytes"), F.count("*").alias("frames"))
+    whole = index.groupBy("rec_id").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("video_bytes"), F.count("*").alias("frames"))
     joined = counted.join(video, "rec_id").join(whole, "rec_id").join(file_size, "rec_id")
-    other = F.greatest(F.lit(0), F.col("size") - F.col("video_bytes"))
-    exact = F.col("kept_bytes") + F.floor(other * F.least(F.col("kept_frames"), F.col("frames")) / F.col("frames"))
-    return joined.select("rec_id", "kept_frames", exact.cast("long").alias("estimate"))
+    share = F.col("kept_frames") / F.col("frames")
+    exact = F.col("kept_bytes") + F.greatest(F.lit(0), F.col("size") - F.col("video_bytes")) * share
+    told = F.when(F.coalesce("size", F.lit(0)) <= 0, 0.0).when(F.col("video_bytes") <= 0, F.col("size") * share).otherwise(exact)
+    return joined.select("rec_id", "kept_frames", F.round(told.cast("double"), 3).alias("estimate"))
 
 
 def picture_groups(packets: DataFrame) -> DataFrame:
@@ -172,3 +184,39 @@ def collapse_field_pairs(index: DataFrame, nominal: int) -> DataFrame:
     gated = rows.where("gate = 1").select("rec_id", "stretch", "pts", "frame_no", "bytes", "is_key")
     joined = by_group(gated, ["rec_id", "stretch"], ["pts", "frame_no"], walk, "rec_id long, pts long, bytes long, is_key boolean")
     return rows.where("gate = 0").select("rec_id", "pts", "bytes", "is_key").unionByName(joined)
+
+
+# Unit types of pictures that can be cut at, of open-group keyframes, and of pictures shown before them.
+SAFE_UNITS = (16, 17, 18, 19, 20, 21, 32, 33, 34)
+OPEN_UNIT = 21
+LEADING_UNITS, SKIPPED_UNITS = (6, 7, 8, 9), (8, 9)
+
+
+def decodable_groups(packets: DataFrame) -> DataFrame:
+    """rec_id, gop, start_pts, start_dts, end_dts, packets, leading_end_dts, skipped of groups that can be cut at.
+
+    ``packets`` has rec_id, seq, pts, dts, is_key, unit.  A group begins at the first keyframe, and at each one whose unit is a
+    safe one (or isn't known); packets in front of the first belong to none.  ``end_dts`` is the last dts seen in it (else the
+    last pts).  Behind an open group's keyframe leading pictures may follow: ``leading_end_dts`` is the dts of the first picture
+    behind those, the last one's where none follows, and ``skipped`` says that some of them can't be decoded after a cut.
+    """
+    w = W.partitionBy("rec_id").orderBy("seq")
+    sofar = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = F.sum(F.col("is_key").cast("int")).over(sofar) == 1
+    opens = F.col("is_key") & (first | F.col("unit").isNull() | F.col("unit").isin(*SAFE_UNITS))
+    rows = packets.withColumn("opens", opens).withColumn("gop", (F.sum(F.col("opens").cast("int")).over(sofar) - 1).cast("long")).where("gop >= 0")
+    own = W.partitionBy("rec_id", "gop").orderBy("seq")
+    leading = F.coalesce(F.col("unit").isin(*LEADING_UNITS), F.lit(False))
+    plain = F.min(F.when(~leading & ~F.col("opens"), F.col("seq"))).over(W.partitionBy("rec_id", "gop"))
+    rows = rows.withColumns({"plain": plain, "open": F.first(F.col("unit") == OPEN_UNIT).over(own), "seen": F.coalesce("dts", "pts")})
+    ahead = F.coalesce(F.col("open"), F.lit(False)) & leading & ~F.col("opens") & (F.col("plain").isNull() | (F.col("seq") < F.col("plain")))
+    rows = rows.withColumn("ahead", ahead)
+    at = lambda cond, c: F.max(F.when(cond, F.col(c)))
+    last = F.max(F.struct("seq", "seen"))["seen"]
+    agg = rows.groupBy("rec_id", "gop").agg(
+        at(F.col("opens"), "pts").alias("start_pts"), at(F.col("opens"), "dts").alias("start_dts"), last.alias("end_dts"), F.count("*").alias("packets"),
+        at(F.col("seq") == F.col("plain"), "dts").alias("plain_dts"), F.count(F.when(F.col("ahead"), 1)).alias("n"), F.max("plain").alias("plain"),
+        F.coalesce(F.bool_or(F.col("ahead") & F.col("unit").isin(*SKIPPED_UNITS)), F.lit(False)).alias("skipped"),
+    )
+    leading_end = F.when(F.col("n") > 0, F.when(F.col("plain").isNotNull(), F.col("plain_dts")).otherwise(F.col("end_dts")))
+    return agg.select("rec_id", "gop", "start_pts", "start_dts", "end_dts", "packets", leading_end.alias("leading_end_dts"), "skipped")

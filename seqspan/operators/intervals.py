@@ -214,3 +214,10 @@ def edit_log(edits: DataFrame) -> DataFrame:
         yield key[0], ",".join(f"{a}-{b}" for a, b in now), len(undo), len(redo)
 
     return by_group(edits.select("rec_id", "seq", "action", "start_f", "end_f"), ["rec_id"], ["seq"], fold, "rec_id long, ranges string, undos long, redos long")
+
+
+def toggled(markers: DataFrame, frames: DataFrame) -> DataFrame:
+    """rec_id, frame: markers after each of the given frames (rec_id, frame) was switched: set where it was none, else taken away."""
+    times = frames.groupBy("rec_id", "frame").agg(F.count("*").alias("n"))
+    both = markers.select("rec_id", "frame").distinct().withColumn("set", F.lit(1)).join(times, ["rec_id", "frame"], "full_outer")
+    return both.where((F.coalesce("set", F.lit(0)) + F.coalesce("n", F.lit(0))) % 2 == 1).select("rec_id", "frame")

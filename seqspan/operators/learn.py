@@ -182,3 +182,30 @@ def best_lag(pairs: DataFrame, most: int) -> DataFrame:
     summed = shifted.join(free.select("key", "t", "y"), ["key", "t"]).groupBy("key", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")), 3).alias("score"))
     best = summed.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "lag")).alias("b"))
     return best.select("key", F.col("b.lag").cast("long").alias("lag"), (-F.col("b.s")).alias("score"))
+
+
+def learned_mask(contrast: DataFrame, threshold: float = 0.35, least: int = 4, small: int = 10, small_mean: float = 0.6) -> DataFrame:
+    """key, kind, pixels, mean: the best of a key's trials (key, kind, pixel, contrast): that with the highest mean contrast.
+
+    Pixels above the threshold count; a trial needs ``least`` of them, and one of fewer than ``small`` a mean of
+    ``small_mean``.  Of equals the first kind.
+    """
+    each = contrast.where(F.col("contrast") > threshold).groupBy("key", "kind").agg(F.count("*").alias("pixels"), F.round(F.avg("contrast"), 6).alias("mean"))
+    good = each.where((F.col("pixels") >= least) & ((F.col("pixels") >= small) | (F.col("mean") >= small_mean)))
+    best = good.groupBy("key").agg(F.min(F.struct((-F.col("mean")).alias("m"), "kind", "pixels", "mean")).alias("x"))
+    return best.select("key", "x.kind", "x.pixels", "x.mean")
+
+
+def sign_clusters(clusters: DataFrame, readings: DataFrame, width: int, least: int = 10, thick: int = 2, longest: int = 10, on: tuple[float, float] = (0.3, 0.97)) -> DataFrame:
+    """key, pixels, w, h, share, verdict: whether a cluster of pixels (key, pixel; row by row of ``width``) is a sign in a corner.
+
+    ``readings`` has key, t and the mean of the cluster's pixels (v).  ``small`` with fewer than ``least`` pixels, ``line`` if it
+    is thinner than ``thick`` or more than ``longest`` times as long as thick, ``share`` if it isn't on (over a half) in a
+    share of the samples within ``on``, else ``sign``.
+    """
+    x, y = F.col("pixel") % width, F.floor(F.col("pixel") / width)
+    box = clusters.groupBy("key").agg(F.count("*").alias("pixels"), (F.max(x) - F.min(x) + 1).alias("w"), (F.max(y) - F.min(y) + 1).alias("h"))
+    told = box.join(readings.groupBy("key").agg(F.round(F.avg((F.col("v") > 0.5).cast("double")), 6).alias("share")), "key")
+    thin, long = F.least("w", "h"), F.greatest("w", "h")
+    verdict = F.when(F.col("pixels") < least, "small").when((thin < thick) | (long > thin * longest), "line").when(~F.col("share").between(*on), "share").otherwise("sign")
+    return told.select("key", "pixels", "w", "h", "share", verdict.alias("verdict"))

@@ -60,8 +60,33 @@ def shows(files: DataFrame) -> DataFrame:
     return files.groupBy(names.show_key(F.col("show")).alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("id", "show"))["show"].alias("first_name"))
 
 
-def numbered_paths(files: DataFrame) -> DataFrame:
-    """id, path: names that several files would take get `` (2)``, `` (3)``… in the order of id."""
-    n = F.row_number().over(W.partitionBy("folder", "base", "ext").orderBy("id"))
-    name = F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), n.cast("string"), F.lit(")")))
-    return files.select("id", F.concat("folder", F.lit("/"), name, F.lit("."), "ext").alias("path"))
+def numbered_paths(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """id, path: names that are taken, by files that exist (path) or by one before (by id), get `` (2)``, `` (3)``… instead.
+
+    The nth file of a name gets the nth number that no existing file has; what is counted is a name's files, never all.
+    """
+    key = ["folder", "base", "ext"]
+    n = F.row_number().over(W.partitionBy(*key).orderBy("id"))
+    ranked = files.withColumn("n", n)
+    plain = F.concat("folder", F.lit("/"), "base")
+    tail = F.concat(F.lit("."), "ext")
+    made = lambda k: F.concat(plain, F.when(k == 1, "").otherwise(F.concat(F.lit(" ("), k.cast("string"), F.lit(")"))), tail)
+    if existing is None:
+        return ranked.select("id", made(F.col("n")).alias("path"))
+    # existing files by what their name would be without a number
+    taken = existing.select(F.regexp_replace("path", r" \(\d+\)(\.[^./]*)$", "$1").alias("stem"), F.regexp_extract("path", r" \((\d+)\)\.[^./]*$", 1).try_cast("int").alias("k"), "path")
+    taken = taken.unionByName(existing.select(F.col("path").alias("stem"), F.lit(1).alias("k"), "path")).where("k IS NOT NULL")
+    wanted = ranked.groupBy(*key).agg(F.max("n").alias("most")).withColumn("stem", F.concat(plain, tail))
+    held = wanted.join(taken.where((F.col("k") == 1) | (F.col("stem") != F.col("path"))).groupBy("stem").agg(F.collect_set("k").alias("held")), "stem", "left")
+    steps = F.sequence(F.lit(1), F.col("most") + F.coalesce(F.size("held"), F.lit(0)))
+    free = F.filter(steps, lambda k: F.col("held").isNull() | ~F.array_contains("held", k))
+    return ranked.join(held.select(*key, free.alias("free")), key).select("id", made(F.get("free", F.col("n") - 1)).alias("path"))
+
+
+def discovered(listing: DataFrame, pattern: str) -> DataFrame:
+    """path, root of files (order, root, path) whose name fits a pattern with ``*`` and ``?`` in any case; a path counts where it is met first."""
+    import re as _re
+
+    glob = "".join(".*" if c == "*" else "." if c == "?" else _re.escape(c) for c in pattern)
+    fits = listing.where(F.substring_index("path", "/", -1).rlike(f"(?is)^{glob}$"))
+    return fits.groupBy("path").agg(F.min(F.struct("order", "root"))["root"].alias("root"))

@@ -147,3 +147,8 @@ def segment_name(path: Column, number: Column, total: Column) -> Column:
     at_hash = F.concat(F.regexp_extract(path, r"(?s)^(.*)#[^#]*$", 1), n, F.regexp_extract(path, r"#([^#]*)$", 1))
     plain = F.concat(F.regexp_extract(path, r"(?s)^(.*?)(\.[^./]*)?$", 1), n, F.regexp_extract(path, r"(\.[^./]*)$", 1))
     return F.when(path.contains("#"), at_hash).otherwise(plain)
+
+
+def one_of(value: Column, allowed: Sequence[str], default: str) -> Column:
+    """A setting that is one of a few words, else the default."""
+    return F.when(value.isin(*allowed), value).otherwise(F.lit(default))

@@ -64,18 +64,18 @@ def levels_agreeing(rows: DataFrame, levels: Sequence[int], merge_gap: int, min_
     return pairs.where(covered).groupBy("rec_id", "t0", "t1").agg(F.count_distinct("level").alias("support")).where(F.col("support") >= least)
 
 
-def merge_absence(rows: DataFrame, merge_gap: int) -> DataFrame:
-    """Adds ``present``: absences with short presences between them are one, from the first to the last sample absent on its own.
+def merge_absence(rows: DataFrame) -> DataFrame:
+    """Adds ``present``: where ``merged`` joins absences, each joined one reaches from its first to its last sample absent by ``on``.
 
-    Samples outside these stretches are present.
+    ``rows`` has rec_id, i, on and merged, the flag after something was left out of account.  What merging added at the ends
+    of an absence stays present, and so does a joined one in which nothing was absent.
     """
-    w = W.partitionBy("rec_id").orderBy("t", "i")
-    away = F.when(~F.col("on"), F.col("t"))
-    before = F.last(away, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(away, ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    # a sample lies in a stretch if the absences next to it on both sides belong together
-    within = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("after") - F.col("before") <= merge_gap)
-    return rows.withColumns({"before": before, "after": after}).withColumn("present", ~within).drop("before", "after")
+    island = _islands(rows, "merged", ("rec_id",))
+    w = W.partitionBy("rec_id", "island")
+    away = F.when(~F.col("on"), F.col("i"))
+    inside = ~F.col("merged") & (F.col("i") >= F.col("first")) & (F.col("i") <= F.col("last"))
+    out = island.withColumns({"first": F.min(away).over(w), "last": F.max(away).over(w)})
+    return out.withColumn("present", ~F.coalesce(inside, F.lit(False))).drop("island", "first", "last")
 
 
 def gaps_between(spans: DataFrame) -> DataFrame:
@@ -115,11 +115,17 @@ def weighted_mode(rows: DataFrame, value: str) -> DataFrame:
     return summed.withColumn("rank", rank).where("rank = 1").select("rec_id", "mode", "weight")
 
 
-def shape_runs(rows: DataFrame, tolerance: int, least_share: float, margin: int, merge_gap: int, min_len: int) -> DataFrame:
-    """Runs in which the smoothed width is above the dominant one by more than ``margin``, where one is dominant enough."""
-    low = rolling_min(rows, "width")
-    usual = bucket_mode(low, "low", tolerance).where(F.col("share") >= least_share)
-    return runs_of(low.join(usual, "rec_id"), F.col("low") > F.col("mode") + margin, merge_gap, min_len)
+def shape_runs(rows: DataFrame, tolerance: int, least_share: float, merge_gap: int, min_len: int) -> DataFrame:
+    """Runs in which the smoothed picture is wider or higher than the dominant one by more than the tolerance.
+
+    ``rows`` has width and height.  A recording in which neither has a dominant value, in ``least_share`` of the samples, has
+    no runs.
+    """
+    low = rolling_min(rows, "width").withColumnRenamed("low", "w")
+    low = rolling_min(low, "height").withColumnRenamed("low", "h")
+    usual = [bucket_mode(low, c, tolerance).select("rec_id", F.col("mode").alias(f"usual_{c}"), F.col("share").alias(f"share_{c}")) for c in ("w", "h")]
+    told = low.join(usual[0], "rec_id").join(usual[1], "rec_id").where(F.greatest("share_w", "share_h") >= least_share)
+    return runs_of(told, (F.col("w") > F.col("usual_w") + tolerance) | (F.col("h") > F.col("usual_h") + tolerance), merge_gap, min_len)
 
 
 def refined_sampling(lengths: DataFrame, odd: DataFrame, coarse: int, fine: int, reach: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .intervals import overlapping
+from .walks import by_group
 
 
 #: Width of the buckets of times in milliseconds.
@@ -151,3 +154,29 @@ def runs_to_repair(frames: DataFrame) -> DataFrame:
     odd = frames.join(usual, "rec_id").where("config <> usual")
     island = F.col("seq") - F.row_number().over(W.partitionBy("rec_id").orderBy("seq"))
     return odd.withColumn("g", island).groupBy("rec_id", "g").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n")).drop("g")
+
+
+#: A dts out of these bounds is none.
+SANE_DTS = (-900_000, 1_000_000_000_000)
+
+
+def repaired_timestamps(packets: DataFrame) -> DataFrame:
+    """rec_id, seq, pts, dts, duration of packets with dts that rise, no pts below its dts, and a duration.
+
+    A dts at or below the one before becomes one more than that; without one (or out of ``SANE_DTS``) it is one more than the
+    last, or the pts while none is known to be 0 or more.  A missing duration is that of the last packet with one.
+    """
+    low, high = SANE_DTS
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        last, usual = None, None
+        for seq, pts, dts, duration in part:
+            if dts is not None and low <= dts <= high:
+                dts = dts if last is None or dts > last else last + 1
+            else:
+                dts = last + 1 if last is not None and last >= 0 else pts if pts is not None else 0
+            last = dts
+            usual = duration if duration is not None and duration > 0 else usual
+            yield key[0], seq, pts if pts is None else max(pts, dts), dts, usual if duration is None or duration <= 0 else duration
+
+    return by_group(packets.select("rec_id", "seq", "pts", "dts", "duration"), ["rec_id"], ["seq"], walk, "rec_id long, seq long, pts long, dts long, duration long")

@@ -82,9 +82,22 @@ def retention(spark, sf_dir):
     return op.retained(_files(spark, sf_dir), F.lit(100 * 3600), 5)
 
 
-def shared_bindings(spark, sf_dir):
+def _keys(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return op.shared_bindings(p.select(F.concat_ws("+", F.when(F.col("p_size") % 2 == 0, "Ctrl"), F.when(F.col("p_size") % 3 == 0, "Shift"), F.substring("p_brand", -2, 2)).alias("keys"), F.col("p_partkey").alias("action")))
+    mods = F.when(F.col("p_size") % 4 == 0, "Ctrl + shift").when(F.col("p_size") % 4 == 1, "SHIFT+ctrl").when(F.col("p_size") % 4 == 2, "alt+Meta")
+    return p.select(F.concat_ws("+", mods, F.substring("p_brand", -2, 2)).alias("keys"), F.col("p_partkey").alias("action"))
+
+
+def _known_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_size % 5 > 0").select(F.substring("p_brand", -2, 2).alias("key")).where("key NOT LIKE '%3'")
+
+
+def shared_bindings(spark, sf_dir):
+    return op.shared_bindings(_keys(spark, sf_dir), _known_keys(spark, sf_dir))
+
+
+def unknown_bindings(spark, sf_dir):
+    return op.unknown_bindings(_keys(spark, sf_dir), _known_keys(spark, sf_dir))
 
 
 def first_streams(spark, sf_dir):
@@ -95,11 +108,11 @@ def first_streams(spark, sf_dir):
 
 def channel_keys(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select(F.col("l_orderkey").alias("rec_id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("service"), F.floor(F.col("l_quantity") / 20).cast("long").alias("number"))
-    return op.channel_keys(rows, ["N"])
+    rows = li.select(F.col("l_orderkey").alias("rec_id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "N", F.concat(F.lit("Service 0"), F.col("l_partkey").cast("string"))).otherwise(F.col("l_returnflag"))).alias("service"), F.floor(F.col("l_quantity") / 20).cast("long").alias("number"))
+    return op.channel_keys(rows)
 
 
-QUERIES = {f.__name__: f for f in (dominant_config, commonest_box, track_census, silent_tracks, usable_tracks, join_target, join_signatures, joiner_offsets, export_drift, bitrate_budget, retention, shared_bindings, first_streams, channel_keys)}
+QUERIES = {f.__name__: f for f in (dominant_config, commonest_box, track_census, silent_tracks, usable_tracks, join_target, join_signatures, joiner_offsets, export_drift, bitrate_budget, retention, shared_bindings, unknown_bindings, first_streams, channel_keys)}
 
 _ENTRIES = "en AS (SELECT conv_id AS list_id, turn AS seq, CAST(length(text) AS BIGINT) AS duration, substr(role, 1, 1) AS codec, CAST(length(text) % 3 * 320 + 640 AS BIGINT) AS w, CAST(length(text) % 2 * 360 + 360 AS BIGINT) AS h, CAST(length(text) % 4 * 5 + 25 AS DOUBLE) AS fps, 'aac' AS audio, CAST(length(text) % 90 AS BIGINT) AS fade_in, CAST(length(text) % 200 AS BIGINT) AS fade_out FROM conversations)"
 ORACLES = {
@@ -114,7 +127,8 @@ ORACLES = {
     "export_drift": "WITH j AS (SELECT o_orderkey AS k, o_orderkey % 3 * 25 + 25 AS rate, CASE WHEN o_orderkey % 17 > 0 THEN round_even(o_orderkey * 7 / (o_orderkey % 3 * 25 + 25)::DOUBLE + (o_orderkey % 41 - 20) / 8.0::DOUBLE, 3) END AS actual FROM orders), d AS (SELECT *, k % 11 > 0 AS rated, round(CASE WHEN k % 11 > 0 AND coalesce(actual, 0) <> 0 THEN actual - k * 7 / rate::DOUBLE ELSE 0 END, 6) AS drift, round(greatest(1.0, greatest(1, k % 90) * 2.0 / CASE WHEN k % 11 > 0 THEN rate ELSE 25 END::DOUBLE), 6) AS tolerance FROM j) SELECT k AS rec_id, CASE WHEN k % 13 = 0 THEN k * 7 ELSE k * 7 + k % 5 - 2 END AS reported, drift, tolerance, abs(drift) <= tolerance AS fine FROM d",
     "bitrate_budget": "SELECT o_orderkey AS rec_id, CAST(greatest(500, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 6000 ELSE floor(floor(o_totalprice) * 8 / (o_orderkey % 7 + 1) / 1000) END - coalesce((SELECT sum(floor(l_quantity * 8)) FROM lineitem WHERE l_orderkey = o_orderkey), 0)) AS BIGINT) AS kbps FROM orders",
     "retention": "WITH f AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS root, url AS path, page_id * 3600 AS mtime, CAST(length(html) AS BIGINT) AS size FROM pages) SELECT * FROM f WHERE mtime >= 360000 QUALIFY row_number() OVER (PARTITION BY root ORDER BY mtime DESC, path) <= 5",
-    "shared_bindings": "WITH k AS (SELECT p_partkey AS action, concat_ws('+', CASE WHEN p_size % 2 = 0 THEN 'Ctrl' END, CASE WHEN p_size % 3 = 0 THEN 'Shift' END, substr(p_brand, -2)) AS keys FROM part) SELECT array_to_string(list_sort(list_transform(string_split(keys, '+'), lambda x: lower(trim(x)))), '+') AS combo, count(DISTINCT action) AS actions FROM k GROUP BY combo HAVING count(DISTINCT action) > 1",
+    "shared_bindings": "WITH k AS (SELECT p_partkey AS action, CASE p_size % 4 WHEN 0 THEN 'Ctrl + shift+' WHEN 1 THEN 'SHIFT+ctrl+' WHEN 2 THEN 'alt+Meta+' ELSE '' END || right(p_brand, 2) AS keys, CASE p_size % 4 WHEN 0 THEN 'ctrl+shift+' WHEN 1 THEN 'ctrl+shift+' WHEN 2 THEN 'alt+' ELSE '' END || lower(right(p_brand, 2)) AS combo, right(p_brand, 2) AS key FROM part), kn AS (SELECT DISTINCT right(p_brand, 2) AS key FROM part WHERE p_size % 5 > 0 AND right(p_brand, 1) <> '3') SELECT combo, count(*) AS actions FROM k WHERE key IN (SELECT key FROM kn) GROUP BY combo HAVING count(*) > 1",
+    "unknown_bindings": "WITH k AS (SELECT p_partkey AS action, CASE p_size % 4 WHEN 0 THEN 'Ctrl + shift+' WHEN 1 THEN 'SHIFT+ctrl+' WHEN 2 THEN 'alt+Meta+' ELSE '' END || right(p_brand, 2) AS keys, CASE p_size % 4 WHEN 0 THEN 'ctrl+shift+' WHEN 1 THEN 'ctrl+shift+' WHEN 2 THEN 'alt+' ELSE '' END || lower(right(p_brand, 2)) AS combo, right(p_brand, 2) AS key FROM part), kn AS (SELECT DISTINCT right(p_brand, 2) AS key FROM part WHERE p_size % 5 > 0 AND right(p_brand, 1) <> '3') SELECT action, keys FROM k WHERE key NOT IN (SELECT key FROM kn)",
     "first_streams": "SELECT l_orderkey AS rec_id, CAST(l_linenumber % 3 AS BIGINT) AS index, min(CAST(l_linenumber AS BIGINT)) AS seq, true AS seen FROM lineitem GROUP BY ALL",
     "channel_keys": "WITH p AS (SELECT l_orderkey AS rec_id, l_linenumber AS seq, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS service, CAST(floor(l_quantity / 20) AS BIGINT) AS number FROM lineitem) SELECT rec_id, coalesce((min({'s': seq, 'v': service}) FILTER (service IS NOT NULL AND service <> 'N')).v, (min({'s': seq, 'v': 'sid:' || number}) FILTER (number NOT IN (0, 1))).v, '') AS channel FROM p GROUP BY rec_id",
 }

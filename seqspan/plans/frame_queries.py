@@ -33,7 +33,9 @@ def nearest_frame(spark, sf_dir):
 
 
 def snap_down_up(spark, sf_dir):
-    return op.snap(_index(spark, sf_dir), src.probes(spark, sf_dir)).withColumn("up", F.coalesce("up", F.lit(-1)))
+    index = _index(spark, sf_dir)
+    ends = index.groupBy("rec_id").agg((F.max("pts") + 40).alias("finish"))
+    return op.snap(index, src.probes(spark, sf_dir), ends)
 
 
 def seconds_to_frame(spark, sf_dir):
@@ -48,14 +50,25 @@ def range_bytes(spark, sf_dir):
 
 
 def size_estimate(spark, sf_dir):
-    sizes = src.packets(spark, sf_dir).groupBy("rec_id").agg((F.sum("size") * 2).alias("size"))
-    return op.size_estimate(_index(spark, sf_dir), src.frame_spans(spark, sf_dir), sizes)
+    sizes = src.packets(spark, sf_dir).groupBy("rec_id").agg(F.when(F.col("rec_id") % 9 > 0, F.sum("size") * 2).otherwise(0).alias("size"))
+    index = _index(spark, sf_dir).withColumns({c: F.when(F.col("rec_id") % 5 > 0, F.col(c)).otherwise(0) for c in ("bytes", "cum_bytes")})
+    return op.size_estimate(index, src.frame_spans(spark, sf_dir), sizes)
 
 
 def picture_groups(spark, sf_dir):
     return op.picture_groups(src.packets(spark, sf_dir))
 
 
+def _coded(spark, sf_dir):
+    p = src.packets(spark, sf_dir).where("pts IS NOT NULL")
+    unit = F.when(F.col("size") % 9 == 0, None).when(F.col("is_key"), F.col("size") % 4 + 19).otherwise(F.col("size") % 6 + 5)
+    return p.select("rec_id", "seq", "pts", F.when(F.col("seq") % 6 > 0, F.col("pts") - F.col("size") % 50).alias("dts"), "is_key", unit.alias("unit"))
+
+
+def decodable_groups(spark, sf_dir):
+    return op.decodable_groups(_coded(spark, sf_dir)).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start_dts", "leading_end_dts")})
+
+
 def clock_jumps(spark, sf_dir):
     return op.clock_jumps(_index(spark, sf_dir), JUMP_MS)
 
@@ -83,6 +96,7 @@ QUERIES = {
     "range_bytes": range_bytes,
     "size_estimate": size_estimate,
     "picture_groups": picture_groups,
+    "decodable_groups": decodable_groups,
     "clock_jumps": clock_jumps,
     "jumped_lengths": jumped_lengths,
     "jump_before": jump_before,
@@ -97,15 +111,16 @@ _CLAMPED = """last AS (SELECT rec_id, max(frame_no) AS last FROM frames GROUP BY
 held AS (SELECT s.rec_id, id, greatest(0, least(last, a)) AS lo, greatest(0, least(last, b)) AS hi, a, b FROM frame_spans s JOIN last USING (rec_id)),
 summed AS (SELECT h.rec_id, h.id, h.a, h.b, CAST(coalesce((SELECT sum(bytes) FROM frames f WHERE f.rec_id = h.rec_id AND f.frame_no BETWEEN h.lo AND h.hi), 0) AS BIGINT) AS bytes FROM held h)"""
 ORACLES = {
+    "decodable_groups": with_tables("packets", "WITH c AS (SELECT rec_id, seq, pts, CASE WHEN seq % 6 > 0 THEN pts - size % 50 END AS dts, is_key, CASE WHEN size % 9 = 0 THEN NULL WHEN is_key THEN size % 4 + 19 ELSE size % 6 + 5 END AS unit FROM packets WHERE pts IS NOT NULL), o AS (SELECT *, is_key AND (seq = min(CASE WHEN is_key THEN seq END) OVER (PARTITION BY rec_id) OR unit IS NULL OR unit BETWEEN 16 AND 21 OR unit BETWEEN 32 AND 34) AS opens FROM c), g AS (SELECT *, CAST(sum(opens::INT) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS gop, coalesce(unit BETWEEN 6 AND 9, false) AS lead FROM o), h AS (SELECT *, min(CASE WHEN NOT lead AND NOT opens THEN seq END) OVER (PARTITION BY rec_id, gop) AS plain, coalesce(max(CASE WHEN opens THEN unit END) OVER (PARTITION BY rec_id, gop) = 21, false) AS cra FROM g WHERE gop >= 0), i AS (SELECT *, cra AND lead AND NOT opens AND (plain IS NULL OR seq < plain) AS ahead FROM h) SELECT rec_id, gop, max(pts) FILTER (opens) AS start_pts, coalesce(max(dts) FILTER (opens), -1) AS start_dts, arg_max(coalesce(dts, pts), seq) AS end_dts, count(*) AS packets, coalesce(CASE WHEN count(*) FILTER (ahead) > 0 THEN CASE WHEN max(plain) IS NOT NULL THEN max(dts) FILTER (seq = plain) ELSE arg_max(coalesce(dts, pts), seq) END END, -1) AS leading_end_dts, coalesce(bool_or(ahead AND unit IN (8, 9)), false) AS skipped FROM i GROUP BY rec_id, gop"),
     "frame_index": with_tables("frames", "SELECT * FROM frames"),
     "null_pts_carry": with_tables("frames", "SELECT rec_id, pts, bytes, is_key FROM frames"),
     "keyframe_set": with_tables("packets", "SELECT DISTINCT rec_id, pts FROM packets WHERE is_key AND pts IS NOT NULL"),
     "median_gop": with_tables("packets", "WITH k AS (SELECT DISTINCT rec_id, pts FROM packets WHERE is_key AND pts IS NOT NULL), g AS (SELECT rec_id, pts - lag(pts) OVER (PARTITION BY rec_id ORDER BY pts) AS gap FROM k) SELECT rec_id, list_sort(list(gap))[len(list(gap)) // 2 + 1] AS gap FROM g WHERE gap IS NOT NULL GROUP BY rec_id"),
     "nearest_frame": with_tables("frames probes", f"SELECT p.rec_id, p.id, {_NEAREST} AS frame_no FROM probes p WHERE EXISTS (SELECT 1 FROM frames f WHERE f.rec_id = p.rec_id)"),
-    "snap_down_up": with_tables("frames probes", "SELECT p.rec_id, p.id, coalesce((SELECT max(pts) FROM frames f WHERE f.rec_id = p.rec_id AND f.pts <= p.q), (SELECT min(pts) FROM frames f WHERE f.rec_id = p.rec_id)) AS down, coalesce((SELECT min(pts) FROM frames f WHERE f.rec_id = p.rec_id AND f.pts >= p.q), -1) AS up FROM probes p WHERE EXISTS (SELECT 1 FROM frames f WHERE f.rec_id = p.rec_id)"),
+    "snap_down_up": with_tables("frames probes", "SELECT p.rec_id, p.id, coalesce((SELECT max(pts) FROM frames f WHERE f.rec_id = p.rec_id AND f.pts <= p.q), (SELECT min(pts) FROM frames f WHERE f.rec_id = p.rec_id)) AS down, coalesce((SELECT min(pts) FROM frames f WHERE f.rec_id = p.rec_id AND f.pts >= p.q), (SELECT max(pts) + 40 FROM frames f WHERE f.rec_id = p.rec_id)) AS up, (SELECT f.pts FROM frames f WHERE f.rec_id = p.rec_id ORDER BY abs(f.pts - p.q), f.pts LIMIT 1) AS near FROM probes p WHERE EXISTS (SELECT 1 FROM frames f WHERE f.rec_id = p.rec_id)"),
     "seconds_to_frame": with_tables("frames probes", f"WITH start AS (SELECT rec_id, min(pts) AS start FROM frames GROUP BY rec_id), p AS (SELECT rec_id, id, start + CAST(round_even(id % 40000 * 60.0005::DOUBLE * 1000, 0) AS BIGINT) AS q FROM probes JOIN start USING (rec_id)) SELECT p.rec_id, p.id, p.q, {_NEAREST} AS frame_no FROM p"),
     "range_bytes": with_tables("frames frame_spans", f"WITH {_CLAMPED} SELECT rec_id, id, bytes FROM summed"),
-    "size_estimate": with_tables("frames frame_spans", f"WITH {_CLAMPED}, k AS (SELECT rec_id, CAST(sum(b - a + 1) AS BIGINT) AS kept_frames, sum(bytes) AS kept_bytes FROM summed WHERE b >= a GROUP BY rec_id), w AS (SELECT rec_id, sum(bytes) AS video_bytes, count(*) AS frames FROM frames GROUP BY rec_id), z AS (SELECT rec_id, sum(size) * 2 AS size FROM packets GROUP BY rec_id) SELECT rec_id, kept_frames, CAST(kept_bytes + floor(greatest(0, size - video_bytes) * least(kept_frames, frames) / frames) AS BIGINT) AS estimate FROM k JOIN w USING (rec_id) JOIN z USING (rec_id)"),
+    "size_estimate": with_tables("frames frame_spans", f"WITH {_CLAMPED}, k AS (SELECT rec_id, CAST(sum(b - a + 1) AS BIGINT) AS kept_frames, sum(bytes) AS kept_bytes FROM summed WHERE b >= a GROUP BY rec_id), w AS (SELECT rec_id, sum(bytes) AS video_bytes, count(*) AS frames FROM frames GROUP BY rec_id), z AS (SELECT rec_id, CASE WHEN rec_id % 9 > 0 THEN sum(size) * 2 ELSE 0 END AS size FROM packets GROUP BY rec_id) SELECT rec_id, kept_frames, round(CASE WHEN size <= 0 THEN 0 WHEN rec_id % 5 = 0 THEN size * (kept_frames / frames::DOUBLE) ELSE kept_bytes + greatest(0, size - video_bytes) * (kept_frames / frames::DOUBLE) END::DOUBLE, 3) AS estimate FROM k JOIN w USING (rec_id) JOIN z USING (rec_id)"),
     "picture_groups": with_tables("packets", "WITH m AS (SELECT *, CASE WHEN is_key OR row_number() OVER (PARTITION BY rec_id ORDER BY seq) = 1 THEN 1 ELSE 0 END AS st FROM packets WHERE pts IS NOT NULL), g AS (SELECT *, CAST(sum(st) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS gop FROM m) SELECT rec_id, gop, min(pts) AS start_pts, max(pts) AS end_pts, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY rec_id, gop"),
     "clock_jumps": with_tables("frames", f"WITH {_JUMPS} SELECT * FROM jumps"),
     "jumped_lengths": with_tables("frames keep_spans", f"WITH {_JUMPS}, o AS (SELECT k.*, CAST(coalesce((SELECT sum(amount) FROM jumps j WHERE j.rec_id = k.rec_id AND j.split2 > k.s * 2 AND j.split2 < k.e * 2), 0) AS BIGINT) AS jumped FROM keep_spans k) SELECT rec_id, k, s, e, jumped, e - s - jumped AS out_length, CAST(coalesce(sum(e - s - jumped) OVER (PARTITION BY rec_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start FROM o"),

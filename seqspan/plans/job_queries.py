@@ -96,9 +96,21 @@ def cut_list_roundtrip(spark, sf_dir):
 
 def project_roundtrip(spark, sf_dir):
     c = _cuts(spark, sf_dir).select("name", F.col("a").alias("start_frame"), F.col("b").alias("end_frame"), F.lit(4000).cast("long").alias("frames"))
-    made = io.write_project(c, 25.0)
-    size = F.when(F.substring("name", 2, 9).cast("long") % 2 == 0, 4000).otherwise(2000).cast("long")
-    return io.read_project(made, made.select("name", size.alias("frames"), F.lit(30.0).alias("fps")))
+    made, recordings = _projects(c)
+    return io.read_project(made, recordings)
+
+
+def _projects(c):
+    n = F.substring("name", 2, 9).cast("long")
+    prints = c.select("name").distinct().select("name", F.when(n % 3 > 0, F.lit("sha256:a")).alias("print"))
+    made = io.write_project(c, 25.0, prints, c.select("name", F.col("end_frame").alias("frame")).distinct())
+    size = F.when(n % 2 == 0, 4000).otherwise(2000).cast("long")
+    return made, made.select("name", size.alias("frames"), F.lit(30.0).alias("fps"), F.when(n % 5 > 0, F.when(n % 7 > 0, "sha256:a").otherwise("sha256:b")).alias("print"))
+
+
+def project_markers(spark, sf_dir):
+    c = _cuts(spark, sf_dir).select("name", F.col("a").alias("start_frame"), F.col("b").alias("end_frame"), F.lit(4000).cast("long").alias("frames"))
+    return io.read_project_markers(*_projects(c))
 
 
 def ticks_roundtrip(spark, sf_dir):
@@ -106,6 +118,20 @@ def ticks_roundtrip(spark, sf_dir):
     return io.read_ticks(io.write_ticks(c))
 
 
+def tick_markers(spark, sf_dir):
+    c = _cuts(spark, sf_dir).select("name", (F.col("a") / 8).alias("a"), (F.col("b") / 8).alias("b"))
+    made = io.write_ticks(c, c.select("name", F.col("b").alias("at")))
+    return io.read_markers(made, made.select("name", F.lit(7000).cast("long").alias("frames"), F.lit(25.0).alias("fps")))
+
+
+def project_seconds(spark, sf_dir):
+    c = _cuts(spark, sf_dir).select("name", (F.col("a") / 8).alias("a"), (F.col("b") / 8).alias("b"))
+    n = F.substring("name", 2, 9).cast("long")
+    made = io.write_ticks(c).where(n % 2 == 0).select(F.concat("name", F.lit(".vprj")).alias("name"), F.regexp_replace("document", "</Project>", "<Duration>70000000</Duration></Project>").alias("document"))
+    other = io.write_project(c.where(n % 2 == 1).select("name", (F.col("a") * 8).cast("long").alias("start_frame"), (F.col("b") * 8).cast("long").alias("end_frame"), F.lit(9).cast("long").alias("frames")), 8.0)
+    return io.read_seconds(made.unionByName(other.select(F.concat("name", F.lit(".swproj")).alias("name"), "document")))
+
+
 def chapters(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     d = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), F.col("turn").alias("seq"), (F.length("text") / 1024).alias("duration"))
@@ -117,7 +143,7 @@ def marks_in_output(spark, sf_dir):
     return io.marks_in_output(marks, src.keep_spans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, ticks_roundtrip, chapters, marks_in_output)}
+QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, project_markers, ticks_roundtrip, tick_markers, project_seconds, chapters, marks_in_output)}
 
 _JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'held' END AS status, o_orderkey AS ord, o_custkey % 50 AS owner FROM orders)"
 _FILES = f"f AS (SELECT url AS path, regexp_extract(url, '://([^/]*)', 1) AS root, CASE WHEN page_id % 17 > 0 THEN {NOW} - page_id * 40 END AS mtime, CAST(length(html) AS BIGINT) AS size, page_id FROM pages)"
@@ -134,7 +160,10 @@ ORACLES = {
     "eta": with_tables("packets", "WITH p AS (SELECT rec_id AS job, seq, seq * 10 AS clock, seq % 25 >= 12 AS own, CASE WHEN seq % 19 > 0 THEN (seq * 7 % 130 - 10)::DOUBLE END AS percent FROM packets), r AS (SELECT *, count(*) FILTER (percent >= 0 AND NOT own) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run, min(CASE WHEN percent > 0 THEN clock END) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING) AS start FROM p), b AS (SELECT *, clock - CASE WHEN own THEN min(CASE WHEN own AND percent > 0 THEN clock END) OVER (PARTITION BY job, run ORDER BY seq ROWS UNBOUNDED PRECEDING) ELSE start END AS el FROM r), l AS (SELECT job, seq, CASE WHEN percent IS NULL THEN NULL WHEN percent > 0 AND percent < 100 AND el > 0 THEN greatest(0, round(el / (percent / 100) - el, 3)) ELSE -1.0 END AS own_left FROM b) SELECT job, seq, coalesce(last_value(own_left IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq ROWS UNBOUNDED PRECEDING), -1.0)::DOUBLE AS \"left\" FROM l"),
     "cache_keys": f"WITH {_FILES} SELECT path, md5(concat_ws('|', path, coalesce(mtime, 0), size, '5')) AS key FROM f",
     "cut_list_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, id AS place, a::DOUBLE AS a, b::DOUBLE AS b FROM cuts UNION ALL SELECT 'r' || rec_id, id + 10000000, a::DOUBLE, b::DOUBLE FROM cuts WHERE id % 7 = 0"),
-    "project_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, CASE WHEN rec_id % 2 = 0 THEN a ELSE greatest(0, least(1999, CAST(round_even(round(a / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS start_frame, CASE WHEN rec_id % 2 = 0 THEN b ELSE greatest(0, least(1999, CAST(round_even(round(b / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS end_frame FROM cuts"),
+    "project_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, CASE WHEN (rec_id % 2 = 0 AND NOT (rec_id % 3 > 0 AND rec_id % 5 > 0 AND rec_id % 7 = 0)) THEN a ELSE greatest(0, least(CASE WHEN rec_id % 2 = 0 THEN 3999 ELSE 1999 END, CAST(round_even(round(a / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS start_frame, CASE WHEN (rec_id % 2 = 0 AND NOT (rec_id % 3 > 0 AND rec_id % 5 > 0 AND rec_id % 7 = 0)) THEN b ELSE greatest(0, least(CASE WHEN rec_id % 2 = 0 THEN 3999 ELSE 1999 END, CAST(round_even(round(b / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT))) END AS end_frame FROM cuts"),
+    "project_markers": with_tables("cuts", "WITH m AS (SELECT DISTINCT rec_id, CASE WHEN (rec_id % 2 = 0 AND NOT (rec_id % 3 > 0 AND rec_id % 5 > 0 AND rec_id % 7 = 0)) THEN b ELSE CAST(round_even(round(b / 25.0::DOUBLE, 6) * 30, 0) AS BIGINT) END AS frame FROM cuts) SELECT 'r' || rec_id AS name, frame FROM m WHERE frame >= 0 AND frame < CASE WHEN rec_id % 2 = 0 THEN 4000 ELSE 2000 END"),
+    "tick_markers": with_tables("cuts", "WITH m AS (SELECT DISTINCT rec_id, CAST(round_even(b / 8.0::DOUBLE * 25, 0) AS BIGINT) AS frame FROM cuts) SELECT 'r' || rec_id AS name, frame FROM m WHERE frame < 7000"),
+    "project_seconds": with_tables("cuts", "SELECT 'r' || rec_id || CASE WHEN rec_id % 2 = 0 THEN '.vprj' ELSE '.swproj' END AS name, a / 8.0::DOUBLE AS a, b / 8.0::DOUBLE AS b, CASE WHEN rec_id % 2 = 0 THEN 7.0 ELSE 0.0 END::DOUBLE AS duration FROM cuts"),
     "ticks_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, a / 8.0::DOUBLE AS a, b / 8.0::DOUBLE AS b FROM cuts"),
     "marks_in_output": with_tables("probes keep_spans", "WITH l AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY rec_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM keep_spans) SELECT p.rec_id, p.id, CAST(p.q - s + b AS BIGINT) AS out FROM probes p JOIN l ON l.rec_id = p.rec_id AND p.q >= s AND p.q < e"),
     "chapters": "WITH RECURSIVE d AS (SELECT 'c' || conv_id AS name, turn AS seq, length(text) / 1024.0::DOUBLE AS duration FROM conversations), st AS (SELECT name, coalesce(sum(duration) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark FROM d UNION ALL SELECT name, duration * 1.5 FROM d), m AS (SELECT st.name, mark, row_number() OVER (PARTITION BY st.name ORDER BY mark) AS r FROM st JOIN (SELECT name, sum(duration) AS total FROM d GROUP BY name) t ON t.name = st.name AND mark >= 0 AND mark < total), w AS (SELECT name, r, mark, true AS kept, mark AS last FROM m WHERE r = 1 UNION ALL SELECT m.name, m.r, m.mark, round(m.mark - w.last, 9) >= 0.25, CASE WHEN round(m.mark - w.last, 9) >= 0.25 THEN m.mark ELSE w.last END FROM w JOIN m ON m.name = w.name AND m.r = w.r + 1) SELECT name, mark FROM w WHERE kept",

@@ -42,7 +42,8 @@ def multi_level_support(spark, sf_dir):
 
 
 def merge_absence(spark, sf_dir):
-    return op.merge_absence(_rare(spark, sf_dir), 8 * HOUR).select("rec_id", "i", "present")
+    rows = _rare(spark, sf_dir).withColumn("merged", F.col("on") & (F.col("i") % 5 < 3) & (F.col("width") % 9 > 0))
+    return op.merge_absence(rows).select("rec_id", "i", "present")
 
 
 def anchor_gaps(spark, sf_dir):
@@ -66,7 +67,8 @@ def weighted_mode(spark, sf_dir):
 
 
 def shape_runs(spark, sf_dir):
-    return op.shape_runs(src.samples(spark, sf_dir), 20, 0.35, 6, GAP, 4 * HOUR)
+    rows = src.samples(spark, sf_dir).withColumn("height", F.col("width") * 7 % 200 + F.when(F.col("i") % 40 < 25, 0).otherwise(60))
+    return op.shape_runs(rows, 20, 0.35, GAP, 4 * HOUR)
 
 
 def refined_sampling(spark, sf_dir):
@@ -106,12 +108,12 @@ ORACLES = {
     "sustained_runs": with_tables("samples", f"WITH {_RARE}, {_sustained('rare', str(12 * HOUR))} SELECT rec_id, i, held FROM sus"),
     "consecutive_runs": with_tables("samples", f"WITH {_RARE}, {_sustained('rare', '0')} SELECT rec_id, min(t) AS t0, max(t) + 500 AS t1, count(*) AS n FROM sus WHERE \"on\" GROUP BY rec_id, island"),
     "multi_level_support": with_tables("samples", f"WITH {_RARE}, {_ALL_LEVELS}, {_sustained('lv', 'level', 'rec_id, level')}, {_runs('r', 'sus', 'NOT held', GAP, 12 * HOUR, 'rec_id, level')}, c AS (SELECT DISTINCT rec_id, t0, t1 FROM r) SELECT c.rec_id, c.t0, c.t1, count(DISTINCT level) AS support FROM c JOIN r ON c.rec_id = r.rec_id AND least(c.t1, r.t1) - greatest(c.t0, r.t0) > (c.t1 - c.t0) * 0.5 GROUP BY ALL HAVING count(DISTINCT level) >= 3"),
-    "merge_absence": with_tables("samples", f"WITH {_RARE}, g AS (SELECT rec_id, min(i) AS a, max(i) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY t, i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY rec_id ORDER BY t, i) <= {8 * HOUR} THEN 0 ELSE 1 END AS new FROM rare WHERE NOT \"on\")) GROUP BY rec_id, run) SELECT rec_id, i, NOT EXISTS (SELECT 1 FROM g WHERE g.rec_id = r.rec_id AND r.i BETWEEN a AND b) AS present FROM rare r"),
+    "merge_absence": with_tables("samples", f"WITH {_RARE}, m AS (SELECT *, \"on\" AND i % 5 < 3 AND width % 9 > 0 AS merged FROM rare), g AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN merged = lag(merged) OVER (PARTITION BY rec_id ORDER BY i) THEN 0 ELSE 1 END AS ch FROM m)), k AS (SELECT *, min(CASE WHEN NOT \"on\" THEN i END) OVER (PARTITION BY rec_id, island) AS a, max(CASE WHEN NOT \"on\" THEN i END) OVER (PARTITION BY rec_id, island) AS b FROM g) SELECT rec_id, i, NOT coalesce(NOT merged AND i BETWEEN a AND b, false) AS present FROM k"),
     "anchor_gaps": with_tables("samples", f"WITH {_RARE}, {_runs('r', 'rare', 'NOT \"on\"', 12 * HOUR, 6 * HOUR)} SELECT * FROM (SELECT rec_id, t1 AS a, lead(t0) OVER (PARTITION BY rec_id ORDER BY t0, t1) AS b FROM r) WHERE b > a"),
     "junction_mask": with_tables("samples", f"WITH {_RARE}, f AS (SELECT rec_id, t FROM (SELECT *, lead(\"on\") OVER (PARTITION BY rec_id ORDER BY t, i) AS next FROM rare) WHERE next <> \"on\") SELECT rec_id, i, NOT \"on\" AND EXISTS (SELECT 1 FROM f WHERE f.rec_id = r.rec_id AND abs(f.t - r.t) <= {2 * HOUR}) AS junction FROM rare r"),
     "bucket_mode": with_tables("samples", _mode(40)),
     "plain_mode": with_tables("samples", _mode(1)),
     "weighted_mode": with_tables("samples", "WITH g AS (SELECT *, lead(t) OVER (PARTITION BY rec_id ORDER BY t, i) - t AS gap FROM samples), w AS (SELECT *, coalesce(gap, lag(gap) OVER (PARTITION BY rec_id ORDER BY t, i), 1) AS weight FROM g) SELECT rec_id, aspect AS mode, CAST(sum(weight) AS BIGINT) AS weight FROM w GROUP BY rec_id, aspect QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY sum(weight) DESC, min(t), min(i)) = 1"),
-    "shape_runs": with_tables("samples", f"WITH lows AS (SELECT *, min(width) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS low FROM samples), m AS ({_mode(20, 'low', 'lows')}), j AS (SELECT lows.*, mode FROM lows JOIN m USING (rec_id) WHERE share >= 0.35), {_runs('r', 'j', 'low > mode + 6', GAP, 4 * HOUR)} SELECT * FROM r"),
+    "shape_runs": with_tables("samples", f"WITH hh AS (SELECT *, width * 7 % 200 + CASE WHEN i % 40 < 25 THEN 0 ELSE 60 END AS height FROM samples), lows AS (SELECT *, min(width) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS w, min(height) OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS h FROM hh), mw AS ({_mode(20, 'w', 'lows')}), mh AS ({_mode(20, 'h', 'lows')}), j AS (SELECT lows.*, mw.mode AS uw, mh.mode AS uh FROM lows JOIN mw USING (rec_id) JOIN mh USING (rec_id) WHERE greatest(mw.share, mh.share) >= 0.35), {_runs('r', 'j', '(w > uw + 20 OR h > uh + 20)', GAP, 4 * HOUR)} SELECT * FROM r"),
     "refined_sampling": with_tables("samples", "WITH rel AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY rec_id)) / 60000) AS BIGINT) AS rel FROM samples), len AS (SELECT rec_id, max(rel) AS length FROM rel GROUP BY rec_id), near AS (SELECT rec_id, greatest(0, rel - 1200) AS lo, least(length, rel + 1200) AS hi FROM rel JOIN len USING (rec_id) WHERE width >= 470), m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY rec_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM near), w AS (SELECT rec_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM m) GROUP BY rec_id, g) SELECT rec_id, unnest(generate_series(0, length, 600)) AS t FROM len UNION SELECT rec_id, unnest(generate_series(lo, hi, 100)) FROM w"),
 }

@@ -68,6 +68,14 @@ def monotone_fix(spark, sf_dir):
     return op.monotone(p, "x", "seq")
 
 
+def timestamp_repair(spark, sf_dir):
+    p = src.packets(spark, sf_dir)
+    first = F.min("pts").over(W.partitionBy("rec_id"))
+    rel = F.col("pts") - first - 5_000_000
+    dts = F.when(F.col("size") % 7 == 0, None).when(F.col("size") % 31 == 0, F.lit(-(1 << 40))).otherwise(rel + F.col("size") % 9 * 10_000_000 - 40_000_000)
+    return op.repaired_timestamps(p.select("rec_id", "seq", rel.alias("pts"), dts.alias("dts"), F.when(F.col("seq") % 4 > 0, F.col("size") % 50).alias("duration"))).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("pts", "duration")})
+
+
 def interleave(spark, sf_dir):
     p = src.packets(spark, sf_dir)
     dts = F.when(F.col("config") % 2 == 1, F.col("pts") - F.col("size"))
@@ -85,7 +93,7 @@ def repair_plan(spark, sf_dir):
     return op.runs_to_repair(src.packets(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (cut_segments, audio_pieces, adjusted_spans, ranges_to_spans, packet_restamp, jumps_in_spans, config_change_points, configs_in_ranges, segment_scene, monotone_fix, interleave, sane_timestamps, repair_plan)}
+QUERIES = {f.__name__: f for f in (cut_segments, audio_pieces, adjusted_spans, ranges_to_spans, packet_restamp, jumps_in_spans, config_change_points, configs_in_ranges, segment_scene, monotone_fix, timestamp_repair, interleave, sane_timestamps, repair_plan)}
 
 _GROUPS = "m AS (SELECT *, CASE WHEN is_key OR row_number() OVER (PARTITION BY rec_id ORDER BY seq) = 1 THEN 1 ELSE 0 END AS st FROM packets WHERE pts IS NOT NULL), gg AS (SELECT *, CAST(sum(st) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS gop FROM m), g2 AS (SELECT rec_id, gop, min(pts) AS s0, max(pts) AS end_pts FROM gg GROUP BY rec_id, gop), groups AS (SELECT rec_id, gop, s0, coalesce(lead(s0) OVER (PARTITION BY rec_id ORDER BY gop), end_pts + 1) AS e0 FROM g2)"
 _CUT = f"{_GROUPS}, segs AS (SELECT g.rec_id, g.gop, k, greatest(s, s0) AS s, least(e, e0) AS e, NOT (s0 >= s AND e0 <= e) AS recode FROM groups g JOIN keep_spans p ON g.rec_id = p.rec_id AND s < e0 AND e > s0)"
@@ -101,6 +109,7 @@ ORACLES = {
     "configs_in_ranges": with_tables("packets", f"WITH {_CHANGES}, u AS (SELECT *, coalesce(lead(seq) OVER (PARTITION BY rec_id ORDER BY seq), 1099511627776::BIGINT) AS till FROM changes), w AS (SELECT unnest([3, 20]) AS lo) SELECT rec_id, config, min(seq) AS first_seq FROM u JOIN w ON seq <= lo + 1 AND till > lo GROUP BY rec_id, config"),
     "segment_scene": with_tables("packets keep_spans", f"WITH {_CUT} SELECT rec_id, gop, k, coalesce((SELECT min(p.k) FROM keep_spans p WHERE p.rec_id = z.rec_id AND p.s * 2 <= z.s + z.e AND z.s + z.e < (p.e - 30000000) * 2), (SELECT max(p.k) FROM keep_spans p WHERE p.rec_id = z.rec_id AND p.s * 2 <= z.s + z.e), -1) AS scene FROM segs z"),
     "monotone_fix": with_tables("packets", "WITH x AS (SELECT rec_id, seq, CAST(floor(size / 100) AS BIGINT) AS x FROM packets) SELECT rec_id, seq, x, max(x - seq) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + seq AS fixed FROM x"),
+    "timestamp_repair": with_tables("packets", "WITH r AS (SELECT rec_id, seq, size, pts - min(pts) OVER (PARTITION BY rec_id) - 5000000 AS pts FROM packets), d AS (SELECT rec_id, seq, pts, CASE WHEN size % 7 = 0 OR size % 31 = 0 THEN NULL ELSE pts + size % 9 * 10000000 - 40000000 END AS d0, CASE WHEN seq % 4 > 0 THEN size % 50 END AS du FROM r), s AS (SELECT rec_id, seq, pts, CASE WHEN d0 BETWEEN -900000 AND 1000000000000 THEN d0 END AS dts, du FROM d), w AS (SELECT rec_id, 0::BIGINT AS seq, NULL::BIGINT AS pts, NULL::BIGINT AS dts, NULL::BIGINT AS duration, NULL::BIGINT AS usual FROM (SELECT DISTINCT rec_id FROM s) UNION ALL SELECT x.rec_id, x.seq, CASE WHEN x.pts IS NULL THEN NULL ELSE greatest(x.pts, CASE WHEN x.dts IS NOT NULL THEN greatest(x.dts, coalesce(w.dts + 1, x.dts)) WHEN w.dts >= 0 THEN w.dts + 1 ELSE coalesce(x.pts, 0) END) END, CASE WHEN x.dts IS NOT NULL THEN greatest(x.dts, coalesce(w.dts + 1, x.dts)) WHEN w.dts >= 0 THEN w.dts + 1 ELSE coalesce(x.pts, 0) END, CASE WHEN x.du > 0 THEN x.du ELSE w.usual END, CASE WHEN x.du > 0 THEN x.du ELSE w.usual END FROM w JOIN s x ON x.rec_id = w.rec_id AND x.seq = w.seq + 1) SELECT rec_id, seq, coalesce(pts, -1) AS pts, dts, coalesce(duration, -1) AS duration FROM w WHERE seq > 0").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
     "interleave": with_tables("packets", "WITH z AS (SELECT rec_id, seq, CAST(seq % 2 AS INTEGER) AS stream, coalesce(CASE WHEN config % 2 = 1 THEN pts - size END, pts, 0) AS key FROM packets) SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY key, stream, seq) - 1 AS place, stream, seq FROM z"),
     "sane_timestamps": with_tables("packets", "SELECT rec_id, seq, CASE WHEN config > 2 THEN greatest(pts, pts + size - 20000) ELSE pts END AS pts FROM packets WHERE pts IS NOT NULL"),
     "repair_plan": with_tables("packets", "WITH u AS (SELECT rec_id, config AS usual FROM packets GROUP BY rec_id, config QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY count(*) DESC, min(seq)) = 1), o AS (SELECT rec_id, seq, seq - row_number() OVER (PARTITION BY rec_id ORDER BY seq) AS g FROM packets JOIN u USING (rec_id) WHERE config <> usual) SELECT rec_id, min(seq) AS first, max(seq) AS last, count(*) AS n FROM o GROUP BY rec_id, g"),

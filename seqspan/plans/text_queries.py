@@ -118,10 +118,20 @@ def settings_pick(spark, sf_dir):
 def dest_paths(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     base = names.with_modifier(names.safe(F.col("p_type")), F.when(F.col("p_partkey") % 2 == 0, "-cut").otherwise("New "))
-    return op.numbered_paths(p.select(F.col("p_partkey").alias("id"), F.lit("/out").alias("folder"), base.alias("base"), F.lit("mkv").alias("ext")))
+    files = p.select(F.col("p_partkey").alias("id"), F.lit("/out").alias("folder"), base.alias("base"), F.lit("mkv").alias("ext"))
+    k = F.col("id")
+    there = files.where("id % 4 = 0").select(F.concat(F.lit("/out/"), "base", F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" ("), (k % 5 + 2).cast("string"), F.lit(")"))), F.lit(".mkv")).alias("path"))
+    return op.numbered_paths(files, there.distinct())
 
 
-QUERIES = {f.__name__: f for f in (parse_filename, render_path, combine_titles, timecodes, time_exprs, human_sizes, version_compare, show_groups, episode_join, ignore_match, settings_pick, dest_paths)}
+def discovered_files(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    path = F.concat(F.lit("/tv/"), (k % 700).cast("string"), F.when(k % 3 == 0, ".TS").when(k % 3 == 1, ".ts").otherwise(".tsx"))
+    return op.discovered(p.select(k.alias("order"), F.regexp_extract("url", "://([^/]*)", 1).alias("root"), path.alias("path")), "?*5.t?")
+
+
+QUERIES = {f.__name__: f for f in (parse_filename, render_path, combine_titles, timecodes, time_exprs, human_sizes, version_compare, show_groups, episode_join, ignore_match, settings_pick, dest_paths, discovered_files)}
 
 ORACLES = {
     "timecodes": "SELECT o_orderkey AS id, printf('%02d:%02d:%02d.%02d', (o_orderkey * 37) // 90000, (o_orderkey * 37) // 1500 % 60, (o_orderkey * 37) // 25 % 60, (o_orderkey * 37) % 25) AS code, printf('%02d:%02d:%02d.%02d', (w + c) // 3600, (w + c) // 60 % 60, (w + c) % 60, CASE WHEN c = 1 THEN 0 ELSE f END) AS from_seconds, ((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59) * 25 + o_orderkey % 25 AS parsed, (o_orderkey // 1000000 * 3600 + o_orderkey // 10000 % 100 * 60 + o_orderkey // 100 % 100) * 25 + o_orderkey % 100 AS short, -1::BIGINT AS bad, greatest(0, CAST(round_even((o_orderkey / 7.0::DOUBLE - 3) * 10000000, 0) AS BIGINT)) AS ticks, CASE WHEN o_orderkey >= 3600 THEN printf('%d:%02d:%02d', o_orderkey // 3600, o_orderkey // 60 % 60, o_orderkey % 60) ELSE printf('%d:%02d', o_orderkey // 60, o_orderkey % 60) END AS clock FROM (SELECT *, CASE WHEN f >= 25 THEN 1 ELSE 0 END AS c FROM (SELECT o_orderkey, CAST(floor(s) AS BIGINT) AS w, CAST(round_even((s - floor(s)) * 25, 0) AS BIGINT) AS f FROM (SELECT o_orderkey, greatest(0, o_orderkey * 0.97::DOUBLE - 2) AS s FROM orders)))",
@@ -132,7 +142,8 @@ ORACLES = {
     "episode_join": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE '' END AS title, CASE WHEN p_partkey % 3 > 0 THEN '' ELSE 'no title' END AS note FROM part",
     "ignore_match": "WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN '*' || right(p_name, 2) WHEN p_partkey % 5 = 1 THEN '# note' WHEN p_partkey % 25 = 2 THEN '*' WHEN p_partkey % 25 = 7 THEN ' *  ' || substr(p_name, 2, 3) WHEN p_partkey % 25 = 12 THEN '  ' ELSE upper(left(p_name, 4)) END AS pattern FROM part), w AS (SELECT pattern, starts_with(trim(pattern), '*') AS star, lower(CASE WHEN starts_with(trim(pattern), '*') THEN trim(substr(trim(pattern), 2)) ELSE trim(pattern) END) AS needle FROM l WHERE NOT starts_with(trim(pattern), '#')), m AS (SELECT unnest([true, false]) AS anywhere) SELECT p_partkey AS id, pattern, anywhere FROM part, w, m WHERE needle <> '' AND CASE WHEN star OR anywhere THEN contains(lower(p_name), needle) ELSE starts_with(lower(p_name), needle) END",
     "settings_pick": "WITH s AS (SELECT string_split(p_type, ' ')[-1] AS setting, min(p_partkey) AS o FROM part GROUP BY ALL HAVING length(setting) > 4) SELECT p_partkey AS id, coalesce((SELECT setting FROM s WHERE contains(lower(p_type), lower(setting)) ORDER BY length(setting) DESC, o LIMIT 1), 'default') AS setting FROM part",
-    "dest_paths": "WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_type || '-cut' ELSE 'New ' || p_type END AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b) SELECT id, '/out/' || base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.mkv' AS path FROM n",
+    "dest_paths": "WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_type || '-cut' ELSE 'New ' || p_type END AS base FROM part), e AS (SELECT DISTINCT base, CASE WHEN id % 3 = 0 THEN 1 ELSE id % 5 + 2 END AS k FROM b WHERE id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b), c AS (SELECT base, unnest(generate_series(1, (SELECT max(n) + 10 FROM n))) AS k FROM (SELECT DISTINCT base FROM b)), f AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS n FROM c WHERE (base, k) NOT IN (SELECT (base, k) FROM e)) SELECT id, '/out/' || base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.mkv' AS path FROM n JOIN f USING (base, n)",
+    "discovered_files": "WITH l AS (SELECT page_id AS o, regexp_extract(url, '://([^/]*)', 1) AS root, '/tv/' || page_id % 700 || CASE page_id % 3 WHEN 0 THEN '.TS' WHEN 1 THEN '.ts' ELSE '.tsx' END AS path, page_id % 700 AS m FROM pages) SELECT path, arg_min(root, o) AS root FROM l WHERE m % 10 = 5 AND m > 9 AND NOT ends_with(path, 'x') GROUP BY path",
     "combine_titles": "WITH t AS (SELECT p_partkey AS id, p_name AS a, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE p_name || ' Again' END AS b FROM part) SELECT id, CASE WHEN a = b THEN a ELSE a || ' & ' || b END || ' & Part 1' AS title FROM t",
     "render_path": "WITH m AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN 1990 + p_partkey % 30 END AS year, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 4 END AS season, CASE WHEN p_partkey % 2 = 0 THEN printf('%02d-%02d', p_partkey % 20, p_partkey % 20 + 1) ELSE printf('%02d', p_partkey % 9) END AS ez, CASE WHEN p_partkey % 6 > 0 THEN 'What ' || p_type || ' end.' ELSE '' END AS title, CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END AS mid FROM part) SELECT k AS id, name || CASE WHEN year IS NOT NULL THEN ' (' || year || ')' ELSE '' END || '/' || CASE WHEN season IS NULL THEN 'Season' WHEN season = 0 THEN 'Specials' ELSE 'Season ' || season END || '/' || regexp_replace(name || ' - S' || coalesce(printf('%02d', season), '') || 'E' || ez || ' - ' || title || ' [' || mid || ']', '\\s+', ' ', 'g') AS path FROM m",
     "parse_filename": "WITH p AS (SELECT p_partkey AS k, p_name, trim(replace(p_name, '.', ' ')) AS nm FROM part) SELECT k AS id, CASE k % 7 WHEN 3 THEN nm || ' 1920x1080' WHEN 5 THEN string_split(p_name, ' ')[1] ELSE nm END AS \"show\", CASE k % 7 WHEN 0 THEN 1 WHEN 1 THEN k % 5 WHEN 2 THEN 1 WHEN 6 THEN k % 3 ELSE -1 END AS season, CASE k % 7 WHEN 0 THEN (k % 24 + 1) || ',' || (k % 24 + 2) WHEN 1 THEN (k % 24 + 1) || ',' || (k % 24 + 2) WHEN 2 THEN '2,3' WHEN 6 THEN (k % 24 + 1)::VARCHAR ELSE '' END AS episodes, CASE k % 7 WHEN 2 THEN 2001 WHEN 4 THEN 1999 ELSE -1 END AS year, CASE k % 7 WHEN 0 THEN 'ts' WHEN 4 THEN 'mp4' WHEN 5 THEN lower(string_split(p_name, ' ')[2]) || '_noext' ELSE 'mkv' END AS ext, k % 7 NOT IN (3, 4, 5) AS matched FROM p",

@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 #: A project document: what was cut from which source, and who says so.
 PROJECT = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("source", T.StructType([T.StructField("path", T.StringType()), T.StructField("frames", T.LongType()), T.StructField("fps", T.DoubleType())])),
+    T.StructField("source", T.StructType([T.StructField("path", T.StringType()), T.StructField("frames", T.LongType()), T.StructField("fps", T.DoubleType()), T.StructField("duration", T.DoubleType()), T.StructField("fingerprint", T.StringType())])),
     T.StructField("cuts", T.ArrayType(T.StructType([T.StructField("start_frame", T.LongType()), T.StructField("end_frame", T.LongType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))),
+    T.StructField("markers", T.ArrayType(T.StructType([T.StructField("frame", T.LongType()), T.StructField("time", T.DoubleType())]))),
 ])
 TICKS = 10_000_000
 
@@ -32,43 +33,101 @@ def write_cut_list(cuts: DataFrame) -> DataFrame:
     return cuts.select("name", "place", F.concat(at("a"), F.lit("\t"), at("b"), F.lit("\t0")).alias("line"))
 
 
-def write_project(cuts: DataFrame, fps: float) -> DataFrame:
-    """name, document: one JSON document for each name of cuts (name, start_frame, end_frame) with source and frames."""
+def write_project(cuts: DataFrame, fps: float, prints: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """name, document: one JSON document for each name of cuts (name, start_frame, end_frame, frames).
+
+    ``prints`` (name, print) are the recordings' content prints, ``markers`` (name, frame) go along.
+    """
     seconds = lambda c: F.round(F.col(c) / fps, 6)
     cut = F.struct("start_frame", "end_frame", seconds("start_frame").alias("start"), seconds("end_frame").alias("end"))
     grouped = cuts.groupBy("name").agg(F.max("frames").alias("frames"), F.array_sort(F.collect_list(cut)).alias("cuts"))
-    source = F.struct(F.concat("name", F.lit(".ts")).alias("path"), "frames", F.lit(fps).alias("fps"))
-    return grouped.select("name", F.to_json(F.struct(F.lit(1).cast("long").alias("version"), source.alias("source"), "cuts")).alias("document"))
+    grouped = grouped.withColumn("print", F.lit(None).cast("string")) if prints is None else grouped.join(prints.select("name", "print"), "name", "left")
+    if markers is None:
+        grouped = grouped.withColumn("markers", F.lit(None).cast(PROJECT["markers"].dataType))
+    else:
+        listed = markers.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("frame", seconds("frame").alias("time")))).alias("markers"))
+        grouped = grouped.join(listed, "name", "left")
+    source = F.struct(F.concat("name", F.lit(".ts")).alias("path"), "frames", F.lit(fps).alias("fps"), F.col("print").alias("fingerprint"))
+    return grouped.select("name", F.to_json(F.struct(F.lit(1).cast("long").alias("version"), source.alias("source"), "cuts", "markers")).alias("document"))
+
+
+def _opened(documents: DataFrame, recordings: DataFrame) -> tuple[DataFrame, Column]:
+    parsed = documents.select("name", F.from_json("document", PROJECT).alias("p")).where("p.version = 1")
+    known = recordings if "print" in recordings.columns else recordings.withColumn("print", F.lit(None).cast("string"))
+    rows = parsed.join(known.select("name", "frames", "fps", "print"), "name")
+    # frames count if the recording has as many, and the same content where both prints are known
+    same = F.coalesce(F.col("p.source.frames") == F.col("frames"), F.lit(False)) & F.coalesce(F.col("p.source.fingerprint") == F.col("print"), F.lit(True))
+    return rows.withColumn("same", same), F.col("frames") - 1
 
 
 def read_project(documents: DataFrame, recordings: DataFrame) -> DataFrame:
-    """name, start_frame, end_frame of project documents (name, document) against recordings (name, frames, fps).
+    """name, start_frame, end_frame of project documents (name, document) against recordings (name, frames, fps, and perhaps print).
 
-    Stored frames count where the number of frames is the stored one; else seconds are mapped by the recording's rate.
-    Documents of another version are left out, as are cuts without an end.
+    Stored frames count where the recording is the same: as many frames and, where both are known, the same content print;
+    else seconds are mapped by the recording's rate, a start at or before 0 to frame 0.  Reversed cuts are turned round,
+    documents of another version are left out, as are cuts without an end.
     """
-    parsed = documents.select("name", F.from_json("document", PROJECT).alias("p")).where("p.version = 1")
-    rows = parsed.join(recordings, "name").select("name", "frames", "fps", F.col("p.source.frames").alias("stored"), F.explode("p.cuts").alias("c"))
-    mapped = lambda c: F.greatest(F.lit(0), F.least(F.col("frames") - 1, F.bround(F.col(c) * F.col("fps")).cast("long")))
-    same = F.col("stored").eqNullSafe(F.col("frames"))
-    out = rows.select("name", F.when(same, F.col("c.start_frame")).otherwise(mapped("c.start")).alias("start_frame"), F.when(same, F.col("c.end_frame")).otherwise(mapped("c.end")).alias("end_frame"))
-    return out.where("end_frame IS NOT NULL AND start_frame IS NOT NULL")
+    rows, last = _opened(documents, recordings)
+    mapped = lambda c: F.greatest(F.lit(0), F.least(last, F.bround(F.col(c) * F.col("fps")).cast("long")))
+    each = rows.select("name", "frames", "fps", "same", F.explode("p.cuts").alias("c"))
+    stored = F.col("same") & F.col("c.start_frame").isNotNull() & F.col("c.end_frame").isNotNull()
+    out = each.select("name", F.when(stored, F.col("c.start_frame")).otherwise(mapped("c.start")).alias("x"), F.when(stored, F.col("c.end_frame")).otherwise(mapped("c.end")).alias("y"))
+    return out.where("x IS NOT NULL AND y IS NOT NULL").select("name", F.least("x", "y").alias("start_frame"), F.greatest("x", "y").alias("end_frame"))
+
+
+def read_project_markers(documents: DataFrame, recordings: DataFrame) -> DataFrame:
+    """name, frame: the markers of project documents, as frames by the same rule, each once, inside the recording."""
+    rows, _ = _opened(documents, recordings)
+    each = rows.select("name", "frames", "fps", "same", F.explode("p.markers").alias("m"))
+    frame = F.when(F.col("same") & F.col("m.frame").isNotNull(), F.col("m.frame")).otherwise(F.bround(F.coalesce("m.time", F.lit(0.0)) * F.col("fps")).cast("long"))
+    return each.withColumn("frame", frame).where("frame >= 0 AND frame < frames").select("name", "frame").distinct()
+
+
+def write_ticks(cuts: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """name, document: an XML document with cuts (name, a, b) and scene markers (name, at), both in seconds, in ticks."""
+    ticks = lambda c: F.greatest(F.lit(0).cast("long"), F.bround(F.col(c).cast("double") * TICKS).cast("long")).cast("string")
+    cut = F.struct("a", "b", F.concat(F.lit("<cut><CutTimeStart>"), ticks("a"), F.lit("</CutTimeStart><CutTimeEnd>"), ticks("b"), F.lit("</CutTimeEnd></cut>")).alias("x"))
+    grouped = cuts.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cut)), lambda c: c["x"]), "").alias("cuts"))
+    if markers is None:
+        scenes = F.lit("")
+    else:
+        mark = F.struct("at", F.concat(F.lit("<SceneMarker>"), ticks("at"), F.lit("</SceneMarker>")).alias("x"))
+        listed = markers.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(mark)), lambda c: c["x"]), "").alias("scenes"))
+        grouped = grouped.join(listed, "name", "left")
+        scenes = F.coalesce(F.concat(F.lit("<SceneList>"), "scenes", F.lit("</SceneList>")), F.lit(""))
+    return grouped.select("name", F.concat(F.lit('<Project Version="5"><CutList>'), "cuts", F.lit("</CutList>"), scenes, F.lit("</Project>")).alias("document"))
 
 
-def write_ticks(cuts: DataFrame) -> DataFrame:
-    """name, document: an XML document with cuts (name, a, b in seconds) in ticks."""
-    tick = lambda c: F.greatest(F.lit(0).cast("long"), F.bround(F.col(c).cast("double") * TICKS).cast("long")).cast("string")
-    cut = F.struct("a", "b", F.concat(F.lit("<cut><start>"), tick("a"), F.lit("</start><end>"), tick("b"), F.lit("</end></cut>")).alias("x"))
-    grouped = cuts.groupBy("name").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
-    return grouped.select("name", F.concat(F.lit("<project version=\"5\"><cuts>"), F.array_join(F.transform("cuts", lambda c: c["x"]), ""), F.lit("</cuts></project>")).alias("document"))
+def read_ticks(documents: DataFrame) -> DataFrame:
+    """name, a, b (seconds) of XML documents with cuts in ticks, of either version (``Cut`` or ``cut``).
 
+    A cut without both times, or with one that is no number, is skipped; reversed cuts are turned round.
+    """
+    each = documents.select("name", F.explode(F.regexp_extract_all("document", F.lit(r"(?s)<[Cc]ut\b[^>]*>(.*?)</[Cc]ut>"), 1)).alias("cut"))
+    seconds = lambda tag: F.regexp_extract("cut", rf"{tag}>\s*(\d+)\s*<", 1).try_cast("long") / TICKS
+    rows = each.select("name", seconds("CutTimeStart").alias("x"), seconds("CutTimeEnd").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return rows.select("name", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-def read_ticks(documents: DataFrame) -> DataFrame:
-    """name, a, b (seconds) of XML documents with cuts in ticks."""
-    pairs = F.arrays_zip(F.regexp_extract_all("document", F.lit(r"<start>(\d+)</start>"), 1).alias("a"), F.regexp_extract_all("document", F.lit(r"<end>(\d+)</end>"), 1).alias("b"))
-    rows = documents.select("name", F.explode(pairs).alias("c"))
-    seconds = lambda c: F.col(c).try_cast("long") / TICKS
-    return rows.select("name", seconds("c.a").alias("a"), seconds("c.b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+
+def read_markers(documents: DataFrame, recordings: DataFrame) -> DataFrame:
+    """name, frame: scene markers of XML documents as frames of recordings (name, frames, fps), each once, inside the recording."""
+    each = documents.select("name", F.explode(F.regexp_extract_all("document", F.lit(r"<SceneMarker[^>]*>\s*(\d+)\s*</SceneMarker>"), 1)).alias("tick"))
+    frame = F.bround(F.col("tick").try_cast("long") / TICKS * F.col("fps")).cast("long")
+    return each.join(recordings, "name").select("name", "frames", frame.alias("frame")).where("frame >= 0 AND frame < frames").select("name", "frame").distinct()
+
+
+def read_seconds(documents: DataFrame) -> DataFrame:
+    """name, a, b, duration: the cuts of project documents (name, document) of any kind in seconds, 0 at least, and the duration.
+
+    JSON documents hold both in seconds, XML ones in ticks; a duration that isn't told is 0.
+    """
+    told = documents.withColumn("format", document_format(F.col("name")))
+    parsed = told.where("format = 'project'").select("name", F.from_json("document", PROJECT).alias("p"))
+    json = parsed.select("name", F.explode("p.cuts").alias("c"), F.coalesce("p.source.duration", F.lit(0.0)).alias("duration"))
+    json = json.select("name", F.greatest(F.lit(0.0), F.coalesce("c.start", F.lit(0.0))).alias("a"), F.coalesce("c.end", F.lit(0.0)).alias("b"), "duration")
+    xml = told.where("format = 'ticks'").select("name", "document")
+    length = xml.select("name", F.coalesce(F.regexp_extract("document", r"<Duration>(\d+)</Duration>", 1).try_cast("long") / TICKS, F.lit(0.0)).alias("duration"))
+    return json.unionByName(read_ticks(xml).join(length, "name"))
 
 
 def chapters(durations: DataFrame, extra: DataFrame, apart: float = 0.05) -> DataFrame:
