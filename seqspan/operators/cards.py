@@ -195,3 +195,73 @@ def placed_edges(breaks: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFr
     limit = F.coalesce(F.lag("new_b").over(w), F.lit(0.0))
     to_end = apart & (F.col("n") == F.col("tail")) & (F.col("finish") > limit) & (F.col("finish") < F.col("b"))
     return rows.withColumn("new_a", F.when(to_end, F.col("finish")).otherwise(F.col("a").cast("double"))).select("rec_id", F.col("new_a").alias("a"), F.col("new_b").alias("b"))
+
+
+@dataclass(frozen=True)
+class EdgeCardRules:
+    """Bounds for learning a card, times in the unit of the tables."""
+
+    window: int  # how far inside an edge a card may lie
+    margin: int  # how far outside of cuts the programme begins
+    reach: int  # how far outside an edge a sighting still counts
+    padding: int  # cuts so near the recording's ends aren't breaks
+    step: int  # from one frame to the next
+    match: float
+    clear: float
+    least: int = 3
+
+
+def learned_cards(frames: DataFrame, cuts: DataFrame, gate: DataFrame, ends: DataFrame, rules: EdgeCardRules, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rec_id, fp, matched, edges, clearance; rec_id, side, offset, spread, n): the card of each corrected recording that has one.
+
+    ``frames`` has rec_id, i, t, fp; ``cuts`` rec_id, a, b; ``gate`` rec_id, reason (only ``ok`` ones are learned from), ``ends``
+    rec_id, duration.  Of the frames just inside the edges of the breaks in the middle, the one that has an alike frame at most
+    edges, and the closest of equals, gives the card: the mean of those alike frames.  It counts if they are half of the
+    edges, and ``least`` at least, and the programme never comes within ``clear`` of it.  Where it lies next to starts and
+    ends is told by median and range.
+    """
+    good = gate.where("reason = 'ok'").select("rec_id")
+    cuts = cuts.join(good, "rec_id", "left_semi")
+    middle = cuts.join(ends, "rec_id").where((F.col("a") > rules.padding) & (F.col("b") < F.col("duration") - rules.padding))
+    middle = middle.join(middle.groupBy("rec_id").count().where("count >= 2").select("rec_id"), "rec_id", "left_semi")
+    middle = middle.select("rec_id", F.row_number().over(W.partitionBy("rec_id").orderBy("a", "b")).cast("long").alias("k"), "a", "b")
+    span = lambda side, s, e: middle.select("rec_id", (F.col("k") * 2 + side).alias("k"), s.alias("s"), e.alias("e"))
+    a, b = F.col("a"), F.col("b")
+    near = in_spans(frames, span(0, a, a + rules.window).unionByName(span(1, b - rules.window, b)), "t", width).select("rec_id", "k", "i", "fp")
+    edges = middle.groupBy("rec_id").agg((F.count("*") * 2).alias("edges"))
+
+    def pick(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        import numpy as np
+
+        # the frames at one recording's edges: a few for each of its breaks
+        own = list(part)
+        edge, fps = np.array([r[0] for r in own]), np.array([r[2] for r in own], float)
+        bounds = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+        best = None
+        for probe in fps:
+            far = np.abs(fps - probe).mean(axis=1)
+            low = np.minimum.reduceat(far, bounds)
+            hit = low < rules.match
+            score = (int(hit.sum()), -float(low[hit].sum()))
+            if best is None or score > best[0]:
+                ends_ = np.append(bounds[1:], len(fps))
+                best = score, [s + int(np.argmin(far[s:e])) for s, e, ok in zip(bounds, ends_, hit, strict=True) if ok]
+        if best and best[1]:
+            yield key[0], best[0][0], [float(x) for x in fps[best[1]].mean(axis=0)]
+
+    cards = by_group(near, ["rec_id"], ["k", "i"], pick, "rec_id long, matched long, fp array<double>").join(edges, "rec_id")
+    cards = cards.where(F.col("matched") >= F.greatest(F.lit(rules.least), F.floor(F.col("edges") / 2)))
+    from .learn import mean_l1, offsets
+
+    known = frames.join(cards.select("rec_id", F.col("fp").alias("card")), "rec_id").withColumn("d", mean_l1(F.col("fp"), F.col("card"))).select("rec_id", "i", "t", "d")
+    cut = cuts.select("rec_id", F.xxhash64("a", "b").alias("k"), (a - rules.margin).alias("s"), (b + rules.margin).alias("e"))
+    inside = in_spans(known, cut, "t", width, closed=True).select("rec_id", "i").distinct()
+    clearance = known.join(inside, ["rec_id", "i"], "left_anti").groupBy("rec_id").agg(F.min("d").alias("clearance"))
+    cards = cards.join(clearance, "rec_id", "left").where(F.coalesce(F.col("clearance") > rules.clear, F.lit(True)))
+    seen = known.where(F.col("d") < rules.match).join(cards.select("rec_id"), "rec_id", "left_semi")
+    at = in_spans(seen, span(0, a - rules.reach, a + rules.window).unionByName(span(1, b - rules.window, b + rules.reach)), "t", width)
+    firsts = at.groupBy("rec_id", "k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).withColumn("j", F.floor(F.col("k") / 2))
+    told = firsts.join(middle.withColumnRenamed("k", "j"), ["rec_id", "j"]).withColumn("side", F.when(F.col("k") % 2 == 0, "start").otherwise("end"))
+    value = F.when(F.col("side") == "start", F.col("lo") - a).otherwise(F.col("hi") + rules.step - b)
+    places = offsets(told.select(F.struct("rec_id", "side").alias("key"), value.alias("value"))).select("key.rec_id", "key.side", "offset", "spread", "n")
+    return cards.select("rec_id", "fp", "matched", "edges", F.round("clearance", 6).alias("clearance")), places

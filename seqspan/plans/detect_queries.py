@@ -147,6 +147,18 @@ def _marker_events(spark, sf_dir):
     return c.select((F.col("rec_id") % 100 + 1).alias("rec_id"), F.col("a").alias("t"), (F.col("id") % 4 / 2.0).alias("score"))
 
 
+def cards_learned(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long")
+    frames = e.select(F.col("label").cast("long").alias("rec_id"), F.col("vec_id").alias("i"), (place * 10).alias("t"), F.col("embedding").alias("fp"))
+    ends = frames.groupBy("rec_id").agg(F.max("t").alias("duration"))
+    cuts = ends.select("rec_id", F.explode(F.sequence(F.lit(60).cast("long"), F.col("duration"), F.lit(200).cast("long"))).alias("a")).withColumn("b", F.col("a") + 90)
+    gate = ends.select("rec_id", F.lit("ok").alias("reason"))
+    rules = op.EdgeCardRules(window=30, margin=10, reach=20, padding=5, step=10, match=0.14, clear=0.05)
+    cards, places = op.learned_cards(frames, cuts, gate, ends, rules, 256)
+    return cards.select("rec_id", "matched", "edges", "clearance").join(places, "rec_id", "left")
+
+
 MARKERS = op.MarkerRules(search=20, snap=3, run_gap=1, cost=0.04)
 
 
@@ -167,7 +179,7 @@ def marker_edges(spark, sf_dir):
     return op.placed_edges(breaks, _marker_edges(spark, sf_dir), ends)
 
 
-QUERIES = {f.__name__: f for f in (detect_all, mask_scores, mask_tiers, mask_active, mask_results, mask_readings, card_breaks, card_edges, card_added, marker_onsets, marker_predictions, marker_edges)}
+QUERIES = {f.__name__: f for f in (detect_all, mask_scores, mask_tiers, mask_active, mask_results, mask_readings, card_breaks, card_edges, card_added, cards_learned, marker_onsets, marker_predictions, marker_edges)}
 
 _B = RULES.breaks
 

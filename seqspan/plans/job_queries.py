@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import jobs as op
 from ..sources import projects as io
+from ..streaming import watch
+from ..tables import shared_folder
 from . import adapters as src
 from .adapters import table, with_tables
 
@@ -53,6 +57,17 @@ def watch_states(spark, sf_dir):
     return op.to_process(f, f.where("page_id % 4 = 0"), f.where("page_id % 6 = 0"), F.lit(NOW), 30)
 
 
+def watch_scan(spark, sf_dir):
+    """The scan as a stream over all pages, as one listing; the table of what it dealt with is read back."""
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages*.parquet")
+    k = F.col("page_id")
+    listing = stream.select(F.concat(F.lit("/tv/"), (k % 900).cast("string")).alias("path"), F.lit("r").alias("root"), (F.lit(NOW) - k % 300 * 40).cast("long").alias("mtime"), F.length("html").cast("long").alias("size"), F.timestamp_seconds(F.lit(NOW) + k).alias("at"))
+    ignored = table(spark, sf_dir, "pages").where("page_id % 9 = 0").select(F.concat(F.lit("/tv/"), (k % 900).cast("string")).alias("path"))
+    watch.scan(listing, ignored, f"{folder}/done", f"{folder}/state", 20).awaitTermination()
+    return watch.dealt_with(spark, f"{folder}/done").select("path", "mtime", F.unix_seconds("at").alias("at"))
+
+
 def processed_prune(spark, sf_dir):
     f = _files(spark, sf_dir)
     log = f.select("path", "root", F.when(F.col("page_id") % 5 < 2, F.lit(NOW) - F.col("page_id") * 1000).alias("missing_since"))
@@ -143,7 +158,7 @@ def marks_in_output(spark, sf_dir):
     return io.marks_in_output(marks, src.keep_spans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, project_markers, ticks_roundtrip, tick_markers, project_seconds, chapters, marks_in_output)}
+QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, watch_scan, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, project_markers, ticks_roundtrip, tick_markers, project_seconds, chapters, marks_in_output)}
 
 _JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'held' END AS status, o_orderkey AS ord, o_custkey % 50 AS owner FROM orders)"
 _FILES = f"f AS (SELECT url AS path, regexp_extract(url, '://([^/]*)', 1) AS root, CASE WHEN page_id % 17 > 0 THEN {NOW} - page_id * 40 END AS mtime, CAST(length(html) AS BIGINT) AS size, page_id FROM pages)"
@@ -154,6 +169,7 @@ ORACLES = {
     "queue_cleared": f"WITH {_JOBS} SELECT owner, id, CASE status WHEN 'held' THEN 'queued' ELSE status END AS status, row_number() OVER (PARTITION BY owner ORDER BY ord) - 1 AS ord FROM j WHERE status <> 'done'",
     "job_outcomes": "WITH j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN ['failed', 'no source recorded'] WHEN o_orderkey % 13 = 0 THEN ['failed', 'source not found'] WHEN o_orderkey % 7 = 0 THEN ['review', 'no readable video'] WHEN o_orderkey % 9 = 0 THEN ['failed', 'export'] WHEN o_orderkey % 5 = 0 THEN ['review', 'sound'] WHEN o_orderkey % 4 = 0 THEN ['review', 'recode'] ELSE ['done', ''] END AS x FROM orders) SELECT id, x[1] AS outcome, x[2] AS reason FROM j",
     "settled_files": f"WITH {_FILES} SELECT path FROM f WHERE {NOW} - mtime >= 1200",
+    "watch_scan": f"WITH l AS (SELECT '/tv/' || page_id % 900 AS path, {NOW} - page_id % 300 * 40 AS mtime, {NOW} + page_id AS \"at\", page_id FROM pages), n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id DESC) = 1) SELECT path, mtime, \"at\" FROM n WHERE path NOT IN (SELECT path FROM l WHERE page_id % 9 = 0) AND \"at\" - mtime >= 1200",
     "watch_states": f"WITH {_FILES} SELECT path, CASE WHEN page_id % 4 = 0 THEN 'ignored' WHEN page_id % 6 = 0 THEN 'processed' WHEN mtime IS NULL OR {NOW} - mtime < 1800 THEN 'unsettled' ELSE 'ready' END AS state FROM f",
     "processed_prune": f"WITH {_FILES}, l AS (SELECT path, root, page_id, CASE WHEN page_id % 5 < 2 THEN {NOW} - page_id * 1000 END AS since, min(page_id) OVER (PARTITION BY root) % 3 > 0 AS reach FROM f), a AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'keep' WHEN NOT reach THEN 'unreachable' WHEN {NOW} - coalesce(since, {NOW}) >= 86400 THEN 'forget' ELSE 'wait' END AS action FROM l) SELECT path, CAST(coalesce(CASE action WHEN 'wait' THEN coalesce(since, {NOW}) WHEN 'unreachable' THEN since END, -1) AS BIGINT) AS missing_since, action FROM a",
     "stale_patterns": f"WITH {_SEEN} SELECT pattern, CAST(seen AS VARCHAR) AS seen, CAST(greatest(0, (1997 * 12 + 3) - (year(seen) * 12 + month(seen)) - CASE WHEN 31 < day(seen) THEN 1 ELSE 0 END) AS BIGINT) AS age FROM s WHERE seen < DATE '1996-02-29'",

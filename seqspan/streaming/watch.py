@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: A listing event: a file as a scan of the watched roots found it.
 LISTING = "path string, root string, mtime long, size long, at timestamp"
@@ -17,9 +18,48 @@ def listings(spark: SparkSession, folder: str, schema: str = LISTING) -> DataFra
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def first_seen(files: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each path once while it keeps coming within ``delay``; the state of paths that stopped coming is dropped."""
-    return files.withWatermark("at", delay).dropDuplicatesWithinWatermark(["path"])
+def first_seen(files: DataFrame) -> DataFrame:
+    """Each path once, for ever: its state is the paths met so far.  :func:`scan` keeps them in a table instead."""
+    return files.dropDuplicates(["path"])
+
+
+#: What a scan has dealt with: the batch that did, the path and when it was seen.
+DONE = "path string, mtime long, size long, at timestamp"
+
+
+def scan(files: DataFrame, ignored: DataFrame, folder: str, checkpoint: str, minutes: int, interval: str | None = None) -> StreamingQuery:
+    """Deals with each settled file once: a stream of listings against a table of what was dealt with.
+
+    Every batch is a scan: its newest listing of each path is left alone if the path is ignored (``ignored``: path) or was
+    dealt with before, or has changed within ``minutes`` of the listing; the rest is added to ``folder``, a table by batch.  A
+    batch that is repeated after a failure replaces what it wrote, so that nothing is dealt with twice, and files that come
+    back much later aren't either.  The table is what grows; the stream itself keeps no state.  With an ``interval`` the
+    scans go on, else they take what is there and stop.
+    """
+    spark = files.sparkSession
+    left_out = ignored.select("path").distinct()
+
+    def one(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("path").agg(F.max(F.struct("at", "mtime", "size")).alias("x")).select("path", "x.mtime", "x.size", "x.at")
+        fresh = newest.join(left_out, "path", "left_anti")
+        before = spark.read.schema(f"{DONE}, batch long").parquet(folder) if _exists(spark, folder) else None
+        if before is not None:
+            fresh = fresh.join(before.where(F.col("batch") != number).select("path"), "path", "left_anti")
+        ready = fresh.where(F.lit(minutes <= 0) | (F.unix_seconds("at") - F.col("mtime") >= minutes * 60))
+        ready.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    writer = files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def dealt_with(spark: SparkSession, folder: str) -> DataFrame:
+    """path, mtime, size, at of what scans to ``folder`` dealt with."""
+    return spark.read.schema(f"{DONE}, batch long").parquet(folder).drop("batch")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
 def settled(files: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
