@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import written
 from .segments import in_spans
 from .walks import by_group
 
@@ -224,7 +225,9 @@ def learned_cards(frames: DataFrame, cuts: DataFrame, gate: DataFrame, ends: Dat
     cuts = cuts.join(good, "rec_id", "left_semi")
     middle = cuts.join(ends, "rec_id").where((F.col("a") > rules.padding) & (F.col("b") < F.col("duration") - rules.padding))
     middle = middle.join(middle.groupBy("rec_id").count().where("count >= 2").select("rec_id"), "rec_id", "left_semi")
+    # tables of cuts and cards are small and read by several steps: each is written once
     middle = middle.select("rec_id", F.row_number().over(W.partitionBy("rec_id").orderBy("a", "b")).cast("long").alias("k"), "a", "b")
+    middle = written(middle, "middle")
     span = lambda side, s, e: middle.select("rec_id", (F.col("k") * 2 + side).alias("k"), s.alias("s"), e.alias("e"))
     a, b = F.col("a"), F.col("b")
     near = in_spans(frames, span(0, a, a + rules.window).unionByName(span(1, b - rules.window, b)), "t", width).select("rec_id", "k", "i", "fp")
@@ -251,13 +254,16 @@ def learned_cards(frames: DataFrame, cuts: DataFrame, gate: DataFrame, ends: Dat
 
     cards = by_group(near, ["rec_id"], ["k", "i"], pick, "rec_id long, matched long, fp array<double>").join(edges, "rec_id")
     cards = cards.where(F.col("matched") >= F.greatest(F.lit(rules.least), F.floor(F.col("edges") / 2)))
+    cards = written(cards, "cards")
     from .learn import mean_l1, offsets
 
     known = frames.join(cards.select("rec_id", F.col("fp").alias("card")), "rec_id").withColumn("d", mean_l1(F.col("fp"), F.col("card"))).select("rec_id", "i", "t", "d")
+    known = written(known, "known")
     cut = cuts.select("rec_id", F.xxhash64("a", "b").alias("k"), (a - rules.margin).alias("s"), (b + rules.margin).alias("e"))
     inside = in_spans(known, cut, "t", width, closed=True).select("rec_id", "i").distinct()
     clearance = known.join(inside, ["rec_id", "i"], "left_anti").groupBy("rec_id").agg(F.min("d").alias("clearance"))
     cards = cards.join(clearance, "rec_id", "left").where(F.coalesce(F.col("clearance") > rules.clear, F.lit(True)))
+    cards = written(cards, "cards")
     seen = known.where(F.col("d") < rules.match).join(cards.select("rec_id"), "rec_id", "left_semi")
     at = in_spans(seen, span(0, a - rules.reach, a + rules.window).unionByName(span(1, b - rules.window, b + rules.reach)), "t", width)
     firsts = at.groupBy("rec_id", "k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).withColumn("j", F.floor(F.col("k") / 2))

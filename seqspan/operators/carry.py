@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import frames, intervals
-from .segments import in_spans, jumps_inside
+from .segments import in_spans, jumps_inside, monotone
 from .walks import by_group
 
 
@@ -47,25 +47,39 @@ def display_order(packets: DataFrame, depth: int = 15) -> DataFrame:
     return out.select("rec_id", "seq", "place", late.alias("held"), (late <= depth).alias("in_depth"))
 
 
-def sliced_subtitles(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
-    """rec_id, seq, k, out: subtitles (rec_id, seq, pts) that start in a kept span (rec_id, k, s, e), at their time in the output.
-
-    Clock jumps inside a span at or before a subtitle are taken off, and from the span's own length.  A time below the one
-    before it (by seq) becomes one more than that.
-    """
+def _moved(packets: DataFrame, spans: DataFrame, held: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
+    """rec_id, seq, k, out: packets in spans (``held``: what to look in), moved to the output; jumps inside a span are taken off."""
     inside = jumps_inside(spans, jumps)
     lost = inside.groupBy("rec_id", "k").agg(F.sum("amount").alias("lost"))
     w = W.partitionBy("rec_id").orderBy("s", "k").rowsBetween(W.unboundedPreceding, -1)
     length = F.col("e") - F.col("s") - F.coalesce("lost", F.lit(0))
     laid = spans.join(lost, ["rec_id", "k"], "left").withColumn("length", length).withColumn("begin", F.coalesce(F.sum("length").over(w), F.lit(0)))
-    hit = in_spans(packets.where("pts IS NOT NULL"), spans, "pts", width).select("rec_id", "seq", "pts", "s", "k")
+    hit = in_spans(packets.where("pts IS NOT NULL"), held, "pts", width).select("rec_id", "seq", "pts", "k")
     marks = inside.select("rec_id", "k", F.col("split2").alias("at2"), "amount", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("kind"))
     asked = hit.select("rec_id", "k", (F.col("pts") * 2).alias("at2"), F.lit(0).cast("long").alias("amount"), "seq", F.lit(1).alias("kind"))
     upto = F.sum("amount").over(W.partitionBy("rec_id", "k").orderBy("at2", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
     before = marks.unionByName(asked).withColumn("jumped", upto).where("kind = 1").select("rec_id", "k", "seq", "jumped")
-    out = hit.join(before, ["rec_id", "k", "seq"]).join(laid.select("rec_id", "k", "begin"), ["rec_id", "k"])
-    out = out.select("rec_id", "seq", "k", (F.col("pts") - F.col("s") - F.col("jumped") + F.col("begin")).alias("out"))
-    return rising(out)
+    out = hit.join(before, ["rec_id", "k", "seq"]).join(laid.select("rec_id", "k", "s", "begin"), ["rec_id", "k"])
+    return out.select("rec_id", "seq", "k", (F.col("pts") - F.col("s") - F.col("jumped") + F.col("begin")).alias("out"))
+
+
+def sliced_subtitles(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
+    """rec_id, seq, k, out: subtitles (rec_id, seq, pts) that start in a kept span (rec_id, k, s, e), at their time in the output.
+
+    Clock jumps inside a span at or before a subtitle are taken off, and from the span's own length.  A time below the one
+    before it (by seq) becomes one more than that.
+    """
+    return rising(_moved(packets, spans, spans, jumps, width))
+
+
+def sliced_sound(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
+    """rec_id, seq, k, out: sound (rec_id, seq, pts) in kept spans (rec_id, k, s, e), at its time in the output.
+
+    As for subtitles, but times rise by one at least, and a span from 0 or before takes all that lies in front of it.
+    """
+    first = packets.groupBy("rec_id").agg(F.min("pts").alias("lo"))
+    held = spans.join(first, "rec_id").select("rec_id", "k", F.when(F.col("s") <= 0, F.least("s", "lo")).otherwise(F.col("s")).alias("s"), "e")
+    return monotone(_moved(packets, spans, held, jumps, width), "out", "seq").select("rec_id", "seq", "k", F.col("fixed").alias("out"))
 
 
 def rising(rows: DataFrame) -> DataFrame:

@@ -209,3 +209,35 @@ def sign_clusters(clusters: DataFrame, readings: DataFrame, width: int, least: i
     thin, long = F.least("w", "h"), F.greatest("w", "h")
     verdict = F.when(F.col("pixels") < least, "small").when((thin < thick) | (long > thin * longest), "line").when(~F.col("share").between(*on), "share").otherwise("sign")
     return told.select("key", "pixels", "w", "h", "share", verdict.alias("verdict"))
+
+
+def migrated(documents: DataFrame) -> DataFrame:
+    """store, name, keys, entry: the entries of stores (store, document; JSON), whatever their version.
+
+    Version 2 lists channels, each with its keys; blank keys go, and entries without any.  Older ones are a flat map, whose
+    entries have one key each.  What isn't an entry is left out; ``name`` is the first key that is no number of a service.
+    """
+    fields = F.from_json("document", "map<string,string>")
+    listed = F.from_json(F.try_element_at(fields, F.lit("channels")), "array<string>")
+    rows = documents.select("store", fields.alias("fields"), listed.alias("listed"), (F.coalesce(F.try_element_at(fields, F.lit("version")), F.lit("")) == "2").alias("new"))
+    new = rows.where("new AND listed IS NOT NULL").select("store", F.explode("listed").alias("entry"))
+    keys = F.filter(F.from_json(F.get_json_object("entry", "$.keys"), "array<string>"), lambda k: F.trim(k) != "")
+    new = new.withColumn("keys", keys).where("size(keys) > 0")
+    old = rows.where("NOT (new AND listed IS NOT NULL)").select("store", F.explode("fields").alias("key", "entry")).where("key <> 'version' AND startswith(entry, '{')")
+    every = new.select("store", "keys", "entry").unionByName(old.select("store", F.array("key").alias("keys"), "entry"))
+    named = F.filter("keys", lambda k: ~k.startswith("sid:"))
+    return every.select("store", F.coalesce(F.get(named, F.lit(0)), F.get("keys", F.lit(0))).alias("name"), "keys", "entry")
+
+
+def filed(store: DataFrame, updates: DataFrame) -> DataFrame:
+    """keys, value: a store (entry, keys, value) after values were filed under a key each (order, key, value).
+
+    The first entry that has the key gets the value, the latest of several, and keeps all its keys; a key that no entry has
+    makes an entry of its own.
+    """
+    latest = updates.groupBy("key").agg(F.max(F.struct("order", "value")).alias("x"))
+    owner = store.select("entry", F.explode("keys").alias("key")).groupBy("key").agg(F.min("entry").alias("entry"))
+    met = latest.join(owner, "key", "left")
+    new = met.where("entry IS NULL").select(F.array("key").alias("keys"), F.col("x.value").alias("value"))
+    given = met.where("entry IS NOT NULL").groupBy("entry").agg(F.max("x")["value"].alias("given"))
+    return store.join(given, "entry", "left").select("keys", F.coalesce("given", "value").alias("value")).unionByName(new)

@@ -52,6 +52,15 @@ def subtitle_slice(spark, sf_dir):
     return op.sliced_subtitles(_subtitles(spark, sf_dir), src.keep_spans(spark, sf_dir), frames.clock_jumps(_index(spark, sf_dir), JUMP_MS), DAY)
 
 
+def sound_slice(spark, sf_dir):
+    p = src.packets(spark, sf_dir).where("pts IS NOT NULL AND config % 2 = 0")
+    start = p.groupBy("rec_id").agg((F.min("pts") + 40_000_000).alias("lo"))
+    rel = lambda d, *c: d.join(start, "rec_id").withColumns({x: F.col(x) - F.col("lo") for x in c}).drop("lo")
+    late = F.when(F.col("seq") % 9 == 0, F.col("pts") - 12 * HOUR).otherwise(F.col("pts"))
+    jumps = frames.clock_jumps(_index(spark, sf_dir), JUMP_MS).join(start, "rec_id").select("rec_id", (F.col("split2") - F.col("lo") * 2).alias("split2"), "amount")
+    return op.sliced_sound(rel(p.select("rec_id", "seq", late.alias("pts")), "pts"), rel(src.keep_spans(spark, sf_dir), "s", "e"), jumps, DAY)
+
+
 def sound_graft(spark, sf_dir):
     p = src.packets(spark, sf_dir).where("pts IS NOT NULL").select("rec_id", F.col("config").cast("long").alias("track"), "seq", "pts")
     start = p.groupBy("rec_id").agg(F.min("pts").alias("lo"))
@@ -155,7 +164,7 @@ def command_texts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (native_frames, cut_seconds, display_order, subtitle_slice, sound_graft, subtitle_carry, scene_list_roundtrip, joined_names, chapters_read, cut_list_keeps, any_format_roundtrip, media_labels, header_bits, print_roundtrip, command_texts)
+    for f in (native_frames, cut_seconds, display_order, subtitle_slice, sound_slice, sound_graft, subtitle_carry, scene_list_roundtrip, joined_names, chapters_read, cut_list_keeps, any_format_roundtrip, media_labels, header_bits, print_roundtrip, command_texts)
 }
 
 _COLLAPSE = f"""gated AS (SELECT rec_id, bool_or(step > 0 AND step < {NOMINAL_MS} * 0.75) AS gate FROM (SELECT rec_id, lead(pts) OVER (PARTITION BY rec_id ORDER BY pts, frame_no) - pts AS step FROM frames) GROUP BY rec_id),
@@ -170,6 +179,7 @@ ORACLES = {
     "cut_seconds": with_tables("frames frame_spans", f"WITH {_KEEPS}, w AS (SELECT f.rec_id, f.frame_no AS d FROM frames f WHERE f.rec_id IN (SELECT rec_id FROM frames)), z AS (SELECT * FROM w EXCEPT SELECT * FROM kp), g AS (SELECT rec_id, min(d) AS x, max(d) AS y FROM (SELECT *, d - row_number() OVER (PARTITION BY rec_id ORDER BY d) AS grp FROM z) GROUP BY rec_id, grp), st AS (SELECT rec_id, min(pts) AS start FROM frames GROUP BY rec_id) SELECT g.rec_id, (p.pts - start) / 1000.0::DOUBLE AS a, (q.pts - start) / 1000.0::DOUBLE AS b FROM g JOIN st USING (rec_id) JOIN frames p ON p.rec_id = g.rec_id AND p.frame_no = x JOIN frames q ON q.rec_id = g.rec_id AND q.frame_no = y"),
     "display_order": with_tables("packets", f"WITH p AS (SELECT rec_id, seq, CASE WHEN seq % 7 = 0 THEN pts + {9 * HOUR} ELSE pts END AS pts FROM packets WHERE pts IS NOT NULL), n AS (SELECT rec_id, seq, row_number() OVER (PARTITION BY rec_id ORDER BY pts, seq) - 1 AS place, row_number() OVER (PARTITION BY rec_id ORDER BY seq) - 1 AS came FROM p) SELECT rec_id, seq, place, greatest(0, came - place) AS held, greatest(0, came - place) <= 15 AS in_depth FROM n"),
     "subtitle_slice": with_tables("frames keep_spans", f"WITH {_JUMPS}, sb AS (SELECT rec_id, seq, CASE WHEN seq % 5 = 0 THEN pts - {30 * HOUR} ELSE pts END AS pts FROM packets WHERE pts IS NOT NULL AND config % 2 = 1), ji AS (SELECT k.rec_id, k.k, split2, amount FROM keep_spans k JOIN jumps j ON j.rec_id = k.rec_id AND split2 > s * 2 AND split2 < e * 2), ln AS (SELECT k.*, e - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = k.rec_id AND ji.k = k.k), 0) AS length FROM keep_spans k), la AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY rec_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM ln), ot AS (SELECT sb.rec_id, sb.seq, la.k, CAST(sb.pts - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = sb.rec_id AND ji.k = la.k AND split2 <= sb.pts * 2), 0) + begin AS BIGINT) AS out FROM sb JOIN la ON la.rec_id = sb.rec_id AND sb.pts >= s AND sb.pts < e), rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seq, k) AS r FROM ot), wk AS (SELECT rec_id, seq, k, out, r FROM rk WHERE r = 1 UNION ALL SELECT x.rec_id, x.seq, x.k, CASE WHEN x.out < w.out THEN w.out + 1 ELSE x.out END, x.r FROM wk w JOIN rk x ON x.rec_id = w.rec_id AND x.r = w.r + 1) SELECT rec_id, seq, k, out FROM wk").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
+    "sound_slice": with_tables("frames keep_spans", f"WITH {_JUMPS}, lo AS (SELECT rec_id, min(pts) + 40000000 AS lo FROM packets WHERE pts IS NOT NULL AND config % 2 = 0 GROUP BY rec_id), sb AS (SELECT p.rec_id, seq, CASE WHEN seq % 9 = 0 THEN pts - {12 * HOUR} ELSE pts END - lo AS pts FROM packets p JOIN lo USING (rec_id) WHERE pts IS NOT NULL AND config % 2 = 0), kk AS (SELECT k.rec_id, k, s - lo AS s, e - lo AS e FROM keep_spans k JOIN lo USING (rec_id)), ji AS (SELECT k.rec_id, k.k, split2 - lo * 2 AS split2, amount FROM kk k JOIN lo USING (rec_id) JOIN jumps j ON j.rec_id = k.rec_id AND split2 - lo * 2 > s * 2 AND split2 - lo * 2 < e * 2), ln AS (SELECT k.*, e - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = k.rec_id AND ji.k = k.k), 0) AS length FROM kk k), la AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY rec_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM ln), ot AS (SELECT sb.rec_id, sb.seq, la.k, CAST(sb.pts - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = sb.rec_id AND ji.k = la.k AND split2 <= sb.pts * 2), 0) + begin AS BIGINT) AS out FROM sb JOIN la ON la.rec_id = sb.rec_id AND (sb.pts >= s OR s <= 0) AND sb.pts < e), rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seq) AS r FROM ot) SELECT rec_id, seq, k, CAST(max(out - r) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + r AS BIGINT) AS out FROM rk"),
     "sound_graft": with_tables("packets keep_spans", "WITH p AS (SELECT rec_id, CAST(config AS BIGINT) AS track, seq, pts FROM packets WHERE pts IS NOT NULL), o AS (SELECT rec_id, min(pts) AS origin FROM p WHERE track = (SELECT min(track) FROM p q WHERE q.rec_id = p.rec_id) GROUP BY rec_id), lo AS (SELECT rec_id, min(pts) AS lo FROM p GROUP BY rec_id), k AS (SELECT rec_id, s - lo AS s, e - lo AS e, coalesce(sum(e - s) OVER (PARTITION BY rec_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM keep_spans JOIN lo USING (rec_id)) SELECT p.rec_id, p.track, p.seq, CAST(p.pts - origin - s + b AS BIGINT) AS out FROM p JOIN o USING (rec_id) JOIN k ON k.rec_id = p.rec_id AND p.pts - origin >= s AND p.pts - origin < e"),
     "subtitle_carry": f"WITH {_SCENES}, l AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY list_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM sc) SELECT list_id, off + n * 40 + length % 50 - 20 AS at, 'show' AS kind, n AS id FROM l, (SELECT unnest(range(5)) AS n) WHERE role = 'user' AND n * 40 + length % 50 - 20 >= 0 AND n * 40 + length % 50 - 20 < length UNION ALL SELECT list_id, off + length, 'clear', -1 FROM l WHERE role = 'user'",
     "scene_list_roundtrip": f"WITH {_JOINS} SELECT name, seq, kind, source, start, \"end\", greatest(0, \"end\" - start) AS duration, cut_end, CASE WHEN list_id % 2 = 0 THEN list_id % 5 * 320 ELSE -1 END::DOUBLE AS width FROM jn",

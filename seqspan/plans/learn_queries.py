@@ -111,6 +111,23 @@ def store_upsert(spark, sf_dir):
     return op.upsert(store, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.lower("c_mktsegment").alias("value")))
 
 
+def store_filed(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    store = c.where("c_custkey % 3 = 0").select(k.alias("entry"), F.array(F.concat(F.lit("n"), k.cast("string")), F.concat(F.lit("sid:"), (k % 200).cast("string"))).alias("keys"), F.col("c_mktsegment").alias("value"))
+    new = c.where("c_custkey % 5 = 0").select(k.alias("order"), F.when(k % 2 == 0, F.concat(F.lit("sid:"), (k % 300).cast("string"))).otherwise(F.concat(F.lit("n"), k.cast("string"))).alias("key"), F.concat(F.lit("new"), k.cast("string")).alias("value"))
+    return op.filed(store, new).select(F.array_join("keys", "|").alias("keys"), "value")
+
+
+def store_migrated(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    old = F.concat(F.lit('{"version": 1, "chan'), k.cast("string"), F.lit('": {"count": '), (k % 9).cast("string"), F.lit('}, "x": 3}'))
+    new = F.concat(F.lit('{"version": 2, "channels": [{"keys": ["sid:'), k.cast("string"), F.lit('", " ", "chan'), k.cast("string"), F.lit('"], "count": 2}, {"keys": [" "]}, {"count": 1}]}'))
+    out = op.migrated(c.select(k.alias("store"), F.when(k % 2 == 0, old).when(k % 11 == 0, "no document").otherwise(new).alias("document")))
+    return out.select("store", "name", F.array_join("keys", "|").alias("keys"), F.get_json_object("entry", "$.count").alias("count"))
+
+
 def sync_lag(spark, sf_dir):
     s = src.samples(spark, sf_dir)
     from pyspark.sql import Window as W
@@ -119,7 +136,7 @@ def sync_lag(spark, sf_dir):
     return op.best_lag(s.select(F.col("rec_id").alias("key"), F.col("i").alias("t"), F.col("width").cast("double").alias("x"), y.cast("double").alias("y")), 8)
 
 
-QUERIES = {f.__name__: f for f in (card_distance, card_sightings, card_offsets, pixel_contrast, compact_masks, pixel_cluster, mask_learned, sign_clusters, mask_beats, newest_cards, store_by_alias, cards_without_store, store_upsert, sync_lag)}
+QUERIES = {f.__name__: f for f in (card_distance, card_sightings, card_offsets, pixel_contrast, compact_masks, pixel_cluster, mask_learned, sign_clusters, mask_beats, newest_cards, store_by_alias, cards_without_store, store_upsert, store_filed, store_migrated, sync_lag)}
 
 _DIST = "list_sum(list_transform(list_zip({0}, {1}), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / 64"
 _STORE = "st AS (SELECT p_partkey AS entry, unnest([p_brand, 't:' || p_type, 'k:' || (p_partkey % 400)]) AS alias FROM part WHERE p_partkey % 3 = 0), wa AS (SELECT p_partkey AS id, unnest(['k:' || (p_partkey % 500), 'z:' || p_size]) AS alias FROM part WHERE p_partkey % 3 = 1)"
@@ -137,5 +154,7 @@ ORACLES = {
     "store_by_alias": f"WITH {_STORE} SELECT id, min(entry) AS entry FROM wa JOIN st USING (alias) GROUP BY id",
     "cards_without_store": f"WITH {_STORE} SELECT DISTINCT id AS card FROM wa WHERE id NOT IN (SELECT id FROM wa JOIN st USING (alias))",
     "store_upsert": "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS value, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 5 WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 + 1 ELSE 1 END AS version FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 3 = 0",
+    "store_filed": "WITH s AS (SELECT c_custkey AS entry, ['n' || c_custkey, 'sid:' || c_custkey % 200] AS keys, c_mktsegment AS value FROM customer WHERE c_custkey % 3 = 0), u AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'sid:' || c_custkey % 300 ELSE 'n' || c_custkey END AS key, max(c_custkey) AS o FROM customer WHERE c_custkey % 5 = 0 GROUP BY key), w AS (SELECT k AS key, min(entry) AS entry FROM (SELECT entry, unnest(keys) AS k FROM s) GROUP BY k), m AS (SELECT u.*, w.entry FROM u LEFT JOIN w USING (key)) SELECT array_to_string(keys, '|') AS keys, coalesce('new' || (SELECT max(o) FROM m WHERE m.entry = s.entry), value) AS value FROM s UNION ALL SELECT key, 'new' || o FROM m WHERE entry IS NULL",
+    "store_migrated": "SELECT c_custkey AS store, 'chan' || c_custkey AS name, CASE WHEN c_custkey % 2 = 0 THEN 'chan' || c_custkey ELSE 'sid:' || c_custkey || '|chan' || c_custkey END AS keys, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 9)::VARCHAR ELSE '2' END AS count FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 11 > 0",
     "sync_lag": with_tables("samples", "WITH p AS (SELECT rec_id AS key, i AS t, width::DOUBLE AS x, coalesce(lag(width, 3) OVER (PARTITION BY rec_id ORDER BY i), 0)::DOUBLE AS y FROM samples), f AS (SELECT key, t, x - avg(x) OVER (PARTITION BY key) AS x, y - avg(y) OVER (PARTITION BY key) AS y FROM p), s AS (SELECT a.key, lag, round(sum(a.x * b.y), 3) AS score FROM f a, (SELECT unnest(range(-8, 9)) AS lag), f b WHERE a.key = b.key AND b.t = a.t + lag GROUP BY a.key, lag) SELECT key, lag, score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, lag) = 1"),
 }

@@ -24,7 +24,7 @@ def keyframe_bytes(spark, sf_dir):
 def clamped_settings(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     raw = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise((F.col("p_size") * 2 - 20).cast("string"))
-    return p.select(F.col("p_partkey").alias("id"), op.clamped(raw, 0, 51, 18).alias("crf"))
+    return p.select(F.col("p_partkey").alias("id"), op.clamped(raw, 0, 51, 18).alias("crf"), op.one_of(F.col("p_brand"), ("Brand#11", "Brand#12", "Brand#13"), "match").alias("mode"))
 
 
 def resolved_sources(spark, sf_dir):
@@ -91,7 +91,7 @@ QUERIES = {f.__name__: f for f in (byte_plan, keyframe_bytes, clamped_settings,
 ORACLES = {
     "byte_plan": "WITH j AS (SELECT o_orderkey AS id, o_orderkey * 99991 AS size, o_orderkey % 3 AS m, CAST(round_even(o_orderkey % 40 / 2.0 * 1048576, 0) AS BIGINT) AS want, o_orderkey % 90 * 1048576 AS st FROM orders), f AS (SELECT *, CASE m WHEN 0 THEN 0 WHEN 1 THEN least((greatest(0, size - want) + 187) // 188 * 188, size) ELSE least((st + 187) // 188 * 188, size) END AS first FROM j) SELECT id, CAST(first AS BIGINT) AS first, CAST(first + CASE WHEN m = 1 THEN size - first ELSE least(want, size - first) END // 188 * 188 AS BIGINT) AS last FROM f",
     "keyframe_bytes": with_tables("frames keep_spans", "SELECT k.rec_id, k.k AS id, coalesce((SELECT arg_max(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts <= k.s), 0) AS from_byte, coalesce((SELECT arg_min(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts > k.e), (SELECT max(cum_bytes) FROM frames f WHERE f.rec_id = k.rec_id)) AS to_byte FROM keep_spans k"),
-    "clamped_settings": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 18.0 ELSE greatest(0, least(51, p_size * 2 - 20))::DOUBLE END::DOUBLE AS crf FROM part",
+    "clamped_settings": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 18.0 ELSE greatest(0, least(51, p_size * 2 - 20))::DOUBLE END::DOUBLE AS crf, CASE WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN p_brand ELSE 'match' END AS mode FROM part",
     "resolved_sources": "WITH f AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) SELECT page_id AS id, CASE WHEN url IN (SELECT url FROM f) THEN url WHEN url || '/x' IN (SELECT url FROM f) THEN url || '/x' WHEN regexp_replace(url, '^https:', 'http:') IN (SELECT url FROM f) THEN regexp_replace(url, '^https:', 'http:') ELSE '' END AS path FROM pages",
     # no text of the tables is longer than the window, so the whole text is hashed here
     "content_prints": "SELECT doc_id AS id, 'sha256:' || sha256(strlen(t) || t) AS print FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
