@@ -58,7 +58,8 @@ def trees_for(recall: float, threshold: float) -> int:
     """Trees until a pair just at the threshold is missed with probability 1 - recall at most, at any depth.
 
     Nodes pick their functions from a pool, in which the pair agrees on a binomial number; given that number, the nodes'
-    picks are independent, and in one tree the pair is separated for good as a branching process dies out.
+    picks are independent, and in one tree the pair is separated for good as a branching process dies out.  A pair that meets
+    in a small node can still be lost to :data:`SURE`, about one in a million at the threshold; that isn't counted here.
     """
     n = FUNCTIONS
     odds = [(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k), _missed(k / n)) for k in range(n + 1)]

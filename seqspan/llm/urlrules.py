@@ -105,7 +105,8 @@ def filter_urls(pages: DataFrame, site_rules=SITE_RULES, glob_rules=GLOB_RULES,
     Returns page_id, host, path, rule, verdict, matched_by.  Host and path are as written in the URL, with A-Z of the host
     in lower case; both are empty for a URL that is null, empty or without ``://``, which no rule fits.  The longest site
     rule that fits decides (of equally long ones the first given); else the first glob rule; else ``default``.  Repeated
-    rows are judged alike; an empty table gives an empty result.
+    rows are judged alike; an empty table gives an empty result.  Very long URLs are read to their end, one byte a step, for
+    as many rows of the batch as still have one.
     """
     site_rules, glob_rules = list(site_rules), list(glob_rules)
     ranked = sorted(range(len(site_rules)), key=lambda k: -len(site_rules[k][1] + site_rules[k][2]))
