@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
+    """All stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+    Rows are judged one by one, whatever their ids: null and repeated ids lose no text that is there only once, rows equal in
+    all columns leave one, and of groups the stages' own docstrings say which row stays.  Null and empty texts go with the
+    first stage; very long ones are read whole and cut into pieces by the last.  Without documents the result is empty.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -32,8 +32,9 @@ def parse_timecode(text: Column, fps: int) -> Column:
     padded = F.when(F.length(clean) < 8, F.lpad(clean, 8, "0")).otherwise(clean)
     digits = F.when(clean.rlike(r"^\d+$"), F.array(*[F.substring(padded, i, 2) for i in (1, 3, 5, 7)]))
     four = F.when(F.size(parts) == 1, digits).when(F.size(parts) == 4, parts)
-    n = [F.trim(F.get(four, F.lit(i))).try_cast("long") for i in range(4)]
-    return ((n[0] * 3600 + n[1] * 60 + n[2]) * fps + n[3]).cast("long")
+    weights = F.array(*[F.lit(w).cast("long") for w in (3600 * fps, 60 * fps, fps, 1)])
+    parts = F.transform(four, lambda x, i: F.trim(x).try_cast("long") * F.get(weights, i))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
 def ticks(seconds: Column, rate: int = 10_000_000) -> Column:
