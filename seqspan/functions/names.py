@@ -136,5 +136,5 @@ def is_newer(latest: Column, current: Column) -> Column:
 
 def with_modifier(base: Column, modifier: Column) -> Column:
     """The base name with a modifier: behind it if it begins with ``-`` or ``_``, else in front."""
-    m = F.coalesce(modifier, F.lit(""))
+    m = F.trim(F.coalesce(modifier, F.lit("")))
     return F.when(m.rlike("^[-_]"), F.concat(base, m)).otherwise(F.concat(m, base))

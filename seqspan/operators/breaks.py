@@ -243,6 +243,14 @@ def matched(truth: DataFrame, found: DataFrame) -> DataFrame:
     return by_group(rows, ["rec_id", "island"], ["kind", "a", "b"], walk, "rec_id long, a long, b long, c long, d long")
 
 
+def countable(found: DataFrame, padding: DataFrame, slack: int, width: int = 64) -> DataFrame:
+    """Found breaks (rec_id, a, b) but for those inside padding (rec_id, a, b), or out of it by ``slack`` at most: they count neither as right nor as wrong."""
+    named = found.select("rec_id", F.xxhash64("a", "b").alias("id"), "a", "b", F.col("a").alias("start_f"), F.col("b").alias("end_f")).where("end_f >= start_f")
+    wide = padding.select("rec_id", (F.col("a") - slack).alias("start_f"), (F.col("b") + slack).alias("end_f"))
+    inside = overlapping(named, wide, width).where("s <= a AND b <= e").select("rec_id", "id").distinct()
+    return found.withColumn("id", F.xxhash64("a", "b")).join(inside, ["rec_id", "id"], "left_anti").drop("id")
+
+
 def score_summary(pairs: DataFrame, found: DataFrame, near: int) -> DataFrame:
     """rec_id, true_breaks, found, false_breaks, near_edges, error: sums over the matches of a recording."""
     hit = F.col("c") >= 0

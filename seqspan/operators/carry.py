@@ -47,7 +47,7 @@ def display_order(packets: DataFrame, depth: int = 15) -> DataFrame:
     return out.select("rec_id", "seq", "place", late.alias("held"), (late <= depth).alias("in_depth"))
 
 
-def _moved(packets: DataFrame, spans: DataFrame, held: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
+def moved(packets: DataFrame, spans: DataFrame, held: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
     """rec_id, seq, k, out: packets in spans (``held``: what to look in), moved to the output; jumps inside a span are taken off."""
     inside = jumps_inside(spans, jumps)
     lost = inside.groupBy("rec_id", "k").agg(F.sum("amount").alias("lost"))
@@ -60,7 +60,7 @@ def _moved(packets: DataFrame, spans: DataFrame, held: DataFrame, jumps: DataFra
     upto = F.sum("amount").over(W.partitionBy("rec_id", "k").orderBy("at2", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
     before = marks.unionByName(asked).withColumn("jumped", upto).where("kind = 1").select("rec_id", "k", "seq", "jumped")
     out = hit.join(before, ["rec_id", "k", "seq"]).join(laid.select("rec_id", "k", "s", "begin"), ["rec_id", "k"])
-    return out.select("rec_id", "seq", "k", (F.col("pts") - F.col("s") - F.col("jumped") + F.col("begin")).alias("out"))
+    return out.select("rec_id", "seq", "k", (F.col("pts") - F.col("s") - F.col("jumped") + F.col("begin")).alias("out"), "begin")
 
 
 def sliced_subtitles(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
@@ -69,7 +69,7 @@ def sliced_subtitles(packets: DataFrame, spans: DataFrame, jumps: DataFrame, wid
     Clock jumps inside a span at or before a subtitle are taken off, and from the span's own length.  A time below the one
     before it (by seq) becomes one more than that.
     """
-    return rising(_moved(packets, spans, spans, jumps, width))
+    return rising(moved(packets, spans, spans, jumps, width))
 
 
 def sliced_sound(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
@@ -79,7 +79,7 @@ def sliced_sound(packets: DataFrame, spans: DataFrame, jumps: DataFrame, width:
     """
     first = packets.groupBy("rec_id").agg(F.min("pts").alias("lo"))
     held = spans.join(first, "rec_id").select("rec_id", "k", F.when(F.col("s") <= 0, F.least("s", "lo")).otherwise(F.col("s")).alias("s"), "e")
-    return monotone(_moved(packets, spans, held, jumps, width), "out", "seq").select("rec_id", "seq", "k", F.col("fixed").alias("out"))
+    return monotone(moved(packets, spans, held, jumps, width), "out", "seq").select("rec_id", "seq", "k", F.col("fixed").alias("out"))
 
 
 def rising(rows: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def join_target(entries: DataFrame, width: int = 1920, height: int = 1080, fps:
     """list_id, w, h, fps, duration: the largest picture (the first of equals), the highest rate, the summed duration."""
     best = F.min(F.struct((-(F.col("w") * F.col("h"))).alias("area"), "seq", "w", "h"))
     agg = entries.groupBy("list_id").agg(best.alias("x"), F.max("fps").alias("fps"), F.sum("duration").alias("duration"))
-    return agg.select("list_id", F.coalesce("x.w", F.lit(width)).alias("w"), F.coalesce("x.h", F.lit(height)).alias("h"), F.coalesce("fps", F.lit(fps)).alias("fps"), "duration")
+    known = lambda c, other: F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.lit(other))
+    return agg.select("list_id", known("x.w", width).alias("w"), known("x.h", height).alias("h"), known("fps", fps).alias("fps"), "duration")
 
 
 def join_signatures(entries: DataFrame) -> DataFrame:
@@ -96,10 +97,16 @@ def export_drift(jobs: DataFrame) -> DataFrame:
     return jobs.select("rec_id", reported.alias("reported"), F.round(drift, 6).alias("drift"), F.round(tolerance, 6).alias("tolerance"), (F.abs(F.round(drift, 6)) <= F.round(tolerance, 6)).alias("fine"))
 
 
-def bitrate_budget(files: DataFrame, audio: DataFrame, least: int = 500) -> DataFrame:
-    """rec_id, kbps: what the container's rate leaves for pictures, from its size where no rate is told."""
-    sound = audio.groupBy("rec_id").agg(F.sum("kbps").alias("sound"))
-    whole = F.coalesce(F.col("kbps"), F.floor(F.col("size") * 8 / F.col("duration") / 1000).cast("long"))
+def bitrate_budget(files: DataFrame, audio: DataFrame, least: int = 500, unknown: int = 8000) -> DataFrame:
+    """rec_id, kbps: what a container's rate leaves for pictures, ``least`` at least.
+
+    ``files`` has rec_id, rate (bits a second), size and duration; where no rate is told, size and duration give it, or it is
+    ``unknown``.  ``audio`` has rec_id and rate; all rates are cut to whole thousands.
+    """
+    sound = audio.groupBy("rec_id").agg(F.floor(F.sum("rate") / 1000).cast("long").alias("sound"))
+    told = F.floor(F.col("rate") / 1000).cast("long")
+    made = F.floor(F.col("size") * 8 / F.when(F.col("duration") > 0, F.col("duration")) / 1000).cast("long")
+    whole = F.when(told > 0, told).otherwise(F.coalesce(made, F.lit(unknown)))
     return files.join(sound, "rec_id", "left").select("rec_id", F.greatest(F.lit(least), whole - F.coalesce("sound", F.lit(0))).cast("long").alias("kbps"))
 
 

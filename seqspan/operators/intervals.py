@@ -129,7 +129,7 @@ def mismatch(cuts: DataFrame, durations: DataFrame) -> DataFrame:
     ``error`` where a cut ends over 1 past the end, ``warning`` where the recording is more than twice as long as the cuts
     reach, else ``fine``.
     """
-    ends = cuts.groupBy("rec_id").agg(F.max("b").alias("last"), F.sum(F.greatest(F.lit(0), F.col("b") - F.col("a"))).alias("span"))
+    ends = cuts.groupBy("rec_id").agg(F.max("b").alias("last"), (F.max("b") - F.min("a")).alias("span"))
     verdict = F.when(F.col("last") > F.col("duration") + 1, "error").when((F.col("span") > 0) & (F.col("duration") > F.col("last") * 2), "warning").otherwise("fine")
     return ends.join(durations, "rec_id").select("rec_id", "last", "span", verdict.alias("verdict"))
 
@@ -154,7 +154,7 @@ def learnable(split: DataFrame, durations: DataFrame, shortest: int, longest: in
     rows = durations.join(facts, "rec_id", "left")
     reason = (
         F.when(F.col("adverts").isNull(), "no cuts").when(F.col("adverts") == 0, "only padding").when(F.col("odd") > 0, "length")
-        .when(F.col("removed") > F.col("duration") * most, "too much").otherwise("ok")
+        .when((F.col("duration") > 0) & (F.col("removed") > F.col("duration") * most), "too much").otherwise("ok")
     )
     return rows.select("rec_id", reason.alias("reason"))
 

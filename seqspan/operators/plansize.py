@@ -31,11 +31,12 @@ def byte_plan(jobs: DataFrame) -> DataFrame:
 
 
 def keyframe_bytes(index: DataFrame, marks: DataFrame) -> DataFrame:
-    """rec_id, id, from_byte, to_byte: where the last keyframe at or before a mark (a) begins, and the first one after its end (b).
+    """rec_id, id, from_byte, to_byte: where the last keyframe at or before a mark (a) begins, and the first one after its end (b), whole packets.
 
     ``index`` has rec_id, pts, cum_bytes, bytes, is_key; without an earlier keyframe 0, without a later one the end.
     """
     begin = F.col("cum_bytes") - F.col("bytes")
+    down = lambda c: c - F.pmod(c, F.lit(PACKET))
     keys = index.where("is_key").select("rec_id", F.col("pts").alias("at"), begin.alias("byte"))
     total = index.groupBy("rec_id").agg(F.max("cum_bytes").alias("total"))
     null = F.lit(None).cast("long")
@@ -46,7 +47,7 @@ def keyframe_bytes(index: DataFrame, marks: DataFrame) -> DataFrame:
     after = F.last("byte", ignorenulls=True).over(W.partitionBy("rec_id").orderBy(F.desc("at"), F.desc(F.abs(F.col("kind")))).rowsBetween(W.unboundedPreceding, W.currentRow))
     both = rows.withColumn("before", before).withColumn("after", after).where("kind <> 0")
     out = both.groupBy("rec_id", "id").agg(F.max(F.when(F.col("kind") == 1, F.col("before"))).alias("f"), F.max(F.when(F.col("kind") == -1, F.col("after"))).alias("t"))
-    return out.join(total, "rec_id").select("rec_id", "id", F.coalesce("f", F.lit(0)).alias("from_byte"), F.coalesce("t", "total").alias("to_byte"))
+    return out.join(total, "rec_id").select("rec_id", "id", down(F.coalesce("f", F.lit(0))).alias("from_byte"), down(F.coalesce("t", "total")).alias("to_byte"))
 
 
 def clamped(value: Column, low: float, high: float, default: float) -> Column:
@@ -120,12 +121,12 @@ def default_subtitles(tracks: DataFrame) -> DataFrame:
 
 
 def first_hit(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
-    """id, hit, note: the best candidate (title, year, rank, hit) of the same title and year, else of the title alone."""
+    """id, hit, note: the best candidate (title, year, rank, hit) of the same title and year, else of the title alone, or a note."""
     joined = wanted.join(candidates.withColumnRenamed("year", "made"), "title", "left")
     exact = F.min(F.when(F.col("made") == F.col("year"), F.struct("rank", "hit")))
     loose = F.min(F.when(F.col("hit").isNotNull(), F.struct("rank", "hit")))
     out = joined.groupBy("id").agg(exact.alias("e"), loose.alias("l"))
-    note = F.when(F.col("e").isNotNull(), "").when(F.col("l").isNotNull(), "year differs").otherwise("no match")
+    note = F.when(F.col("e").isNotNull(), "").when(F.col("l").isNotNull(), "").otherwise("no match")
     return out.select("id", F.coalesce("e.hit", "l.hit", F.lit(-1)).alias("hit"), note.alias("note"))
 
 

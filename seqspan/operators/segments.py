@@ -30,21 +30,27 @@ def in_spans(points: DataFrame, spans: DataFrame, at: str, width: int, closed: b
     return held.where((F.col(at) >= F.col("s")) & upper).drop("bucket")
 
 
-def cut_segments(groups: DataFrame, spans: DataFrame) -> DataFrame:
+def cut_segments(groups: DataFrame, spans: DataFrame, keyframes: bool = False) -> DataFrame:
     """rec_id, gop, k, s, e, recode: each group of pictures (rec_id, gop, s0, e0) against the spans to keep (rec_id, k, s, e).
 
-    A group wholly in a span is copied; of one that a span cuts, the part inside is made anew.
+    A group wholly in a span is copied; of one that a span cuts, the part inside is made anew.  With ``keyframes`` every group
+    that a span meets is copied as a whole, once.
     """
     left = groups.select("rec_id", "gop", F.col("s0").alias("start_f"), F.col("e0").alias("end_f"))
     right = spans.select("rec_id", "k", F.col("s").alias("start_f"), F.col("e").alias("end_f"))
     pairs = overlapping(left, right, DAY, ("k",)).withColumnsRenamed({"start_f": "s0", "end_f": "e0"}).where("s < e0 AND e > s0")
+    if keyframes:
+        return pairs.groupBy("rec_id", "gop", "s0", "e0").agg(F.min("k").alias("k")).select("rec_id", "gop", "k", F.col("s0").alias("s"), F.col("e0").alias("e"), F.lit(False).alias("recode"))
     whole = (F.col("s0") >= F.col("s")) & (F.col("e0") <= F.col("e"))
     return pairs.select("rec_id", "gop", "k", F.greatest("s", "s0").alias("s"), F.least("e", "e0").alias("e"), (~whole).alias("recode"))
 
 
 def audio_pieces(spans: DataFrame, bounds: DataFrame, longest: int = 19, slack: int = 20) -> DataFrame:
-    """rec_id, k, s, e: spans clipped to the sound (``bounds``: rec_id, lo, hi), in pieces of ``longest`` while over ``slack`` is left."""
-    clipped = spans.join(bounds, "rec_id").select("rec_id", "k", F.greatest("s", "lo").alias("s"), F.least("e", "hi").alias("e")).where("s < e")
+    """rec_id, k, s, e: spans clipped to the sound (``bounds``: rec_id, lo, hi), in pieces of ``longest`` while over ``slack`` is left.
+
+    A span that lies outside of the sound keeps one piece, which ends where it begins or before.
+    """
+    clipped = spans.join(bounds, "rec_id").select("rec_id", "k", F.greatest("s", "lo").alias("s"), F.least("e", "hi").alias("e"))
     pieces = F.greatest(F.lit(0), F.ceil((F.col("e") - F.col("s") - slack) / longest)).cast("int")
     each = clipped.withColumn("n", pieces).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n"))))
     start = F.col("s") + F.col("j") * longest
@@ -95,7 +101,10 @@ def change_points(packets: DataFrame) -> DataFrame:
 
 
 def configs_in(changes: DataFrame, windows: DataFrame) -> DataFrame:
-    """rec_id, config, first_seq: the configurations in force in any of the windows (rec_id, lo, hi of seq), each once."""
+    """rec_id, config, first_seq: the configurations in force in any of the windows (rec_id, lo, hi of seq), each once.
+
+    The first one also covers what lies before it.
+    """
     until = F.coalesce(F.lead("seq").over(W.partitionBy("rec_id").orderBy("seq")), F.lit(1 << 62))
     spans = changes.withColumn("until", until)
     # what is in force as a window begins is the last change before it; the others begin inside it: buckets hold points only
@@ -103,7 +112,8 @@ def configs_in(changes: DataFrame, windows: DataFrame) -> DataFrame:
     began = spans.withColumn("bucket", F.floor(F.col("seq") / 64).cast("long")).join(inside, ["rec_id", "bucket"]).where("seq BETWEEN lo AND hi").select("rec_id", "config", "seq")
     marks = spans.select("rec_id", F.col("seq").alias("at"), F.struct("seq", "config").alias("x")).unionByName(windows.select("rec_id", F.col("lo").alias("at"), F.lit(None).cast(T.StructType([T.StructField("seq", changes.schema["seq"].dataType), T.StructField("config", changes.schema["config"].dataType)])).alias("x")))
     last = F.last("x", ignorenulls=True).over(W.partitionBy("rec_id").orderBy("at", F.col("x").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow))
-    standing = marks.withColumn("y", last).where("x IS NULL AND y IS NOT NULL").select("rec_id", "y.config", "y.seq")
+    earliest = F.min("x").over(W.partitionBy("rec_id"))
+    standing = marks.withColumn("y", F.coalesce(last, earliest)).where("x IS NULL AND y IS NOT NULL").select("rec_id", "y.config", "y.seq")
     return began.unionByName(standing).groupBy("rec_id", "config").agg(F.min("seq").alias("first_seq"))
 
 
@@ -144,16 +154,19 @@ def sane_timestamps(pts: Column, dts: Column) -> Column:
 
 
 def runs_to_repair(frames: DataFrame) -> DataFrame:
-    """rec_id, first, last, n: runs of neighbouring frames (by seq) whose configuration isn't the recording's usual one.
+    """rec_id, first, last, n: runs of neighbouring frames whose configuration isn't the recording's usual one, numbered from 0.
 
-    The usual one is the commonest, the one seen first of equals; a null configuration ends a run.
+    Frames without bytes don't count; ones of under 7 bytes have no configuration, which ends a run as the usual one does.
+    The usual one is the commonest, the one seen first of equals.
     """
-    counted = frames.where("config IS NOT NULL").groupBy("rec_id", "config").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    w = W.partitionBy("rec_id").orderBy("seq")
+    rows = frames.where("size > 0").select("rec_id", "seq", F.when(F.col("size") >= 7, F.col("config")).alias("config"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    counted = rows.where("config IS NOT NULL").groupBy("rec_id", "config").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     rank = F.row_number().over(W.partitionBy("rec_id").orderBy(F.desc("n"), "first"))
     usual = counted.withColumn("rank", rank).where("rank = 1").select("rec_id", F.col("config").alias("usual"))
-    odd = frames.join(usual, "rec_id").where("config <> usual")
-    island = F.col("seq") - F.row_number().over(W.partitionBy("rec_id").orderBy("seq"))
-    return odd.withColumn("g", island).groupBy("rec_id", "g").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n")).drop("g")
+    odd = rows.join(usual, "rec_id").where("config <> usual")
+    island = F.col("ordinal") - F.row_number().over(W.partitionBy("rec_id").orderBy("ordinal"))
+    return odd.withColumn("g", island).groupBy("rec_id", "g").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n")).drop("g")
 
 
 #: A dts out of these bounds is none.

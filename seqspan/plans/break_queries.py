@@ -113,6 +113,11 @@ def score_summary(spark, sf_dir):
     return op.score_summary(score_matches(spark, sf_dir), _found(spark, sf_dir), 2)
 
 
+def countable_breaks(spark, sf_dir):
+    cuts = src.cuts(spark, sf_dir).where("b > a AND id % 6 = 0").select("rec_id", "a", "b")
+    return op.countable(_found(spark, sf_dir).where("b > a"), cuts, 5)
+
+
 def padding_scores(spark, sf_dir):
     cuts = src.cuts(spark, sf_dir).where("b > a").select("rec_id", "id", "a", "b")
     ends = _cut_ends(spark, sf_dir).select("rec_id", "duration")
@@ -121,7 +126,7 @@ def padding_scores(spark, sf_dir):
     return op.padding_edges(rows.where("a = 0 OR b = last").select("rec_id", "a", "b"), _found(spark, sf_dir), ends, 30)
 
 
-QUERIES = {f.__name__: f for f in (black_events, coincidence_events, refine_edges, judge_brackets, choose_breaks, detect_breaks, snap_edges, density_brackets, mask_disagreements, suppress_overlaps, sweep_tail, score_matches, score_summary, padding_scores)}
+QUERIES = {f.__name__: f for f in (black_events, coincidence_events, refine_edges, judge_brackets, choose_breaks, detect_breaks, snap_edges, density_brackets, mask_disagreements, suppress_overlaps, sweep_tail, score_matches, score_summary, countable_breaks, padding_scores)}
 
 _BLACK = f"black AS (SELECT rec_id, id, t0 + t1 AS mid2, (t0 + t1) // 2 AS lo, (t0 + t1 + 1) // 2 AS hi FROM signals WHERE kind = 'black'), events AS (SELECT b.rec_id, b.id, mid2, 1.0::DOUBLE + CASE WHEN EXISTS (SELECT 1 FROM signals s WHERE s.kind = 'silence' AND s.rec_id = b.rec_id AND s.t0 <= b.hi + {WINDOW} AND s.t1 >= b.lo - {WINDOW}) THEN 1.0 ELSE 0.0 END + CASE WHEN EXISTS (SELECT 1 FROM signals s WHERE s.kind = 'scene' AND s.rec_id = b.rec_id AND s.t0 <= b.hi + {WINDOW} AND s.t0 >= b.lo - {WINDOW}) THEN 0.5 ELSE 0.0 END AS score FROM black b), ev2 AS (SELECT rec_id, mid2 // 2 AS t, score FROM events)"
 _BRACKETS = f"{_runs('rr', 'samples', 'width < 300', GAP, 4 * HOUR)}, brackets AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t0) AS id, t0 AS lo, t1 AS hi, n % 3 + 1 AS support, n % 2 = 0 AS sure FROM rr), fin AS (SELECT rec_id, max(t) AS finish, max(t) + 1000 AS duration FROM samples GROUP BY rec_id)"
@@ -166,6 +171,7 @@ ORACLES = {
     "coincidence_events": with_tables("signals", f"WITH {_BLACK}, {_ALONE} SELECT rec_id, mid2 AS t2, score FROM events UNION ALL SELECT rec_id, t2, score FROM cw WHERE t2 IS NOT NULL").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
     "score_matches": with_tables("cuts", f"WITH {_MATCHED} SELECT * FROM ma").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "score_summary": with_tables("cuts", f"WITH {_MATCHED}, p AS (SELECT rec_id, count(*) AS true_breaks, count(*) FILTER (c >= 0) AS found, CAST(coalesce(sum((abs(a - c) <= 2)::INT + (abs(b - d) <= 2)::INT) FILTER (c >= 0), 0) AS BIGINT) AS near_edges, CAST(coalesce(sum(abs(a - c) + abs(b - d)) FILTER (c >= 0), 0) AS BIGINT) AS error FROM ma GROUP BY rec_id) SELECT rec_id, true_breaks, found, coalesce((SELECT count(*) FROM fo WHERE fo.rec_id = p.rec_id), 0) - found AS false_breaks, near_edges, error FROM p").replace("WITH cuts", "WITH RECURSIVE cuts"),
+    "countable_breaks": with_tables("cuts", "WITH fo AS (SELECT rec_id, a + id % 9 - 4 AS a, b + id % 5 AS b FROM cuts WHERE (id % 4 = 1 AND b > a) OR id % 7 = 0) SELECT * FROM fo WHERE b > a AND NOT EXISTS (SELECT 1 FROM cuts p WHERE p.rec_id = fo.rec_id AND p.b > p.a AND p.id % 6 = 0 AND p.a - 5 <= fo.a AND fo.b <= p.b + 5)"),
     "padding_scores": with_tables("cuts", "WITH c AS (SELECT *, min(a) OVER (PARTITION BY rec_id) AS first, max(b) OVER (PARTITION BY rec_id) AS last FROM cuts WHERE b > a), du AS (SELECT rec_id, max(b) + rec_id % 50 AS duration FROM cuts GROUP BY rec_id), p AS (SELECT DISTINCT rec_id, CASE WHEN a = first THEN 0 ELSE a END AS a, b FROM c WHERE a = first OR b = last), r AS (SELECT p.*, duration, CASE WHEN a <= 30 THEN 'head' ELSE 'tail' END AS side FROM p JOIN du USING (rec_id) WHERE (a <= 30) <> (b >= duration - 30)), fo AS (SELECT rec_id, a + id % 9 - 4 AS c, b + id % 5 AS d FROM cuts WHERE (id % 4 = 1 AND b > a) OR id % 7 = 0), o AS (SELECT r.rec_id, r.a, r.b, r.side, min(c) AS nf, max(d) AS ff FROM r JOIN fo ON fo.rec_id = r.rec_id AND d > c AND least(d, b) - greatest(c, a) > 0 GROUP BY ALL), w AS (SELECT *, CASE WHEN side = 'head' THEN a ELSE greatest(a, nf) END AS lo, CASE WHEN side = 'head' THEN least(b, ff) ELSE b END AS hi FROM o), z AS (SELECT w.*, greatest(0, hi - lo) - (SELECT coalesce(sum(greatest(0, least(d, hi) - greatest(c, lo))), 0) FROM fo WHERE fo.rec_id = w.rec_id AND d > c AND least(d, b) - greatest(c, a) > 0) AS rest FROM w) SELECT r.rec_id, r.a, r.b, r.side, z.rec_id IS NULL AS missed, coalesce(CASE WHEN r.side = 'head' THEN ff - r.b ELSE nf - r.a END, 0) AS error, CAST(coalesce(CASE WHEN rest > 30 THEN rest END, 0) AS BIGINT) AS unswept FROM r LEFT JOIN z ON z.rec_id = r.rec_id AND z.a = r.a AND z.b = r.b AND z.side = r.side"),
     "black_events": with_tables("signals", f"WITH {_BLACK} SELECT * FROM events"),
     "refine_edges": with_tables("signals samples", f"WITH {_REFINED} SELECT rec_id, id, a, sa, b, sb FROM refined"),

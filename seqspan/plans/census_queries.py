@@ -68,8 +68,8 @@ def export_drift(spark, sf_dir):
 def bitrate_budget(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    files = o.select(key.alias("rec_id"), F.when(key % 3 != 0, key % 6000).alias("kbps"), F.floor("o_totalprice").cast("long").alias("size"), (key % 7 + 1).alias("duration"))
-    audio = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec_id"), F.floor(F.col("l_quantity") * 8).cast("long").alias("kbps"))
+    files = o.select(key.alias("rec_id"), F.when(key % 3 != 0, key % 6_000_000).alias("rate"), F.floor("o_totalprice").cast("long").alias("size"), (key % 7).alias("duration"))
+    audio = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rec_id"), F.floor(F.col("l_quantity") * 8000 + 7).cast("long").alias("rate"))
     return op.bitrate_budget(files, audio)
 
 
@@ -125,7 +125,7 @@ ORACLES = {
     "join_signatures": f"WITH {_ENTRIES} SELECT list_id, count(DISTINCT (codec, w, h, audio)) AS signatures, min(seq) AS first_example, count(DISTINCT (codec, w, h, audio)) <= 1 AS ok FROM en GROUP BY list_id",
     "joiner_offsets": f"WITH {_ENTRIES} SELECT list_id, seq, duration, CAST(coalesce(sum(duration) OVER (PARTITION BY list_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, least(fade_in, duration) AS fade_in, least(fade_out, duration - least(fade_in, duration)) AS fade_out FROM en",
     "export_drift": "WITH j AS (SELECT o_orderkey AS k, o_orderkey % 3 * 25 + 25 AS rate, CASE WHEN o_orderkey % 17 > 0 THEN round_even(o_orderkey * 7 / (o_orderkey % 3 * 25 + 25)::DOUBLE + (o_orderkey % 41 - 20) / 8.0::DOUBLE, 3) END AS actual FROM orders), d AS (SELECT *, k % 11 > 0 AS rated, round(CASE WHEN k % 11 > 0 AND coalesce(actual, 0) <> 0 THEN actual - k * 7 / rate::DOUBLE ELSE 0 END, 6) AS drift, round(greatest(1.0, greatest(1, k % 90) * 2.0 / CASE WHEN k % 11 > 0 THEN rate ELSE 25 END::DOUBLE), 6) AS tolerance FROM j) SELECT k AS rec_id, CASE WHEN k % 13 = 0 THEN k * 7 ELSE k * 7 + k % 5 - 2 END AS reported, drift, tolerance, abs(drift) <= tolerance AS fine FROM d",
-    "bitrate_budget": "SELECT o_orderkey AS rec_id, CAST(greatest(500, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 6000 ELSE floor(floor(o_totalprice) * 8 / (o_orderkey % 7 + 1) / 1000) END - coalesce((SELECT sum(floor(l_quantity * 8)) FROM lineitem WHERE l_orderkey = o_orderkey), 0)) AS BIGINT) AS kbps FROM orders",
+    "bitrate_budget": "WITH w AS (SELECT o_orderkey AS rec_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 6000000 // 1000 > 0 THEN o_orderkey % 6000000 // 1000 WHEN o_orderkey % 7 > 0 THEN floor(floor(o_totalprice) * 8 / (o_orderkey % 7) / 1000) ELSE 8000 END AS whole FROM orders) SELECT rec_id, CAST(greatest(500, whole - coalesce((SELECT CAST(sum(floor(l_quantity * 8000 + 7)) AS BIGINT) // 1000 FROM lineitem WHERE l_orderkey = rec_id), 0)) AS BIGINT) AS kbps FROM w",
     "retention": "WITH f AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS root, url AS path, page_id * 3600 AS mtime, CAST(length(html) AS BIGINT) AS size FROM pages) SELECT * FROM f WHERE mtime >= 360000 QUALIFY row_number() OVER (PARTITION BY root ORDER BY mtime DESC, path) <= 5",
     "shared_bindings": "WITH k AS (SELECT p_partkey AS action, CASE p_size % 4 WHEN 0 THEN 'Ctrl + shift+' WHEN 1 THEN 'SHIFT+ctrl+' WHEN 2 THEN 'alt+Meta+' ELSE '' END || right(p_brand, 2) AS keys, CASE p_size % 4 WHEN 0 THEN 'ctrl+shift+' WHEN 1 THEN 'ctrl+shift+' WHEN 2 THEN 'alt+' ELSE '' END || lower(right(p_brand, 2)) AS combo, right(p_brand, 2) AS key FROM part), kn AS (SELECT DISTINCT right(p_brand, 2) AS key FROM part WHERE p_size % 5 > 0 AND right(p_brand, 1) <> '3') SELECT combo, count(*) AS actions FROM k WHERE key IN (SELECT key FROM kn) GROUP BY combo HAVING count(*) > 1",
     "unknown_bindings": "WITH k AS (SELECT p_partkey AS action, CASE p_size % 4 WHEN 0 THEN 'Ctrl + shift+' WHEN 1 THEN 'SHIFT+ctrl+' WHEN 2 THEN 'alt+Meta+' ELSE '' END || right(p_brand, 2) AS keys, CASE p_size % 4 WHEN 0 THEN 'ctrl+shift+' WHEN 1 THEN 'ctrl+shift+' WHEN 2 THEN 'alt+' ELSE '' END || lower(right(p_brand, 2)) AS combo, right(p_brand, 2) AS key FROM part), kn AS (SELECT DISTINCT right(p_brand, 2) AS key FROM part WHERE p_size % 5 > 0 AND right(p_brand, 1) <> '3') SELECT action, keys FROM k WHERE key NOT IN (SELECT key FROM kn)",

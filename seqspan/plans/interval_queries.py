@@ -147,7 +147,7 @@ ORACLES = {
     "remove_ranges": with_tables("ranges", f"WITH {_FIRST}, numbered AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY start_f) - 1 AS range_no FROM firsts) SELECT rec_id, start_f, end_f FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.line = 2 AND r.rec_id = n.rec_id AND r.id % 50 = n.range_no)"),
     "marker_nav": with_tables("markers", f"WITH {_POINTS} SELECT p.rec_id, p.id, coalesce((SELECT min(frame) FROM markers m WHERE m.rec_id = p.rec_id AND frame > pos), (SELECT min(frame) FROM markers m WHERE m.rec_id = p.rec_id), pos) AS following, coalesce((SELECT max(frame) FROM markers m WHERE m.rec_id = p.rec_id AND frame < pos), (SELECT max(frame) FROM markers m WHERE m.rec_id = p.rec_id), pos) AS preceding FROM points p"),
     "marker_toggle": with_tables("markers", f"WITH {_POINTS}, u AS (SELECT rec_id, frame FROM markers UNION ALL SELECT rec_id, pos FROM points) SELECT rec_id, frame FROM u GROUP BY ALL HAVING count(*) % 2 = 1"),
-    "mismatch_audit": with_tables("cuts", f"WITH {_DUR}, e AS (SELECT rec_id, max(b) AS last, CAST(sum(greatest(0, b - a)) AS BIGINT) AS span FROM cuts GROUP BY rec_id) SELECT rec_id, last, span, CASE WHEN last > duration + 1 THEN 'error' WHEN span > 0 AND duration > last * 2 THEN 'warning' ELSE 'fine' END AS verdict FROM e JOIN dur USING (rec_id)"),
+    "mismatch_audit": with_tables("cuts", f"WITH {_DUR}, e AS (SELECT rec_id, max(b) AS last, max(b) - min(a) AS span FROM cuts GROUP BY rec_id) SELECT rec_id, last, span, CASE WHEN last > duration + 1 THEN 'error' WHEN span > 0 AND duration > last * 2 THEN 'warning' ELSE 'fine' END AS verdict FROM e JOIN dur USING (rec_id)"),
     "split_padding": with_tables("cuts", f"WITH {_DUR}, {_SPLIT} SELECT * FROM split"),
-    "learnable_gate": with_tables("cuts", f"WITH {_DUR}, {_SPLIT}, f AS (SELECT rec_id, count(*) FILTER (kind = 'advert') AS adverts, count(*) FILTER (kind = 'advert' AND (b - a < 0 OR b - a > 29)) AS odd, coalesce(sum(b - a) FILTER (kind = 'advert'), 0) AS removed FROM split GROUP BY rec_id) SELECT rec_id, CASE WHEN adverts IS NULL THEN 'no cuts' WHEN adverts = 0 THEN 'only padding' WHEN odd > 0 THEN 'length' WHEN removed > duration * 0.05 THEN 'too much' ELSE 'ok' END AS reason FROM dur LEFT JOIN f USING (rec_id)"),
+    "learnable_gate": with_tables("cuts", f"WITH {_DUR}, {_SPLIT}, f AS (SELECT rec_id, count(*) FILTER (kind = 'advert') AS adverts, count(*) FILTER (kind = 'advert' AND (b - a < 0 OR b - a > 29)) AS odd, coalesce(sum(b - a) FILTER (kind = 'advert'), 0) AS removed FROM split GROUP BY rec_id) SELECT rec_id, CASE WHEN adverts IS NULL THEN 'no cuts' WHEN adverts = 0 THEN 'only padding' WHEN odd > 0 THEN 'length' WHEN duration > 0 AND removed > duration * 0.05 THEN 'too much' ELSE 'ok' END AS reason FROM dur LEFT JOIN f USING (rec_id)"),
 }

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import frames
 from ..operators import jobs as op
 from ..sources import projects as io
 from ..streaming import watch
 from ..tables import shared_folder
 from . import adapters as src
 from .adapters import table, with_tables
+from .frame_queries import _JUMPS, JUMP_MS
 
 NOW = 2_000_000
 
@@ -155,7 +157,8 @@ def chapters(spark, sf_dir):
 
 def marks_in_output(spark, sf_dir):
     marks = src.probes(spark, sf_dir).withColumnRenamed("q", "at")
-    return io.marks_in_output(marks, src.keep_spans(spark, sf_dir))
+    jumps = frames.clock_jumps(frames.frame_index(src.packets(spark, sf_dir)), JUMP_MS)
+    return io.marks_in_output(marks, src.keep_spans(spark, sf_dir), jumps)
 
 
 QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, watch_scan, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, project_markers, ticks_roundtrip, tick_markers, project_seconds, chapters, marks_in_output)}
@@ -181,6 +184,6 @@ ORACLES = {
     "tick_markers": with_tables("cuts", "WITH m AS (SELECT DISTINCT rec_id, CAST(round_even(b / 8.0::DOUBLE * 25, 0) AS BIGINT) AS frame FROM cuts) SELECT 'r' || rec_id AS name, frame FROM m WHERE frame < 7000"),
     "project_seconds": with_tables("cuts", "SELECT 'r' || rec_id || CASE WHEN rec_id % 2 = 0 THEN '.vprj' ELSE '.swproj' END AS name, a / 8.0::DOUBLE AS a, b / 8.0::DOUBLE AS b, CASE WHEN rec_id % 2 = 0 THEN 7.0 ELSE 0.0 END::DOUBLE AS duration FROM cuts"),
     "ticks_roundtrip": with_tables("cuts", "SELECT 'r' || rec_id AS name, a / 8.0::DOUBLE AS a, b / 8.0::DOUBLE AS b FROM cuts"),
-    "marks_in_output": with_tables("probes keep_spans", "WITH l AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY rec_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM keep_spans) SELECT p.rec_id, p.id, CAST(p.q - s + b AS BIGINT) AS out FROM probes p JOIN l ON l.rec_id = p.rec_id AND p.q >= s AND p.q < e"),
+    "marks_in_output": with_tables("frames probes keep_spans", f"WITH {_JUMPS}, ji AS (SELECT k.rec_id, k.k, split2, amount FROM keep_spans k JOIN jumps j ON j.rec_id = k.rec_id AND split2 > s * 2 AND split2 < e * 2), l AS (SELECT *, coalesce(sum(e - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = k.rec_id AND ji.k = k.k), 0)) OVER (PARTITION BY rec_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM keep_spans k) SELECT p.rec_id, p.id, CAST(b + greatest(0, p.q - s - coalesce((SELECT sum(amount) FROM ji WHERE ji.rec_id = p.rec_id AND ji.k = l.k AND split2 <= p.q * 2), 0)) AS BIGINT) AS out FROM probes p JOIN l ON l.rec_id = p.rec_id AND p.q >= s AND p.q < e"),
     "chapters": "WITH RECURSIVE d AS (SELECT 'c' || conv_id AS name, turn AS seq, length(text) / 1024.0::DOUBLE AS duration FROM conversations), st AS (SELECT name, coalesce(sum(duration) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark FROM d UNION ALL SELECT name, duration * 1.5 FROM d), m AS (SELECT st.name, mark, row_number() OVER (PARTITION BY st.name ORDER BY mark) AS r FROM st JOIN (SELECT name, sum(duration) AS total FROM d GROUP BY name) t ON t.name = st.name AND mark >= 0 AND mark < total), w AS (SELECT name, r, mark, true AS kept, mark AS last FROM m WHERE r = 1 UNION ALL SELECT m.name, m.r, m.mark, round(m.mark - w.last, 9) >= 0.25, CASE WHEN round(m.mark - w.last, 9) >= 0.25 THEN m.mark ELSE w.last END FROM w JOIN m ON m.name = w.name AND m.r = w.r + 1) SELECT name, mark FROM w WHERE kept",
 }

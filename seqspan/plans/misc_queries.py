@@ -90,7 +90,7 @@ QUERIES = {f.__name__: f for f in (byte_plan, keyframe_bytes, clamped_settings,
 
 ORACLES = {
     "byte_plan": "WITH j AS (SELECT o_orderkey AS id, o_orderkey * 99991 AS size, o_orderkey % 3 AS m, CAST(round_even(o_orderkey % 40 / 2.0 * 1048576, 0) AS BIGINT) AS want, o_orderkey % 90 * 1048576 AS st FROM orders), f AS (SELECT *, CASE m WHEN 0 THEN 0 WHEN 1 THEN least((greatest(0, size - want) + 187) // 188 * 188, size) ELSE least((st + 187) // 188 * 188, size) END AS first FROM j) SELECT id, CAST(first AS BIGINT) AS first, CAST(first + CASE WHEN m = 1 THEN size - first ELSE least(want, size - first) END // 188 * 188 AS BIGINT) AS last FROM f",
-    "keyframe_bytes": with_tables("frames keep_spans", "SELECT k.rec_id, k.k AS id, coalesce((SELECT arg_max(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts <= k.s), 0) AS from_byte, coalesce((SELECT arg_min(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts > k.e), (SELECT max(cum_bytes) FROM frames f WHERE f.rec_id = k.rec_id)) AS to_byte FROM keep_spans k"),
+    "keyframe_bytes": with_tables("frames keep_spans", "SELECT k.rec_id, k.k AS id, coalesce((SELECT arg_max(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts <= k.s), 0) // 188 * 188 AS from_byte, coalesce((SELECT arg_min(cum_bytes - bytes, pts) FROM frames f WHERE f.rec_id = k.rec_id AND is_key AND pts > k.e), (SELECT max(cum_bytes) FROM frames f WHERE f.rec_id = k.rec_id)) // 188 * 188 AS to_byte FROM keep_spans k"),
     "clamped_settings": "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 18.0 ELSE greatest(0, least(51, p_size * 2 - 20))::DOUBLE END::DOUBLE AS crf, CASE WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN p_brand ELSE 'match' END AS mode FROM part",
     "resolved_sources": "WITH f AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) SELECT page_id AS id, CASE WHEN url IN (SELECT url FROM f) THEN url WHEN url || '/x' IN (SELECT url FROM f) THEN url || '/x' WHEN regexp_replace(url, '^https:', 'http:') IN (SELECT url FROM f) THEN regexp_replace(url, '^https:', 'http:') ELSE '' END AS path FROM pages",
     # no text of the tables is longer than the window, so the whole text is hashed here
@@ -99,7 +99,7 @@ ORACLES = {
     "even_boxes": "WITH m AS (SELECT o_orderkey AS id, o_orderkey % 1900 + 11 AS sw, o_orderkey % 1050 + 13 AS sh, greatest(0, o_orderkey % 31 - 3) // 2 * 2 AS t, o_orderkey % 17 // 2 * 2 AS b, o_orderkey % 29 // 2 * 2 AS l, o_orderkey % 700 // 2 * 2 AS r, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 2 END AS n FROM orders), z AS (SELECT *, sw - l - r AS aw, sh - t - b AS ah FROM m) SELECT id, CASE WHEN aw < 2 OR ah < n THEN sw // 2 * 2 ELSE aw // 2 * 2 END AS w, CASE WHEN aw < 2 OR ah < n THEN sh // n * n ELSE ah // n * n END AS h, CASE WHEN aw < 2 OR ah < n THEN 0 ELSE l END AS x, CASE WHEN aw < 2 OR ah < n THEN 0 ELSE t END AS y FROM z",
     "picture_kinds": with_tables("packets", "SELECT rec_id, seq, CASE WHEN size % 24 IN (5, 19, 20) THEN 'safe' WHEN size % 24 BETWEEN 6 AND 9 THEN 'leading' ELSE 'other' END AS kind FROM packets"),
     "subtitle_defaults": "WITH t AS (SELECT l_orderkey AS rec_id, (l_linenumber, l_partkey, l_suppkey) AS seq, l_linenumber % 3 = 1 AS audio, CASE WHEN l_quantity % 5 = 0 OR l_quantity % 7 = 0 THEN '' ELSE lower(l_returnflag) END AS lang, l_discount > 0.04 AS marked, l_quantity > 45 AS forced FROM lineitem), a AS (SELECT rec_id, lang AS sound FROM t WHERE audio QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY marked DESC, seq) = 1), s AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seq) AS number FROM t WHERE NOT audio), d AS (SELECT s.rec_id, number, CASE WHEN forced THEN 'forced' WHEN sound IS NULL THEN 'no sound' WHEN sound = '' THEN 'sound not labelled' WHEN lang = '' THEN 'subtitles not labelled' WHEN lang <> sound THEN 'other language' ELSE 'same language' END AS reason FROM s LEFT JOIN a USING (rec_id) WHERE marked) SELECT rec_id, number, reason = 'same language' AS change, reason FROM d",
-    "film_match": "WITH w AS (SELECT p_partkey AS id, p_type || ' ' || (p_partkey % 60) AS title, p_partkey % 5 AS year FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_type || ' ' || (p_partkey % 60) AS title, p_partkey % 7 AS made, p_partkey AS hit FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 10 = 4), m AS (SELECT id, min(hit) FILTER (made = year) AS e, min(hit) AS l FROM w LEFT JOIN c USING (title) GROUP BY id) SELECT id, coalesce(e, l, -1) AS hit, CASE WHEN e IS NOT NULL THEN '' WHEN l IS NOT NULL THEN 'year differs' ELSE 'no match' END AS note FROM m",
+    "film_match": "WITH w AS (SELECT p_partkey AS id, p_type || ' ' || (p_partkey % 60) AS title, p_partkey % 5 AS year FROM part WHERE p_partkey % 2 = 0), c AS (SELECT p_type || ' ' || (p_partkey % 60) AS title, p_partkey % 7 AS made, p_partkey AS hit FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 10 = 4), m AS (SELECT id, min(hit) FILTER (made = year) AS e, min(hit) AS l FROM w LEFT JOIN c USING (title) GROUP BY id) SELECT id, coalesce(e, l, -1) AS hit, CASE WHEN e IS NOT NULL THEN '' WHEN l IS NOT NULL THEN '' ELSE 'no match' END AS note FROM m",
     "match_cache": "WITH r AS (SELECT c_mktsegment AS shelf, c_custkey AS key, c_custkey * 3 AS size, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 500 + 900 WHEN c_custkey % 9 > 0 THEN c_custkey % 1000 END AS used FROM customer) SELECT shelf, key, size, coalesce(used, -1) AS used FROM r WHERE used IS NULL OR used >= 100 QUALIFY row_number() OVER (PARTITION BY shelf ORDER BY used DESC NULLS LAST, key) <= 60",
     "segment_names": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '/a/b' || n || 'c.mkv' WHEN 1 THEN '/a.d/film' || n || '.mkv' ELSE '/a.d/film' || n END AS name FROM (SELECT o_orderkey, printf('%03d', o_orderkey % 30) AS n FROM orders)",
 }

@@ -147,15 +147,16 @@ def chapters(durations: DataFrame, extra: DataFrame, apart: float = 0.05) -> Dat
     return listed.select("name", F.explode(kept).alias("mark"))
 
 
-def marks_in_output(marks: DataFrame, spans: DataFrame) -> DataFrame:
-    """rec_id, id, out of marks (rec_id, id, at) inside kept spans (rec_id, k, s, e), at their time in the output."""
-    from ..operators.segments import in_spans
-    from pyspark.sql import Window as W
+def marks_in_output(marks: DataFrame, spans: DataFrame, jumps: DataFrame) -> DataFrame:
+    """rec_id, id, out of marks (rec_id, id, at) inside kept spans (rec_id, k, s, e), at their time in the output.
+
+    Clock jumps (rec_id, split2, amount) between a span's start and a mark are taken off, and those in the spans before; no mark
+    comes before its span.
+    """
+    from ..operators.carry import moved
 
-    w = W.partitionBy("rec_id").orderBy("s", "k").rowsBetween(W.unboundedPreceding, -1)
-    laid = spans.select("rec_id", "k", F.coalesce(F.sum(F.col("e") - F.col("s")).over(w), F.lit(0)).alias("begin"))
-    hit = in_spans(marks, spans, "at", 86_400_000)
-    return hit.join(laid, ["rec_id", "k"]).select("rec_id", "id", (F.col("at") - F.col("s") + F.col("begin")).alias("out"))
+    rows = marks.select("rec_id", F.col("id").alias("seq"), F.col("at").alias("pts"))
+    return moved(rows, spans, spans, jumps, 86_400_000).select("rec_id", F.col("seq").alias("id"), F.greatest("out", "begin").alias("out"))
 
 
 #: A list of scenes to join.
