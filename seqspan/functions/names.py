@@ -83,7 +83,7 @@ def _value(code: str, meta: Mapping[str, Column]) -> Column:
         "E": run("%d"),
         "EZ": run("%02d"),
         "T": text(meta["title"]),
-        "TMDBID": text(meta["id"].cast("string")),
+        "TMDBID": text(F.when(meta["id"] != 0, meta["id"].cast("string"))),
     }[code]
     return F.regexp_replace(text(out), r"[\\/]", " ")
 

@@ -187,8 +187,8 @@ def placed_edges(breaks: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFr
     last = F.max("n").over(all_)
     rows = rows.withColumn("head", -lead["m"]).withColumn("last", last)
     rows = rows.withColumn("tail", F.max(F.when((F.col("n") == F.col("last")) & (F.col("duration") - F.col("b") <= F.col("tail_reach")), F.col("n"))).over(all_))
-    of = lambda side, name: edges.where(F.col("side") == side).select("rec_id", F.col("edge").alias(name))
-    rows = rows.join(of(0, "start"), "rec_id", "left").join(of(1, "finish"), "rec_id", "left")
+    of = lambda side, name: F.max(F.when(F.col("side") == side, F.col("edge"))).alias(name)
+    rows = rows.join(edges.groupBy("rec_id").agg(of(0, "start"), of(1, "finish")), "rec_id", "left")
     apart = ~F.col("head").eqNullSafe(F.col("tail"))
     # the start is moved first, and the tail's neighbour is then as it has become
     to_start = apart & (F.col("n") == F.col("head")) & (F.col("start") > F.col("a")) & (F.col("start") < F.coalesce("behind", "duration"))

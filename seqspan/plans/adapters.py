@@ -69,7 +69,7 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, id, a, b: spans of frame numbers; some reach beyond the last frame, some are reversed."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("rec_id"), key.alias("id"), (key % 60).alias("a"), (key % 60 + key % 23 - 2).alias("b"))
+    return table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 10).cast("long").alias("rec_id"), key.alias("id"), (key % 60).alias("a"), (key % 60 + key % 23 - 2).alias("b"))
 
 
 def keep_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ CTES = {
     "ranges": "SELECT l_suppkey AS rec_id, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS start_f, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + floor(l_quantity / 10) AS BIGINT) AS end_f, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS id FROM lineitem",
     "cuts": "SELECT o_custkey AS rec_id, o_orderkey AS id, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS a, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 30 AS BIGINT) AS b FROM orders",
     "markers": "SELECT DISTINCT rec_id, start_f AS frame FROM ranges WHERE line = 1",
-    "frame_spans": "SELECT o_custkey % 40 AS rec_id, o_orderkey AS id, o_orderkey % 60 AS a, o_orderkey % 60 + o_orderkey % 23 - 2 AS b FROM orders",
+    "frame_spans": "SELECT o_custkey // 10 AS rec_id, o_orderkey AS id, o_orderkey % 60 AS a, o_orderkey % 60 + o_orderkey % 23 - 2 AS b FROM orders",
     "frames": "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pts, g) - 1 AS frame_no, pts, bytes, CAST(sum(bytes) OVER (PARTITION BY rec_id ORDER BY pts, g ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_bytes, is_key FROM (SELECT rec_id, g, max(pts) AS pts, CAST(sum(size) AS BIGINT) AS bytes, bool_or(is_key AND pts IS NOT NULL) AS is_key FROM (SELECT *, count(pts) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, -count(pts) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM packets) WHERE ahead > 0 GROUP BY rec_id, g)",
     "keep_spans": "SELECT rec_id, lo + k * 259200000 + 40000000 AS s, lo + k * 259200000 + 126400000 AS e, k FROM (SELECT rec_id, lo, unnest(generate_series(0, (hi - lo) // 259200000)) AS k FROM (SELECT rec_id, min(pts) AS lo, max(pts) AS hi FROM packets WHERE pts IS NOT NULL GROUP BY rec_id))",
 }

@@ -144,7 +144,7 @@ def _today(spark, sf_dir):
 
 def _marker_events(spark, sf_dir):
     c = src.cuts(spark, sf_dir).where("id % 3 = 0")
-    return c.select((F.col("rec_id") % 100 + 1).alias("rec_id"), F.col("a").alias("t"), (F.col("id") % 4 / 2.0).alias("score"))
+    return c.select(F.floor(F.col("rec_id") / 15).cast("long").alias("rec_id"), F.col("a").alias("t"), (F.col("id") % 4 / 2.0).alias("score"))
 
 
 def cards_learned(spark, sf_dir):
@@ -276,7 +276,7 @@ _MARKERS = (
     "us AS (SELECT rec_id, side, t, t - median(off) AS pat FROM (SELECT rec_id, side, t, project, min(off) AS off FROM hi JOIN fi USING (rec_id, side, t) GROUP BY ALL) GROUP BY rec_id, side, t), "
     "td AS (SELECT s_suppkey AS rec_id, side, s_suppkey * 37 % 300 + 100 + side * 1900 AS today FROM supplier, (SELECT unnest([0, 1]) AS side)), "
     "nr AS (SELECT rec_id, side, pat AS predicted FROM us JOIN td USING (rec_id, side) WHERE abs(pat - today) <= 20 QUALIFY row_number() OVER (PARTITION BY rec_id, side ORDER BY abs(pat - today), t) = 1), "
-    "me AS (SELECT rec_id % 100 + 1 AS rec_id, a AS t, id % 4 / 2.0 AS score FROM cuts WHERE id % 3 = 0), "
+    "me AS (SELECT rec_id // 15 AS rec_id, a AS t, id % 4 / 2.0 AS score FROM cuts WHERE id % 3 = 0), "
     "ed AS (SELECT rec_id, side::BIGINT AS side, coalesce((SELECT t FROM me WHERE me.rec_id = nr.rec_id AND abs(t - predicted) <= 3 ORDER BY round(score - abs(t - predicted) * 0.04::DOUBLE, 9) DESC, t LIMIT 1), predicted)::DOUBLE AS edge, predicted::DOUBLE AS predicted FROM nr)"
 )
 ORACLES = {

@@ -21,7 +21,7 @@ NOW = 2_000_000
 def _jobs(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("held")
-    return o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 50).alias("owner"))
+    return o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderkey").alias("ord"), F.floor(F.col("o_custkey") / 20).cast("long").alias("owner"))
 
 
 def queue_merge(spark, sf_dir):
@@ -78,7 +78,7 @@ def processed_prune(spark, sf_dir):
 
 
 def _seen(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), (F.col("o_custkey") % 300).cast("string")).alias("pattern"), F.col("o_orderdate").cast("date").alias("seen"), "o_orderkey")
+    d = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.floor(F.col("o_custkey") / 5).cast("string")).alias("pattern"), F.col("o_orderdate").cast("date").alias("seen"), "o_orderkey")
     today = F.lit("1997-03-31").cast("date")
     old = d.where("o_orderkey % 2 = 0").groupBy("pattern").agg(F.min("seen").alias("seen"))
     met = d.where("o_orderkey % 40 = 1")
@@ -163,9 +163,9 @@ def marks_in_output(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (queue_merge, queue_counts, queue_cleared, job_outcomes, settled_files, watch_states, watch_scan, processed_prune, stale_patterns, eta, cache_keys, cut_list_roundtrip, project_roundtrip, project_markers, ticks_roundtrip, tick_markers, project_seconds, chapters, marks_in_output)}
 
-_JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'held' END AS status, o_orderkey AS ord, o_custkey % 50 AS owner FROM orders)"
+_JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'held' END AS status, o_orderkey AS ord, o_custkey // 20 AS owner FROM orders)"
 _FILES = f"f AS (SELECT url AS path, regexp_extract(url, '://([^/]*)', 1) AS root, CASE WHEN page_id % 17 > 0 THEN {NOW} - page_id * 40 END AS mtime, CAST(length(html) AS BIGINT) AS size, page_id FROM pages)"
-_SEEN = "d AS (SELECT 'p' || (o_custkey % 300) AS pattern, CAST(o_orderdate AS DATE) AS seen, o_orderkey AS k FROM orders), old AS (SELECT pattern, min(seen) AS seen FROM d WHERE k % 2 = 0 GROUP BY pattern), met AS (SELECT pattern, max(seen) AS seen FROM (SELECT * FROM old UNION ALL SELECT pattern, least(seen, DATE '1997-03-31') FROM d WHERE k % 40 = 1) GROUP BY pattern), s AS (SELECT p.pattern, coalesce(met.seen, DATE '1997-03-31') AS seen FROM (SELECT DISTINCT pattern FROM d WHERE k % 3 > 0) p LEFT JOIN met USING (pattern))"
+_SEEN = "d AS (SELECT 'p' || (o_custkey // 5) AS pattern, CAST(o_orderdate AS DATE) AS seen, o_orderkey AS k FROM orders), old AS (SELECT pattern, min(seen) AS seen FROM d WHERE k % 2 = 0 GROUP BY pattern), met AS (SELECT pattern, max(seen) AS seen FROM (SELECT * FROM old UNION ALL SELECT pattern, least(seen, DATE '1997-03-31') FROM d WHERE k % 40 = 1) GROUP BY pattern), s AS (SELECT p.pattern, coalesce(met.seen, DATE '1997-03-31') AS seen FROM (SELECT DISTINCT pattern FROM d WHERE k % 3 > 0) p LEFT JOIN met USING (pattern))"
 ORACLES = {
     "queue_merge": f"WITH {_JOBS} SELECT id, 'disk-' || status AS status, ord, 'disk' AS origin FROM j WHERE id % 3 <> 0 AND id % 5 >= 3 AND id % 7 <> 0 UNION ALL SELECT id, status, ord, 'mine' FROM j WHERE id % 5 < 3",
     "queue_counts": f"WITH {_JOBS} SELECT status, count(*) AS n, min(ord) AS first_ord FROM j GROUP BY status",

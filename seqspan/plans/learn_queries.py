@@ -76,7 +76,7 @@ def sign_clusters(spark, sf_dir):
 
 def _records(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_suppkey") % 20).alias("key"), F.col("l_linenumber").cast("long").alias("model"), (F.col("l_partkey") % 30).alias("project")).agg(F.round(F.max("l_discount"), 4).alias("good"), F.sum(F.when(F.col("l_tax") > 0.07, 1).otherwise(0)).alias("false"))
+    return li.groupBy(F.col("l_suppkey").alias("key"), F.col("l_linenumber").cast("long").alias("model"), (F.col("l_partkey") % 30).alias("project")).agg(F.round(F.max("l_discount"), 4).alias("good"), F.sum(F.when(F.col("l_tax") > 0.07, 1).otherwise(0)).alias("false"))
 
 
 def mask_beats(spark, sf_dir):
@@ -149,7 +149,7 @@ ORACLES = {
     "pixel_cluster": "WITH s AS (SELECT label::BIGINT % 4 AS key, vec_id AS t, unnest(range(64)) AS pixel, unnest(list_transform(embedding, lambda x: round(x::DOUBLE * 1000))) AS v FROM embeddings), c AS (SELECT a.key, a.pixel, b.pixel AS p2, round((count(*) * sum(a.v * b.v) - sum(a.v) * sum(b.v)) / sqrt((count(*) * sum(a.v * a.v) - sum(a.v) ** 2) * (count(*) * sum(b.v * b.v) - sum(b.v) ** 2)), 6) AS r FROM s a JOIN s b USING (key, t) GROUP BY a.key, a.pixel, b.pixel), k AS (SELECT * FROM c WHERE r >= 0.02), sd AS (SELECT key, pixel AS seed FROM k GROUP BY key, pixel QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, pixel) = 1) SELECT k.key, p2 AS pixel, seed, r FROM k JOIN sd ON k.key = sd.key AND k.pixel = seed",
     "mask_learned": "WITH c AS (SELECT l_suppkey AS key, l_returnflag AS kind, l_quantity / 50::DOUBLE AS contrast FROM lineitem), e AS (SELECT key, kind, count(*) AS pixels, round(avg(contrast), 6) AS mean FROM c WHERE contrast > 0.75 GROUP BY ALL) SELECT * FROM e WHERE pixels >= 4 AND (pixels >= 30 OR mean >= 0.88) QUALIFY row_number() OVER (PARTITION BY key ORDER BY mean DESC, kind) = 1",
     "sign_clusters": "WITH p AS (SELECT DISTINCT l_suppkey AS key, (l_partkey % (l_suppkey % 5 * 3 + 1)) * 16 + l_orderkey % (l_suppkey % 7 + 1) AS pixel FROM lineitem), b AS (SELECT key, count(*) AS pixels, max(pixel % 16) - min(pixel % 16) + 1 AS w, max(pixel // 16) - min(pixel // 16) + 1 AS h FROM p GROUP BY key), r AS (SELECT l_suppkey AS key, round(avg((l_quantity / (l_suppkey % 9 * 8 + 35)::DOUBLE > 0.5)::INT::DOUBLE), 6) AS share FROM lineitem GROUP BY ALL) SELECT key, pixels, w, h, share, CASE WHEN pixels < 6 THEN 'small' WHEN least(w, h) < 2 OR greatest(w, h) > least(w, h) * 10 THEN 'line' WHEN share NOT BETWEEN 0.3 AND 0.97 THEN 'share' ELSE 'sign' END AS verdict FROM b JOIN r USING (key)",
-    "mask_beats": "WITH r AS (SELECT l_suppkey % 20 AS key, l_linenumber::BIGINT AS model, l_partkey % 30 AS project, round(max(l_discount), 4) AS good, CAST(count(*) FILTER (l_tax > 0.07) AS BIGINT) AS bad FROM lineitem GROUP BY ALL), t AS (SELECT a.key, a.model, b.model AS other, sum(a.bad) AS f1, sum(b.bad) AS f2, sum(a.good) AS g1, sum(b.good) AS g2, count(*) AS n FROM r a JOIN r b ON a.key = b.key AND a.project = b.project AND a.model <> b.model GROUP BY ALL) SELECT key, model AS better, other AS worse, n FROM t WHERE f1 < f2 OR (f1 = f2 AND round(g1 - g2, 9) > round(n * 0.01::DOUBLE, 9))",
+    "mask_beats": "WITH r AS (SELECT l_suppkey AS key, l_linenumber::BIGINT AS model, l_partkey % 30 AS project, round(max(l_discount), 4) AS good, CAST(count(*) FILTER (l_tax > 0.07) AS BIGINT) AS bad FROM lineitem GROUP BY ALL), t AS (SELECT a.key, a.model, b.model AS other, sum(a.bad) AS f1, sum(b.bad) AS f2, sum(a.good) AS g1, sum(b.good) AS g2, count(*) AS n FROM r a JOIN r b ON a.key = b.key AND a.project = b.project AND a.model <> b.model GROUP BY ALL) SELECT key, model AS better, other AS worse, n FROM t WHERE f1 < f2 OR (f1 = f2 AND round(g1 - g2, 9) > round(n * 0.01::DOUBLE, 9))",
     "newest_cards": "SELECT label::BIGINT AS channel, vec_id AS \"order\" FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 4",
     "store_by_alias": f"WITH {_STORE} SELECT id, min(entry) AS entry FROM wa JOIN st USING (alias) GROUP BY id",
     "cards_without_store": f"WITH {_STORE} SELECT DISTINCT id AS card FROM wa WHERE id NOT IN (SELECT id FROM wa JOIN st USING (alias))",

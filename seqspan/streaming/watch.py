@@ -66,7 +66,7 @@ def settled(files: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFr
     """path, root, mtime, size of each file once it hasn't changed for ``seconds``: state by path, timers in event time.
 
     A change starts the wait again; a file is given once for each time it settles, and a row of state for each path
-    remembers that it was.
+    remembers that it was.  For folders whose files come and go without end, :func:`scan` keeps that in a table.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
