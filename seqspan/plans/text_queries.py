@@ -145,6 +145,6 @@ ORACLES = {
     "dest_paths": "WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_type || '-cut' ELSE 'New' || p_type END AS base FROM part), e AS (SELECT DISTINCT base, CASE WHEN id % 3 = 0 THEN 1 ELSE id % 5 + 2 END AS k FROM b WHERE id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b), c AS (SELECT base, unnest(generate_series(1, (SELECT max(n) + 10 FROM n))) AS k FROM (SELECT DISTINCT base FROM b)), f AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS n FROM c WHERE (base, k) NOT IN (SELECT (base, k) FROM e)) SELECT id, '/out/' || base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.mkv' AS path FROM n JOIN f USING (base, n)",
     "discovered_files": "WITH l AS (SELECT page_id AS o, regexp_extract(url, '://([^/]*)', 1) AS root, '/tv/' || page_id % 700 || CASE page_id % 3 WHEN 0 THEN '.TS' WHEN 1 THEN '.ts' ELSE '.tsx' END AS path, page_id % 700 AS m FROM pages) SELECT path, arg_min(root, o) AS root FROM l WHERE m % 10 = 5 AND m > 9 AND NOT ends_with(path, 'x') GROUP BY path",
     "combine_titles": "WITH t AS (SELECT p_partkey AS id, p_name AS a, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE p_name || ' Again' END AS b FROM part) SELECT id, CASE WHEN a = b THEN a ELSE a || ' & ' || b END || ' & Part 1' AS title FROM t",
-    "render_path": "WITH m AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN 1990 + p_partkey % 30 END AS year, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 4 END AS season, CASE WHEN p_partkey % 2 = 0 THEN printf('%02d-%02d', p_partkey % 20, p_partkey % 20 + 1) ELSE printf('%02d', p_partkey % 9) END AS ez, CASE WHEN p_partkey % 6 > 0 THEN 'What ' || p_type || ' end.' ELSE '' END AS title, CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END AS mid FROM part) SELECT k AS id, name || CASE WHEN year IS NOT NULL THEN ' (' || year || ')' ELSE '' END || '/' || CASE WHEN season IS NULL THEN 'Season' WHEN season = 0 THEN 'Specials' ELSE 'Season ' || season END || '/' || regexp_replace(name || ' - S' || coalesce(printf('%02d', season), '') || 'E' || ez || ' - ' || title || ' [' || mid || ']', '\\s+', ' ', 'g') AS path FROM m",
+    "render_path": "WITH m AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN 1990 + p_partkey % 30 END AS year, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 4 END AS season, CASE WHEN p_partkey % 2 = 0 THEN printf('%02d-%02d', p_partkey % 20, p_partkey % 20 + 1) ELSE printf('%02d', p_partkey % 9) END AS ez, CASE WHEN p_partkey % 6 > 0 THEN 'What ' || p_type || ' end.' ELSE '' END AS title, CASE WHEN p_partkey % 4 = 0 AND p_partkey <> 0 THEN p_partkey::VARCHAR ELSE '' END AS mid FROM part) SELECT k AS id, name || CASE WHEN year IS NOT NULL THEN ' (' || year || ')' ELSE '' END || '/' || CASE WHEN season IS NULL THEN 'Season' WHEN season = 0 THEN 'Specials' ELSE 'Season ' || season END || '/' || regexp_replace(name || ' - S' || coalesce(printf('%02d', season), '') || 'E' || ez || ' - ' || title || ' [' || mid || ']', '\\s+', ' ', 'g') AS path FROM m",
     "parse_filename": "WITH p AS (SELECT p_partkey AS k, p_name, trim(replace(p_name, '.', ' ')) AS nm FROM part) SELECT k AS id, CASE k % 7 WHEN 3 THEN nm || ' 1920x1080' WHEN 5 THEN string_split(p_name, ' ')[1] ELSE nm END AS \"show\", CASE k % 7 WHEN 0 THEN 1 WHEN 1 THEN k % 5 WHEN 2 THEN 1 WHEN 6 THEN k % 3 ELSE -1 END AS season, CASE k % 7 WHEN 0 THEN (k % 24 + 1) || ',' || (k % 24 + 2) WHEN 1 THEN (k % 24 + 1) || ',' || (k % 24 + 2) WHEN 2 THEN '2,3' WHEN 6 THEN (k % 24 + 1)::VARCHAR ELSE '' END AS episodes, CASE k % 7 WHEN 2 THEN 2001 WHEN 4 THEN 1999 ELSE -1 END AS year, CASE k % 7 WHEN 0 THEN 'ts' WHEN 4 THEN 'mp4' WHEN 5 THEN lower(string_split(p_name, ' ')[2]) || '_noext' ELSE 'mkv' END AS ext, k % 7 NOT IN (3, 4, 5) AS matched FROM p",
 }
