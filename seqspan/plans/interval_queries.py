@@ -91,7 +91,7 @@ def learnable_gate(spark, sf_dir):
 
 
 def edit_log(spark, sf_dir):
-    r = src.ranges(spark, sf_dir)
+    r = src.ranges(spark, sf_dir).withColumn("rec_id", F.floor(F.col("id") / 25).cast("long"))
     action = F.when(F.col("id") % 11 == 3, "undo").when(F.col("id") % 11 == 5, "redo").when(F.col("line") % 2 == 0, "remove").otherwise("add")
     seq = F.row_number().over(W.partitionBy("rec_id").orderBy("id", "line", "start_f", "end_f")).cast("long")
     return op.edit_log(r.select("rec_id", seq.alias("seq"), action.alias("action"), "start_f", (F.col("end_f") + 20).alias("end_f")))
@@ -126,7 +126,7 @@ _POINTS = "points AS (SELECT DISTINCT rec_id, id, end_f AS pos FROM ranges WHERE
 _FIRST = _islands("firsts", _lines(1))
 #: The log as a recursion over lists: the ranges, and the states before and after that undo and redo go back to.
 _EDITS = (
-    "lg AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY id, line, start_f, end_f) AS r, CASE WHEN id % 11 = 3 THEN 'undo' WHEN id % 11 = 5 THEN 'redo' WHEN line % 2 = 0 THEN 'remove' ELSE 'add' END AS act, start_f AS s, end_f + 20 AS e FROM ranges), "
+    "lg AS (SELECT id // 25 AS rec_id, row_number() OVER (PARTITION BY id // 25 ORDER BY id, line, start_f, end_f) AS r, CASE WHEN id % 11 = 3 THEN 'undo' WHEN id % 11 = 5 THEN 'redo' WHEN line % 2 = 0 THEN 'remove' ELSE 'add' END AS act, start_f AS s, end_f + 20 AS e FROM ranges), "
     "wk AS (SELECT rec_id, 0::BIGINT AS r, []::STRUCT(a BIGINT, b BIGINT)[] AS now, []::STRUCT(a BIGINT, b BIGINT)[][] AS un, []::STRUCT(a BIGINT, b BIGINT)[][] AS re FROM (SELECT DISTINCT rec_id FROM lg) UNION ALL "
     "SELECT rec_id, r, CASE act WHEN 'undo' THEN coalesce(un[-1], now) WHEN 'redo' THEN coalesce(re[-1], now) ELSE new END, "
     "CASE act WHEN 'undo' THEN un[:-2] WHEN 'redo' THEN CASE WHEN len(re) > 0 THEN list_append(un, now) ELSE un END ELSE CASE WHEN new = now THEN un ELSE list_append(un, now) END END, "
