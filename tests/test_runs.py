@@ -33,8 +33,11 @@ def test_runs_part_the_flagged_samples(spark):
 
 def test_short_presences_do_not_split_absences(spark):
     flags = [False, False, True, False, True, True, True, True, False]
-    got = [r.present for r in op.merge_absence(samples(spark, list(range(9)), flags), 2).orderBy("i").collect()]
+    merged = F.col("on") & F.col("i").isin(5, 6)  # 2, 4 and 7 were left out of account
+    got = [r.present for r in op.merge_absence(samples(spark, list(range(9)), flags).withColumn("merged", merged)).orderBy("i").collect()]
     assert got == [False, False, False, False, True, True, True, True, False]
+    alone = [r.present for r in op.merge_absence(samples(spark, list(range(9)), [True] * 9).withColumn("merged", F.col("i") < 4)).collect()]
+    assert all(alone)
     held = [r.held for r in op.sustained(samples(spark, list(range(9)), flags), 2).orderBy("i").collect()]
     assert held == [False] * 4 + [True] * 4 + [False]
 
