@@ -30,9 +30,9 @@ SKETCH_WORDS = 2
 #: standard deviations above the mean isn't compared (about one in 200,000 of the pairs just at the threshold).
 SURE = 4.75
 #: Members of a bucket that are compared at once; larger ones are compared as pairs of blocks.
-BLOCK = 384
+BLOCK = 1024
 #: One vector in so many tells which buckets are large.  That only decides how a bucket is dealt over tasks.
-SAMPLED = 16
+SAMPLED = 64
 _SHIFTS = 24
 
 
