@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bytebpe, chatfmt, chosenpath, exactdedup, langid, linetree, pstable, sitebayes, urlrules
+from . import binpack, bytebpe, chatfmt, chosenpath, exactdedup, hardneg, langid, linetree, merkle, pstable, secretscan, sitebayes, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    seen = F.when(tampered, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), seen)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x["order"] < len(secretscan.BASE))
+    return found.select("doc_id", *[count(r.kind) for r in secretscan.BASE], F.sha2(secretscan.joined(base), 256).alias("base_sha256"), secretscan.joined(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -72,11 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op4_chat_format": OP4, "op10_exact_dedup": OP10}
+    return {"op2_url_filter": OP2, "op4_chat_format": OP4, "op10_exact_dedup": OP10, "op11_hard_negatives": OP11, "op12_merkle_manifest": OP12, "op13_secret_scan": _op13()}
 
 
 OP10 = r"""
@@ -130,3 +151,99 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(length(replace('<|im_start|>' || replace(role, chr(92), repeat(chr(92), 2)), chr(10), '\n')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+OP11 = r"""
+WITH base AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM base a JOIN base b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND n.score * 100 BETWEEN p.positive_score * 50 AND p.positive_score * 95
+QUALIFY rank <= 3
+"""
+
+OP12 = r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, lang, text, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                                 coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS front
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(front || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered
+  FROM told
+), crc_table AS (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS word FROM range(256) t(b)
+), crc_words AS (SELECT list(word ORDER BY b) AS words FROM crc_table), crcs AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda c, x: xor(words[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_words
+), leaves AS (
+  SELECT h.doc_id, h.lang, h.leaf, CASE WHEN c.crc % 3 = 0 THEN h.lowered ELSE h.leaf END AS seen,
+         row_number() OVER (PARTITION BY h.lang ORDER BY h.doc_id NULLS FIRST, h.leaf) - 1 AS place, count(*) OVER (PARTITION BY h.lang) AS n
+  FROM hashed h LEFT JOIN crcs c USING (doc_id)
+), tree(lang, level, place, hash, n) AS (
+  SELECT lang, 0, place, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(hash, '' ORDER BY place)), (n + 7) // 8 FROM tree WHERE n > 1 GROUP BY lang, level, place // 8, n
+), subroots AS (
+  SELECT lang, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1
+), top(level, place, hash, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(hash, '' ORDER BY place)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, place // 8, n
+), own AS (
+  SELECT l.lang, l.place, t.level, coalesce(string_agg(t.hash, '' ORDER BY t.place) FILTER (t.place < l.place // CAST(8 ** t.level AS BIGINT)), '') AS before,
+         coalesce(string_agg(t.hash, '' ORDER BY t.place) FILTER (t.place > l.place // CAST(8 ** t.level AS BIGINT)), '') AS after
+  FROM leaves l JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND t.n > 1 AND t.place // 8 = l.place // CAST(8 ** (t.level + 1) AS BIGINT)
+  GROUP BY l.lang, l.place, t.level
+), over_own AS (
+  SELECT s.lang, t.level, coalesce(string_agg(t.hash, '' ORDER BY t.place) FILTER (t.place < s.place // CAST(8 ** t.level AS BIGINT)), '') AS before,
+         coalesce(string_agg(t.hash, '' ORDER BY t.place) FILTER (t.place > s.place // CAST(8 ** t.level AS BIGINT)), '') AS after
+  FROM subroots s JOIN top t ON t.n > 1 AND t.place // 8 = s.place // CAST(8 ** (t.level + 1) AS BIGINT)
+  GROUP BY s.lang, t.level
+), steps AS (
+  SELECT lang, place, before, after, row_number() OVER (PARTITION BY lang, place ORDER BY upper, level) AS step
+  FROM (SELECT lang, place, level, before, after, 0 AS upper FROM own
+        UNION ALL SELECT l.lang, l.place, o.level, o.before, o.after, 1 FROM leaves l JOIN over_own o ON o.lang IS NOT DISTINCT FROM l.lang)
+), folds(lang, place, step, hash) AS (
+  SELECT lang, place, CAST(0 AS BIGINT), seen FROM leaves
+  UNION ALL
+  SELECT f.lang, f.place, s.step, sha256(s.before || f.hash || s.after) FROM folds f JOIN steps s ON s.lang IS NOT DISTINCT FROM f.lang AND s.place = f.place AND s.step = f.step + 1
+), folded AS (SELECT lang, place, max_by(hash, step) AS folded_root FROM folds GROUP BY lang, place
+), proofs AS (SELECT lang, place, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY lang, place)
+SELECT l.doc_id, l.leaf, s.subroot, r.hash AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.hash AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN folded f ON f.lang IS NOT DISTINCT FROM l.lang AND f.place = l.place
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.place = l.place, (SELECT hash FROM top WHERE n = 1) r
+"""
+
+
+def _op13() -> str:
+    """All rules over whole texts: matches, and the stretches between them, whose lengths add up to places."""
+    rules = secretscan.BASE + secretscan.MORE
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    patterns = [r.pattern.replace("(?i:(password|passwd|secret|token|api_?key))", "(" + "|".join(map(either, ["password", "passwd", "secret", "token", "api_?key"])) + ")") for r in rules]
+    quoted = ["'" + p.replace("'", "''") + "'" for p in patterns]
+    found = "\nUNION ALL\n".join(
+        f"SELECT row_no, {k} AS kind_no, '{r.kind}' AS kind, unnest(range(1, len(own) + 1)) AS i, own, checked, gap FROM (SELECT row_no, regexp_extract_all(text, {q}) AS own, regexp_extract_all(text, {q}, {r.group}) AS checked, string_split_regex(text, {q}) AS gap FROM texts)"
+        for k, (r, q) in enumerate(zip(rules, quoted, strict=True))
+    )
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(rules))
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents), found AS ({found}), placed AS (
+  SELECT row_no, kind_no, kind, length(own[i]) AS size,
+         CAST(coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(own[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM found WHERE length(checked[i]) >= CASE kind_no {least} END
+), told AS (SELECT row_no, kind_no, kind, start, kind || ':' || start || ':' || (start + size) AS span FROM placed)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < {len(secretscan.BASE)}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind_no), '') AS spans
+FROM texts t LEFT JOIN told p USING (row_no) GROUP BY t.row_no, t.doc_id
+"""
