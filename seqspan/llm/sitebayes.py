@@ -215,7 +215,9 @@ def _judged(docs: DataFrame, labels: DataFrame, host: Column | None, path: Colum
     """doc_id, a, b (prints of the row), own, host_posterior, path_posterior, quality, kept."""
     model = train(docs, labels, sample)
     evidence = written(_evidence(docs, labels, model, host, path), "evidence")
-    sums, priors = site_sums(evidence)
+    # rows that are repeated as a whole count once: else a row would learn its own label from its copy
+    once = evidence.groupBy("host", "path", "a", "b").agg(F.first("told").alias("told"))
+    sums, priors = site_sums(once)
     rows = _with_sites(evidence, sums)
     of_host, of_path = site_posteriors(priors)
     rows = rows.withColumns({"host_posterior": of_host, "path_posterior": of_path})

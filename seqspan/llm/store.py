@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..tables import discard, shared_folder, written
 
-__all__ = ["discard", "row_prints", "shared_folder", "small_enough", "unused", "without_ids", "without_rows", "written"]
+__all__ = ["column", "columns", "discard", "row_prints", "shared_folder", "small_enough", "unused", "without_ids", "without_rows", "written"]
 
 #: Ids up to this many are sent to every executor (16 bytes each or so); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -35,8 +35,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``."""
+    return [column(c) for c in df.columns]
+
+
 def _hashable(field: T.StructField) -> Column:
-    name = F.col("`" + field.name.replace("`", "``") + "`")
+    name = column(field.name)
     return F.to_json(F.struct(name)) if "map<" in field.dataType.simpleString() else name
 
 
@@ -61,5 +71,5 @@ def without_rows(docs: DataFrame, lost: DataFrame, repeated: DataFrame | None =
     again = repeated.select(F.col("a").alias(a), F.col("b").alias(b))
     left = marked.join(small_enough(lost), [a, b], "left_anti")
     # equal rows are combined in the tasks that read them before they are shuffled
-    one = left.join(small_enough(again), [a, b], "left_semi").groupBy(a, b).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    one = left.join(small_enough(again), [a, b], "left_semi").groupBy(a, b).agg(F.first(F.struct(*columns(docs))).alias("row"))
     return left.join(small_enough(again), [a, b], "left_anti").drop(a, b).unionByName(one.select("row.*"))

@@ -72,3 +72,30 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+EXTRA = ["'v' AS `x.y`", "1 AS `x`", "2 AS a", "3 AS `row`", "4 AS print_a", "5 AS `tick``s`", "6 AS told", "map('k', 1) AS score"]
+
+
+def test_dotted_and_clashing_columns(spark, tmp_path):
+    """Every stage and the whole run over rows with odd extra columns, repeated rows and repeated ids among them."""
+    small_corpus(spark, tmp_path / "plain")
+    docs = spark.read.parquet(f"{tmp_path}/plain/documents.parquet").selectExpr("*", *EXTRA)
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/plain/labels.parquet").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    docs, plain = spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), spark.read.parquet(f"{tmp_path}/plain/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, f"{tmp_path}/odd")
+        assert after.columns == docs.columns
+        assert sorted(map(str, after.select("doc_id", "text").collect())) == sorted(map(str, stage(spark, plain, f"{tmp_path}/plain").select("doc_id", "text").collect()))
+    same = lambda name: corpus_pipeline.run(spark, f"{tmp_path}/{name}").agg(F.count("*"), F.sum("piece_length")).first()
+    assert same("odd") == same("plain")
+
+
+def test_unique_ids_with_dotted_columns(spark):
+    docs = spark.range(30).selectExpr("id AS doc_id", "concat('one two three four five six seven ', id % 3) AS text", *EXTRA)
+    from seqspan.llm import chosenpath, exactdedup
+
+    for stage in (exactdedup.drop_exact_copies, chosenpath.drop_near_copies):
+        assert stage(docs).columns == docs.columns
+    assert exactdedup.drop_exact_copies(docs).count() == 3
