@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,31 +12,31 @@ def _div(a: Column, b) -> Column:
     return F.floor(a / F.lit(b)).cast("long")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def frame_timecode(frame: Column, fps: int) -> Column:
     """``HH:MM:SS.FF`` of a frame number; ``--:--:--.--`` for null."""
-    text = F.format_string("%02d:%02d:%02d.%02d", _div(frame, fps * 3600), _div(frame, fps * 60) % 60, _div(frame, fps) % 60, frame % fps)
+    text = once(frame, lambda n: F.format_string("%02d:%02d:%02d.%02d", _div(n, fps * 3600), _div(n, fps * 60) % 60, _div(n, fps) % 60, n % fps))
     return F.when(frame.isNull(), "--:--:--.--").otherwise(text)
 
 
 def seconds_timecode(seconds: Column, fps: int) -> Column:
     """``HH:MM:SS.FF`` of seconds, 0 at least; the part of a second is rounded (half to even) and may carry over."""
     total = F.greatest(F.lit(0.0), seconds.cast("double"))
-    whole = F.floor(total)
-    part = F.bround((total - whole) * fps)
-    frame = (F.when(part >= fps, (whole + 1) * fps).otherwise(whole * fps + part)).cast("long")
+    frame = once(total, lambda t: (F.floor(t) * fps + F.bround((t - F.floor(t)) * fps)).cast("long"))
     return F.when(seconds.isNull(), "--:--:--.--").otherwise(frame_timecode(frame, fps))
 
 
 def parse_timecode(text: Column, fps: int) -> Column:
     """Frame number of ``HH:MM:SS.FF`` (``:`` or ``.`` between), or of up to eight digits filled with zeros; else null."""
-    clean = F.regexp_replace(F.trim(text), ":", ".")
-    parts = F.split(clean, r"\.")
-    padded = F.when(F.length(clean) < 8, F.lpad(clean, 8, "0")).otherwise(clean)
-    digits = F.when(clean.rlike(r"^\d+$"), F.array(*[F.substring(padded, i, 2) for i in (1, 3, 5, 7)]))
-    four = F.when(F.size(parts) == 1, digits).when(F.size(parts) == 4, parts)
-    weights = F.array(*[F.lit(w).cast("long") for w in (3600 * fps, 60 * fps, fps, 1)])
-    parts = F.transform(four, lambda x, i: F.trim(x).try_cast("long") * F.get(weights, i))
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total + x)
+    digits = lambda t: F.when(t.rlike(r"^\d+$"), once(F.when(F.length(t) < 8, F.lpad(t, 8, "0")).otherwise(t), lambda p: F.array(*[F.substring(p, i, 2) for i in (1, 3, 5, 7)])))
+    four = lambda t: once(F.split(t, r"\."), lambda p: F.when(F.size(p) == 1, digits(t)).when(F.size(p) == 4, p))
+    weights = (3600 * fps, 60 * fps, fps, 1)
+    frame = lambda p: sum((F.trim(F.get(p, i)).try_cast("long") * w for i, w in enumerate(weights)), F.lit(0).cast("long"))
+    return once(once(F.translate(F.trim(text), ":", "."), four), frame)
 
 
 def ticks(seconds: Column, rate: int = 10_000_000) -> Column:

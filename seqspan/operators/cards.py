@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..tables import written
 from .segments import in_spans
+from .sized import small
 from .walks import by_group
 
 
@@ -173,6 +174,54 @@ def predicted_edges(hits: DataFrame, today: DataFrame, events: DataFrame, rules:
     return near.join(best, ["rec_id", "side"], "left").select("rec_id", "side", F.coalesce(F.col("t").cast("double"), "predicted").alias("edge"), "predicted")
 
 
+def programme_edges(breaks: DataFrame, ends: DataFrame) -> DataFrame:
+    """rec_id, side, today: where the lead-in ends (side 0) and the tail begins (side 1), as :func:`placed_edges` tells them.
+
+    Recordings whose lead-in is their tail have neither.
+    """
+    met = breaks.join(ends, "rec_id")
+    order = F.struct("a", "b")
+    lead = F.max(F.when(F.col("a") <= F.col("head_reach"), F.struct("b", (-F.col("a")).alias("m"))))
+    told = met.groupBy("rec_id", "duration", "tail_reach").agg(lead.alias("lead"), F.max(order).alias("last"))
+    tail = F.when(F.col("duration") - F.col("last.b") <= F.col("tail_reach"), F.col("last"))
+    told = told.withColumn("tail", tail).where("NOT coalesce(lead.b = tail.b AND -lead.m = tail.a, false)")
+    sides = F.array(F.struct(F.lit(0).cast("long").alias("side"), F.col("lead.b").alias("today")), F.struct(F.lit(1).cast("long").alias("side"), F.col("tail.a").alias("today")))
+    return told.select("rec_id", F.explode(sides).alias("x")).select("rec_id", "x.side", "x.today").where("today IS NOT NULL")
+
+
+def marker_hits(frames: DataFrame, markers: DataFrame, today: DataFrame, below: float, reach: int, width: int) -> DataFrame:
+    """rec_id, side, t, project, offset: frames (rec_id, t, fp) near today's edges that look like a remembered marker.
+
+    ``markers`` has card (its number), side, project (a recording's rec_id), offset and fp.  Of a recording's frames those
+    within ``reach`` of an edge are matched, with the markers of that side; a recording's own markers are never used.
+    """
+    from .learn import sightings
+
+    spans = today.select("rec_id", F.col("side").alias("k"), (F.col("today") - reach).alias("s"), (F.col("today") + reach).alias("e"))
+    near = in_spans(frames, spans, "t", width, closed=True).select("rec_id", F.col("k").alias("side"), "t", "fp")
+    near = written(near.withColumn("id", F.monotonically_increasing_id()), "near")
+    found = sightings(near.select("id", "fp"), markers.select("card", F.col("fp").alias("card_fp")), below)
+    met = found.join(near.select("id", "rec_id", F.col("side").alias("own"), "t"), "id").join(small(markers.select("card", "side", "project", "offset")), "card")
+    return met.where("side = own AND NOT project <=> rec_id").select("rec_id", "side", "t", "project", "offset")
+
+
+def with_markers(breaks: DataFrame, frames: DataFrame, markers: DataFrame, events: DataFrame, ends: DataFrame, rules: MarkerRules, below: float, reach: int, width: int) -> DataFrame:
+    """rec_id, a, b: breaks whose lead-in and tail end where remembered markers say, from the frames themselves."""
+    breaks = written(breaks.select("rec_id", "a", "b"), "breaks")
+    today = written(programme_edges(breaks, ends), "today")
+    hits = marker_hits(frames, markers, today, below, reach, width)
+    edges = predicted_edges(hits, today, events, rules, width)
+    return placed_edges(breaks, edges, ends)
+
+
+def with_cards(breaks: DataFrame, sightings: DataFrame, scenes: DataFrame, rules: CardRules, width: int) -> DataFrame:
+    """rec_id, a, b: breaks and those that cards alone open and close, all with their edges where cards put them."""
+    breaks = written(breaks.select("rec_id", "a", "b"), "breaks")
+    added = card_breaks(sightings, breaks, rules, width)
+    every = written(breaks.unionByName(added), "breaks")
+    return card_edges(every, sightings, scenes, rules, width).select("rec_id", "a", "b")
+
+
 def placed_edges(breaks: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """rec_id, a, b: breaks whose lead-in ends, and whose tail begins, where markers say (``edges``: rec_id, side, edge).
 

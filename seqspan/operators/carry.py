@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,60 @@ def display_order(packets: DataFrame, depth: int = 15) -> DataFrame:
     return out.select("rec_id", "seq", "place", late.alias("held"), (late <= depth).alias("in_depth"))
 
 
+#: What stands for a pts, or a decoding time, that isn't known.
+_UNKNOWN = -1
+
+
+class ReorderBuffer:
+    """Pictures that come in decoding order and leave by pts, a bounded number of them held.
+
+    While more than ``depth`` are held, the one with the lowest pts leaves if its pts isn't past the present decoding time
+    (the last that was known).  A picture without pts counts as the lowest.  At the end the others leave in order, up to the
+    first without pts.
+    """
+
+    def __init__(self, depth: int, held: Iterable[tuple] = (), now: int | None = None):
+        self.depth, self.held, self.now = depth, [tuple(x) for x in held], now
+        heapq.heapify(self.held)
+
+    def push(self, seq: int, pts: int | None, dts: int | None) -> Iterator[tuple[int, int | None]]:
+        """Takes in a picture; what leaves: (seq, pts)."""
+        self.now = dts if dts is not None else _UNKNOWN if self.now is None else self.now
+        heapq.heappush(self.held, (_UNKNOWN if pts is None else pts, seq, pts is not None))
+        while len(self.held) > self.depth and self.held[0][0] <= self.now:
+            yield self._pop()
+
+    def flush(self) -> Iterator[tuple[int, int | None]]:
+        while self.held and self.held[0][2]:
+            yield self._pop()
+
+    def _pop(self) -> tuple[int, int | None]:
+        pts, seq, known = heapq.heappop(self.held)
+        return seq, pts if known else None
+
+
+def reordered(packets: DataFrame, depth: int = 15) -> DataFrame:
+    """rec_id, place, seq, pts: pictures (rec_id, seq, pts, dts) as a :class:`ReorderBuffer` lets go of them.
+
+    Recordings are walked as sorted streams; a task holds what the buffer holds.
+    """
+
+    def walk(key: tuple, part: Iterator[tuple]) -> Iterator[tuple]:
+        buffer, place = ReorderBuffer(depth), 0
+
+        def out(left: Iterator[tuple[int, int | None]]) -> Iterator[tuple]:
+            nonlocal place
+            for seq, pts in left:
+                yield key[0], place, seq, pts
+                place += 1
+
+        for seq, pts, dts in part:
+            yield from out(buffer.push(seq, pts, dts))
+        yield from out(buffer.flush())
+
+    return by_group(packets.select("rec_id", "seq", "pts", "dts"), ["rec_id"], ["seq"], walk, "rec_id long, place long, seq long, pts long")
+
+
 def moved(packets: DataFrame, spans: DataFrame, held: DataFrame, jumps: DataFrame, width: int) -> DataFrame:
     """rec_id, seq, k, out: packets in spans (``held``: what to look in), moved to the output; jumps inside a span are taken off."""
     inside = jumps_inside(spans, jumps)

@@ -79,18 +79,21 @@ def detect(events: DataFrame, shape: DataFrame, aspect: DataFrame, anchors: Data
 
     Sources propose brackets (rec_id, lo, hi): the picture's shape, its aspect (asked only where the shape proposes
     nothing), gaps between anchors of the programme, the leading corner's sign (``corner_brackets``: rec_id, corner, lo, hi,
-    support) and a remembered mask with its marks (rec_id, t0, t1), if these fit the recording.  The corner's brackets go
-    where the marks say that the sign is there; the mask's own ones count where nothing of the corner or the anchors
+    support) and a remembered mask with its marks (rec_id, t0, t1), if these fit the recording.  Marks are heard only where
+    the mask proposes brackets (one that comes and goes has none): the corner's brackets then go where the marks say that
+    the sign is there; the mask's own ones count where nothing of the corner or the anchors
     overlaps them and its marks agree, and may be short; the shape's go where anchors explain them.  All compete
     (:func:`breaks.judged`, :func:`breaks.choose`); where nothing is left, pairs of strong events do too.  In the end a tail
     that shape or aspect sees changed is swept to the end.  ``events`` has rec_id, t, score, ``ends`` rec_id, finish, duration.
+    Cards and then markers go over the result (:func:`cards.with_cards`, :func:`cards.with_markers`).
     """
     # what several steps read is written once: each is a table of brackets or events, far smaller than the samples
     events, shape, anchors, ends = (written(x, name) for x, name in ((events, "events"), (shape, "shape"), (anchors, "anchors"), (ends, "ends")))
     aspect = written(aspect.join(shape.select("rec_id").distinct(), "rec_id", "left_anti"), "aspect")
     marks = written(fitting_marks(marks, ends, rules), "marks")
     corner_brackets = written(corner_brackets, "corners")
-    mask = mask.join(marks.select("rec_id").distinct(), "rec_id", "left_semi")
+    mask = written(mask.join(marks.select("rec_id").distinct(), "rec_id", "left_semi"), "mask")
+    marks = written(marks.join(mask.select("rec_id").distinct(), "rec_id", "left_semi"), "marks")
     every = F.lit(rules.levels)
     lead = leading_corner(corners, corner_brackets, events, rules)
     logo = written(_agreeing(_named(corner_brackets.join(lead, ["rec_id", "corner"]), "corner", F.col("support")), marks, ends, rules.agree, rules), "logo")

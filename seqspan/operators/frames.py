@@ -8,24 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scans import Running, medians, outgrown, running
 from .walks import by_group
 
 
-def carry_null_bytes(packets: DataFrame) -> DataFrame:
-    """rec_id, pts, bytes, is_key: a packet without pts adds its bytes to the next one with pts; trailing ones are dropped."""
-    ahead = F.count("pts").over(W.partitionBy("rec_id").orderBy("seq").rowsBetween(W.currentRow, W.unboundedFollowing))
-    marked = packets.withColumn("ahead", ahead).where("ahead > 0")
+def carry_null_bytes(packets: DataFrame, ranges: bool | None = None) -> DataFrame:
+    """rec_id, pts, bytes, is_key: a packet without pts adds its bytes to the next one with pts; trailing ones are dropped.
+
+    ``ranges`` deals a recording over many tasks; where it isn't given, the size of the largest one tells.
+    """
+    ranges = outgrown(packets, ["rec_id"]) if ranges is None else ranges
+    marked = running(packets, ["rec_id"], ["seq"], ranges, ahead=Running(F.col("pts"), "count", backward=True)).where("ahead > 0")
     key = F.bool_or(F.col("is_key") & F.col("pts").isNotNull())
     return marked.groupBy("rec_id", "ahead").agg(F.max("pts").alias("pts"), F.sum("size").alias("bytes"), key.alias("is_key"))
 
 
-def frame_index(packets: DataFrame) -> DataFrame:
+def frame_index(packets: DataFrame, ranges: bool | None = None) -> DataFrame:
     """rec_id, frame_no, pts, bytes, cum_bytes, is_key in display order."""
-    w = W.partitionBy("rec_id").orderBy("pts", F.desc("ahead"))
-    return carry_null_bytes(packets).select(
-        "rec_id", (F.row_number().over(w) - 1).cast("long").alias("frame_no"), "pts", "bytes",
-        F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("cum_bytes"), "is_key",
-    )
+    ranges = outgrown(packets, ["rec_id"]) if ranges is None else ranges
+    one = Running(F.lit(1), "count", before=True)
+    out = running(carry_null_bytes(packets, ranges), ["rec_id"], ["pts", "-ahead"], ranges, frame_no=one, cum_bytes=Running(F.col("bytes"), "sum"))
+    return out.select("rec_id", "frame_no", "pts", "bytes", "cum_bytes", "is_key")
 
 
 def keyframes(packets: DataFrame) -> DataFrame:
@@ -33,49 +36,46 @@ def keyframes(packets: DataFrame) -> DataFrame:
     return packets.where("is_key AND pts IS NOT NULL").select("rec_id", "pts").distinct()
 
 
-def upper_median_gap(points: DataFrame, value: str = "pts") -> DataFrame:
+def upper_median_gap(points: DataFrame, value: str = "pts", ranges: bool | None = None) -> DataFrame:
     """rec_id, gap: the element of rank n div 2 (from 0) of the sorted gaps between neighbours."""
-    gap = F.col(value) - F.lag(value).over(W.partitionBy("rec_id").orderBy(value))
-    gaps = points.withColumn("gap", gap).where("gap IS NOT NULL")
-    rank = F.row_number().over(W.partitionBy("rec_id").orderBy("gap")) - 1
-    total = F.count("*").over(W.partitionBy("rec_id"))
-    return gaps.withColumn("rank", rank).withColumn("n", total).where("rank = n div 2").select("rec_id", "gap")
+    ranges = outgrown(points, ["rec_id"]) if ranges is None else ranges
+    steps = running(points.select("rec_id", value), ["rec_id"], [value], ranges, earlier=Running(F.col(value), "last", before=True))
+    gaps = steps.where("earlier IS NOT NULL").select("rec_id", (F.col(value) - F.col("earlier")).alias("gap"))
+    return medians(gaps, ["rec_id"], "gap", ranges).select("rec_id", F.col("high").alias("gap"))
 
 
-def nearest(points: DataFrame, probes: DataFrame) -> DataFrame:
+def nearest(points: DataFrame, probes: DataFrame, ranges: bool | None = None) -> DataFrame:
     """rec_id, id, frame_no: the frame nearest to each probe (rec_id, id, q), the earlier of two as near.
 
-    One sorted pass over frames and probes of a recording: the last frame at or before and the first at or after.
+    Frames and probes of a recording are merged in one order, along which the last frame is carried from both ends.  Of frames
+    with the same pts the first counts.
     """
-    frames = points.select("rec_id", F.col("pts").alias("at"), "frame_no", F.lit(None).cast("long").alias("id"), F.lit(0).alias("kind"))
-    asked = probes.select("rec_id", F.col("q").alias("at"), F.lit(None).cast("long").alias("frame_no"), "id", F.lit(1).alias("kind"))
+    ranges = outgrown(points, ["rec_id"]) if ranges is None else ranges
+    none = F.lit(None).cast("long")
+    frames = points.groupBy("rec_id", F.col("pts").alias("at")).agg(F.min("frame_no").alias("frame_no")).select("rec_id", "at", "frame_no", none.alias("id"), F.lit(0).alias("kind"))
+    asked = probes.select("rec_id", F.col("q").alias("at"), none.alias("frame_no"), "id", F.lit(1).alias("kind"))
     frame = F.when(F.col("kind") == 0, F.struct("at", "frame_no"))
-    before = F.last(frame, ignorenulls=True).over(W.partitionBy("rec_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.last(frame, ignorenulls=True).over(W.partitionBy("rec_id").orderBy(F.desc("at"), "kind", F.desc("frame_no")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    both = frames.unionByName(asked).withColumn("b", before).withColumn("a", after).where("kind = 1")
+    both = running(frames.unionByName(asked), ["rec_id"], ["at", "kind", "id"], ranges, b=Running(frame, "last"), a=Running(frame, "last", backward=True)).where("kind = 1")
     earlier = F.col("a").isNull() | (F.col("b").isNotNull() & (F.col("at") - F.col("b.at") <= F.col("a.at") - F.col("at")))
-    # of frames with the same pts the first counts
     chosen = F.when(earlier, F.col("b.frame_no")).otherwise(F.col("a.frame_no"))
-    first = points.groupBy("rec_id", "pts").agg(F.min("frame_no").alias("first_no"))
-    found = both.select("rec_id", "id", chosen.alias("frame_no"), F.when(earlier, F.col("b.at")).otherwise(F.col("a.at")).alias("pts")).where("pts IS NOT NULL")
-    return found.join(first, ["rec_id", "pts"]).select("rec_id", "id", F.col("first_no").alias("frame_no"))
+    return both.select("rec_id", "id", chosen.alias("frame_no")).where("frame_no IS NOT NULL")
 
 
-def snap(points: DataFrame, probes: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+def snap(points: DataFrame, probes: DataFrame, ends: DataFrame | None = None, ranges: bool | None = None) -> DataFrame:
     """rec_id, id, down, up, near: the last pts at or before each probe (the first one if none is), the first at or after, the nearer.
 
     Where none follows, ``up`` is the recording's end (``ends``: rec_id, finish), or null, and ``near`` the last one.  Of two as
     near the earlier.
     """
-    frames = points.select("rec_id", F.col("pts").alias("at"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("kind"))
+    ranges = outgrown(points, ["rec_id"]) if ranges is None else ranges
+    none = F.lit(None).cast("long")
+    frames = points.select("rec_id", F.col("pts").alias("at"), none.alias("id"), F.lit(0).alias("kind"))
     asked = probes.select("rec_id", F.col("q").alias("at"), "id", F.lit(1).alias("kind"))
     pts = F.when(F.col("kind") == 0, F.col("at"))
-    before = F.max(pts).over(W.partitionBy("rec_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.min(pts).over(W.partitionBy("rec_id").orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    lowest = F.min(pts).over(W.partitionBy("rec_id"))
-    both = frames.unionByName(asked).withColumns({"before": before, "up": after, "down": F.coalesce(before, lowest)})
+    both = running(frames.unionByName(asked), ["rec_id"], ["at", "kind", "id"], ranges, before=Running(pts, "max"), after=Running(pts, "min", backward=True)).where("kind = 1")
+    both = both.withColumn("up", F.when(F.col("before") == F.col("at"), F.col("at")).otherwise(F.col("after"))).withColumn("down", F.coalesce("before", "after"))
     near = F.when(F.col("before").isNull(), F.col("up")).when(F.col("up").isNull() | (F.col("at") - F.col("before") <= F.col("up") - F.col("at")), F.col("before")).otherwise(F.col("up"))
-    out = both.where("kind = 1 AND down IS NOT NULL").select("rec_id", "id", "down", "up", near.alias("near"))
+    out = both.where("down IS NOT NULL").select("rec_id", "id", "down", "up", near.alias("near"))
     if ends is None:
         return out
     return out.join(ends, "rec_id", "left").select("rec_id", "id", "down", F.coalesce("up", "finish").alias("up"), "near")
@@ -113,24 +113,27 @@ def size_estimate(index: DataFrame, spans: DataFrame, file_size: DataFrame) -> D
     return joined.select("rec_id", "kept_frames", F.round(told.cast("double"), 3).alias("estimate"))
 
 
-def picture_groups(packets: DataFrame) -> DataFrame:
+def picture_groups(packets: DataFrame, ranges: bool | None = None) -> DataFrame:
     """rec_id, gop, start_pts, end_pts, packets, bytes: a group begins at each keyframe and at the first packet."""
-    w = W.partitionBy("rec_id").orderBy("seq")
-    starts = F.col("is_key") | (F.row_number().over(w) == 1)
-    gop = F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
-    grouped = packets.where("pts IS NOT NULL").withColumn("gop", gop)
-    return grouped.groupBy("rec_id", "gop").agg(F.min("pts").alias("start_pts"), F.max("pts").alias("end_pts"), F.count("*").alias("packets"), F.sum("size").alias("bytes"))
+    ranges = outgrown(packets, ["rec_id"]) if ranges is None else ranges
+    rows = running(packets.where("pts IS NOT NULL"), ["rec_id"], ["seq"], ranges, keys=Running(F.col("is_key").cast("long"), "sum"))
+    groups = rows.groupBy("rec_id", "keys").agg(F.min("pts").alias("start_pts"), F.max("pts").alias("end_pts"), F.count("*").alias("packets"), F.sum("size").alias("bytes"))
+    # the first group has no keyframe in front of it, or begins with one
+    first = groups.groupBy("rec_id").agg(F.min("keys").alias("first"))
+    return groups.join(first, "rec_id").select("rec_id", (F.col("keys") - F.col("first")).alias("gop"), "start_pts", "end_pts", "packets", "bytes")
 
 
-def clock_jumps(index: DataFrame, threshold: int) -> DataFrame:
+def clock_jumps(index: DataFrame, threshold: int, ranges: bool | None = None) -> DataFrame:
     """rec_id, split2, amount: steps above ``threshold``; split2 is twice the middle of the gap, amount the gap less the usual step.
 
     The usual step is the recording's median, cut to a whole number, and 1 at least.
     """
-    step = F.lead("pts").over(W.partitionBy("rec_id").orderBy("pts", "frame_no")) - F.col("pts")
-    steps = index.withColumn("step", step).where("step IS NOT NULL")
-    usual = steps.groupBy("rec_id").agg(F.greatest(F.lit(1), F.floor(F.median("step"))).cast("long").alias("usual"), F.count("*").alias("n"))
-    leaps = steps.where(F.col("step") > threshold).join(usual.where("n >= 2"), "rec_id")
+    ranges = outgrown(index, ["rec_id"]) if ranges is None else ranges
+    ahead = running(index.select("rec_id", "pts", "frame_no"), ["rec_id"], ["pts", "frame_no"], ranges, ahead=Running(F.col("pts"), "last", backward=True, before=True))
+    steps = ahead.where("ahead IS NOT NULL").withColumn("step", F.col("ahead") - F.col("pts"))
+    middle = medians(steps, ["rec_id"], "step", ranges).where("n >= 2")
+    usual = middle.select("rec_id", F.greatest(F.lit(1), F.floor((F.col("low") + F.col("high")) / 2)).cast("long").alias("usual"))
+    leaps = steps.where(F.col("step") > threshold).join(usual, "rec_id")
     return leaps.select("rec_id", (F.col("pts") * 2 + F.col("step")).alias("split2"), (F.col("step") - F.least("usual", "step")).alias("amount"))
 
 
@@ -145,12 +148,13 @@ def jumped_lengths(spans: DataFrame, jumps: DataFrame) -> DataFrame:
     return out.select("rec_id", "k", "s", "e", "jumped", "out_length", F.coalesce(before, F.lit(0)).alias("out_start"))
 
 
-def jump_before(probes: DataFrame, jumps: DataFrame) -> DataFrame:
-    """rec_id, id, q, jumped: amounts of the jumps at or before each probe, from running totals and one sorted pass."""
+def jump_before(probes: DataFrame, jumps: DataFrame, ranges: bool | None = None) -> DataFrame:
+    """rec_id, id, q, jumped: amounts of the jumps at or before each probe, from running totals along both."""
+    ranges = outgrown(probes, ["rec_id"]) if ranges is None else ranges
     marks = jumps.select("rec_id", F.col("split2").alias("at2"), "amount", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("q"), F.lit(0).alias("kind"))
     asked = probes.select("rec_id", (F.col("q") * 2).alias("at2"), F.lit(0).cast("long").alias("amount"), "id", "q", F.lit(1).alias("kind"))
-    total = F.sum("amount").over(W.partitionBy("rec_id").orderBy("at2", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return marks.unionByName(asked).withColumn("jumped", total).where("kind = 1").select("rec_id", "id", "q", "jumped")
+    out = running(marks.unionByName(asked), ["rec_id"], ["at2", "kind", "id"], ranges, jumped=Running(F.col("amount"), "sum"))
+    return out.where("kind = 1").select("rec_id", "id", "q", "jumped")
 
 
 def collapse_field_pairs(index: DataFrame, nominal: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scans import medians
+
 
 def mean_l1(a: Column, b: Column) -> Column:
     """Mean absolute difference of two arrays of numbers."""
@@ -19,13 +21,58 @@ def mean_l1(a: Column, b: Column) -> Column:
 
 #: Cards that are compared at once, and fingerprints that meet them in one task, about.
 CARDS, PRINTS = 1024, 50_000
+#: Cards of a block whose distances rule out others.
+PIVOTS = 8
+#: Slack for the rounding of sums.
+_ROUNDING = 1e-9
+
+
+class Reach:
+    """Cards of one length, of which those in reach of a fingerprint are found by pivots.
+
+    The mean absolute difference is a metric: two prints differ by as much at least as their distances to any third do.  Cards
+    are sorted by their distance to the first pivot, so a fingerprint's own distance bounds a stretch of them; the others
+    thin that out.  What is left is compared in full.
+    """
+
+    def __init__(self, ids: Sequence[int], prints: Sequence[Sequence[float]]):
+        self.cards = np.array(prints, float)
+        chosen, distance = [], np.full(len(ids), np.inf)
+        away: list[np.ndarray] = []
+        while len(chosen) < min(PIVOTS, len(ids)):
+            # the next pivot is the card that is furthest from all before it
+            chosen.append(0 if not chosen else int(distance.argmax()))
+            away.append(self._means(self.cards, self.cards[chosen[-1]]))
+            distance = np.minimum(distance, away[-1])
+        order = np.argsort(away[0], kind="stable")
+        self.ids, self.pivots = [ids[k] for k in order], self.cards[chosen]
+        self.cards, self.away = self.cards[order], np.stack(away, axis=1)[order]
+        self.compared = 0
+
+    @staticmethod
+    def _means(rows: np.ndarray, print_: np.ndarray) -> np.ndarray:
+        return np.abs(rows - print_).sum(axis=1) / rows.shape[1]
+
+    def near(self, print_: Sequence[float], below: float) -> Iterator[tuple[int, float]]:
+        """(id, distance) of the cards whose distance is below a bound."""
+        own = np.array(print_, float)
+        away = self._means(self.pivots, own)
+        room = below + _ROUNDING
+        lo, hi = np.searchsorted(self.away[:, 0], away[0] - room), np.searchsorted(self.away[:, 0], away[0] + room, side="right")
+        left = lo + np.flatnonzero((np.abs(self.away[lo:hi] - away) <= room).all(axis=1))
+        self.compared += len(self.pivots) + len(left)
+        if len(left):
+            mean = self._means(self.cards[left], own)
+            for k in np.flatnonzero(mean < below):
+                yield self.ids[left[k]], float(mean[k])
 
 
 def sightings(fingerprints: DataFrame, cards: DataFrame, below: float) -> DataFrame:
     """id, card, distance of fingerprints (id, fp) whose mean absolute difference from a card (card, card_fp) is below a bound.
 
     Cards are the stated query set; they are dealt into blocks, and each block meets the fingerprints in parts: a task
-    holds one block and streams its part.  A null fingerprint has no distance, nor have two of different lengths.
+    holds one block, of which it compares the cards in reach (:class:`Reach`), and streams its part.  A null fingerprint has
+    no distance, nor have two of different lengths.
     """
     blocks, parts = max(1, -(-cards.count() // CARDS)), max(1, -(-fingerprints.count() // PRINTS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -35,31 +82,31 @@ def sightings(fingerprints: DataFrame, cards: DataFrame, below: float) -> DataFr
     rows = held.unionByName(asked).where("fp IS NOT NULL").repartition("block", "part").sortWithinPartitions("block", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, names, table = None, [], {}
+        at, names, table = None, [], None
         for b in batches:
             found: list[tuple] = []
             for block, part, kind, id_, fp in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "id", "fp")), strict=True):
                 if (block, part) != at:
-                    at, names, table = (block, part), [], {}
+                    at, names, table = (block, part), [], None
                 if kind == 0:
                     names.append((id_, fp))
-                    table = {}
                     continue
-                if not table:
-                    table = {n: ([i for i, x in names if len(x) == n], np.array([x for _, x in names if len(x) == n], float)) for n in {len(x) for _, x in names}}
-                ids, matrix = table.get(len(fp), ((), None))
-                if ids and len(fp):
-                    mean = np.abs(matrix - np.array(fp, float)).sum(axis=1) / len(fp)
-                    found += [(id_, ids[k], float(mean[k])) for k in np.flatnonzero(mean < below)]
+                if table is None:
+                    table = {n: Reach([i for i, x in names if len(x) == n], [x for _, x in names if len(x) == n]) for n in {len(x) for _, x in names if x}}
+                if len(fp) in table:
+                    found += [(id_, card, mean) for card, mean in table[len(fp)].near(fp, below)]
             a, c, d = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["id", "card", "distance"])
 
     return rows.mapInArrow(run, "id long, card long, distance double").withColumn("distance", F.round("distance", 6))
 
 
-def offsets(rows: DataFrame) -> DataFrame:
+def offsets(rows: DataFrame, ranges: bool | None = None) -> DataFrame:
     """key, offset, spread, n: median (interpolated), range and number of values, to three places."""
-    return rows.groupBy("key").agg(F.bround(F.median("value"), 3).alias("offset"), F.bround(F.max("value") - F.min("value"), 3).alias("spread"), F.count("*").alias("n"))
+    middle = medians(rows, ["key"], "value", ranges)
+    ends = rows.groupBy(F.col("key").alias("of")).agg(F.bround(F.max("value") - F.min("value"), 3).alias("spread"), F.count("*").alias("n"))
+    met = ends.join(middle.drop("n"), F.col("of").eqNullSafe(F.col("key")), "left")
+    return met.select(F.col("of").alias("key"), F.bround((F.col("low") + F.col("high")) / 2, 3).alias("offset"), "spread", "n")
 
 
 def contrast_mask(pixels: DataFrame, threshold: float) -> DataFrame:

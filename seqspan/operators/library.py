@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import names
+from .sized import small
 
 
 def titled(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -15,43 +19,90 @@ def titled(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return files.join(known, ["show", "season", "episode"], "left").withColumn("note", F.when(F.col("title").isNull(), "no title").otherwise(""))
 
 
-def _held(name: Column, lengths: list[int], anywhere: Column | bool) -> Column:
-    """Pieces of a name, of the given lengths: at its start, or anywhere."""
-    each = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-    last = lambda n: F.when(F.lit(anywhere) if isinstance(anywhere, bool) else anywhere, F.length(name) - n + 1).otherwise(1)
-    fits = F.filter(each, lambda n: n <= F.length(name))
-    return F.array_distinct(F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), last(n)), lambda i: name.substr(i, n)))))
+#: Patterns that one automaton holds; more are dealt into blocks, each of which meets the names in parts.
+PATTERNS, NAMES = 50_000, 200_000
+
+
+def _automaton(pieces: Iterable[tuple[str, str, bool]]):
+    """A trie with failure links over all pieces; a piece leads to its patterns, free and anchored ones."""
+    import ahocorasick
+
+    held: dict[str, list[tuple[str, bool]]] = {}
+    for piece, pattern, free in pieces:
+        held.setdefault(piece, []).append((pattern, free))
+    out = ahocorasick.Automaton()
+    for piece, own in held.items():
+        out.add_word(piece, (len(piece), own))
+    out.make_automaton()
+    return out
 
 
-def _lengths(patterns: DataFrame, column: str) -> list[int]:
-    """The different lengths of patterns: as many as a file name is long at most."""
-    return sorted(r[0] for r in patterns.select(F.length(column)).distinct().collect() if r[0])
+def _found(automaton, name: str) -> set[str]:
+    """The patterns that a name holds, or begins with where they are anchored."""
+    return {pattern for end, (size, own) in automaton.iter(name) for pattern, free in own if free or end + 1 == size} if len(automaton) else set()
+
+
+def held_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """id, pattern: the patterns (pattern, piece, free) that each name (id, name) holds, or begins with where they aren't free.
+
+    All patterns are one automaton, which passes over a name once, whatever their number.  Up to ``PATTERNS`` of them go to
+    the names where those are; more are dealt into blocks of so many, and each task builds one block's automaton for a part
+    of the names that come after it.
+    """
+    schema = "id long, pattern string"
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string()))], ["id", "pattern"])
+    few = patterns.select("piece", "pattern", "free").limit(PATTERNS + 1).collect()
+    if len(few) <= PATTERNS:
+        pieces = [tuple(r) for r in few]
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(pieces)
+            for b in batches:
+                yield batch([(i, n) for i, name in zip(b.column("id").to_pylist(), b.column("name").to_pylist(), strict=True) for n in _found(automaton, name or "")])
+
+        return names.select("id", "name").mapInArrow(match, schema)
+    blocks, parts = -(-patterns.count() // PATTERNS), max(1, -(-names.count() // NAMES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = patterns.select(dealt("pattern", blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("piece").alias("name"), "pattern", "free")
+    asked = names.select(every(blocks).alias("block"), dealt("id", parts).alias("part"), F.lit(1).alias("kind"), "id", "name", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("boolean").alias("free"))
+    rows = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pieces, automaton = None, [], None
+        for b in batches:
+            out = []
+            for block, part, kind, id_, name, pattern, free in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "id", "name", "pattern", "free")), strict=True):
+                if (block, part) != at:
+                    at, pieces, automaton = (block, part), [], None
+                if kind == 0:
+                    pieces.append((name, pattern, free))
+                    continue
+                automaton = automaton or _automaton(pieces)
+                out += [(id_, n) for n in _found(automaton, name or "")]
+            yield batch(out)
+
+    return rows.mapInArrow(meet, schema)
 
 
 def ignored(files: DataFrame, patterns: DataFrame, anywhere: bool = False) -> DataFrame:
     """id, pattern: the last part of a path (id, name) that begins with a pattern, or holds it.
 
     A pattern holds anywhere where it begins with ``*`` (behind which blanks don't count, and nothing matches nothing), or if
-    ``anywhere`` is set.  Case and blanks round a pattern don't count; empty ones and notes (``#``) are left out.  Pieces of
-    the names are joined with the patterns on equality, so neither side need be small.
+    ``anywhere`` is set.  Case and blanks round a pattern don't count; empty ones and notes (``#``) are left out.
     """
     text = F.trim("pattern")
     listed = patterns.where((text != "") & ~text.startswith("#")).select("pattern", text.startswith("*").alias("star"), F.lower(F.trim(F.regexp_replace(text, r"^\*", ""))).alias("piece"))
     listed = listed.where("piece <> ''").select("pattern", "piece", (F.col("star") | F.lit(anywhere)).alias("free")).distinct()
-    name = F.lower(F.substring_index(F.col("name"), "/", -1))
-    out = []
-    for free in (False, True):
-        own = listed.where(F.col("free") == free)
-        pieces = files.select("id", F.explode(_held(name, _lengths(own, "piece"), free)).alias("piece"))
-        out.append(pieces.join(own, "piece").select("id", "pattern"))
-    return out[0].unionByName(out[1])
+    return held_patterns(files.select("id", F.lower(F.substring_index(F.col("name"), "/", -1)).alias("name")), listed)
 
 
 def longest_name_held(files: DataFrame, settings: DataFrame, default: str) -> DataFrame:
     """id, setting: the longest setting whose name the file's name holds (the first listed of equals), else the default."""
-    listed = settings.select("setting", "order", F.lower("setting").alias("piece"))
-    pieces = files.select("id", F.explode(_held(F.lower(F.col("name")), _lengths(listed, "piece"), True)).alias("piece"))
-    best = pieces.join(listed, "piece").groupBy("id").agg(F.min(F.struct((-F.length("setting")).alias("l"), "order", "setting"))["setting"].alias("setting"))
+    listed = settings.where("setting <> ''").groupBy("setting").agg(F.min("order").alias("order"))
+    pieces = listed.select(F.col("setting").alias("pattern"), F.lower("setting").alias("piece"), F.lit(True).alias("free"))
+    found = held_patterns(files.select("id", F.lower("name").alias("name")), pieces).withColumnRenamed("pattern", "setting")
+    best = found.join(small(listed), "setting").groupBy("id").agg(F.min(F.struct((-F.length("setting")).alias("l"), "order", "setting"))["setting"].alias("setting"))
     return files.select("id").join(best, "id", "left").select("id", F.coalesce("setting", F.lit(default)).alias("setting"))
 
 

@@ -10,14 +10,26 @@ from pyspark.sql import Window as W
 PASSED_BY = ("done", "review")
 
 
+def _flags(jobs: DataFrame, *names: str) -> DataFrame:
+    """``jobs`` with null flags as false."""
+    return jobs.withColumns({c: F.coalesce(c, F.lit(False)) for c in names})
+
+
+def _fixed(*statuses: str) -> Column:
+    """Rows that edits leave where they are: those exported elsewhere, and those in one of the statuses."""
+    return F.coalesce("external", F.lit(False)) | F.coalesce(F.col("status").isin(*statuses), F.lit(False))
+
+
 def run_queue(jobs: DataFrame) -> DataFrame:
     """owner, ord, id, status after a run over each owner's queue, in order.
 
     ``jobs`` has owner, ord, id, status, external (exported elsewhere), result (done, review, failed or cancelled, if it is
     tried), stop (the run is stopped while it is tried) and finish (the run is asked to end after it).  Jobs exported
     elsewhere, done and held ones are passed by; the one that a stop meets is cancelled, and what follows stays as it was.
+    Null flags count as false.
     """
-    tried = ~F.coalesce("external", F.lit(False)) & ~F.col("status").isin(*PASSED_BY)
+    jobs = _flags(jobs, "external", "stop", "finish")
+    tried = ~F.col("external") & ~F.coalesce(F.col("status").isin(*PASSED_BY), F.lit(False))
     before = W.partitionBy("owner").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     ends = F.max((tried & (F.col("stop") | F.col("finish"))).cast("int")).over(before)
     rows = jobs.withColumn("tried", tried).withColumn("over", F.coalesce(ends, F.lit(0)) > 0)
@@ -27,7 +39,7 @@ def run_queue(jobs: DataFrame) -> DataFrame:
 
 def run_totals(after: DataFrame) -> DataFrame:
     """owner, completed, failed, held of a run's result (:func:`run_queue`); what comes after its end doesn't count."""
-    seen = after.where("NOT over AND NOT external")
+    seen = _flags(after, "external").where("NOT over AND NOT external")
     n = lambda status: F.count(F.when(F.col("status") == status, 1))
     return seen.groupBy("owner").agg(n("done").alias("completed"), F.count(F.when(F.col("tried") & (F.col("status") == "failed"), 1)).alias("failed"), n("review").alias("held"))
 
@@ -38,15 +50,13 @@ def _numbered(rows: DataFrame, *order: Column) -> DataFrame:
 
 def removed(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     """owner, ord, id, status without the given rows (owner, ord), but for those that run, here or elsewhere."""
-    safe = (F.col("status") == "running") | F.col("external")
-    left = jobs.join(rows.distinct().withColumn("gone", F.lit(True)), ["owner", "ord"], "left").where(F.col("gone").isNull() | safe)
+    left = jobs.join(rows.distinct().withColumn("gone", F.lit(True)), ["owner", "ord"], "left").where(F.col("gone").isNull() | _fixed("running"))
     return _numbered(left.drop("gone"), F.col("ord")).select("owner", "ord", "id", "status")
 
 
 def to_end(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     """owner, ord, id, status with one row of each owner (owner, ord) at the end; running and done ones stay where they are."""
-    fixed = F.col("status").isin("running", "done") | F.col("external")
-    marked = jobs.join(rows.withColumn("moves", F.lit(True)), ["owner", "ord"], "left").withColumn("back", F.coalesce("moves", F.lit(False)) & ~fixed)
+    marked = jobs.join(rows.withColumn("moves", F.lit(True)), ["owner", "ord"], "left").withColumn("back", F.coalesce("moves", F.lit(False)) & ~_fixed("running", "done"))
     return _numbered(marked, F.col("back"), F.col("ord")).select("owner", "ord", "id", "status")
 
 
@@ -58,7 +68,8 @@ def moved(jobs: DataFrame, steps: DataFrame) -> DataFrame:
     state = jobs.select("owner", "ord", "status")
     other = steps.withColumn("to", F.col("ord") + F.col("delta"))
     pair = other.join(state.withColumnRenamed("status", "one"), ["owner", "ord"]).join(state.select("owner", F.col("ord").alias("to"), F.col("status").alias("two")), ["owner", "to"])
-    pair = pair.where(~F.col("one").isin("running", "done") & ~F.col("two").isin("running", "done") & (F.col("to") != F.col("ord")))
+    stays = lambda c: F.coalesce(F.col(c).isin("running", "done"), F.lit(False))
+    pair = pair.where(~stays("one") & ~stays("two") & (F.col("to") != F.col("ord")))
     swaps = pair.select("owner", "ord", "to").unionByName(pair.select("owner", F.col("to").alias("ord"), F.col("ord").alias("to")))
     return jobs.join(swaps, ["owner", "ord"], "left").select("owner", F.coalesce("to", "ord").alias("ord"), "id", "status")
 

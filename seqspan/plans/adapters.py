@@ -31,6 +31,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one recording: rec_id, seq, pts, size, is_key."""
+    e = _events(spark, sf_dir)
+    pts = F.when(F.col("event_type") != "signup", F.col("ms"))
+    return e.select(F.lit(0).cast("long").alias("rec_id"), F.col("event_id").alias("seq"), pts.alias("pts"), F.floor(F.col("value") * 100).cast("long").alias("size"), (F.col("event_type") == "view").alias("is_key"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, i, t (ms), on, width, aspect."""
     i = F.row_number().over(W.partitionBy("rec_id").orderBy("ms", "event_id")).cast("long") - 1
@@ -93,7 +100,9 @@ CTES = {
     "frames": "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pts, g) - 1 AS frame_no, pts, bytes, CAST(sum(bytes) OVER (PARTITION BY rec_id ORDER BY pts, g ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_bytes, is_key FROM (SELECT rec_id, g, max(pts) AS pts, CAST(sum(size) AS BIGINT) AS bytes, bool_or(is_key AND pts IS NOT NULL) AS is_key FROM (SELECT *, count(pts) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, -count(pts) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM packets) WHERE ahead > 0 GROUP BY rec_id, g)",
     "keep_spans": "SELECT rec_id, lo + k * 259200000 + 40000000 AS s, lo + k * 259200000 + 126400000 AS e, k FROM (SELECT rec_id, lo, unnest(generate_series(0, (hi - lo) // 259200000)) AS k FROM (SELECT rec_id, min(pts) AS lo, max(pts) AS hi FROM packets WHERE pts IS NOT NULL GROUP BY rec_id))",
 }
-_NEEDS = {"packets": ["ev"], "samples": ["ev"], "signals": ["ev"], "probes": ["ev"], "markers": ["ranges"], "frames": ["packets"], "keep_spans": ["packets"]}
+CTES["long_packets"] = "SELECT 0::BIGINT AS rec_id, event_id AS seq, CASE WHEN event_type <> 'signup' THEN ms END AS pts, CAST(floor(value * 100) AS BIGINT) AS size, event_type = 'view' AS is_key FROM ev"
+CTES["long_frames"] = CTES["frames"].replace("FROM packets", "FROM long_packets")
+_NEEDS = {"long_packets": ["ev"], "long_frames": ["long_packets"], "packets": ["ev"], "samples": ["ev"], "signals": ["ev"], "probes": ["ev"], "markers": ["ranges"], "frames": ["packets"], "keep_spans": ["packets"]}
 
 
 def with_tables(names: str, sql: str) -> str:

@@ -19,6 +19,9 @@ RULES = dt.Rules(
     breaks=br.BreakRules(shortest=8 * HOUR, shortest_sure=4 * HOUR, longest=160 * HOUR, edge=HOUR), search=10 * HOUR, slack=HOUR, cost=0.04 / HOUR, strong=1.5, density=0.02 / HOUR,
     end_slack=2 * HOUR, tail=24 * HOUR, near=30 * HOUR, bucket=1 << 27, mark_edge=12 * HOUR,
 )
+PLACED_CARDS = op.CardRules(run=2 * HOUR, shortest=10 * HOUR, longest=90 * HOUR, least=6 * HOUR, reach=24 * HOUR, shrink=10 * HOUR, snap=3 * HOUR, spread=0.5)
+PLACED_MARKERS = op.MarkerRules(search=20 * HOUR, snap=3 * HOUR, run_gap=HOUR, cost=0.04 / HOUR)
+NEAR = 4.0
 CARDS = op.CardRules(run=2, shortest=10, longest=90, least=6, reach=12, shrink=5, snap=3, spread=0.5)
 
 
@@ -34,7 +37,8 @@ def detect_all(spark, sf_dir):
     level = F.array(F.struct(F.lit(0).alias("corner"), F.lit(300).alias("bound")), F.struct(F.lit(1).alias("corner"), F.lit(200).alias("bound")))
     corners = src.samples(spark, sf_dir).withColumn("c", F.explode(level)).groupBy("rec_id", "c.corner").agg(F.avg((width >= F.col("c.bound")).cast("double")).alias("share"))
     two = [_spans(spark, sf_dir, width < bound, GAP, 4 * HOUR).select("rec_id", F.lit(c).alias("corner"), "lo", "hi", (F.col("n") % 3 + 1).alias("support")) for c, bound in ((0, 300), (1, 200))]
-    mask = _spans(spark, sf_dir, width < 260, GAP, 2 * HOUR).select("rec_id", "lo", "hi")
+    # the masks of some recordings come and go: they have marks and propose nothing
+    mask = _spans(spark, sf_dir, width < 260, GAP, 2 * HOUR).where("rec_id % 4 > 0").select("rec_id", "lo", "hi")
     marks = _spans(spark, sf_dir, width >= 260, 6 * HOUR, HOUR).select("rec_id", F.col("lo").alias("t0"), F.col("hi").alias("t1"))
     start = src.samples(spark, sf_dir).groupBy("rec_id").agg(F.min("t").alias("start"))
     # times count from each recording's start
@@ -44,6 +48,29 @@ def detect_all(spark, sf_dir):
     return dt.detect(events, both[0], both[1], both[2], corners, both[3], both[4], rel(marks, "t0", "t1"), rel(_ends(spark, sf_dir), "finish", "duration"), RULES)
 
 
+def _placed_samples(spark, sf_dir):
+    s = src.samples(spark, sf_dir)
+    return s.withColumn("t", F.col("t") - F.min("t").over(W.partitionBy("rec_id")))
+
+
+def detect_placed(spark, sf_dir):
+    """Detection with cards and markers at its end."""
+    s, i = _placed_samples(spark, sf_dir), F.col("i")
+    start = src.samples(spark, sf_dir).groupBy("rec_id").agg(F.min("t").alias("start"))
+    known = lambda keep, value: F.when(i % keep > 0, value)
+    sightings = s.where("aspect = 'purchase'").select(
+        "rec_id", i.alias("id"), F.col("t").alias("t0"), (F.col("t") + F.col("width") % 6 * HOUR).alias("t1"),
+        known(5, (i % 3 - 1) * HOUR).alias("start_off"), known(5, i % 3 / 4.0).alias("start_spread"), known(7, (i % 4 - 2) * HOUR).alias("end_off"), known(7, i % 5 / 8.0).alias("end_spread"),
+    )
+    scenes = src.signals(spark, sf_dir).where("kind = 'scene'").join(start, "rec_id").select("rec_id", (F.col("t0") - F.col("start")).alias("t"))
+    events = _events(spark, sf_dir).join(start, "rec_id").select("rec_id", (F.col("t") - F.col("start")).alias("t"), "score")
+    frames = s.select("rec_id", "i", "t", F.array((F.col("width") % 100), i % 50, (F.col("width") * 7) % 90).cast("array<double>").alias("fp"))
+    markers = frames.where("rec_id % 10 = 0 AND i % 37 = 3").select((F.col("rec_id") * 1_000_000 + i).alias("card"), (i % 2).alias("side"), F.col("rec_id").alias("project"), ((i % 7 - 3) * HOUR).alias("offset"), "fp")
+    ends = s.groupBy("rec_id").agg((F.max("t") + 1000).alias("duration")).select("rec_id", "duration", F.lit(60 * HOUR).alias("head_reach"), F.lit(24 * HOUR).alias("tail_reach"))
+    found = op.with_cards(detect_all(spark, sf_dir), sightings, scenes, PLACED_CARDS, RULES.bucket)
+    return op.with_markers(found, frames.drop("i"), markers, events, ends, PLACED_MARKERS, NEAR, 30 * HOUR, RULES.bucket)
+
+
 def _track(spark, sf_dir):
     s = src.samples(spark, sf_dir)
     first = W.partitionBy("rec_id")
@@ -179,7 +206,7 @@ def marker_edges(spark, sf_dir):
     return op.placed_edges(breaks, _marker_edges(spark, sf_dir), ends)
 
 
-QUERIES = {f.__name__: f for f in (detect_all, mask_scores, mask_tiers, mask_active, mask_results, mask_readings, card_breaks, card_edges, card_added, cards_learned, marker_onsets, marker_predictions, marker_edges)}
+QUERIES = {f.__name__: f for f in (detect_all, detect_placed, mask_scores, mask_tiers, mask_active, mask_results, mask_readings, card_breaks, card_edges, card_added, cards_learned, marker_onsets, marker_predictions, marker_edges)}
 
 _B = RULES.breaks
 
@@ -235,8 +262,8 @@ _DETECT = ", ".join([
     "g3 AS (SELECT * FROM (SELECT rec_id, t1 AS t0, lead(t0) OVER (PARTITION BY rec_id ORDER BY t0, t1) AS t1 FROM r3) WHERE t1 > t0 AND rec_id % 2 = 0)",
     _rel("shp", "(SELECT * FROM r1 WHERE rec_id % 3 > 0)", ", 4 AS support"), _rel("asp", "(SELECT * FROM r2 WHERE rec_id NOT IN (SELECT rec_id FROM r1 WHERE rec_id % 3 > 0))", ", 4 AS support"), _rel("anc", "g3", ", 4 AS support"),
     _rel("cor", "(SELECT *, 0 AS corner FROM r4 UNION ALL SELECT *, 1 AS corner FROM r5)", ", corner, n % 3 + 1 AS support, corner::BIGINT * 10000000000000 + t0 AS id"),
-    _rel("mk0", "r7"), "marks AS (SELECT * FROM mk0 WHERE rec_id IN (SELECT rec_id FROM mk0 JOIN fin USING (rec_id) GROUP BY rec_id, duration HAVING sum(hi - lo) / duration >= 0.25))",
-    _rel("msk", "(SELECT * FROM r6 WHERE rec_id IN (SELECT rec_id FROM marks))", ", 4 AS support"),
+    _rel("mk0", "r7"), "fitting AS (SELECT * FROM mk0 WHERE rec_id IN (SELECT rec_id FROM mk0 JOIN fin USING (rec_id) GROUP BY rec_id, duration HAVING sum(hi - lo) / duration >= 0.25))",
+    _rel("msk", "(SELECT * FROM r6 WHERE rec_id % 4 > 0 AND rec_id IN (SELECT rec_id FROM fitting))", ", 4 AS support"), "marks AS (SELECT * FROM fitting WHERE rec_id IN (SELECT rec_id FROM msk))",
     _refine("cor", "cr"),
     f"le AS (SELECT rec_id, corner FROM (SELECT s.rec_id, c.corner, avg((width >= c.bound)::INT::DOUBLE) AS share FROM samples s, (VALUES (0, 300), (1, 200)) c(corner, bound) GROUP BY ALL) LEFT JOIN (SELECT rec_id, corner, round(sum(sa + sb), 6) AS ev FROM cr WHERE b - a BETWEEN {_B.shortest} AND {_B.longest} GROUP BY ALL) USING (rec_id, corner) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY share >= 0.5 DESC, coalesce(ev, 0) DESC, corner) = 1)",
     "lg0 AS (SELECT c.rec_id, lo, hi, support FROM cor c JOIN le USING (rec_id, corner))", f"lg AS {_agree('lg0', RULES.agree)}",
@@ -259,17 +286,40 @@ _BEATS = "pa AS (SELECT a.key, a.model, b.model AS other, sum(a.bad) AS f1, sum(
 _SIGHT = "si AS (SELECT rec_id, id, a AS t0, a + id % 6 AS t1, CASE WHEN id % 5 > 0 THEN id % 3 - 1 END AS so, CASE WHEN id % 5 > 0 THEN id % 3 / 4.0 END AS ss, CASE WHEN id % 7 > 0 THEN id % 4 - 2 END AS eo, CASE WHEN id % 7 > 0 THEN id % 5 / 8.0 END AS es FROM cuts), fd AS (SELECT rec_id, a // 120 * 120 AS a, a // 120 * 120 + max(id % 60 + 15) AS b FROM cuts WHERE id % 9 = 0 GROUP BY rec_id, a // 120)"
 
 
-def _place(edge: str, at: str, off: str, spread: str, order: str, name: str) -> str:
-    c = CARDS
+def _place(edge: str, at: str, off: str, spread: str, order: str, name: str, c: op.CardRules = CARDS, scenes: str = "(SELECT rec_id, b AS t FROM cuts WHERE id % 2 = 0)") -> str:
     return (
         f"{name}0 AS (SELECT n.rec_id, n.k, s.{at} - s.{off} AS pos FROM nb n JOIN si s ON s.rec_id = n.rec_id AND abs(s.{at} - n.{edge}) <= {c.reach} WHERE s.{spread} <= {c.spread} QUALIFY row_number() OVER (PARTITION BY n.rec_id, n.k ORDER BY s.{at} {order}, s.id) = 1), "
-        f"{name} AS (SELECT rec_id, k, coalesce((SELECT b FROM cuts c WHERE c.rec_id = z.rec_id AND c.id % 2 = 0 AND abs(c.b - z.pos) <= {c.snap} ORDER BY abs(c.b - z.pos), c.b LIMIT 1), pos) AS v FROM {name}0 z)"
+        f"{name} AS (SELECT rec_id, k, coalesce((SELECT t FROM {scenes} c WHERE c.rec_id = z.rec_id AND abs(c.t - z.pos) <= {c.snap} ORDER BY abs(c.t - z.pos), c.t LIMIT 1), pos) AS v FROM {name}0 z)"
     )
 
 
-_LEAST, _SHRINK = CARDS.least, CARDS.shrink
-_NEW_A = f"CASE WHEN (CASE WHEN x.na - x.a > {_SHRINK} THEN x.a ELSE x.na END) < w.pe OR (CASE WHEN x.b - x.nb > {_SHRINK} THEN x.b ELSE x.nb END) - (CASE WHEN x.na - x.a > {_SHRINK} THEN x.a ELSE x.na END) < {_LEAST} THEN x.a WHEN x.na - x.a > {_SHRINK} THEN x.a ELSE x.na END"
-_NEW_B = f"CASE WHEN (CASE WHEN x.b - x.nb > {_SHRINK} THEN x.b ELSE x.nb END) > coalesce(x.nx, 1000000000) OR (CASE WHEN x.b - x.nb > {_SHRINK} THEN x.b ELSE x.nb END) - ({_NEW_A}) < {_LEAST} THEN x.b WHEN x.b - x.nb > {_SHRINK} THEN x.b ELSE x.nb END"
+
+
+def _moved(c: op.CardRules) -> tuple[str, str]:
+    """The new edges of break ``x`` behind one that ends at ``w.pe``."""
+    a, b = (f"(CASE WHEN {inward} > {c.shrink} THEN x.{old} ELSE x.{new} END)" for inward, old, new in (("x.na - x.a", "a", "na"), ("x.b - x.nb", "b", "nb")))
+    new_a = f"CASE WHEN {a} < w.pe OR {b} - {a} < {c.least} THEN x.a ELSE {a} END"
+    return new_a, f"CASE WHEN {b} > coalesce(x.nx, 9000000000000000) OR {b} - ({new_a}) < {c.least} THEN x.b ELSE {b} END"
+
+
+def _card_breaks(c: op.CardRules, breaks: str, out: str) -> str:
+    """Breaks that the sightings ``si`` open and close, where ``breaks`` has none."""
+    return (
+        f"eg AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1, id) AS n FROM si WHERE ss <= {c.spread} AND es <= {c.spread} AND t1 - t0 >= {c.run}), nx AS (SELECT x.rec_id, x.n, x.t0 - x.so AS a, y.t1 - y.eo AS b, y.n AS till FROM eg x JOIN eg y ON y.rec_id = x.rec_id AND y.n > x.n AND y.t1 - x.t0 BETWEEN {c.shortest} AND {c.longest} QUALIFY row_number() OVER (PARTITION BY x.rec_id, x.n ORDER BY y.t1 DESC, y.n) = 1), "
+        f"wc AS (SELECT rec_id, min(n) AS n FROM nx GROUP BY rec_id UNION ALL SELECT w.rec_id, (SELECT min(z.n) FROM nx z WHERE z.rec_id = w.rec_id AND z.n > c.till) FROM wc w JOIN nx c ON c.rec_id = w.rec_id AND c.n = w.n WHERE (SELECT min(z.n) FROM nx z WHERE z.rec_id = w.rec_id AND z.n > c.till) IS NOT NULL), "
+        f"{out} AS (SELECT nx.rec_id, a, b FROM wc JOIN nx USING (rec_id, n) WHERE NOT EXISTS (SELECT 1 FROM {breaks} fd WHERE fd.rec_id = nx.rec_id AND least(fd.b, nx.b) - greatest(fd.a, nx.a) > 0))"
+    )
+
+
+def _card_edges(c: op.CardRules, breaks: str, scenes: str, out: str) -> str:
+    new_a, new_b = _moved(c)
+    return (
+        f"nb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY a, b) AS k, lead(a) OVER (PARTITION BY rec_id ORDER BY a, b) AS nx FROM {breaks}), {_place('a', 't0', 'so', 'ss', 'ASC', 'pa', c, scenes)}, {_place('b', 't1', 'eo', 'es', 'DESC', 'pb', c, scenes)}, rw AS (SELECT nb.*, coalesce(pa.v, a) AS na, coalesce(pb.v, b) AS nb FROM nb LEFT JOIN pa USING (rec_id, k) LEFT JOIN pb USING (rec_id, k)), "
+        f"we AS (SELECT DISTINCT rec_id, 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS pe, 0::BIGINT AS moved FROM rw UNION ALL SELECT x.rec_id, x.k, {new_a}, {new_b}, {new_b}, (({new_a}) <> x.a)::BIGINT + (({new_b}) <> x.b)::BIGINT FROM we w JOIN rw x ON x.rec_id = w.rec_id AND x.k = w.k + 1), {out} AS (SELECT rec_id, a, b, moved FROM we WHERE k > 0)"
+    )
+
+
+_SCENES = "(SELECT rec_id, b AS t FROM cuts WHERE id % 2 = 0)"
 _MARKERS = (
     "hi AS (SELECT l_suppkey AS rec_id, l_linenumber % 2 AS side, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS t, l_partkey % 4 AS project, l_orderkey % 13 - 6 AS off FROM lineitem), "
     "se AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY rec_id, side ORDER BY t) <= 1 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rec_id, side, t FROM hi)), fi AS (SELECT rec_id, side, min(t) AS t FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id, side ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM se) GROUP BY rec_id, side, run), "
@@ -279,8 +329,27 @@ _MARKERS = (
     "me AS (SELECT rec_id // 15 AS rec_id, a AS t, id % 4 / 2.0 AS score FROM cuts WHERE id % 3 = 0), "
     "ed AS (SELECT rec_id, side::BIGINT AS side, coalesce((SELECT t FROM me WHERE me.rec_id = nr.rec_id AND abs(t - predicted) <= 3 ORDER BY round(score - abs(t - predicted) * 0.04::DOUBLE, 9) DESC, t LIMIT 1), predicted)::DOUBLE AS edge, predicted::DOUBLE AS predicted FROM nr)"
 )
+_ALL = "SELECT fo.rec_id, fo.a, CASE WHEN fo.a = start THEN tl.duration ELSE fo.b END AS b FROM fo LEFT JOIN tl USING (rec_id) WHERE start IS NULL OR fo.a <= start"
+_M, _H = PLACED_MARKERS, HOUR
+_PLACED = ", ".join([
+    _DETECT, f"b0 AS ({_ALL})", "sm AS (SELECT rec_id, i, t - st0 AS t, width, aspect FROM samples JOIN st USING (rec_id))",
+    f"si AS (SELECT rec_id, i AS id, t AS t0, t + width % 6 * {_H} AS t1, CASE WHEN i % 5 > 0 THEN (i % 3 - 1) * {_H} END AS so, CASE WHEN i % 5 > 0 THEN i % 3 / 4.0 END AS ss, CASE WHEN i % 7 > 0 THEN (i % 4 - 2) * {_H} END AS eo, CASE WHEN i % 7 > 0 THEN i % 5 / 8.0 END AS es FROM sm WHERE aspect = 'purchase')",
+    "sc AS (SELECT s.rec_id, t0 - st0 AS t FROM signals s JOIN st USING (rec_id) WHERE kind = 'scene')", _card_breaks(PLACED_CARDS, "b0", "cb"), "b1 AS (SELECT * FROM b0 UNION ALL SELECT * FROM cb)", _card_edges(PLACED_CARDS, "b1", "sc", "b2"),
+    f"hd AS (SELECT rec_id, a, b FROM b2 WHERE a <= {60 * _H} QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY b DESC, a) = 1)", f"ta AS (SELECT rec_id, a, b FROM (SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY a DESC, b DESC) = 1) JOIN fin USING (rec_id) WHERE duration - b <= {24 * _H})",
+    "ht AS (SELECT rec_id FROM hd JOIN ta USING (rec_id, a, b))", "td AS (SELECT rec_id, 0 AS side, b AS today FROM hd WHERE rec_id NOT IN (SELECT rec_id FROM ht) UNION ALL SELECT rec_id, 1, a FROM ta WHERE rec_id NOT IN (SELECT rec_id FROM ht))",
+    "fr AS (SELECT rec_id, i, t, width % 100 AS x, i % 50 AS y, width * 7 % 90 AS z FROM sm)", f"mr AS (SELECT i % 2 AS side, rec_id AS project, (i % 7 - 3) * {_H} AS off, x, y, z FROM fr WHERE rec_id % 10 = 0 AND i % 37 = 3)",
+    f"hi AS (SELECT f.rec_id, td.side, f.t, m.project, m.off FROM fr f JOIN td ON td.rec_id = f.rec_id AND abs(f.t - td.today) <= {30 * _H} JOIN mr m ON m.side = td.side AND m.project <> f.rec_id WHERE (abs(f.x - m.x) + abs(f.y - m.y) + abs(f.z - m.z)) / 3.0::DOUBLE < {NEAR})",
+    f"se AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY rec_id, side ORDER BY t) <= {_M.run_gap} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rec_id, side, t FROM hi))", "fi AS (SELECT rec_id, side, min(t) AS t FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id, side ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM se) GROUP BY rec_id, side, run)",
+    "us AS (SELECT rec_id, side, t, t - median(off) AS pat FROM (SELECT rec_id, side, t, project, min(off) AS off FROM hi JOIN fi USING (rec_id, side, t) GROUP BY ALL) GROUP BY rec_id, side, t)",
+    f"nr AS (SELECT rec_id, side, pat AS predicted FROM us JOIN td USING (rec_id, side) WHERE abs(pat - today) <= {_M.search} QUALIFY row_number() OVER (PARTITION BY rec_id, side ORDER BY abs(pat - today), t) = 1)",
+    f"ed AS (SELECT rec_id, side, coalesce((SELECT t FROM rv WHERE rv.rec_id = nr.rec_id AND abs(t - predicted) <= {_M.snap} ORDER BY round(score - abs(t - predicted) * {_M.cost!r}::DOUBLE, 9) DESC, t LIMIT 1), predicted)::DOUBLE AS edge FROM nr)",
+    "e0 AS (SELECT b2.rec_id, b2.a, b2.b, row_number() OVER w AS n, lead(b2.a) OVER w AS behind, lag(b2.b) OVER w AS ahead, duration, hd.a AS ha, hd.b AS hb, ta.a AS xa, ta.b AS xb, (SELECT edge FROM ed WHERE ed.rec_id = b2.rec_id AND side = 0) AS es, (SELECT edge FROM ed WHERE ed.rec_id = b2.rec_id AND side = 1) AS ee FROM b2 JOIN fin USING (rec_id) LEFT JOIN hd USING (rec_id) LEFT JOIN ta USING (rec_id) WINDOW w AS (PARTITION BY b2.rec_id ORDER BY b2.a, b2.b))",
+    "e1 AS (SELECT *, CASE WHEN a = ha AND b = hb AND es > a AND es < coalesce(behind, duration) THEN es ELSE b END::DOUBLE AS nb FROM e0)",
+    "e2 AS (SELECT rec_id, CASE WHEN a = xa AND b = xb AND ee > coalesce(lag(nb) OVER (PARTITION BY rec_id ORDER BY n), 0) AND ee < b THEN ee ELSE a END::DOUBLE AS a, nb AS b FROM e1)",
+])
 ORACLES = {
-    "detect_all": with_tables("signals samples", f"WITH {_DETECT} SELECT fo.rec_id, fo.a, CASE WHEN fo.a = start THEN tl.duration ELSE fo.b END AS b FROM fo LEFT JOIN tl USING (rec_id) WHERE start IS NULL OR fo.a <= start").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
+    "detect_all": with_tables("signals samples", f"WITH {_DETECT} {_ALL}").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
+    "detect_placed": with_tables("signals samples", f"WITH {_PLACED} SELECT * FROM e2").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
     "mask_scores": with_tables("samples", f"WITH {_TRACK}, en AS (SELECT rec_id, max(t) AS duration FROM tk GROUP BY rec_id), ct AS (SELECT rec_id, t AS a, t + i % 11 * {6 * HOUR} AS b FROM tk WHERE i % 23 = 5), {_runs('mk', 'tk', 'v > 0.3', 8 * HOUR, 4 * HOUR)}, {_runs('aw', 'tk', 'NOT v > 0.3', 16 * HOUR, 12 * HOUR)}, "
         f"pg AS (SELECT rec_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM mk WHERE mk.rec_id = tk.rec_id AND tk.t >= t0 AND tk.t < t1) THEN 1.0 ELSE 0.0 END), 6) AS prog FROM tk WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.rec_id = tk.rec_id AND ((tk.t >= a AND tk.t < b) OR abs(tk.t - a) <= {3 * HOUR} OR abs(tk.t - b) <= {3 * HOUR})) GROUP BY rec_id), "
         f"fa AS (SELECT aw.rec_id, count(*) AS n FROM aw JOIN en USING (rec_id) WHERE t0 > {24 * HOUR} AND t1 < duration - {24 * HOUR} AND coalesce((SELECT sum(greatest(0, least(mk.t1, aw.t1) - greatest(mk.t0, aw.t0))) FROM mk WHERE mk.rec_id = aw.rec_id), 0) <= (t1 - t0) * 0.5 AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.rec_id = aw.rec_id AND least(b, t1) - greatest(a, t0) > 0) GROUP BY aw.rec_id) "
@@ -290,10 +359,8 @@ ORACLES = {
         "wk AS (SELECT key, 0::BIGINT AS r, c AS best, tier AS bt, model AS bm FROM cu JOIN rk USING (key) WHERE rk.r = c UNION ALL SELECT w.key, x.r, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.r ELSE w.best END, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.tier ELSE w.bt END, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.model ELSE w.bm END FROM wk w JOIN rk x ON x.key = w.key AND x.r = w.r + 1), "
         "fn AS (SELECT key, best FROM wk QUALIFY r = max(r) OVER (PARTITION BY key)) SELECT key, model, place, r = best AS used, r = best OR row_number() OVER (PARTITION BY key, r = best ORDER BY tier, projects, r DESC) > count(*) OVER (PARTITION BY key) - 4 AS kept FROM rk JOIN fn USING (key)",
     "mask_results": f"WITH {_REC}, r AS (SELECT key, model, 'p' || project AS project, good, bad, fit, model * 10 + 2 AS o FROM rc), n AS (SELECT key, model, CASE WHEN key % 2 = 0 THEN project || 'x' ELSE project END AS project, good, bad, fit, o + 100 AS o FROM r WHERE bad = 0 AND key % 7 > 0), u AS (SELECT *, 0 AS fr FROM r UNION ALL SELECT *, 1 FROM n), f AS (SELECT key, model, project, max({{'fr': fr, 'o': o, 'good': good, 'bad': bad, 'fit': fit}}) AS x, min({{'fr': fr, 'o': o}}) AS fi FROM u GROUP BY key, model, project) SELECT key, model, project, x.good AS good, x.bad AS \"false\", x.fit AS fit, fi.o AS \"order\" FROM f QUALIFY row_number() OVER (PARTITION BY key, model ORDER BY fi DESC, project) <= 4",
-    "card_breaks": with_tables("cuts", f"WITH {_SIGHT}, eg AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t0, t1, id) AS n FROM si WHERE ss <= 0.5 AND es <= 0.5 AND t1 - t0 >= 2), nx AS (SELECT x.rec_id, x.n, x.t0 - x.so AS a, y.t1 - y.eo AS b, y.n AS till FROM eg x JOIN eg y ON y.rec_id = x.rec_id AND y.n > x.n AND y.t1 - x.t0 BETWEEN 10 AND 90 QUALIFY row_number() OVER (PARTITION BY x.rec_id, x.n ORDER BY y.t1 DESC, y.n) = 1), "
-        "wk AS (SELECT rec_id, min(n) AS n FROM nx GROUP BY rec_id UNION ALL SELECT w.rec_id, (SELECT min(z.n) FROM nx z WHERE z.rec_id = w.rec_id AND z.n > c.till) FROM wk w JOIN nx c ON c.rec_id = w.rec_id AND c.n = w.n WHERE (SELECT min(z.n) FROM nx z WHERE z.rec_id = w.rec_id AND z.n > c.till) IS NOT NULL) SELECT nx.rec_id, a, b FROM wk JOIN nx USING (rec_id, n) WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.rec_id = nx.rec_id AND least(fd.b, nx.b) - greatest(fd.a, nx.a) > 0)").replace("WITH cuts", "WITH RECURSIVE cuts"),
-    "card_edges": with_tables("cuts", f"WITH {_SIGHT}, nb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY a, b) AS k, lead(a) OVER (PARTITION BY rec_id ORDER BY a, b) AS nx FROM fd), {_place('a', 't0', 'so', 'ss', 'ASC', 'pa')}, {_place('b', 't1', 'eo', 'es', 'DESC', 'pb')}, rw AS (SELECT nb.*, coalesce(pa.v, a) AS na, coalesce(pb.v, b) AS nb FROM nb LEFT JOIN pa USING (rec_id, k) LEFT JOIN pb USING (rec_id, k)), "
-        f"wk AS (SELECT DISTINCT rec_id, 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS pe, 0::BIGINT AS moved FROM rw UNION ALL SELECT x.rec_id, x.k, {_NEW_A}, {_NEW_B}, {_NEW_B}, (({_NEW_A}) <> x.a)::BIGINT + (({_NEW_B}) <> x.b)::BIGINT FROM wk w JOIN rw x ON x.rec_id = w.rec_id AND x.k = w.k + 1) SELECT rec_id, a, b, moved FROM wk WHERE k > 0").replace("WITH cuts", "WITH RECURSIVE cuts"),
+    "card_breaks": with_tables("cuts", f"WITH {_SIGHT}, {_card_breaks(CARDS, 'fd', 'cb')} SELECT * FROM cb").replace("WITH cuts", "WITH RECURSIVE cuts"),
+    "card_edges": with_tables("cuts", f"WITH {_SIGHT}, {_card_edges(CARDS, 'fd', _SCENES, 'ce')} SELECT * FROM ce").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "card_added": "WITH e AS (SELECT label::BIGINT AS key, vec_id AS o, embedding AS fp FROM embeddings), n AS (SELECT * FROM e QUALIFY o = max(o) OVER (PARTITION BY key)), k AS (SELECT e.key, e.o FROM e JOIN n USING (key) WHERE e.o = n.o OR list_sum(list_transform(list_zip(e.fp, n.fp), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / 64 >= 0.13) SELECT key, o AS \"order\" FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY o DESC) <= 5",
     "marker_predictions": with_tables("cuts", f"WITH {_MARKERS} SELECT * FROM ed"),
     "marker_edges": with_tables("cuts", f"WITH {_MARKERS}, b0 AS (SELECT s_suppkey AS rec_id, unnest([{{'a': 0, 'b': s_suppkey * 37 % 300 + 100}}, {{'a': s_suppkey % 400 + 300, 'b': s_suppkey % 400 + 380}}, {{'a': s_suppkey * 37 % 300 + 2000, 'b': 2600}}]) AS x FROM supplier), b1 AS (SELECT rec_id, x.a AS a, x.b AS b FROM b0 WHERE rec_id % 5 > 0 OR x.a = 0), b2 AS (SELECT *, row_number() OVER w AS n, lead(a) OVER w AS behind, rec_id % 90 + 2600 AS duration, count(*) OVER (PARTITION BY rec_id) AS last FROM b1 WINDOW w AS (PARTITION BY rec_id ORDER BY a, b)), b3 AS (SELECT *, min(CASE WHEN a <= 60 THEN n END) OVER (PARTITION BY rec_id) AS head, max(CASE WHEN n = last AND duration - b <= 60 THEN n END) OVER (PARTITION BY rec_id) AS tail FROM b2), b4 AS (SELECT *, (SELECT edge FROM ed WHERE ed.rec_id = b3.rec_id AND side = 0) AS es, (SELECT edge FROM ed WHERE ed.rec_id = b3.rec_id AND side = 1) AS ee FROM b3), b5 AS (SELECT *, CASE WHEN head IS DISTINCT FROM tail AND n = head AND es > a AND es < coalesce(behind, duration) THEN es ELSE b END::DOUBLE AS nb FROM b4) SELECT rec_id, CASE WHEN head IS DISTINCT FROM tail AND n = tail AND ee > coalesce(lag(nb) OVER (PARTITION BY rec_id ORDER BY n), 0) AND ee < b THEN ee ELSE a END::DOUBLE AS a, nb AS b FROM b5"),

@@ -10,6 +10,7 @@ from .adapters import with_tables
 
 JUMP_MS = 14_400_000
 NOMINAL_MS = 7_200_000
+LONG_JUMP_MS = 300_000
 
 
 def _index(spark, sf_dir):
@@ -85,7 +86,51 @@ def field_pair_collapse(spark, sf_dir):
     return op.collapse_field_pairs(_index(spark, sf_dir), NOMINAL_MS)
 
 
+def _long(spark, sf_dir):
+    return src.long_packets(spark, sf_dir)
+
+
+def long_frame_index(spark, sf_dir):
+    """One recording of all rows, dealt by ranges, as are those below."""
+    return op.frame_index(_long(spark, sf_dir), ranges=True)
+
+
+def _long_probes(spark, sf_dir):
+    return src.probes(spark, sf_dir).select(F.lit(0).cast("long").alias("rec_id"), "id", (F.col("q") + F.col("id") % 7 * 1000 - 3000).alias("q"))
+
+
+def long_range_bytes(spark, sf_dir):
+    spans = src.frame_spans(spark, sf_dir).select(F.lit(0).cast("long").alias("rec_id"), "id", (F.col("a") * 40 - 30).alias("a"), (F.col("b") * 41).alias("b"))
+    return op.range_bytes(long_frame_index(spark, sf_dir), spans)
+
+
+def long_nearest_frame(spark, sf_dir):
+    return op.nearest(long_frame_index(spark, sf_dir), _long_probes(spark, sf_dir), ranges=True)
+
+
+def long_snap(spark, sf_dir):
+    keys = op.keyframes(_long(spark, sf_dir))
+    return op.snap(keys, _long_probes(spark, sf_dir), keys.groupBy("rec_id").agg((F.max("pts") + 40).alias("finish")), ranges=True)
+
+
+def long_median_gop(spark, sf_dir):
+    return op.upper_median_gap(op.keyframes(_long(spark, sf_dir)), ranges=True)
+
+
+def long_clock_jumps(spark, sf_dir):
+    return op.clock_jumps(long_frame_index(spark, sf_dir), LONG_JUMP_MS, ranges=True)
+
+
+def long_jump_before(spark, sf_dir):
+    return op.jump_before(_long_probes(spark, sf_dir), long_clock_jumps(spark, sf_dir), ranges=True)
+
+
+def long_picture_groups(spark, sf_dir):
+    return op.picture_groups(_long(spark, sf_dir), ranges=True)
+
+
 QUERIES = {
+    **{f.__name__: f for f in (long_frame_index, long_range_bytes, long_nearest_frame, long_snap, long_median_gop, long_clock_jumps, long_jump_before, long_picture_groups)},
     "frame_index": _index,
     "null_pts_carry": null_pts_carry,
     "keyframe_set": keyframe_set,
@@ -130,3 +175,18 @@ walk AS (SELECT f.rec_id, 0::BIGINT AS n, f.pts AS kept, coalesce(g.gate, false)
 UNION ALL SELECT f.rec_id, f.frame_no, CASE WHEN w.gate AND f.pts - w.kept < {NOMINAL_MS} * 0.75 THEN w.kept ELSE f.pts END, w.gate FROM walk w JOIN frames f ON f.rec_id = w.rec_id AND f.frame_no = w.n + 1)
 SELECT w.rec_id, w.kept AS pts, CAST(sum(f.bytes) AS BIGINT) AS bytes, arg_min(f.is_key, f.frame_no) AS is_key FROM walk w JOIN frames f ON f.rec_id = w.rec_id AND f.frame_no = w.n GROUP BY w.rec_id, w.kept""").replace("WITH ev AS", "WITH RECURSIVE ev AS").replace(", RECURSIVE gated", ", gated"),
 }
+
+# the same statements over all rows as one recording; a probe's neighbours are looked up by one merge, as there are many
+_LONG_PROBES = "p AS (SELECT 0::BIGINT AS rec_id, id, q + id % 7 * 1000 - 3000 AS q FROM probes)"
+_LONG_JUMPS = _JUMPS.replace("frames", "long_frames").replace(str(JUMP_MS), str(LONG_JUMP_MS))
+_FIRST = "f AS (SELECT pts, min(frame_no) AS frame_no FROM long_frames GROUP BY pts)"
+ORACLES |= {
+    "long_frame_index": with_tables("long_frames", "SELECT * FROM long_frames"),
+    "long_range_bytes": with_tables("long_frames frame_spans", "WITH h AS (SELECT id, greatest(0, least(n, a * 40 - 30)) AS lo, greatest(0, least(n, b * 41)) AS hi FROM frame_spans, (SELECT max(frame_no) AS n FROM long_frames)) SELECT 0::BIGINT AS rec_id, id, CAST(CASE WHEN hi < lo THEN 0 ELSE u.cum_bytes - coalesce(l.cum_bytes, 0) END AS BIGINT) AS bytes FROM h JOIN long_frames u ON u.frame_no = hi LEFT JOIN long_frames l ON l.frame_no = lo - 1"),
+    "long_nearest_frame": with_tables("long_frames probes", f"WITH {_LONG_PROBES}, {_FIRST}, m AS (SELECT p.id, p.q, b.pts AS bp, b.frame_no AS bn FROM p ASOF LEFT JOIN f b ON p.q >= b.pts), n AS (SELECT m.*, a.pts AS ap, a.frame_no AS an FROM m ASOF LEFT JOIN f a ON m.q <= a.pts) SELECT 0::BIGINT AS rec_id, id, CASE WHEN ap IS NULL OR q - bp <= ap - q THEN bn ELSE an END AS frame_no FROM n"),
+    "long_snap": with_tables("long_packets probes", f"WITH {_LONG_PROBES}, f AS (SELECT DISTINCT pts FROM long_packets WHERE is_key AND pts IS NOT NULL), m AS (SELECT p.id, p.q, b.pts AS bp FROM p ASOF LEFT JOIN f b ON p.q >= b.pts), n AS (SELECT m.*, a.pts AS ap FROM m ASOF LEFT JOIN f a ON m.q <= a.pts) SELECT 0::BIGINT AS rec_id, id, coalesce(bp, (SELECT min(pts) FROM f)) AS down, coalesce(ap, (SELECT max(pts) + 40 FROM f)) AS up, CASE WHEN ap IS NULL OR q - bp <= ap - q THEN bp ELSE ap END AS near FROM n"),
+    "long_median_gop": ORACLES["median_gop"].replace("packets AS (", "unused AS (", 1).replace("FROM packets WHERE is_key", "FROM (SELECT 0::BIGINT AS rec_id, CASE WHEN event_type <> 'signup' THEN ms END AS pts, event_type = 'view' AS is_key FROM ev) WHERE is_key"),
+    "long_clock_jumps": with_tables("long_frames", f"WITH {_LONG_JUMPS} SELECT * FROM jumps"),
+    "long_jump_before": with_tables("long_frames probes", f"WITH {_LONG_JUMPS}, {_LONG_PROBES}, j AS (SELECT split2, sum(sum(amount)) OVER (ORDER BY split2) AS total FROM jumps GROUP BY split2) SELECT 0::BIGINT AS rec_id, id, q, CAST(coalesce(total, 0) AS BIGINT) AS jumped FROM p ASOF LEFT JOIN j ON p.q * 2 >= j.split2"),
+    "long_picture_groups": ORACLES["picture_groups"].replace("packets AS (" + src.CTES["packets"] + ")", "long_packets AS (" + src.CTES["long_packets"] + ")").replace("FROM packets", "FROM long_packets"),
+}

@@ -17,7 +17,7 @@ def _queue(spark, sf_dir):
     k = F.col("o_orderkey")
     status = F.when(k % 9 == 0, "done").when(k % 9 == 1, "review").when(k % 9 == 2, "failed").when(k % 9 == 3, "running").otherwise("queued")
     result = F.when(k % 7 == 0, "review").when(k % 7 == 1, "failed").when(k % 7 == 2, "cancelled").otherwise("done")
-    rows = o.select(F.floor(F.col("o_custkey") / 15).cast("long").alias("owner"), k.alias("id"), status.alias("status"), (k % 13 == 0).alias("external"), result.alias("result"), (k % 101 == 5).alias("stop"), (k % 103 == 7).alias("finish"))
+    rows = o.select(F.floor(F.col("o_custkey") / 15).cast("long").alias("owner"), k.alias("id"), status.alias("status"), F.when(k % 17 != 1, k % 13 == 0).alias("external"), result.alias("result"), F.when(k % 101 == 5, True).alias("stop"), (k % 103 == 7).alias("finish"))
     return op._numbered(rows, F.col("id"))
 
 
@@ -147,7 +147,7 @@ QUERIES = {
     for f in (queue_run, queue_totals, queue_removed, queue_to_end, queue_moved, path_counts, queue_worth_keeping, staging_sweep, latest_requests, ignore_rewrite, ignore_prune, print_register, working_copies, stale_copies, usable_presets, resolved_profiles, varying_configs)
 }
 
-_Q = "q AS (SELECT o_custkey // 15 AS owner, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey // 15 ORDER BY o_orderkey) - 1 AS ord, CASE o_orderkey % 9 WHEN 0 THEN 'done' WHEN 1 THEN 'review' WHEN 2 THEN 'failed' WHEN 3 THEN 'running' ELSE 'queued' END AS status, o_orderkey % 13 = 0 AS ext, CASE o_orderkey % 7 WHEN 0 THEN 'review' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' ELSE 'done' END AS result, o_orderkey % 101 = 5 AS stop, o_orderkey % 103 = 7 AS fin FROM orders)"
+_Q = "q AS (SELECT o_custkey // 15 AS owner, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey // 15 ORDER BY o_orderkey) - 1 AS ord, CASE o_orderkey % 9 WHEN 0 THEN 'done' WHEN 1 THEN 'review' WHEN 2 THEN 'failed' WHEN 3 THEN 'running' ELSE 'queued' END AS status, o_orderkey % 17 <> 1 AND o_orderkey % 13 = 0 AS ext, CASE o_orderkey % 7 WHEN 0 THEN 'review' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' ELSE 'done' END AS result, o_orderkey % 101 = 5 AS stop, o_orderkey % 103 = 7 AS fin FROM orders)"
 _RUN = f"{_Q}, tr AS (SELECT *, NOT ext AND status NOT IN ('done', 'review') AS tried FROM q), en AS (SELECT *, coalesce(ord > (SELECT min(ord) FROM tr x WHERE x.owner = tr.owner AND x.tried AND (x.stop OR x.fin)), false) AS over FROM tr), ru AS (SELECT *, CASE WHEN over OR NOT tried THEN status WHEN stop THEN 'cancelled' ELSE result END AS after FROM en)"
 _LIST = "l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN '*' || right(p_name, 2) WHEN p_partkey % 5 = 1 THEN '# note' WHEN p_partkey % 25 = 2 THEN '*' WHEN p_partkey % 25 = 7 THEN ' *  ' || substr(p_name, 2, 3) WHEN p_partkey % 25 = 12 THEN '  ' ELSE upper(left(p_name, 4)) END AS pattern FROM part)"
 _COPIES = "c AS (SELECT '/tmp/p' || page_id || '_fixed' || CASE page_id % 5 WHEN 1 THEN '.MKV' ELSE '.ts' END AS path, CAST(length(html) AS BIGINT) AS size, page_id * 60 AS mtime FROM pages WHERE page_id % 3 > 0 AND page_id % 5 > 0)"

@@ -115,3 +115,87 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     """Processes what is there and stops; a later run goes on from the checkpoint, so nothing is given twice."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+#: A scan's rows: the files it found, and for each root, with a null path, whether it could be reached.
+SCANNED = "path string, root string, reachable boolean, at timestamp"
+#: What was processed, and since when it has been missing (seconds; null while it isn't).
+KNOWN = "path string, root string, missing_since long"
+
+
+def scans(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of scans, one file each, in the order in which they were written."""
+    return spark.readStream.schema(SCANNED).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def known_after(spark: SparkSession, folder: str, before: int | None = None) -> tuple[DataFrame, int]:
+    """(path, root, missing_since; the scan) as the last scan left them, or the last one in front of ``before``."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = fs_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = []
+    for status in fs.listStatus(fs_path):
+        name = status.getPath().getName()
+        marked = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith("scan=") and fs.exists(marked):
+            done.append(int(name.removeprefix("scan=")))
+    number = max(n for n in done if before is None or n < before)
+    return spark.read.schema(KNOWN).parquet(f"{folder}/scan={number}"), number
+
+
+def start_known(processed: DataFrame, folder: str) -> None:
+    """Begins a table of what was processed (path, root), for :func:`absences`."""
+    processed.select("path", "root", F.lit(None).cast("long").alias("missing_since")).write.parquet(f"{folder}/scan=-1")
+
+
+def absences(scanned: DataFrame, folder: str, checkpoint: str, grace: int, interval: str | None = None) -> StreamingQuery:
+    """Forgets processed files that have been missing for ``grace`` seconds, scan by scan.
+
+    A file that a scan doesn't name starts its time, one that is named again has none, and while its root can't be reached it
+    keeps what it had.  The state is a table by scan in ``folder`` (:func:`start_known` begins it), of which each scan writes
+    the next version from the one before: a scan that is repeated after a failure, or a restart, gives the same.  Only the
+    newest two versions stay.  It follows :func:`operators.jobs.pruned_log`.
+    """
+    from ..operators.jobs import pruned_log
+
+    spark = scanned.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max(F.unix_seconds("at"))).first()[0]
+        if now is None:
+            return
+        log, last = known_after(spark, folder, number)
+        roots = batch.where("path IS NULL").groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
+        told = pruned_log(log, batch.where("path IS NOT NULL").select("path"), roots, F.lit(now), grace).where("action <> 'forget'")
+        kept = log.select("path", "root").join(told, "path").select("path", "root", F.when(F.col("missing_since") >= 0, F.col("missing_since")).alias("missing_since"))
+        kept.write.mode("overwrite").parquet(f"{folder}/scan={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/scan={last - 1}")
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+
+    writer = scanned.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def reordered(packets: DataFrame, depth: int = 15) -> DataFrame:
+    """rec_id, seq, pts of a stream of pictures (rec_id, seq, pts, dts, last) as :func:`operators.carry.reordered` lets go of them.
+
+    The state of a recording is what its buffer holds; ``last`` marks its last picture, with which the others leave.  A
+    recording's pictures have to come in order, batch by batch.
+    """
+    from ..operators.carry import ReorderBuffer
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, now = state.get if state.exists else ([], None)
+        buffer = ReorderBuffer(depth, [(x["pts"], x["seq"], x["known"]) if isinstance(x, dict) else tuple(x) for x in held], now)
+        whole = lambda x: None if pd.isna(x) else int(x)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        left: list[tuple] = []
+        for r in rows.itertuples():
+            left += buffer.push(int(r.seq), whole(r.pts), whole(r.dts))
+        if rows["last"].any():
+            left += buffer.flush()
+            state.remove()
+        else:
+            state.update(([(int(p), int(s), bool(k)) for p, s, k in buffer.held], buffer.now))
+        yield pd.DataFrame({"rec_id": [key[0]] * len(left), "seq": [s for s, _ in left], "pts": pd.array([p for _, p in left], dtype="Int64")})
+
+    return packets.groupBy("rec_id").applyInPandasWithState(step, "rec_id long, seq long, pts long", "held array<struct<pts: bigint, seq: bigint, known: boolean>>, now long", "append", "NoTimeout")

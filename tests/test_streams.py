@@ -1,5 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from seqspan.operators import carry, jobs
 from seqspan.streaming import watch
 
 T0 = datetime(2024, 1, 1)
@@ -53,3 +57,50 @@ def test_a_scan_deals_with_each_settled_file_once(spark, tmp_path):
     scan(spark, folder, 60 * 24 * 3, [("a", 15, 2), ("b", 18, 2)])
     run()
     assert sorted((r.path, r.size) for r in watch.dealt_with(spark, done).collect()) == [("a", 1), ("b", 2), ("c", 1)]
+
+
+def test_absences_follow_the_log_across_restarts(spark, tmp_path):
+    folder, known, state = (str(tmp_path / x) for x in ("in", "known", "state"))
+    base = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    log = [("a", "r"), ("b", "r"), ("c", "q"), ("d", "r")]
+    watch.start_known(spark.createDataFrame(log, "path string, root string"), known)
+    want = {p: (r, None) for p, r in log}
+    steps = [(0, "ab", "rq"), (10, "a", "r"), (20, "abd", "q"), (50, "a", "rq"), (75, "abc", "rq"), (200, "", ""), (300, "c", "rq")]
+    for n, (minute, there, up) in enumerate(steps):
+        at = T0 + timedelta(minutes=minute)
+        rows = [(p, None, None, at) for p in there] + [(None, r, r in up, at) for r in "rq"]
+        spark.createDataFrame(rows, watch.SCANNED).coalesce(1).write.mode("append").parquet(folder)
+        # every run is a restart; some scans come two to a run
+        if n % 3 != 1:
+            watch.absences(watch.scans(spark, folder), known, state, 3600).awaitTermination()
+            got = {r.path: (r.root, r.missing_since) for r in watch.known_after(spark, known)[0].collect()}
+        rows = spark.createDataFrame([(p, r, m) for p, (r, m) in want.items()], watch.KNOWN)
+        roots = spark.createDataFrame([(r, r in up) for r in "rq"], "root string, reachable boolean")
+        told = jobs.pruned_log(rows, spark.createDataFrame([(p,) for p in there] or [("-",)], "path string"), roots, F.lit(base + minute * 60), 3600).collect()
+        want = {r.path: (want[r.path][0], r.missing_since if r.missing_since >= 0 else None) for r in told if r.action != "forget"}
+        if n % 3 != 1:
+            assert got == want
+    assert set(want) == {"a", "c"} or set(want) == {"c"} or "c" in want
+
+
+def test_a_stream_reorders_as_the_batch_does(spark, tmp_path):
+    random.seed(4)
+    rows = []
+    for rec in range(3):
+        for seq in range(120):
+            pts = None if rec == 1 and seq % 31 == 5 else seq * 40 + random.choice([0, 0, 80, 900 if rec == 2 else 200])
+            rows.append((rec, seq, pts, seq * 40 if seq % 6 else None, seq == 119))
+    packets = spark.createDataFrame(rows, "rec_id long, seq long, pts long, dts long, last boolean")
+    want = [(r.rec_id, r.seq, r.pts) for r in carry.reordered(packets).orderBy("rec_id", "place").collect()]
+    assert [x[1] for x in want if x[0] == 2] != sorted((x[1] for x in want if x[0] == 2), key=lambda s: rows[240 + s][2])
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    got = {rec: [] for rec in range(3)}
+    for a in (0, 25, 26, 90):
+        b = {0: 25, 25: 26, 26: 90, 90: 120}[a]
+        packets.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(packets.schema).parquet(folder)
+        run = f"{out}{a}"
+        watch.run_available(watch.reordered(stream), run, state)
+        for r in spark.read.parquet(run).withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect():
+            got[r.rec_id].append((r.rec_id, r.seq, r.pts))
+    assert [x for rec in range(3) for x in got[rec]] == want
