@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
 from .store import discard, row_prints, small_enough, without_ids, without_rows, written
@@ -24,8 +25,9 @@ from .textbits import chunks, seeds, shingle_sets, shingles, strings, word_hashe
 
 #: Children of a document at each node.
 BRANCHES = 2
-#: Levels of branching below the root; what is still large then is compared in blocks.
-DEPTH = 10
+#: A large node that kept more than this share of its parent's documents is compared in blocks: two children that keep a
+#: share s have 2 * s * s of its pairs, so that branching on makes more of them where s is above 0.71.
+SHRINKING = 0.7
 #: Minwise functions, a power of two.  Each tree's root has its own; each node below picks some by a hash of its name.
 FUNCTIONS = 64
 #: Trees at most.
@@ -41,6 +43,8 @@ PIVOTS = 16
 #: Pairs of a tight node's documents outside its main cluster with its others that are compared at once, in parts.
 OUTSIDE_PAIRS = 3_000_000
 PART = 128
+#: Shingles of all full sets that a task compares at once (8 bytes each); nodes with more are cut into pairs of blocks.
+MOST_SHINGLES = 16_000_000
 #: Minima of two documents that agree if their similarity is just the threshold: fewer than this many standard deviations
 #: below the expected number, and the pair isn't compared on full sets.
 SURE = 4.75
@@ -147,11 +151,11 @@ def _sift(percent: int):
     least = _least_agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, reps, labels = [], [], []
+        out: tuple[list[int], ...] = ([], [], [], [])
         for group in _by_node(batches, ("rep", "n_shingles", "minima", "label")):
             if group is None:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, reps, labels)], ["node", "rep", "block"])
-                nodes, reps, labels = [], [], []
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "rep", "block", "n_shingles"])
+                out = ([], [], [], [])
                 continue
             node, (ids, sizes, blobs, label) = group
             sign, size, tag = np.frombuffer(b"".join(blobs), np.uint32).reshape(len(ids), FUNCTIONS), np.array(sizes), np.array(label)
@@ -164,9 +168,8 @@ def _sift(percent: int):
                     alive[i] = True
                     alive[i + 1 + near] = True
             for i in np.flatnonzero(alive):
-                nodes.append(node)
-                reps.append(ids[i])
-                labels.append(label[i])
+                for column, value in zip(out, (node, ids[i], label[i], sizes[i]), strict=True):
+                    column.append(value)
 
     return run
 
@@ -181,7 +184,7 @@ def _shared_by_all(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     row, place = row[often], rank[place[often]]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.float64)  # a stretch's counts are exact in single precision, their sums need not be
     for begin in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
         a, b = np.searchsorted(place, (begin, begin + columns))
         held = np.zeros((n, min(columns, int(place[-1]) + 1 - begin)), np.float32)
@@ -267,16 +270,18 @@ def _minimum(f: int):
 
 
 _ROW = ("node", "rep", "n_shingles", "minima", "label")
+#: What a large node's rows hold besides.
+_NODE = (*_ROW, "copies", "members", "above")
 
 
 def _roots(reps: DataFrame, trees: int) -> DataFrame:
     """Each document of ``reps`` (rep, n_shingles, minima, label) at the children of each tree's root."""
     parts = [F.xxhash64(F.lit(f), _minimum(f)) for f in range(trees * BRANCHES)]
-    return reps.select(F.explode(F.array(*parts)).alias("node"), *_ROW[1:])
+    return reps.select(F.explode(F.array(*parts)).alias("node"), *_ROW[1:], F.lit(None).cast("long").alias("above"))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """Each document of ``rows`` at the children of its node, whose functions a hash of the node picks.
+    """Each document of ``rows`` at the children of its node, whose functions a hash of the node picks; above has its members.
 
     A node that stands for several equal ones has the children of all; beyond the pool's size they would repeat.
     """
@@ -285,16 +290,19 @@ def _children(rows: DataFrame) -> DataFrame:
     picks = F.transform(F.sequence(F.lit(0).cast("long"), some), lambda j: (start + j * step) % FUNCTIONS)
     below = rows.select("*", F.explode(picks).alias("pick"))
     child = F.xxhash64("node", "pick", F.expr("substring(minima, cast(pick * 4 + 1 AS int), 4)"))
-    return below.select(child.alias("node"), *_ROW[1:])
+    return below.select(child.alias("node"), *_ROW[1:], F.col("members").alias("above"))
 
 
-def _grown(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Nodes of two documents or more that aren't of one label, each set of documents once: node, members, copies.
+def _grown(rows: DataFrame, label: str = "label", above: Column | None = None) -> DataFrame:
+    """Nodes of two documents or more that aren't of one label, each set of documents once: node, members, copies, above.
 
-    ``copies`` is the number of nodes with this set, which branch on independently.
+    ``copies`` is the number of nodes with this set, which branch on independently, and above the members of their largest
+    parent (null at the roots).
     """
-    seen = rows.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep", label)).alias("x"), F.bit_xor(F.xxhash64("rep", label, F.lit(9))).alias("y"), F.min(label).alias("l"), F.max(label).alias("m"))
-    return seen.where("members > 1 AND l <> m").groupBy("members", "x", "y").agg(F.min("node").alias("node"), F.count("*").alias("copies")).select("node", "members", "copies")
+    above = F.lit(None).cast("long") if above is None else above
+    seen = rows.groupBy("node").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep", label)).alias("x"), F.bit_xor(F.xxhash64("rep", label, F.lit(9))).alias("y"), F.min(label).alias("l"), F.max(label).alias("m"), F.max(above).alias("above"))
+    alike = seen.where("members > 1 AND l <> m").groupBy("members", "x", "y").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.max("above").alias("above"))
+    return alike.select("node", "members", "copies", "above")
 
 
 class _Sets:
@@ -309,8 +317,26 @@ class _Sets:
         return written(self.texts.join(small_enough(wanted), "rep").mapInArrow(_sets(self.k), "rep long, shingles binary"), "sets")
 
 
+def _within_bounds(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, rep, block, n_shingles) with nodes of too many shingles as pairs of blocks, which have half of that each.
+
+    A block has one document at least: two very long ones are compared as they are.
+    """
+    half = MOST_SHINGLES // 2
+    heavy = written(rows.groupBy("node").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > MOST_SHINGLES).select("node"), "heavy")
+    if heavy.isEmpty():
+        return rows
+    # a node has SMALL documents or so
+    upto = F.sum("n_shingles").over(W.partitionBy("node").orderBy("rep"))
+    split = rows.join(heavy, "node", "left_semi").withColumn("own", F.floor((upto - 1) / half)).withColumn("blocks", F.max("own").over(W.partitionBy("node")) + 1)
+    meets = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meets = meets.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"), F.lit(11))).select(*rows.columns)
+    return rows.join(heavy, "node", "left_anti").select(*rows.columns).unionByName(meets)
+
+
 def _exhaust(rows: DataFrame, sets: _Sets, percent: int) -> DataFrame:
-    """Links within the nodes of ``rows`` (node, rep, block), all of them small, between different blocks."""
+    """Links within the nodes of ``rows`` (node, rep, block, n_shingles), all of them small, between different blocks."""
+    rows = written(_within_bounds(rows).select("node", "rep", "block"), "small")
     full = sets.of(rows.select("rep")).join(small_enough(rows), "rep")
     parts = full.select("node", "rep", "shingles", "block").repartition("node").sortWithinPartitions("node", "rep")
     return written(parts.mapInArrow(_compare(percent), "a long, b long"), "links")
@@ -331,30 +357,31 @@ def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple
     reps = written(alike.withColumn("label", F.xxhash64("rep", F.lit(5))), "representatives")
     sets = _Sets(docs, k)
     links, sifted, large, before = [], [], None, None
-    for depth in range(DEPTH + 1):
-        level = _children(large) if depth else _roots(reps, trees)
-        rows = written(level.join(_grown(level), "node"), "rows")
+    while True:
+        level = _roots(reps, trees) if large is None else _children(large)
+        rows = written(level.drop("above").join(_grown(level, above=F.col("above")), "node"), "rows")
         discard(before)
         before = rows
         pool = rows.where(F.col("members") <= SMALL).select(*_ROW)
         pool = pool.unionByName(_in_blocks(rows.where((F.col("members") > SMALL) & (F.col("members") <= MEDIUM))))
         large = rows.where(F.col("members") > MEDIUM)
         last = large.isEmpty()
-        if not last and depth < DEPTH:
-            large, found, more = _settle(large, sets, percent, depth)
+        if not last:
+            large, found, more = _settle(large, sets, percent)
             links += found
             pool = pool.unionByName(more) if more is not None else pool
-        elif not last:
-            pool = pool.unionByName(_in_blocks(large))
+            stuck = F.coalesce(F.col("members") > F.col("above") * SHRINKING, F.lit(False))
+            pool = pool.unionByName(_in_blocks(large.where(stuck)))
+            large = large.where(~stuck)
         small = pool.repartition("node").sortWithinPartitions("node", "rep")
-        sifted.append(written(small.mapInArrow(_sift(percent), "node long, rep long, block long"), "sifted"))
+        sifted.append(written(small.mapInArrow(_sift(percent), "node long, rep long, block long, n_shingles long"), "sifted"))
         if last:
             break
     discard(before)
     small = sifted[0]
     for x in sifted[1:]:
         small = small.unionByName(x)
-    small = written(small.join(_grown(small, "block"), "node").select("node", "rep", "block"), "small")
+    small = written(small.join(_grown(small, "block"), "node").select("node", "rep", "block", "n_shingles"), "small")
     discard(*sifted)
     links.append(_exhaust(small, sets, percent))
     every = links[0]
@@ -364,7 +391,7 @@ def similar_links(docs: DataFrame, percent: int, k: int, recall: float) -> tuple
     return who.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), every
 
 
-def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+def _settle(large: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
     """(documents of large nodes that branch on, links with pivots, small nodes that stand for what is left of tight ones).
 
     A node's centre has the commonest minimum under each function.  Where many documents seem close to it, all are compared
@@ -381,9 +408,9 @@ def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[Da
     share = F.avg((F.col("agree") >= _least_agreeing(percent)).cast("double"))
     tight = written(seen.groupBy("node").agg(share.alias("share")).where(F.col("share") >= TIGHT).select("node"), "tight")
     if tight.isEmpty():
-        return large.select(*_ROW, "copies"), [], None
+        return large.select(*_NODE), [], None
     few = small_enough(tight, 50_000)
-    loose, close = large.join(few, "node", "left_anti").select(*_ROW, "copies"), written(large.join(few, "node", "left_semi"), "close")
+    loose, close = large.join(few, "node", "left_anti").select(*_NODE), written(large.join(few, "node", "left_semi"), "close")
     nearest = [F.max(F.when(F.pmod(F.xxhash64("rep", F.lit(8)), F.lit(PIVOTS)) == j, F.struct("agree", "rep"))).alias(f"p{j}") for j in range(PIVOTS)]
     pivots = seen.join(few, "node", "left_semi").groupBy("node").agg(F.count("*").alias("members"), *nearest)
     asked = written(pivots.select("node", "members", F.explode(F.array(*[F.col(f"p{j}.rep") for j in range(PIVOTS)])).alias("rep")).where("rep IS NOT NULL"), "asked")
@@ -405,7 +432,7 @@ def _settle(large: DataFrame, sets: _Sets, percent: int, depth: int) -> tuple[Da
     left = close.join(held.select("node", "rep", "main").hint("shuffle_merge"), ["node", "rep"]).join(outside, "node")
     left = written(left.withColumn("label", F.when(F.col("main"), F.xxhash64("anchor", F.lit(6))).otherwise(F.col("label"))), "left")
     many = (F.col("outside") * F.col("members") > OUTSIDE_PAIRS) | (F.col("outside") * 2 > F.col("members"))
-    on, few = left.where(many).select(*_ROW, "copies"), left.where(~many)
+    on, few = left.where(many).select(*_NODE), left.where(~many)
     parts = F.ceil(F.col("members") / PART).cast("int")
     mine = F.array(F.pmod(F.xxhash64("rep", F.lit(4)), parts).cast("int"))
     spread = few.withColumn("part", F.explode(F.when(F.col("main"), mine).otherwise(F.sequence(F.lit(0), parts - 1))))

@@ -50,7 +50,7 @@ EDGES = [(100_001, None), (100_002, ""), (100_003, " \n "), (100_004, "One two")
 def test_against_brute_force(docs_of, monkeypatch, percent, k, small, medium, pairs):
     monkeypatch.setattr(chosenpath, "SMALL", small)
     monkeypatch.setattr(chosenpath, "MEDIUM", medium)
-    monkeypatch.setattr(chosenpath, "DEPTH", 2 if medium == 6 else chosenpath.DEPTH)
+    monkeypatch.setattr(chosenpath, "SHRINKING", 0.1 if medium == 6 else chosenpath.SHRINKING)
     monkeypatch.setattr(chosenpath, "OUTSIDE_PAIRS", pairs)
     monkeypatch.setattr(chosenpath, "PART", 4 if small < 512 else 128)
     rows = corpus(small + k, 8, 24) + EDGES
@@ -117,3 +117,27 @@ def test_stage_keeps_one_row_of_each_group(docs_of):
     out = chosenpath.near_dedup(docs_of(rows)).collect()
     assert len(out) == len(rows) and sum(r.kept for r in out) == 7
     assert chosenpath.drop_near_copies(docs_of(rows).limit(0)).collect() == []
+
+
+def test_nodes_with_very_long_documents_are_cut(docs_of, monkeypatch):
+    monkeypatch.setattr(chosenpath, "MOST_SHINGLES", 150)
+    random.seed(14)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w if random.random() > 0.01 else f"x{random.randrange(10**6)}" for w in base)) for i in range(40)]
+    rows += [(100 + i, " ".join(f"y{i}z{j}" for j in range(300))) for i in range(3)] + [(200, rows[-1][1] + " more")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_dedup(docs_of(rows), 85, 3).collect()}
+    assert got == brute(rows, 85, 3)
+
+
+def test_documents_just_below_the_threshold_go_to_blocks(docs_of, monkeypatch):
+    """A frame that all share keeps a node's documents together: it is compared in blocks, not branched on without end."""
+    monkeypatch.setattr(chosenpath, "SMALL", 16)
+    monkeypatch.setattr(chosenpath, "MEDIUM", 16)
+    random.seed(15)
+    frame = [f"f{i}" for i in range(84)]
+    rows = [(i, " ".join([*frame, *(f"o{i}w{w}" for w in range(8))])) for i in range(120)] + [(500, " ".join([*frame, *(f"o7w{w}" for w in range(8)), "end"]))]
+    calls = []
+    monkeypatch.setattr(chosenpath, "_children", lambda rows, f=chosenpath._children: calls.append(1) or f(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_dedup(docs_of(rows), 85, 1).collect()}
+    assert got == brute(rows, 85, 1) and got[500][1] == 7
+    assert len(calls) <= 3

@@ -25,7 +25,7 @@ def test_planted_templates_go_and_the_rest_stays(docs_of):
     docs = rows()
     got = {r.doc_id: r for r in linetree.line_dedup(docs_of(docs), recurrent=10).collect()}
     for i, text in docs:
-        want = [x for x in text.split("\n") if not x.startswith(("Visited by", "All rights"))]
+        want = [x for x in text.split("\n") if not x.startswith(("Visited by", "All rights", "short line"))]
         assert got[i].kept_text == "\n".join(want)
         assert got[i].n_lines - got[i].n_dropped == len(want)
 
@@ -33,7 +33,7 @@ def test_planted_templates_go_and_the_rest_stays(docs_of):
 def test_patterns_and_threshold(docs_of):
     _, recurring = linetree.templates(docs_of(rows()), recurrent=10)
     patterns = {r.pattern for r in recurring.collect()}
-    assert patterns == {"Visited by user <*> on day <*> of the year", "All rights are reserved by the <*> of it"}
+    assert patterns == {"Visited by user <*> on day <*> of the year", "All rights are reserved by the <*> of it", "short line"}
     assert linetree.templates(docs_of(rows()), recurrent=21)[1].count() == 0
 
 
@@ -57,7 +57,7 @@ def brute(docs, recurrent, leading=3, agree=0.7):
     for _, text in docs:
         for raw in (text or "").split("\n"):
             words = tuple("<*>" if re.search(r"\d", t) else t for t in raw.split())
-            if len(words) >= 5:
+            if re.search(r"[^\W\d_]", raw):
                 lines.setdefault(words, set()).add(text)
     leaf = lambda w: (len(w), w[:leading])
     in_leaf, weight = {}, {}
@@ -123,11 +123,23 @@ def test_many_names_in_a_crowded_leaf(docs_of):
     assert got == {i: int(i < 3000) for i in range(6000)}
 
 
-def test_exact_repeats_of_long_and_short_lines(docs_of):
+def test_passages_and_short_lines_go_through_the_tree(docs_of):
     letters = str.maketrans("0123456789", "abcdefghij")
     own = lambda k, n: " ".join(f"u{k}x{i}w".translate(letters) for i in range(n))
     passage, twice, brief = own("p", 51), own("q", 51), own("r", 50)
-    docs = [(i, "\n".join([own(i, 60), *[passage] * (i < 3), *[twice] * (i < 2), *[brief] * (i < 9), *["All rights reserved."] * (i < 50), *["Page one"] * (i < 49), "", "}"])) for i in range(60)]
+    docs = [(i, "\n".join([own(i, 60), *[passage] * (i < 3), *[twice] * (i < 2), *[brief] * (i < 9), *["All rights reserved."] * (i < 10), *["Page one"] * (i < 9), f"Page {i}", "", "}", "* * *", "7 8"])) for i in range(30)]
+    kept = lambda gone: {i: "\n".join(x for x in text.split("\n") if not x.startswith(gone)) for i, text in docs}
+    pages = tuple(f"Page {k}" for k in range(10))
     got = {r.doc_id: r.kept_text for r in linetree.line_dedup(docs_of(docs)).collect()}
-    for i, text in docs:
-        assert got[i] == "\n".join(x for x in text.split("\n") if x not in (passage, "All rights reserved."))
+    assert got == kept((passage, "All rights reserved.", *pages))
+    got = {r.doc_id: r.kept_text for r in linetree.line_dedup(docs_of(docs), long_recurrent=None).collect()}
+    assert got == kept(("All rights reserved.", *pages))
+
+
+def test_hot_lines_are_joined_apart(docs_of, monkeypatch):
+    docs = [(i, f"the same line in all\nline number {i // 12} of twelve") for i in range(120)] + [(200 + i, "something else here") for i in range(3)]
+    want = sorted(tuple(r) for r in linetree.line_dedup(docs_of(docs), recurrent=8).collect())
+    monkeypatch.setattr(linetree, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(linetree, "HOT", 3)
+    assert sorted(tuple(r) for r in linetree.line_dedup(docs_of(docs).repartition(9), recurrent=8).collect()) == want
+    assert {r[2] for r in want} == {0, 2}
