@@ -38,8 +38,8 @@ def detect_all(spark, sf_dir):
     corners = src.samples(spark, sf_dir).withColumn("c", F.explode(level)).groupBy("rec_id", "c.corner").agg(F.avg((width >= F.col("c.bound")).cast("double")).alias("share"))
     two = [_spans(spark, sf_dir, width < bound, GAP, 4 * HOUR).select("rec_id", F.lit(c).alias("corner"), "lo", "hi", (F.col("n") % 3 + 1).alias("support")) for c, bound in ((0, 300), (1, 200))]
     # the masks of some recordings come and go: they have marks and propose nothing
-    mask = _spans(spark, sf_dir, width < 260, GAP, 2 * HOUR).where("rec_id % 4 > 0").select("rec_id", "lo", "hi")
-    marks = _spans(spark, sf_dir, width >= 260, 6 * HOUR, HOUR).select("rec_id", F.col("lo").alias("t0"), F.col("hi").alias("t1"))
+    mask = _spans(spark, sf_dir, width < 25, GAP, 2 * HOUR).where("rec_id % 4 > 0").select("rec_id", "lo", "hi")
+    marks = _spans(spark, sf_dir, width >= 25, 24 * HOUR, HOUR).select("rec_id", F.col("lo").alias("t0"), F.col("hi").alias("t1"))
     start = src.samples(spark, sf_dir).groupBy("rec_id").agg(F.min("t").alias("start"))
     # times count from each recording's start
     rel = lambda d, *cols: d.join(start, "rec_id").withColumns({c: F.col(c) - F.col("start") for c in cols}).drop("start")
@@ -65,7 +65,7 @@ def detect_placed(spark, sf_dir):
     scenes = src.signals(spark, sf_dir).where("kind = 'scene'").join(start, "rec_id").select("rec_id", (F.col("t0") - F.col("start")).alias("t"))
     events = _events(spark, sf_dir).join(start, "rec_id").select("rec_id", (F.col("t") - F.col("start")).alias("t"), "score")
     frames = s.select("rec_id", "i", "t", F.array((F.col("width") % 100), i % 50, (F.col("width") * 7) % 90).cast("array<double>").alias("fp"))
-    markers = frames.where("rec_id % 10 = 0 AND i % 37 = 3").select((F.col("rec_id") * 1_000_000 + i).alias("card"), (i % 2).alias("side"), F.col("rec_id").alias("project"), ((i % 7 - 3) * HOUR).alias("offset"), "fp")
+    markers = frames.where("rec_id % 10 = 0 AND i % 11 < 4").select((F.col("rec_id") * 1_000_000 + i).alias("card"), (i % 2).alias("side"), F.col("rec_id").alias("project"), ((i % 7 - 3) * HOUR).alias("offset"), "fp")
     ends = s.groupBy("rec_id").agg((F.max("t") + 1000).alias("duration")).select("rec_id", "duration", F.lit(60 * HOUR).alias("head_reach"), F.lit(24 * HOUR).alias("tail_reach"))
     found = op.with_cards(detect_all(spark, sf_dir), sightings, scenes, PLACED_CARDS, RULES.bucket)
     return op.with_markers(found, frames.drop("i"), markers, events, ends, PLACED_MARKERS, NEAR, 30 * HOUR, RULES.bucket)
@@ -258,7 +258,7 @@ _DETECT = ", ".join([
     _BLACK, "st AS (SELECT rec_id, min(t) AS st0 FROM samples GROUP BY rec_id)", "rv AS (SELECT rec_id, t - st0 AS t, score FROM ev2 JOIN st USING (rec_id))",
     "fin AS (SELECT rec_id, max(t) - min(t) AS finish, max(t) - min(t) + 1000 AS duration FROM samples GROUP BY rec_id)",
     _runs("r1", "samples", "width >= 300", GAP, 4 * HOUR), _runs("r2", "samples", "aspect = 'view'", 2 * GAP, 4 * HOUR), _runs("r3", "samples", "width < 220", 12 * HOUR, 6 * HOUR),
-    _runs("r4", "samples", "width < 300", GAP, 4 * HOUR), _runs("r5", "samples", "width < 200", GAP, 4 * HOUR), _runs("r6", "samples", "width < 260", GAP, 2 * HOUR), _runs("r7", "samples", "width >= 260", 6 * HOUR, HOUR),
+    _runs("r4", "samples", "width < 300", GAP, 4 * HOUR), _runs("r5", "samples", "width < 200", GAP, 4 * HOUR), _runs("r6", "samples", "width < 25", GAP, 2 * HOUR), _runs("r7", "samples", "width >= 25", 24 * HOUR, HOUR),
     "g3 AS (SELECT * FROM (SELECT rec_id, t1 AS t0, lead(t0) OVER (PARTITION BY rec_id ORDER BY t0, t1) AS t1 FROM r3) WHERE t1 > t0 AND rec_id % 2 = 0)",
     _rel("shp", "(SELECT * FROM r1 WHERE rec_id % 3 > 0)", ", 4 AS support"), _rel("asp", "(SELECT * FROM r2 WHERE rec_id NOT IN (SELECT rec_id FROM r1 WHERE rec_id % 3 > 0))", ", 4 AS support"), _rel("anc", "g3", ", 4 AS support"),
     _rel("cor", "(SELECT *, 0 AS corner FROM r4 UNION ALL SELECT *, 1 AS corner FROM r5)", ", corner, n % 3 + 1 AS support, corner::BIGINT * 10000000000000 + t0 AS id"),
@@ -337,7 +337,7 @@ _PLACED = ", ".join([
     "sc AS (SELECT s.rec_id, t0 - st0 AS t FROM signals s JOIN st USING (rec_id) WHERE kind = 'scene')", _card_breaks(PLACED_CARDS, "b0", "cb"), "b1 AS (SELECT * FROM b0 UNION ALL SELECT * FROM cb)", _card_edges(PLACED_CARDS, "b1", "sc", "b2"),
     f"hd AS (SELECT rec_id, a, b FROM b2 WHERE a <= {60 * _H} QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY b DESC, a) = 1)", f"ta AS (SELECT rec_id, a, b FROM (SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY a DESC, b DESC) = 1) JOIN fin USING (rec_id) WHERE duration - b <= {24 * _H})",
     "ht AS (SELECT rec_id FROM hd JOIN ta USING (rec_id, a, b))", "td AS (SELECT rec_id, 0 AS side, b AS today FROM hd WHERE rec_id NOT IN (SELECT rec_id FROM ht) UNION ALL SELECT rec_id, 1, a FROM ta WHERE rec_id NOT IN (SELECT rec_id FROM ht))",
-    "fr AS (SELECT rec_id, i, t, width % 100 AS x, i % 50 AS y, width * 7 % 90 AS z FROM sm)", f"mr AS (SELECT i % 2 AS side, rec_id AS project, (i % 7 - 3) * {_H} AS off, x, y, z FROM fr WHERE rec_id % 10 = 0 AND i % 37 = 3)",
+    "fr AS (SELECT rec_id, i, t, width % 100 AS x, i % 50 AS y, width * 7 % 90 AS z FROM sm)", f"mr AS (SELECT i % 2 AS side, rec_id AS project, (i % 7 - 3) * {_H} AS off, x, y, z FROM fr WHERE rec_id % 10 = 0 AND i % 11 < 4)",
     f"hi AS (SELECT f.rec_id, td.side, f.t, m.project, m.off FROM fr f JOIN td ON td.rec_id = f.rec_id AND abs(f.t - td.today) <= {30 * _H} JOIN mr m ON m.side = td.side AND m.project <> f.rec_id WHERE (abs(f.x - m.x) + abs(f.y - m.y) + abs(f.z - m.z)) / 3.0::DOUBLE < {NEAR})",
     f"se AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY rec_id, side ORDER BY t) <= {_M.run_gap} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rec_id, side, t FROM hi))", "fi AS (SELECT rec_id, side, min(t) AS t FROM (SELECT *, sum(new) OVER (PARTITION BY rec_id, side ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM se) GROUP BY rec_id, side, run)",
     "us AS (SELECT rec_id, side, t, t - median(off) AS pat FROM (SELECT rec_id, side, t, project, min(off) AS off FROM hi JOIN fi USING (rec_id, side, t) GROUP BY ALL) GROUP BY rec_id, side, t)",
