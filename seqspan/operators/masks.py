@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,24 +37,33 @@ def readings(frames: DataFrame, masks: DataFrame, width: int, height: int, pad:
     places = masks.groupBy("rec_id").agg(F.collect_set((F.col("y") * across + F.col("x")).cast("long")).alias("mask"))
     rows = frames.select("rec_id", "i", "v").join(places, "rec_id")
 
+    def weights(mask: Sequence[int]) -> np.ndarray | None:
+        """What each place counts in the difference of the two means; None where one of them is of nothing."""
+        inside = np.zeros((down, across), bool)
+        inside.reshape(-1)[mask] = True
+        ys, xs = np.nonzero(inside)
+        ring = np.zeros_like(inside)
+        ring[max(0, ys.min() - pad) : ys.max() + pad + 1, max(0, xs.min() - pad) : xs.max() + pad + 1] = True
+        ring &= ~inside
+        return (inside / inside.sum() - ring / ring.sum()).reshape(-1) if ring.any() else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
+            # a recording's mask is laid out once a batch, and read in all its frames by one product
+            held: dict[int, tuple[list[int], list[int], list[list[int]]]] = {}
             for rec, i, v, mask in zip(*(b.column(c).to_pylist() for c in ("rec_id", "i", "v", "mask")), strict=True):
-                if v is None or len(v) != width * height:
-                    continue
-                a = np.array(v, np.int32).reshape(height, width)
-                inside = np.zeros((down, across), bool)
-                inside.reshape(-1)[mask] = True
-                ys, xs = np.nonzero(inside)
-                ring = np.zeros_like(inside)
-                ring[max(0, ys.min() - pad) : ys.max() + pad + 1, max(0, xs.min() - pad) : xs.max() + pad + 1] = True
-                ring &= ~inside
-                if not ring.any():
-                    continue
-                edge = np.abs(np.diff(a, axis=1))[:-1] + np.abs(np.diff(a, axis=0))[:, :-1] > level
-                flat = a[:down, :across]
-                out.append((rec, i, float(edge[inside].mean() - edge[ring].mean()), float(flat[inside].mean() - flat[ring].mean())))
+                if v is not None and len(v) == width * height:
+                    own = held.setdefault(rec, (mask, [], []))
+                    own[1].append(i)
+                    own[2].append(v)
+            out: list[tuple] = []
+            for rec, (mask, ids, frames_) in held.items():
+                weight = weights(mask)
+                if weight is not None:
+                    a = np.array(frames_, np.int32).reshape(-1, height, width)
+                    edge = np.abs(np.diff(a, axis=2))[:, :-1] + np.abs(np.diff(a, axis=1))[:, :, :-1] > level
+                    read = [x.reshape(len(ids), -1) @ weight for x in (edge, a[:, :down, :across])]
+                    out += zip([rec] * len(ids), ids, *(x.tolist() for x in read), strict=True)
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["rec_id", "i", "edges", "light"])
 
@@ -124,15 +133,17 @@ def active(masks: DataFrame, records: DataFrame, most: int = 4) -> DataFrame:
     return by_group(rows, ["key"], ["place"], walk, "key long, model long, place long, used boolean, kept boolean")
 
 
-def recorded(records: DataFrame, results: DataFrame, keep: int = 8) -> DataFrame:
+def recorded(records: DataFrame, results: DataFrame, keep: int = 8, masks: DataFrame | None = None) -> DataFrame:
     """key, model, project, good, false, fit, order: results noted with what was known; a project's latest one, the ``keep`` newest projects.
 
-    Results without a project's name aren't kept.  A project that is tried again keeps its place.
+    Results without a project's name aren't kept, nor those of masks that aren't held (``masks``: key, model; where it isn't
+    given all are).  A project that is tried again keeps its place.
     """
     from pyspark.sql import Window as W
 
     new = results.where("project <> ''")
-    every = records.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
+    new = new if masks is None else new.join(masks.select("key", "model").distinct(), ["key", "model"], "left_semi")
+    every = records.withColumn("fresh", F.lit(0)).unionByName(new.select(*records.columns).withColumn("fresh", F.lit(1)))
     one = every.groupBy("key", "model", "project").agg(F.max(F.struct("fresh", "order", "good", "false", "fit")).alias("x"), F.min(F.struct("fresh", "order")).alias("first"))
     rank = F.row_number().over(W.partitionBy("key", "model").orderBy(F.desc("first"), "project"))
     out = one.withColumn("rank", rank).where(F.col("rank") <= keep)

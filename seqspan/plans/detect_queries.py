@@ -87,14 +87,14 @@ def mask_scores(spark, sf_dir):
 def _records(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     keys = [F.col("l_suppkey").alias("key"), F.col("l_linenumber").cast("long").alias("model"), (F.col("l_partkey") % 5).alias("project")]
-    return li.where("l_linenumber < 7").groupBy(*keys).agg(F.round(F.max("l_discount"), 4).alias("good"), F.sum(F.when(F.col("l_tax") > 0.07, 1).otherwise(0)).alias("false"), (F.max("l_quantity") > 40).alias("fit"))
+    return li.groupBy(*keys).agg(F.round(F.max("l_discount"), 4).alias("good"), F.sum(F.when(F.col("l_tax") > 0.07, 1).otherwise(0)).alias("false"), (F.max("l_quantity") > 40).alias("fit"))
 
 
 def _masks(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    m = s.select(k.alias("key"), F.explode(F.sequence(F.lit(1), (k % 4 + 4).cast("int"))).alias("model"))
-    return m.select("key", F.col("model").cast("long").alias("model"), (8 - F.col("model")).cast("long").alias("place"), (F.col("model") == F.col("key") % 3 + 1).alias("current"))
+    m = s.select(k.alias("key"), F.explode(F.sequence(F.lit(1), (k % 4 + 5).cast("int"))).alias("model"))
+    return m.select("key", F.col("model").cast("long").alias("model"), (9 - F.col("model")).cast("long").alias("place"), (F.col("model") == F.col("key") % 3 + 1).alias("current"))
 
 
 def mask_tiers(spark, sf_dir):
@@ -108,7 +108,7 @@ def mask_active(spark, sf_dir):
 def mask_results(spark, sf_dir):
     r = _records(spark, sf_dir).withColumn("project", F.concat(F.lit("p"), F.col("project").cast("string"))).withColumn("order", F.col("model") * 10 + F.length("project"))
     fresh = r.where(F.col("false") == 0).withColumn("order", F.col("order") + 100).withColumn("project", F.when(F.col("key") % 7 == 0, "").when(F.col("key") % 2 == 0, F.concat("project", F.lit("x"))).otherwise(F.col("project")))
-    return mk.recorded(r, fresh, 4)
+    return mk.recorded(r, fresh, 4, _masks(spark, sf_dir))
 
 
 def _frames(spark, sf_dir):
@@ -279,8 +279,8 @@ _DETECT = ", ".join([
     f"tl AS (SELECT k.rec_id, fo.a AS start, sw.duration FROM (SELECT rec_id, lo, hi, 0 AS o FROM shp UNION ALL SELECT rec_id, lo, hi, 1 FROM asp) k JOIN sw USING (rec_id) JOIN fo ON fo.rec_id = k.rec_id AND abs(k.lo - fo.a) <= {RULES.near} WHERE k.hi >= duration - {RULES.tail} QUALIFY row_number() OVER (PARTITION BY k.rec_id ORDER BY k.o, k.lo, k.hi, fo.a) = 1)",
 ])
 _TRACK = "tk AS (SELECT rec_id, i, t - min(t) OVER (PARTITION BY rec_id) AS t, width / 500.0::DOUBLE AS v FROM samples)"
-_REC = "rc AS (SELECT l_suppkey AS key, l_linenumber::BIGINT AS model, l_partkey % 5 AS project, round(max(l_discount), 4) AS good, CAST(count(*) FILTER (l_tax > 0.07) AS BIGINT) AS bad, max(l_quantity) > 40 AS fit FROM lineitem WHERE l_linenumber < 7 GROUP BY ALL)"
-_MASKS = "ma AS (SELECT s_suppkey AS key, unnest(generate_series(1, s_suppkey % 4 + 4)) AS model FROM supplier), ms AS (SELECT key, model, 8 - model AS place, model = key % 3 + 1 AS current FROM ma)"
+_REC = "rc AS (SELECT l_suppkey AS key, l_linenumber::BIGINT AS model, l_partkey % 5 AS project, round(max(l_discount), 4) AS good, CAST(count(*) FILTER (l_tax > 0.07) AS BIGINT) AS bad, max(l_quantity) > 40 AS fit FROM lineitem GROUP BY ALL)"
+_MASKS = "ma AS (SELECT s_suppkey AS key, unnest(generate_series(1, s_suppkey % 4 + 5)) AS model FROM supplier), ms AS (SELECT key, model, 9 - model AS place, model = key % 3 + 1 AS current FROM ma)"
 _TIERS = f"{_REC}, {_MASKS}, ti AS (SELECT ms.key, ms.model, place, current, CASE WHEN fit IS NULL THEN 1 WHEN fit THEN 2 ELSE 0 END AS tier, coalesce(projects, 0) AS projects FROM ms LEFT JOIN (SELECT key, model, bool_or(fit) AS fit, count(DISTINCT project) AS projects FROM rc GROUP BY ALL) USING (key, model))"
 _BEATS = "pa AS (SELECT a.key, a.model, b.model AS other, sum(a.bad) AS f1, sum(b.bad) AS f2, sum(a.good) AS g1, sum(b.good) AS g2, count(*) AS n FROM rc a JOIN rc b ON a.key = b.key AND a.project = b.project AND a.model <> b.model GROUP BY ALL), be AS (SELECT key, model, list(other) AS beaten FROM pa WHERE f1 < f2 OR (f1 = f2 AND round(g1 - g2, 9) > round(n * 0.01::DOUBLE, 9)) GROUP BY ALL)"
 _SIGHT = "si AS (SELECT rec_id, id, a AS t0, a + id % 6 AS t1, CASE WHEN id % 5 > 0 THEN id % 3 - 1 END AS so, CASE WHEN id % 5 > 0 THEN id % 3 / 4.0 END AS ss, CASE WHEN id % 7 > 0 THEN id % 4 - 2 END AS eo, CASE WHEN id % 7 > 0 THEN id % 5 / 8.0 END AS es FROM cuts), fd AS (SELECT rec_id, a // 120 * 120 AS a, a // 120 * 120 + max(id % 60 + 15) AS b FROM cuts WHERE id % 9 = 0 GROUP BY rec_id, a // 120)"
@@ -350,6 +350,17 @@ _PLACED = ", ".join([
 ORACLES = {
     "detect_all": with_tables("signals samples", f"WITH {_DETECT} {_ALL}").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
     "detect_placed": with_tables("signals samples", f"WITH {_PLACED} SELECT * FROM e2").replace("WITH ev AS", "WITH RECURSIVE ev AS"),
+    "mask_readings": "WITH f AS (SELECT label::BIGINT AS rec_id, vec_id AS i, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 400) AS BIGINT) % 256) AS v FROM embeddings), "
+        "m AS (SELECT DISTINCT rec_id, CAST(round_even(rec_id % 2 + px / 4.0::DOUBLE * 6, 0) AS BIGINT) AS x, CAST(round_even(1 + py / 4.0::DOUBLE * 5, 0) AS BIGINT) AS y FROM (SELECT DISTINCT rec_id FROM f), (SELECT unnest(range(3)) AS px), (SELECT unnest([1, 2]) AS py) WHERE px >= rec_id % 3), "
+        "b AS (SELECT rec_id, min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1 FROM m WHERE x BETWEEN 0 AND 6 AND y BETWEEN 0 AND 6 GROUP BY rec_id), "
+        "p AS (SELECT b.rec_id, x, y, (b.rec_id, x, y) IN (SELECT (rec_id, x, y) FROM m) AS inside FROM b, (SELECT unnest(range(7)) AS x), (SELECT unnest(range(7)) AS y) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), "
+        "c AS (SELECT f.rec_id, i, inside, (abs(v[y * 8 + x + 2] - v[y * 8 + x + 1]) + abs(v[y * 8 + x + 9] - v[y * 8 + x + 1]) > 18)::INT AS edge, v[y * 8 + x + 1] AS l FROM f JOIN p USING (rec_id)) "
+        "SELECT rec_id, i, round(avg(edge) FILTER (inside) - avg(edge) FILTER (NOT inside), 6) AS edges, round(avg(l) FILTER (inside) - avg(l) FILTER (NOT inside), 6) AS light FROM c GROUP BY rec_id, i",
+    "marker_onsets": "WITH RECURSIVE f AS (SELECT label::BIGINT AS rec_id, vec_id % 3 AS place, vec_id AS i, vec_id % 11 = 0 AS known, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 400) AS BIGINT) % 256) AS fp FROM embeddings), "
+        "n AS (SELECT *, known OR list_sum(fp) / 64.0::DOUBLE < 31 AS none, row_number() OVER (PARTITION BY rec_id, place ORDER BY i) AS r FROM f), "
+        "w AS (SELECT rec_id, place, r, i, NOT none AS kept, CASE WHEN none THEN NULL ELSE fp END AS last FROM n WHERE r = 1 UNION ALL "
+        "SELECT n.rec_id, n.place, n.r, n.i, NOT none AND (w.last IS NULL OR list_sum(list_transform(list_zip(n.fp, w.last), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE >= 32), CASE WHEN none THEN NULL WHEN w.last IS NULL OR list_sum(list_transform(list_zip(n.fp, w.last), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE >= 32 THEN n.fp ELSE w.last END FROM w JOIN n ON n.rec_id = w.rec_id AND n.place = w.place AND n.r = w.r + 1) "
+        "SELECT rec_id, place, i, i / 2.0::DOUBLE AS offset FROM w WHERE kept QUALIFY row_number() OVER (PARTITION BY rec_id, place ORDER BY i) <= 12",
     "mask_scores": with_tables("samples", f"WITH {_TRACK}, en AS (SELECT rec_id, max(t) AS duration FROM tk GROUP BY rec_id), ct AS (SELECT rec_id, t AS a, t + i % 11 * {6 * HOUR} AS b FROM tk WHERE i % 23 = 5), {_runs('mk', 'tk', 'v > 0.3', 8 * HOUR, 4 * HOUR)}, {_runs('aw', 'tk', 'NOT v > 0.3', 16 * HOUR, 12 * HOUR)}, "
         f"pg AS (SELECT rec_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM mk WHERE mk.rec_id = tk.rec_id AND tk.t >= t0 AND tk.t < t1) THEN 1.0 ELSE 0.0 END), 6) AS prog FROM tk WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.rec_id = tk.rec_id AND ((tk.t >= a AND tk.t < b) OR abs(tk.t - a) <= {3 * HOUR} OR abs(tk.t - b) <= {3 * HOUR})) GROUP BY rec_id), "
         f"fa AS (SELECT aw.rec_id, count(*) AS n FROM aw JOIN en USING (rec_id) WHERE t0 > {24 * HOUR} AND t1 < duration - {24 * HOUR} AND coalesce((SELECT sum(greatest(0, least(mk.t1, aw.t1) - greatest(mk.t0, aw.t0))) FROM mk WHERE mk.rec_id = aw.rec_id), 0) <= (t1 - t0) * 0.5 AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.rec_id = aw.rec_id AND least(b, t1) - greatest(a, t0) > 0) GROUP BY aw.rec_id) "
@@ -358,7 +369,7 @@ ORACLES = {
     "mask_active": f"WITH RECURSIVE {_TIERS}, {_BEATS}, rk AS (SELECT ti.*, coalesce(beaten, []) AS beaten, row_number() OVER (PARTITION BY key ORDER BY place) AS r FROM ti LEFT JOIN be USING (key, model)), cu AS (SELECT key, coalesce(min(r) FILTER (current), 1) AS c FROM rk GROUP BY key), "
         "wk AS (SELECT key, 0::BIGINT AS r, c AS best, tier AS bt, model AS bm FROM cu JOIN rk USING (key) WHERE rk.r = c UNION ALL SELECT w.key, x.r, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.r ELSE w.best END, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.tier ELSE w.bt END, CASE WHEN x.r <> w.best AND (x.tier > w.bt OR (x.tier = w.bt AND list_contains(x.beaten, w.bm))) THEN x.model ELSE w.bm END FROM wk w JOIN rk x ON x.key = w.key AND x.r = w.r + 1), "
         "fn AS (SELECT key, best FROM wk QUALIFY r = max(r) OVER (PARTITION BY key)) SELECT key, model, place, r = best AS used, r = best OR row_number() OVER (PARTITION BY key, r = best ORDER BY tier, projects, r DESC) > count(*) OVER (PARTITION BY key) - 4 AS kept FROM rk JOIN fn USING (key)",
-    "mask_results": f"WITH {_REC}, r AS (SELECT key, model, 'p' || project AS project, good, bad, fit, model * 10 + 2 AS o FROM rc), n AS (SELECT key, model, CASE WHEN key % 2 = 0 THEN project || 'x' ELSE project END AS project, good, bad, fit, o + 100 AS o FROM r WHERE bad = 0 AND key % 7 > 0), u AS (SELECT *, 0 AS fr FROM r UNION ALL SELECT *, 1 FROM n), f AS (SELECT key, model, project, max({{'fr': fr, 'o': o, 'good': good, 'bad': bad, 'fit': fit}}) AS x, min({{'fr': fr, 'o': o}}) AS fi FROM u GROUP BY key, model, project) SELECT key, model, project, x.good AS good, x.bad AS \"false\", x.fit AS fit, fi.o AS \"order\" FROM f QUALIFY row_number() OVER (PARTITION BY key, model ORDER BY fi DESC, project) <= 4",
+    "mask_results": f"WITH {_REC}, {_MASKS}, r AS (SELECT key, model, 'p' || project AS project, good, bad, fit, model * 10 + 2 AS o FROM rc), n AS (SELECT key, model, CASE WHEN key % 2 = 0 THEN project || 'x' ELSE project END AS project, good, bad, fit, o + 100 AS o FROM r WHERE bad = 0 AND key % 7 > 0 AND (key, model) IN (SELECT (key, model) FROM ms)), u AS (SELECT *, 0 AS fr FROM r UNION ALL SELECT *, 1 FROM n), f AS (SELECT key, model, project, max({{'fr': fr, 'o': o, 'good': good, 'bad': bad, 'fit': fit}}) AS x, min({{'fr': fr, 'o': o}}) AS fi FROM u GROUP BY key, model, project) SELECT key, model, project, x.good AS good, x.bad AS \"false\", x.fit AS fit, fi.o AS \"order\" FROM f QUALIFY row_number() OVER (PARTITION BY key, model ORDER BY fi DESC, project) <= 4",
     "card_breaks": with_tables("cuts", f"WITH {_SIGHT}, {_card_breaks(CARDS, 'fd', 'cb')} SELECT * FROM cb").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "card_edges": with_tables("cuts", f"WITH {_SIGHT}, {_card_edges(CARDS, 'fd', _SCENES, 'ce')} SELECT * FROM ce").replace("WITH cuts", "WITH RECURSIVE cuts"),
     "card_added": "WITH e AS (SELECT label::BIGINT AS key, vec_id AS o, embedding AS fp FROM embeddings), n AS (SELECT * FROM e QUALIFY o = max(o) OVER (PARTITION BY key)), k AS (SELECT e.key, e.o FROM e JOIN n USING (key) WHERE e.o = n.o OR list_sum(list_transform(list_zip(e.fp, n.fp), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / 64 >= 0.13) SELECT key, o AS \"order\" FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY o DESC) <= 5",

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from seqspan.operators import cards, masks
+from seqspan.operators import cards, learn, masks
 
 
 def near(x, y):
@@ -82,3 +82,50 @@ def test_a_card_at_the_edges_is_learned(spark):
     assert len(row) == 1 and (row[0].rec_id, row[0].matched, row[0].edges) == (1, 6, 6) and row[0].clearance > 15
     assert near(row[0].fp, card) < 2
     assert {(r.side, r.offset, r.spread, r.n) for r in places.collect()} == {("start", 2.0, 0.0, 3), ("end", 0.0, 0.0, 3)}
+
+
+def test_reach_gives_all_near_cards_from_few_comparisons():
+    made = np.random.default_rng(6)
+    bright = made.integers(0, 200, 1000)
+    prints = (bright[:, None] + made.normal(0, 4, (1000, 24))).tolist()
+    table = learn.Reach(list(range(1000)), prints)
+    asked = (made.integers(0, 200, 300)[:, None] + made.normal(0, 4, (300, 24))).tolist()
+    for fp in asked:
+        want = {k for k, x in enumerate(prints) if near(x, fp) < 8}
+        assert {k for k, _ in table.near(fp, 8.0)} == want
+    assert table.compared <= 300 * 1000 / 10
+
+
+def test_reach_of_few_and_equal_cards():
+    one = learn.Reach([7], [[1.0, 2.0]])
+    assert list(one.near([1.0, 2.5], 1.0)) == [(7, 0.25)] and list(one.near([9.0, 9.0], 1.0)) == []
+    same = learn.Reach(list(range(20)), [[3.0, 3.0]] * 20)
+    assert {k for k, _ in same.near([3.0, 3.5], 1.0)} == set(range(20))
+
+
+def test_markers_are_matched_from_frames(spark):
+    """A recording's lead-in ends at 100 and its tail begins at 900; another project's markers stand 4 behind and 6 in front."""
+    made = np.random.default_rng(7)
+    shots = {t: made.integers(0, 255, 8).astype(float) for t in range(0, 1001, 2)}
+    frames = spark.createDataFrame([(1, t, fp.tolist()) for t, fp in shots.items()], "rec_id long, t long, fp array<double>")
+    rows = [(1, 0, 2, 4, shots[108] + 1), (2, 1, 2, -6, shots[890] - 1), (3, 0, 1, 0, shots[96]), (4, 1, 2, -6, shots[110])]
+    markers = spark.createDataFrame([(c, s, p, o, fp.tolist()) for c, s, p, o, fp in rows], "card long, side long, project long, offset long, fp array<double>")
+    breaks = spark.createDataFrame([(1, 0, 100), (1, 400, 500), (1, 900, 1000), (2, 0, 1000)], "rec_id long, a long, b long")
+    ends = spark.createDataFrame([(1, 1000, 60, 60), (2, 1000, 60, 60)], "rec_id long, duration long, head_reach long, tail_reach long")
+    events = spark.createDataFrame([(1, 105, 2.0), (1, 102, 0.5)], "rec_id long, t long, score double")
+    rules = cards.MarkerRules(search=20, snap=3, run_gap=1, cost=0.04)
+    today = {(r.rec_id, r.side): r.today for r in cards.programme_edges(breaks, ends).collect()}
+    assert today == {(1, 0): 100, (1, 1): 900}
+    got = cards.with_markers(breaks, frames, markers, events, ends, rules, 8.0, 26, 64).collect()
+    assert sorted((r.rec_id, r.a, r.b) for r in got) == [(1, 0.0, 105.0), (1, 400.0, 500.0), (1, 896.0, 1000.0), (2, 0.0, 1000.0)]
+
+
+def test_markers_without_hits_change_nothing(spark):
+    frames = spark.createDataFrame([(1, 98, [9.0])], "rec_id long, t long, fp array<double>")
+    markers = spark.createDataFrame([], "card long, side long, project long, offset long, fp array<double>")
+    breaks = spark.createDataFrame([(1, 0, 100)], "rec_id long, a long, b long")
+    ends = spark.createDataFrame([(1, 1000, 60, 60)], "rec_id long, duration long, head_reach long, tail_reach long")
+    events = spark.createDataFrame([], "rec_id long, t long, score double")
+    rules = cards.MarkerRules(search=20, snap=3, run_gap=1, cost=0.04)
+    got = cards.with_markers(breaks, frames, markers, events, ends, rules, 8.0, 26, 64).collect()
+    assert [(r.a, r.b) for r in got] == [(0.0, 100.0)]
