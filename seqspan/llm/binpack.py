@@ -143,7 +143,8 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: Sequence
     equal size are packed in the order of their rows.  An empty table gives an empty result.
 
     Every piece has a number of its own, made once and written; shards take turns by its hash, as many as the input asks
-    for, so that no value gathers in one.  Every shard is packed on its own, with its sizes alone in memory: only its last
+    for, so that no value gathers in one.  The numbers follow the way the input is split into tasks: another split gives
+    another plan, with the same pieces and as good.  Every shard is packed on its own, with its sizes alone in memory: only its last
     bins stay partly empty.
     """
     capacities = sorted((int(c), float(cost)) for c, cost in capacities)

@@ -185,7 +185,12 @@ def encoder(path: str, pattern: str = r"(?s).+") -> TextEncoder:
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Ids of each whole text of ``docs`` (doc_id, text): doc_id, ids array<int>.  Null text has no ids."""
+    """Ids of each whole text of ``docs`` (doc_id, text; other columns are ignored): doc_id, ids array<int>.
+
+    Null and empty texts have no ids; very long ones are taken whole.  Repeated rows give equal rows, an empty table an empty
+    result.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode
         for b in batches:
@@ -196,7 +201,10 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def detokenize(rows: DataFrame, ranks_path: str) -> DataFrame:
-    """Bytes of each row's ids: doc_id, decoded.  Null ids give no bytes."""
+    """Bytes of each row's ids (doc_id, ids; other columns are ignored): doc_id, decoded.
+
+    Null and empty ids give no bytes.  Repeated rows give equal rows, an empty table an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path).bpe

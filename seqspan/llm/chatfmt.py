@@ -436,7 +436,11 @@ def _in_order(turns: DataFrame) -> DataFrame:
 
 
 def formatted(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
-    """conv_id, formatted, loss_spans (pairs of begin and end) for each conversation; holds one conversation at a time."""
+    """conv_id, formatted, loss_spans (pairs of begin and end) for each conversation of ``turns`` (conv_id, turn, role, text).
+
+    Turns, nulls and repeated rows count as in :func:`digests`, and other columns are ignored.  A conversation becomes one
+    text, so a task holds one at a time, however long.  An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, messages in _conversations(batches):
