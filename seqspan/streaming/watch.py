@@ -196,6 +196,7 @@ def reordered(packets: DataFrame, depth: int = 15) -> DataFrame:
             state.remove()
         else:
             state.update(([(int(p), int(s), bool(k)) for p, s, k in buffer.held], buffer.now))
-        yield pd.DataFrame({"rec_id": [key[0]] * len(left), "seq": [s for s, _ in left], "pts": pd.array([p for _, p in left], dtype="Int64")})
+        if left:
+            yield pd.DataFrame({"rec_id": [key[0]] * len(left), "seq": [s for s, _ in left], "pts": pd.array([p for _, p in left], dtype="Int64")})
 
     return packets.groupBy("rec_id").applyInPandasWithState(step, "rec_id long, seq long, pts long", "held array<struct<pts: bigint, seq: bigint, known: boolean>>, now long", "append", "NoTimeout")

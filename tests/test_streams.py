@@ -80,7 +80,7 @@ def test_absences_follow_the_log_across_restarts(spark, tmp_path):
         want = {r.path: (want[r.path][0], r.missing_since if r.missing_since >= 0 else None) for r in told if r.action != "forget"}
         if n % 3 != 1:
             assert got == want
-    assert set(want) == {"a", "c"} or set(want) == {"c"} or "c" in want
+    assert set(want) == {"a", "b", "c"}  # d was gone for over an hour
 
 
 def test_a_stream_reorders_as_the_batch_does(spark, tmp_path):
@@ -88,19 +88,18 @@ def test_a_stream_reorders_as_the_batch_does(spark, tmp_path):
     rows = []
     for rec in range(3):
         for seq in range(120):
-            pts = None if rec == 1 and seq % 31 == 5 else seq * 40 + random.choice([0, 0, 80, 900 if rec == 2 else 200])
+            pts = None if rec == 1 and seq % 31 == 5 else seq * 40 + random.choice([0, 0, 80, -1500 if rec == 2 else 200])
             rows.append((rec, seq, pts, seq * 40 if seq % 6 else None, seq == 119))
     packets = spark.createDataFrame(rows, "rec_id long, seq long, pts long, dts long, last boolean")
     want = [(r.rec_id, r.seq, r.pts) for r in carry.reordered(packets).orderBy("rec_id", "place").collect()]
     assert [x[1] for x in want if x[0] == 2] != sorted((x[1] for x in want if x[0] == 2), key=lambda s: rows[240 + s][2])
-    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    folder, state = (str(tmp_path / x) for x in ("in", "state"))
     got = {rec: [] for rec in range(3)}
     for a in (0, 25, 26, 90):
         b = {0: 25, 25: 26, 26: 90, 90: 120}[a]
         packets.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(packets.schema).parquet(folder)
-        run = f"{out}{a}"
-        watch.run_available(watch.reordered(stream), run, state)
-        for r in spark.read.parquet(run).withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect():
-            got[r.rec_id].append((r.rec_id, r.seq, r.pts))
+        keep = lambda batch, _: [got[r.rec_id].append(tuple(r)) for r in batch.collect()]
+        # every run is a restart
+        watch.reordered(stream).writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     assert [x for rec in range(3) for x in got[rec]] == want
