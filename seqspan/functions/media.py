@@ -160,7 +160,7 @@ def print_values(text: Column) -> Column:
 
 def frame_pairs(text: Column) -> Column:
     """Pairs (a, b) of a list of frames divided by commas; null for an odd number of them, or where one is no number."""
-    parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("long"))
+    parts = F.transform(F.split(text, ","), lambda x: F.when(x.rlike(r"^ *[+-]?\d{1,18} *$"), F.trim(x).cast("long")))
     ok = (F.size(parts) % 2 == 0) & ~F.exists(parts, lambda x: x.isNull())
     steps = F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1)
     return F.when(ok, F.transform(steps, lambda i: F.struct(F.get(parts, i * 2).alias("a"), F.get(parts, i * 2 + 1).alias("b"))))

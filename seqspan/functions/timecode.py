@@ -35,7 +35,9 @@ def parse_timecode(text: Column, fps: int) -> Column:
     digits = lambda t: F.when(t.rlike(r"^\d+$"), once(F.when(F.length(t) < 8, F.lpad(t, 8, "0")).otherwise(t), lambda p: F.array(*[F.substring(p, i, 2) for i in (1, 3, 5, 7)])))
     four = lambda t: once(F.split(t, r"\."), lambda p: F.when(F.size(p) == 1, digits(t)).when(F.size(p) == 4, p))
     weights = (3600 * fps, 60 * fps, fps, 1)
-    frame = lambda p: sum((F.trim(F.get(p, i)).try_cast("long") * w for i, w in enumerate(weights)), F.lit(0).cast("long"))
+    # what is no number is told before it is cast: a failing cast costs as much as a hundred good ones
+    number = lambda x: F.when(x.rlike(r"^[+-]?\d{1,18}$"), x.cast("long"))
+    frame = lambda p: sum((number(F.trim(F.get(p, i))) * w for i, w in enumerate(weights)), F.lit(0).cast("long"))
     return once(once(F.translate(F.trim(text), ":", "."), four), frame)
 
 
@@ -56,7 +58,7 @@ def time_expression(text: Column, duration: Column) -> Column:
     Null where it is none of these.
     """
     low = F.lower(F.trim(text))
-    number = lambda c: c.try_cast("decimal(20,6)")
+    number = lambda c: F.when(c.rlike(r"\d"), c.try_cast("decimal(20,6)"))
     minus = F.when(low.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     parts = F.split(F.regexp_replace(low, "^-", ""), ":")
     at = lambda i: number(F.get(parts, F.lit(i)))

@@ -23,23 +23,45 @@ def titled(files: DataFrame, catalog: DataFrame) -> DataFrame:
 PATTERNS, NAMES = 50_000, 200_000
 
 
-def _automaton(pieces: Iterable[tuple[str, str, bool]]):
-    """A trie with failure links over all pieces; a piece leads to its patterns, free and anchored ones."""
-    import ahocorasick
-
-    held: dict[str, list[tuple[str, bool]]] = {}
-    for piece, pattern, free in pieces:
-        held.setdefault(piece, []).append((pattern, free))
-    out = ahocorasick.Automaton()
-    for piece, own in held.items():
-        out.add_word(piece, (len(piece), own))
-    out.make_automaton()
-    return out
-
-
-def _found(automaton, name: str) -> set[str]:
-    """The patterns that a name holds, or begins with where they are anchored."""
-    return {pattern for end, (size, own) in automaton.iter(name) for pattern, free in own if free or end + 1 == size} if len(automaton) else set()
+class _Matcher:
+    """A trie with failure links over all pieces (pattern, piece, free), and which patterns a piece stands for."""
+
+    def __init__(self, pieces: Iterable[tuple[str, str, bool]]):
+        import ahocorasick
+
+        self.patterns: list[str] = []
+        number: dict[str, int] = {}
+        self.pieces, self.free, self.anchored = [], [], []
+        self.trie = ahocorasick.Automaton()
+        for piece, pattern, free in pieces:
+            k = number.setdefault(piece, len(number))
+            if k == len(self.pieces):
+                self.pieces.append(piece)
+                self.free.append([])
+                self.anchored.append([])
+                self.trie.add_word(piece, k)
+            (self.free if free else self.anchored)[k].append(len(self.patterns))
+            self.patterns.append(pattern)
+        self.trie.make_automaton()
+        self.names = pa.array(self.patterns, pa.string())
+
+    def found(self, name: str) -> list[int]:
+        """Numbers of the patterns that a name holds, or begins with where they are anchored."""
+        out: list[int] = []
+        if self.pieces:
+            for k in {k for _, k in self.trie.iter(name)}:
+                out += self.free[k]
+                if self.anchored[k] and name.startswith(self.pieces[k]):
+                    out += self.anchored[k]
+        return out
+
+    def batch(self, ids: Iterable[int], names: Iterable[str | None]) -> pa.RecordBatch:
+        who, which = [], []
+        for i, name in zip(ids, names, strict=True):
+            own = self.found(name or "")
+            which += own
+            who += [i] * len(own)
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), self.names.take(pa.array(which, pa.int64()))], ["id", "pattern"])
 
 
 def held_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -50,15 +72,14 @@ def held_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
     of the names that come after it.
     """
     schema = "id long, pattern string"
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string()))], ["id", "pattern"])
     few = patterns.select("piece", "pattern", "free").limit(PATTERNS + 1).collect()
     if len(few) <= PATTERNS:
         pieces = [tuple(r) for r in few]
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(pieces)
+            matcher = _Matcher(pieces)
             for b in batches:
-                yield batch([(i, n) for i, name in zip(b.column("id").to_pylist(), b.column("name").to_pylist(), strict=True) for n in _found(automaton, name or "")])
+                yield matcher.batch(b.column("id").to_pylist(), b.column("name").to_pylist())
 
         return names.select("id", "name").mapInArrow(match, schema)
     blocks, parts = -(-patterns.count() // PATTERNS), max(1, -(-names.count() // NAMES))
@@ -69,18 +90,22 @@ def held_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
     rows = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pieces, automaton = None, [], None
+        at, pieces, matcher, held = None, [], None, ([], [])
         for b in batches:
-            out = []
             for block, part, kind, id_, name, pattern, free in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "id", "name", "pattern", "free")), strict=True):
                 if (block, part) != at:
-                    at, pieces, automaton = (block, part), [], None
+                    if held[0]:
+                        yield matcher.batch(*held)
+                    at, pieces, matcher, held = (block, part), [], None, ([], [])
                 if kind == 0:
                     pieces.append((name, pattern, free))
                     continue
-                automaton = automaton or _automaton(pieces)
-                out += [(id_, n) for n in _found(automaton, name or "")]
-            yield batch(out)
+                matcher = matcher or _Matcher(pieces)
+                held[0].append(id_)
+                held[1].append(name)
+            if held[0]:
+                yield matcher.batch(*held)
+                held = ([], [])
 
     return rows.mapInArrow(meet, schema)
 
