@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from seqspan.tables import written
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
 
@@ -79,17 +81,19 @@ EXTRA = ["'v' AS `x.y`", "1 AS `x`", "2 AS a", "3 AS `row`", "4 AS print_a", "5
 
 def test_dotted_and_clashing_columns(spark, tmp_path):
     """Every stage and the whole run over rows with odd extra columns, repeated rows and repeated ids among them."""
-    small_corpus(spark, tmp_path / "plain")
-    docs = spark.read.parquet(f"{tmp_path}/plain/documents.parquet").selectExpr("*", *EXTRA)
-    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    clean = small_corpus(spark, tmp_path / "plain")
+    spark.read.parquet(f"{tmp_path}/plain/documents.parquet").selectExpr("*", *EXTRA).write.parquet(f"{tmp_path}/odd/documents.parquet")
     spark.read.parquet(f"{tmp_path}/plain/labels.parquet").write.parquet(f"{tmp_path}/odd/labels.parquet")
-    docs, plain = spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), spark.read.parquet(f"{tmp_path}/plain/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, f"{tmp_path}/odd"), name)
         assert after.columns == docs.columns
-        assert sorted(map(str, after.select("doc_id", "text").collect())) == sorted(map(str, stage(spark, plain, f"{tmp_path}/plain").select("doc_id", "text").collect()))
-    same = lambda name: corpus_pipeline.run(spark, f"{tmp_path}/{name}").agg(F.count("*"), F.sum("piece_length")).first()
-    assert same("odd") == same("plain")
+        docs = after
+    left = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(left, key=str) == sorted(clean, key=str)
+    assert {tuple(r) for r in docs.select("`x.y`", "x", "a", "row", "`tick``s`").collect()} == {("v", 1, 2, 3, 5)}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/odd")
+    assert pieces.agg(F.sum("piece_length")).first()[0] == sum(len(t.split()) for _, t in clean)
 
 
 def test_unique_ids_with_dotted_columns(spark):
