@@ -62,13 +62,13 @@ def _scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _first(scores: np.ndarray, most: int) -> np.ndarray:
-    """Columns of the greatest scores of each row in descending order, ties by column."""
+    """Columns of the greatest scores of each row in descending order, ties by column; those without a score come last."""
     n = scores.shape[1]
     bits = max(1, (n - 1).bit_length())
     usable = scores[scores != _NONE]
     if usable.size and int(np.abs(usable).max()) >= 1 << (62 - bits):
-        return np.stack([np.argsort(-r, kind="stable")[:most] for r in np.maximum(scores, -_MOST)])
-    keys = np.where(scores == _NONE, _NONE, (scores << bits) + (n - 1 - np.arange(n)))
+        return np.stack([np.lexsort((-np.maximum(r, -_MOST), r == _NONE))[:most] for r in scores])
+    keys = np.where(scores == _NONE, _NONE, scores << bits) + (n - 1 - np.arange(n))
     if n > most:
         keys = np.partition(keys, n - most, axis=1)[:, n - most :]
     keys = np.sort(keys, axis=1)[:, ::-1]
@@ -156,7 +156,8 @@ def _table(names: list[str], parts: list[tuple]) -> pa.Table:
 def _met(anchors: DataFrame, rows: DataFrame, parts: tuple[int, int], find, schema: str) -> DataFrame:
     """``find`` for each block of anchors with each block of rows, as a task of its own."""
     n_anchors, n_rows = parts
-    block = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n))
+    # an int, as the other side's exploded number is: Spark deals an equal long to another partition
+    block = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n)).cast("int")
     left = anchors.withColumns({"part": block("anchor_no", n_anchors), "other": F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))})
     right = rows.withColumns({"other": block("row_no", n_rows), "part": F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1)))})
     keys = ["part", "other"]

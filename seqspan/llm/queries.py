@@ -61,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + F.lit(1).cast("long")) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 

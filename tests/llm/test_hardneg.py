@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqspan.llm import hardneg
+from seqspan.llm import hardneg, queries
 
 SCHEMA = "vec_id long, embedding array<double>, label int, score long, row_no long, part string, `a.b` int"
 
@@ -78,6 +78,41 @@ def test_hot_vector(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hardneg, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(hardneg, "BLOCK_ANCHORS", 3)
+    rows, confs = made(400, 5), {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        found = run(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == brute(rows)
+
+
+def test_labels_of_few_rows(spark):
+    rows = [(i, [1.0, float(i % 7)], i % 200) for i in range(0, 1000, 5)]
+    want = brute(rows)
+    assert len(want) > 20 and run(spark, rows) == want
+
+
+@pytest.mark.parametrize("big", [1, 1 << 61])
+def test_excluded_rows_come_last(big):
+    scores = np.array([[big, hardneg._NONE, -3, -4 if big == 1 else -hardneg._MOST]])
+    assert hardneg._first(scores, 3).tolist() == [[0, 2, 3]]
+    assert hardneg._first(scores, 5).tolist() == [[0, 2, 3, 1]]
+
+
+def test_query_with_the_greatest_labels(spark, tmp_path):
+    rows = [(i, v, (1 << 31) - 1 if i % 2 else c) for i, v, c in made(300, 6)] + [(350, [0.75] * 6, (1 << 31) - 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = got(queries.op11_hard_negatives(spark, str(tmp_path)))
+    assert found == brute([(i, v, (c + 1) % 10 if i % 7 == 0 else c) for i, v, c in rows])
+
+
 @pytest.mark.parametrize("scores,want", [([100, 100, 80], ([95, 76], 40)), ([-5, 0], ([0], 0)), ([1], ([], 0)), ([], ([], 0))])
 def test_limits(scores, want):
     assert hardneg._limits(scores, 50, 95) == want
