@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 
 from ..tables import written
 from .segments import in_spans
-from .sized import small
 from .walks import by_group
 
 
@@ -150,6 +149,14 @@ class MarkerRules:
     cost: float
 
 
+def _first_seen(seen: DataFrame, gap: int) -> DataFrame:
+    """rec_id, side, t: the first of instants (rec_id, side, t; repeats count once) that follow each other within ``gap``."""
+    w = W.partitionBy("rec_id", "side").orderBy("t")
+    apart = F.col("t") - F.lag("t").over(w)
+    marked = seen.select("rec_id", "side", "t").distinct().withColumn("apart", apart)
+    return marked.where(F.col("apart").isNull() | (F.col("apart") > gap)).drop("apart")
+
+
 def predicted_edges(hits: DataFrame, today: DataFrame, events: DataFrame, rules: MarkerRules, width: int) -> DataFrame:
     """rec_id, side, edge, predicted: where markers put a programme's edge (rec_id, side, today).
 
@@ -158,13 +165,14 @@ def predicted_edges(hits: DataFrame, today: DataFrame, events: DataFrame, rules:
     their least offset predicts an edge.  The prediction nearest to today's edge counts if it is within ``search``, and goes
     to the event (rec_id, t, score) within ``snap`` that is worth most, its score less ``cost`` a unit of distance.
     """
-    w = W.partitionBy("rec_id", "side").orderBy("t")
-    gap = F.col("t") - F.lag("t").over(w)
-    seen = hits.select("rec_id", "side", "t").distinct().withColumn("new", F.when(gap.isNull() | (gap > rules.run_gap), 1).otherwise(0))
-    runs = seen.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    first = runs.groupBy("rec_id", "side", "run").agg(F.min("t").alias("t"))
+    first = _first_seen(hits, rules.run_gap)
     least = hits.join(first, ["rec_id", "side", "t"]).groupBy("rec_id", "side", "t", "project").agg(F.min("offset").alias("offset"))
-    told = least.groupBy("rec_id", "side", "t").agg(F.median("offset").alias("usual")).withColumn("at", F.col("t") - F.col("usual"))
+    return _predicted(least.groupBy("rec_id", "side", "t").agg(F.median("offset").alias("usual")), today, events, rules, width)
+
+
+def _predicted(sightings: DataFrame, today: DataFrame, events: DataFrame, rules: MarkerRules, width: int) -> DataFrame:
+    """:func:`predicted_edges` of sightings (rec_id, side, t, usual)."""
+    told = sightings.withColumn("at", F.col("t") - F.col("usual"))
     off = F.abs(F.col("at") - F.col("today"))
     near = told.join(today, ["rec_id", "side"]).where(off <= rules.search).groupBy("rec_id", "side").agg(F.min(F.struct(off.alias("d"), "t", "at"))["at"].alias("predicted"))
     spans = near.select("rec_id", F.col("side").alias("k"), (F.col("predicted") - rules.snap).alias("s"), (F.col("predicted") + rules.snap).alias("e"))
@@ -189,29 +197,52 @@ def programme_edges(breaks: DataFrame, ends: DataFrame) -> DataFrame:
     return told.select("rec_id", F.explode(sides).alias("x")).select("rec_id", "x.side", "x.today").where("today IS NOT NULL")
 
 
-def marker_hits(frames: DataFrame, markers: DataFrame, today: DataFrame, below: float, reach: int, width: int) -> DataFrame:
-    """rec_id, side, t, project, offset: frames (rec_id, t, fp) near today's edges that look like a remembered marker.
+def usual_offsets(frames: DataFrame, markers: DataFrame, today: DataFrame, below: float, reach: int, gap: int, width: int) -> DataFrame:
+    """rec_id, side, t, usual: where frames (rec_id, t, fp) near today's edges begin to look like remembered markers.
+
+    ``markers`` has side, project (a recording's rec_id), offset and fp.  Of a recording's frames those within ``reach`` of an
+    edge are matched, with the markers of that side; a recording's own markers are never used.  Frames that look like any and
+    follow each other within ``gap`` are one sighting; ``usual`` is the median over the projects of the least offset of the
+    markers that its first frame looks like.
 
-    ``markers`` has card (its number), side, project (a recording's rec_id), offset and fp.  Of a recording's frames those
-    within ``reach`` of an edge are matched, with the markers of that side; a recording's own markers are never used.
+    Frames and markers don't meet in pairs: fingerprints that are equal are compared once, the least offsets of the projects
+    that a fingerprint reaches are ranked once, and a frame looks its median up by rank, its own project's offset left out.
+    Only instants with several fingerprints are joined with all that these reach.
     """
     from .learn import sightings
 
     spans = today.select("rec_id", F.col("side").alias("k"), (F.col("today") - reach).alias("s"), (F.col("today") + reach).alias("e"))
-    near = in_spans(frames, spans, "t", width, closed=True).select("rec_id", F.col("k").alias("side"), "t", "fp")
-    near = written(near.withColumn("id", F.monotonically_increasing_id()), "near")
-    found = sightings(near.select("id", "fp"), markers.select("card", F.col("fp").alias("card_fp")), below)
-    met = found.join(near.select("id", "rec_id", F.col("side").alias("own"), "t"), "id").join(small(markers.select("card", "side", "project", "offset")), "card")
-    return met.where("side = own AND NOT project <=> rec_id").select("rec_id", "side", "t", "project", "offset")
+    near = in_spans(frames, spans, "t", width, closed=True).where("fp IS NOT NULL").select("rec_id", F.col("k").alias("side"), "t", "fp")
+    near = written(near, "near")
+    numbered = lambda rows, name: written(rows.select("fp").distinct().withColumn(name, F.monotonically_increasing_id()), name)
+    prints, kinds = numbered(near, "id"), numbered(markers.where("fp IS NOT NULL"), "card")
+    alike = sightings(prints, kinds.select("card", F.col("fp").alias("card_fp")), below).select("id", "card")
+    remembered = markers.select("side", "project", "offset", "fp").join(kinds, "fp").drop("fp")
+    least = alike.join(remembered, "card").groupBy("id", "side", "project").agg(F.min("offset").alias("offset"))
+    place = F.row_number().over(W.partitionBy("id", "side").orderBy(F.asc_nulls_last("offset"), "project"))
+    ranked = written(least.withColumn("rank", place), "ranked")
+    of = F.struct("project")
+    reached = ranked.groupBy("id", "side").agg(F.count("offset").alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi"))
+    seen = near.join(prints, "fp").select("rec_id", "side", "t", "id").distinct().join(reached, ["id", "side"])
+    seen = written(seen.where("NOT (lo.project <=> rec_id AND hi.project <=> rec_id)").select("rec_id", "side", "t", "id", "n"), "seen")
+    at = ["rec_id", "side", "t"]
+    first = seen.join(_first_seen(seen, gap), at).withColumn("prints", F.count("*").over(W.partitionBy(*at)))
+    own = ranked.where("offset IS NOT NULL").select("id", "side", F.col("project").alias("rec_id"), F.col("rank").alias("own"))
+    one = first.where("prints = 1").join(own, ["id", "side", "rec_id"], "left").withColumn("others", F.col("n") - F.when(F.col("own").isNull(), 0).otherwise(1))
+    middle = one.where("others > 0").withColumn("rank", F.explode(F.array(F.expr("(others - 1) div 2 + 1"), F.expr("others div 2 + 1"))))
+    middle = middle.withColumn("rank", F.col("rank") + F.when(F.col("rank") >= F.col("own"), 1).otherwise(0))
+    told = middle.join(ranked.select("id", "side", "rank", "offset"), ["id", "side", "rank"]).groupBy(*at).agg(F.avg(F.col("offset").cast("double")).alias("usual"))
+    many = first.where("prints > 1").select(*at, "id").join(ranked, ["id", "side"]).where("NOT project <=> rec_id")
+    many = many.groupBy(*at, "project").agg(F.min("offset").alias("offset")).groupBy(*at).agg(F.median("offset").alias("usual"))
+    return told.unionByName(many)
 
 
 def with_markers(breaks: DataFrame, frames: DataFrame, markers: DataFrame, events: DataFrame, ends: DataFrame, rules: MarkerRules, below: float, reach: int, width: int) -> DataFrame:
     """rec_id, a, b: breaks whose lead-in and tail end where remembered markers say, from the frames themselves."""
     breaks = written(breaks.select("rec_id", "a", "b"), "breaks")
     today = written(programme_edges(breaks, ends), "today")
-    hits = marker_hits(frames, markers, today, below, reach, width)
-    edges = predicted_edges(hits, today, events, rules, width)
-    return placed_edges(breaks, edges, ends)
+    seen = written(usual_offsets(frames, markers, today, below, reach, rules.run_gap, width), "sightings")
+    return placed_edges(breaks, _predicted(seen, today, events, rules, width), ends)
 
 
 def with_cards(breaks: DataFrame, sightings: DataFrame, scenes: DataFrame, rules: CardRules, width: int) -> DataFrame:

@@ -129,3 +129,44 @@ def test_markers_without_hits_change_nothing(spark):
     rules = cards.MarkerRules(search=20, snap=3, run_gap=1, cost=0.04)
     got = cards.with_markers(breaks, frames, markers, events, ends, rules, 8.0, 26, 64).collect()
     assert [(r.a, r.b) for r in got] == [(0.0, 100.0)]
+
+
+def plain_offsets(frames, markers, today, below, reach, gap):
+    """Every frame near an edge against every marker of its side."""
+    from statistics import median
+
+    hits = {}
+    for (rec, side), edge in today.items():
+        for r, t, fp in frames:
+            if r == rec and abs(t - edge) <= reach:
+                for s, project, offset, other in markers:
+                    if s == side and project != rec and near(fp, other) < below:
+                        hits.setdefault((rec, side, t), []).append((project, offset))
+    out, before = {}, {}
+    for rec, side, t in sorted(hits):
+        if t - before.get((rec, side), -1_000_000) > gap:
+            least = {}
+            for project, offset in hits[rec, side, t]:
+                least[project] = min(offset, least.get(project, offset))
+            out[rec, side, t] = median(least.values())
+        before[rec, side] = t
+    return out
+
+
+def test_frames_and_markers_meet_by_fingerprint(spark, monkeypatch):
+    """As pair by pair, with equal fingerprints, own markers and several frames at an instant; equal ones are compared once."""
+    made = np.random.default_rng(11)
+    draw = lambda: made.integers(0, 12, 2).astype(float).tolist()
+    frames = [(r, int(t), draw()) for r in range(30) for t in made.integers(0, 400, 60)]
+    markers = [(int(made.integers(0, 2)), int(made.integers(0, 12)), int(made.integers(-9, 9)), draw()) for _ in range(900)]
+    today = {(r, s): 100 + s * 200 for r in range(30) for s in (0, 1)}
+    met = []
+    own = learn.sightings
+    monkeypatch.setattr(learn, "sightings", lambda a, b, below: met.extend([a.count(), b.count()]) or own(a, b, below))
+    got = cards.usual_offsets(
+        spark.createDataFrame(frames, "rec_id long, t long, fp array<double>"), spark.createDataFrame(markers, "side long, project long, offset long, fp array<double>"),
+        spark.createDataFrame([(*k, v) for k, v in today.items()], "rec_id long, side long, today long"), 0.8, 60, 3, 64,
+    ).collect()
+    want = plain_offsets(frames, markers, today, 0.8, 60, 3)
+    assert len(want) > 300 and {(r.rec_id, r.side, r.t): r.usual for r in got} == want and len(got) == len(want)
+    assert max(met) <= 144
