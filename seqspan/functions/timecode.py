@@ -68,17 +68,39 @@ def time_expression(text: Column, duration: Column) -> Column:
     return F.when(low.isin("s", "start"), F.lit(0).cast("decimal(20,6)")).when(low.isin("e", "end", "-0"), whole).when(signed < 0, (whole + signed).cast("decimal(20,6)")).otherwise(signed)
 
 
+#: Parts of one that a fraction is told in: 52 bits are all that a double from one on has.
+_PARTS = 1 << 52
+
+
+def _fixed(number: Column, places: int) -> Column:
+    """Text of a number with up to three places, rounded by its exact value, half to even, as C's ``printf`` does.
+
+    Java rounds the shortest digits that tell a number from its neighbours, and these may lie on the other side of a half.
+    """
+    scale = 10**places
+
+    def text(x: Column) -> Column:
+        whole = F.floor(F.abs(x))
+        parts = ((F.abs(x) - whole) * float(_PARTS)).cast("long") * scale
+        down, rest = F.shiftright(parts, 52), parts.bitwiseAND(F.lit(_PARTS - 1))
+        up = down + ((rest > _PARTS // 2) | ((rest == _PARTS // 2) & (down % 2 == 1))).cast("long")
+        sign = F.when(x < 0, "-").otherwise("")
+        return once(up, lambda n: F.concat(sign, (whole + _div(n, scale)).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0")))
+
+    return F.when(F.abs(number) < float(1 << 53), once(number, text)).otherwise(F.format_string(f"%.{places}f", number))
+
+
 def human_size(size: Column) -> Column:
     """``n bytes``, or ``n.n`` KB, MB, GB or TB, the least that keeps the number under 1024."""
     n = size.cast("double")
     text = F.format_string("%.0f bytes", n)
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        text = F.when(n >= 1024.0**power, F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(text)
+        text = F.when(n >= 1024.0**power, F.concat(_fixed(n / 1024.0**power, 1), F.lit(f" {unit}"))).otherwise(text)
     return text
 
 
 def media_size(size: Column) -> Column:
     """``n.nnn GB`` or ``n.nnn MB`` from one on, else ``n.n KB``; ``N/A`` for what isn't a number."""
     n = size.try_cast("double")
-    text = F.when(n >= 1024.0**3, F.format_string("%.3f GB", n / 1024.0**3)).when(n >= 1024.0**2, F.format_string("%.3f MB", n / 1024.0**2)).otherwise(F.format_string("%.1f KB", n / 1024.0))
+    text = F.when(n >= 1024.0**3, F.concat(_fixed(n / 1024.0**3, 3), F.lit(" GB"))).when(n >= 1024.0**2, F.concat(_fixed(n / 1024.0**2, 3), F.lit(" MB"))).otherwise(F.concat(_fixed(n / 1024.0, 1), F.lit(" KB")))
     return F.when(n.isNull(), "N/A").otherwise(text)

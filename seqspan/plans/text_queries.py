@@ -69,7 +69,10 @@ def time_exprs(spark, sf_dir):
 
 def human_sizes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    z = F.pow("c_custkey", F.lit(4)).cast("long") * 3 + 1
+    # whole numbers that outgrow a long from the key 41,874 on; what outgrows 38 digits is taken as it is in double precision
+    k = F.col("c_custkey").cast("decimal(38,0)")
+    whole = F.try_add(F.try_multiply(F.try_multiply(F.try_multiply(k, k), F.try_multiply(k, k)), F.lit(3)), F.lit(1))
+    z = F.coalesce(whole.cast("double"), F.pow(k.cast("double"), F.lit(4)) * 3 + 1)
     return c.select(F.col("c_custkey").alias("id"), timecode.human_size(z).alias("size"), timecode.media_size(z).alias("media"))
 
 

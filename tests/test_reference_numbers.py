@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from seqspan import plans
 from seqspan.functions import names, timecode
 from seqspan.operators import census, jobs, learn, library, plansize, runs
 
@@ -99,3 +100,24 @@ def test_prints_take_both_ends_of_long_content(spark):
     for body in (b"", b"abc", b"abcdefgh", b"abcdefghijklmnop"):
         row = spark.createDataFrame([(bytearray(body),)], "b binary").select(plansize.fingerprint(F.col("b"), 6)).first()
         assert row[0] == want(body, 6)
+
+
+def test_sizes_beyond_a_long_and_close_to_a_half(spark, tmp_path):
+    """Python writes a double's exact value, as C does; 25,563 and 29,090 lie just below a half in the fourth place."""
+    keys = [0, 1, 9742, 14_999, 25_563, 29_090, 41_873, 41_874, 89_999, 899_999, 2_000_000_000, 4_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.id: (r.size, r.media) for r in plans.queries()["human_sizes"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(keys) and got[0] == ("1 bytes", "0.0 KB") and got[1] == ("4 bytes", "0.0 KB")
+    for k in keys[2:-2]:
+        n = float(k**4 * 3 + 1)
+        assert got[k] == (f"{n / 2**40:.1f} TB", f"{n / 2**30:.3f} GB")
+    for k in keys[-2:]:
+        assert float(got[k][0].removesuffix(" TB")) == float(got[k][1].removesuffix(" GB")) / 1024
+
+
+def test_places_are_rounded_by_the_exact_value(spark):
+    sizes = [1280, 1408, 1792, 1023, 1075, 1536, (1 << 20) * 5 // 4, (1 << 30) - 1, (1 << 30) + 536_871, (1 << 50) - 1]
+    rows = spark.createDataFrame([(float(n),) for n in sizes] + [(float("nan"),), (-1536.0,)], "n double")
+    got = [r[0] for r in rows.select(timecode.media_size(F.col("n"))).collect()]
+    want = [f"{n / 2**30:.3f} GB" if n >= 1 << 30 else f"{n / 2**20:.3f} MB" if n >= 1 << 20 else f"{n / 1024:.1f} KB" for n in sizes]
+    assert got == [*want, "NaN GB", "-1.5 KB"]
