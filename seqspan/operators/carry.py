@@ -27,9 +27,12 @@ def native_frames(index: DataFrame, native: DataFrame) -> DataFrame:
 
 
 def cut_seconds(keeps: DataFrame, index: DataFrame, rate: float) -> DataFrame:
-    """rec_id, a, b: what is removed between the kept frames (rec_id, start_f, end_f), in seconds from the first frame."""
+    """rec_id, a, b: what is removed between the kept frames (rec_id, start_f, end_f), in seconds from the first frame.
+
+    Ranges past the last frame keep nothing: what is removed ends with that.
+    """
     ends = index.groupBy("rec_id").agg(F.count("*").alias("n"), F.min("pts").alias("start"))
-    removed = intervals.complement(keeps, ends.select("rec_id", "n"), overflow=True)
+    removed = intervals.complement(keeps, ends.select("rec_id", "n"))
     at = lambda f, name: index.select("rec_id", F.col("frame_no").alias(f), F.col("pts").alias(name))
     out = removed.join(at("start_f", "x"), ["rec_id", "start_f"]).join(at("end_f", "y"), ["rec_id", "end_f"]).join(ends, "rec_id")
     return out.select("rec_id", ((F.col("x") - F.col("start")) / rate).alias("a"), ((F.col("y") - F.col("start")) / rate).alias("b"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from seqspan.operators import carry
 from seqspan.operators import intervals as op
 
 
@@ -65,3 +66,9 @@ def test_edit_log(spark):
     log = [("add", 0, 9), ("remove", 3, 5), ("undo", 0, 0), ("redo", 0, 0), ("undo", 0, 0), ("add", 20, 30), ("redo", 0, 0)]
     rows = spark.createDataFrame([(1, i, *x) for i, x in enumerate(log)], "rec_id long, seq long, action string, start_f long, end_f long")
     assert tuple(op.edit_log(rows).first()) == (1, "0-9,20-30", 2, 0)
+
+
+@pytest.mark.parametrize("keeps,want", [([(12, 15)], [(0, 18)]), ([(2, 3), (12, 15)], [(0, 2), (8, 18)]), ([(4, 30), (35, 39)], [(0, 6)]), ([(10, 12)], [(0, 18)]), ([(0, 9), (11, 12)], [])])
+def test_kept_frames_past_the_last_one(spark, keeps, want):
+    index = spark.createDataFrame([(1, n, 500 + 2000 * n) for n in range(10)], "rec_id long, frame_no long, pts long")
+    assert sorted((r.a, r.b) for r in carry.cut_seconds(ranges(spark, keeps), index, 1000.0).collect()) == want
