@@ -52,9 +52,13 @@ def settled(files: DataFrame, now: Column, minutes: int) -> DataFrame:
     return files.where(F.lit(minutes <= 0) | (now - F.col("mtime") >= minutes * 60))
 
 
-def to_process(files: DataFrame, ignored: DataFrame, processed: DataFrame, now: Column, minutes: int) -> DataFrame:
-    """path, state of each file: ignored, processed, unsettled or ready, by the first that holds."""
-    rows = files.join(ignored.select("path").distinct().withColumn("ig", F.lit(True)), "path", "left").join(processed.select("path").distinct().withColumn("pr", F.lit(True)), "path", "left")
+def to_process(files: DataFrame, ignored: DataFrame, processed: DataFrame, now: Column, minutes: int, by: str = "path") -> DataFrame:
+    """path, state of each file: ignored, processed, unsettled or ready, by the first that holds.
+
+    ``by`` is the column that tells files apart, where several may have one path.
+    """
+    flagged = lambda rows, name: rows.select(by).distinct().withColumn(name, F.lit(True))
+    rows = files.join(flagged(ignored, "ig"), by, "left").join(flagged(processed, "pr"), by, "left")
     fresh = F.lit(minutes > 0) & (F.col("mtime").isNull() | (now - F.col("mtime") < minutes * 60))
     return rows.select("path", F.when(F.col("ig"), "ignored").when(F.col("pr"), "processed").when(fresh, "unsettled").otherwise("ready").alias("state"))
 

@@ -121,3 +121,11 @@ def test_places_are_rounded_by_the_exact_value(spark):
     got = [r[0] for r in rows.select(timecode.media_size(F.col("n"))).collect()]
     want = [f"{n / 2**30:.3f} GB" if n >= 1 << 30 else f"{n / 2**20:.3f} MB" if n >= 1 << 20 else f"{n / 1024:.1f} KB" for n in sizes]
     assert got == [*want, "NaN GB", "-1.5 KB"]
+
+
+def test_pages_of_one_url_have_states_of_their_own(spark, tmp_path):
+    pages = [(4, "http://a/x", ""), (5, "http://a/x", ""), (6, "http://a/y", ""), (101, "http://a/y", ""), (17, "http://a/z", ""), (6, "http://a/y", ""), (None, None, None), (12, None, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.path or "", r.state) for r in plans.queries()["watch_states"](spark, str(tmp_path)).collect()]
+    want = [("", "ignored"), ("", "unsettled"), ("http://a/x", "ignored"), ("http://a/x", "unsettled"), ("http://a/y", "processed"), ("http://a/y", "processed"), ("http://a/y", "ready"), ("http://a/z", "unsettled")]
+    assert sorted(got) == want
