@@ -121,11 +121,15 @@ def default_subtitles(tracks: DataFrame) -> DataFrame:
 
 
 def first_hit(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
-    """id, hit, note: the best candidate (title, year, rank, hit) of the same title and year, else of the title alone, or a note."""
-    joined = wanted.join(candidates.withColumnRenamed("year", "made"), "title", "left")
-    exact = F.min(F.when(F.col("made") == F.col("year"), F.struct("rank", "hit")))
-    loose = F.min(F.when(F.col("hit").isNotNull(), F.struct("rank", "hit")))
-    out = joined.groupBy("id").agg(exact.alias("e"), loose.alias("l"))
+    """id, hit, note: the best candidate (title, year, rank, hit) of the same title and year, else of the title alone, or a note.
+
+    The best of each title and year, and of each title, are told before what is wanted meets them: it meets one row of each.
+    """
+    best = F.struct("rank", "hit")
+    exact = candidates.where("title IS NOT NULL AND year IS NOT NULL").groupBy("title", "year").agg(F.min(best).alias("e"))
+    loose = candidates.where("title IS NOT NULL AND hit IS NOT NULL").groupBy("title").agg(F.min(best).alias("l"))
+    joined = wanted.join(exact, ["title", "year"], "left").join(loose, "title", "left")
+    out = joined.groupBy("id").agg(F.min("e").alias("e"), F.min("l").alias("l"))
     note = F.when(F.col("e").isNotNull(), "").when(F.col("l").isNotNull(), "").otherwise("no match")
     return out.select("id", F.coalesce("e.hit", "l.hit", F.lit(-1)).alias("hit"), note.alias("note"))
 

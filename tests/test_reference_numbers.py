@@ -129,3 +129,33 @@ def test_pages_of_one_url_have_states_of_their_own(spark, tmp_path):
     got = [(r.path or "", r.state) for r in plans.queries()["watch_states"](spark, str(tmp_path)).collect()]
     want = [("", "ignored"), ("", "unsettled"), ("http://a/x", "ignored"), ("http://a/x", "unsettled"), ("http://a/y", "processed"), ("http://a/y", "processed"), ("http://a/y", "ready"), ("http://a/z", "unsettled")]
     assert sorted(got) == want
+
+
+def joined_rows(df):
+    """The most rows that a join of an executed plan gave."""
+
+    def below(node):
+        yield node
+        for i in range(node.children().length()):
+            yield from below(node.children().apply(i))
+
+    nodes = below(df._jdf.queryExecution().executedPlan())
+    return max(n.metrics().get("numOutputRows").get().value() for n in nodes if "Join" in n.nodeName())
+
+
+def test_films_of_one_title_dont_meet_in_pairs(spark):
+    few = [(1, "a", 1), (2, "a", 9), (3, "b", 1), (4, None, 1), (5, "c", 2), (6, "d", None)]
+    have = [("a", 1, 7, 70), ("a", 1, 5, 50), ("a", 2, 3, 30), (None, 1, 0, 1), ("c", 2, 1, None), ("c", 3, 4, 40), ("d", None, 2, 20)]
+    wanted = spark.createDataFrame(few, "id long, title string, year long").unionByName(spark.range(100, 2100).selectExpr("id", "'many' AS title", "id % 4 AS year"))
+    candidates = spark.createDataFrame(have, "title string, year long, rank long, hit long").unionByName(spark.range(1, 2001).selectExpr("'many' AS title", "id % 3 AS year", "id AS rank", "id AS hit"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = plansize.first_hit(wanted, candidates)
+        got = {r.id: (r.hit, r.note) for r in df.collect()}
+        most = joined_rows(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert [got[n] for n in range(1, 7)] == [(50, ""), (30, ""), (-1, "no match"), (-1, "no match"), (40, ""), (20, "")]
+    assert {got[n] for n in range(100, 2100)} == {(1, ""), (2, ""), (3, "")} and len(got) == 2006
+    assert most <= 2006
